@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe
+from . import bpe, jaccard
 
 QUERIES = {
+    "op6_ngram_jaccard": jaccard.op6_ngram_jaccard,
     "op9_byte_bpe": bpe.op9_byte_bpe,
 }
 ORACLES: dict[str, str] = {}
