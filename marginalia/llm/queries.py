@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, jaccard
+from . import bpe, jaccard, langid, quality
 
 QUERIES = {
+    "op8_quality": quality.op8_quality,
+    "op10_language_id": langid.op10_language_id,
     "op6_ngram_jaccard": jaccard.op6_ngram_jaccard,
     "op9_byte_bpe": bpe.op9_byte_bpe,
 }
