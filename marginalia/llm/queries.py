@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import bpe, jaccard, langid, quality
+from . import bpe, decontaminate, jaccard, langid, quality
 
 QUERIES = {
+    "op2_decontamination": decontaminate.op2_decontamination,
     "op8_quality": quality.op8_quality,
     "op10_language_id": langid.op10_language_id,
     "op6_ngram_jaccard": jaccard.op6_ngram_jaccard,
     "op9_byte_bpe": bpe.op9_byte_bpe,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_decontamination": decontaminate.OP2_SQL,
+}
