@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -31,4 +33,36 @@ def connected_components(edges: DataFrame, kind: str = "long") -> DataFrame:
         if now == before:
             break
         before = now
+    # Written down already: what follows only reads the last stars.
     return stars.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(stars.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+
+
+def bucket_components(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(node, component) of the nodes that linked pairs within buckets lead to, without listing all pairs of a bucket.
+
+    ``buckets`` (signature, node) holds the nodes that share a signature with others; ``verify`` takes pairs (a, b) and
+    returns those that link. Every node is compared with the first one of its bucket; what is then in one component
+    needs no further comparison. Buckets that still hold several components take a growing number of further pivots a
+    round, each compared only with nodes of other components: in the end any two nodes of a bucket are in one component
+    or were compared.
+    """
+    spark = buckets.sparkSession
+    by = Window.partitionBy("signature")
+    links = tested = spark.createDataFrame([], "a long, b long")
+    first = buckets.withColumn("pivot", F.min("node").over(by))
+    pairs, rest, width = first.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), buckets, 1
+    while True:
+        pairs = common.materialize(pairs, "pairs")
+        links = common.materialize(links.unionByName(verify(pairs)), "links")
+        tested = tested.unionByName(pairs)
+        components = connected_components(links)
+        named = rest.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        open_ = named.withColumn("x", F.min("component").over(by)).withColumn("y", F.max("component").over(by)).where("x <> y")
+        ranked = common.materialize(open_.withColumn("place", F.row_number().over(by.orderBy("node"))).select("signature", "node", "component", "place"), "open")
+        if ranked.isEmpty():
+            return components
+        width *= 4
+        pivots = ranked.where(F.col("place") <= width).select("signature", F.col("node").alias("pivot"), F.col("component").alias("other"))
+        pairs = ranked.join(pivots, "signature").where("other <> component").select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b"))
+        pairs = pairs.distinct().join(tested, ["a", "b"], "left_anti")
+        rest = ranked.where(F.col("place") > width).select("signature", "node")

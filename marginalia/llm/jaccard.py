@@ -6,10 +6,7 @@ k // 2 + 1 first parts, so that in some part linked sets differ in one element a
 sub-parts, and each choice of two of them gives a signature. Linked sets share at least one signature; what shares one
 is compared exactly.
 
-Inside the rows of one signature no pairs are enumerated. Everything is compared with one pivot first; rows that are
-then in one component need no further comparison. Only where a signature still holds several components do further
-pivots follow, a growing number a round, and each is compared only with rows of other components: every pair of rows
-with a common signature ends up in one component or compared.
+Inside the rows of one signature no pairs are enumerated; see components.bucket_components.
 
 Equal sets are one node, so copies cost nothing. Shingles are 64-bit fingerprints of three words.
 Null or wordless texts have an empty set and link with nothing; texts of fewer words than ``n`` have one shingle.
@@ -25,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
-from .components import connected_components
+from .components import bucket_components
 
 #: ASCII white space; every other byte belongs to a word.
 _WORD = np.ones(256, bool)
@@ -163,38 +160,21 @@ def _verified(num: int, den: int):
 
 def similar_sets(texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """(node, component) of the rows of ``texts`` (_id, text; sets all different) with at least one link."""
-    spark = texts.sparkSession
     signed = texts.mapInArrow(_signature_rows(n, num, den), "signature long, _id long")
     by = Window.partitionBy("signature")
-    shared = signed.withColumn("pivot", F.min("_id").over(by)).withColumn("other", F.max("_id").over(by)).where("pivot <> other")
-    shared = common.materialize(shared.select("signature", "_id", "pivot"), "shared")
-    # The sets of those that share a signature with anything; a set is needed twice at most for each round.
-    wanted = shared.select("_id").distinct()
+    shared = signed.withColumn("x", F.min("_id").over(by)).withColumn("y", F.max("_id").over(by)).where("x <> y")
+    shared = common.materialize(shared.select("signature", F.col("_id").alias("node")), "shared")
+    # The sets of those that share a signature with anything.
+    wanted = shared.select(F.col("node").alias("_id")).distinct()
     sets = common.materialize(texts.join(common.maybe_broadcast(wanted, 1_000_000), "_id", "left_semi").mapInArrow(_sets(n), "_id long, prints binary").distinct(), "sets")
-    empty = spark.createDataFrame([], "a long, b long")
-    links, tested, width = empty, empty, 1
-    pairs = shared.where("_id <> pivot").select(F.col("pivot").alias("a"), F.col("_id").alias("b")).distinct()
-    rest = shared.select("signature", "_id")
-    while True:
-        pairs = common.materialize(pairs, "pairs")
-        a, b = sets.select(F.col("_id").alias("a"), F.col("prints").alias("pa")), sets.select(F.col("_id").alias("b"), F.col("prints").alias("pb"))
+    a, b = sets.select(F.col("_id").alias("a"), F.col("prints").alias("pa")), sets.select(F.col("_id").alias("b"), F.col("prints").alias("pb"))
+
+    def verify(pairs: DataFrame) -> DataFrame:
         # Sizes alone rule out some pairs before the sets are put side by side.
-        found = pairs.join(a, "a").join(b, "b").where(F.least(F.length("pa"), F.length("pb")) * den >= F.greatest(F.length("pa"), F.length("pb")) * num)
-        links = common.materialize(links.unionByName(found.mapInArrow(_verified(num, den), "a long, b long")), "links")
-        tested = tested.unionByName(pairs)
-        components = common.materialize(connected_components(links), "components")
-        named = rest.join(components.withColumnRenamed("node", "_id"), "_id", "left").withColumn("component", F.coalesce("component", "_id"))
-        by = Window.partitionBy("signature")
-        open_ = named.withColumn("x", F.min("component").over(by)).withColumn("y", F.max("component").over(by)).where("x <> y")
-        # The pivots of the round: the first rows of each signature by id; they are done with after it.
-        ranked = common.materialize(open_.withColumn("place", F.row_number().over(by.orderBy("_id"))).select("signature", "_id", "component", "place"), "open")
-        if ranked.isEmpty():
-            return components
-        width *= 4
-        pivots = ranked.where(F.col("place") <= width).select("signature", F.col("_id").alias("a"), F.col("component").alias("ca"))
-        pairs = ranked.join(pivots, "signature").where((F.col("ca") != F.col("component")) & (F.col("_id") != F.col("a")))
-        pairs = pairs.select(F.least("a", "_id").alias("a"), F.greatest("a", "_id").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-        rest = ranked.where(F.col("place") > width).select("signature", "_id")
+        both = pairs.join(a, "a").join(b, "b").where(F.least(F.length("pa"), F.length("pb")) * den >= F.greatest(F.length("pa"), F.length("pb")) * num)
+        return both.mapInArrow(_verified(num, den), "a long, b long")
+
+    return bucket_components(shared, verify)
 
 
 def join(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, text: str = "text", key: str = "doc_id") -> DataFrame:

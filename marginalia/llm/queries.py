@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, jaccard, langid, quality
+from . import bpe, decontaminate, jaccard, langid, lines, quality
 
 QUERIES = {
+    "op3_line_dedup": lines.op3_line_dedup,
     "op2_decontamination": decontaminate.op2_decontamination,
     "op8_quality": quality.op8_quality,
     "op10_language_id": langid.op10_language_id,
