@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, jaccard, langid, lines, quality
+from . import bpe, chat, decontaminate, jaccard, langid, lines, quality, topk
 
 QUERIES = {
+    "op5_maxscore": topk.op5_maxscore,
+    "op7_chat_format": chat.op7_chat_format,
     "op3_line_dedup": lines.op3_line_dedup,
     "op2_decontamination": decontaminate.op2_decontamination,
     "op8_quality": quality.op8_quality,
@@ -14,4 +16,6 @@ QUERIES = {
 }
 ORACLES: dict[str, str] = {
     "op2_decontamination": decontaminate.OP2_SQL,
+    "op5_maxscore": topk.OP5_SQL,
+    "op7_chat_format": chat.OP7_SQL,
 }
