@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate, jaccard, langid, lines, quality, topk
+from . import bpe, chat, decontaminate, jaccard, langid, lines, quality, sharding, suffixes, topk
 
 QUERIES = {
+    "op1_suffix_dedup": suffixes.op1_suffix_dedup,
+    "op4_kd_shards": sharding.op4_kd_shards,
     "op5_maxscore": topk.op5_maxscore,
     "op7_chat_format": chat.op7_chat_format,
     "op3_line_dedup": lines.op3_line_dedup,
