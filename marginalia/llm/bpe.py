@@ -213,12 +213,17 @@ def default_vocabulary() -> tuple[str, str]:
     return P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN
 
 
-def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path, pattern = default_vocabulary()
-    coded = decode(encode(common.table(spark, sf_dir, "documents"), path, pattern), path, pattern)
-    return coded.select(
+def digests(decoded: DataFrame, *more: str) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of decoded rows, and the columns named."""
+    return decoded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
+        *more,
     )
+
+
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, pattern = default_vocabulary()
+    return digests(decode(encode(common.table(spark, sf_dir, "documents"), path, pattern), path, pattern))

@@ -9,7 +9,7 @@ Null texts and texts without a letter are ``und`` with score 0. Empty training d
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -140,21 +140,25 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "lang", key: str =
     return network, classes
 
 
-def predict(docs: DataFrame, network: ByteNetwork | None, classes: list[str], text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, lang_pred, score): the likeliest language of every whole text and its mean probability."""
+def predict(docs: DataFrame, network: ByteNetwork | None, classes: list[str], text: str = "text", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """The columns ``keep`` of ``docs`` with lang_pred and score: the likeliest language of every whole text and its mean probability.
+
+    Columns of these two names that ``docs`` has are replaced.
+    """
+    keep = [c for c in keep if c not in ("lang_pred", "score")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.blocks(batches):
-            lettered = pc.fill_null(pc.match_substring_regex(batch.column("text"), r"\pL"), False).to_numpy(zero_copy_only=False)
+        for batch in common.blocks(batches, "_text"):
+            lettered = pc.fill_null(pc.match_substring_regex(batch.column("_text"), r"\pL"), False).to_numpy(zero_copy_only=False)
             best, score = np.full(batch.num_rows, len(classes)), np.zeros(batch.num_rows)
             if network is not None:
-                p = network.predict(*common.as_bytes(batch.column("text")))
+                p = network.predict(*common.as_bytes(batch.column("_text")))
                 best[lettered], score[lettered] = p.argmax(axis=1)[lettered], p.max(axis=1)[lettered]
             names = np.array([*classes, "und"], object)[best]
-            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(names, pa.string()), pa.array(np.minimum(score, 1.0))], [key, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(names, pa.string()), pa.array(np.minimum(score, 1.0))], [*keep, "lang_pred", "score"])
 
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key), F.col(text).cast("string").alias("text")).mapInArrow(run, f"{key} {kind}, lang_pred string, score double")
+    kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
+    return docs.select(*keep, F.col(text).cast("string").alias("_text")).mapInArrow(run, f"{kinds}lang_pred string, score double")
 
 
 def identify(docs: DataFrame) -> DataFrame:
