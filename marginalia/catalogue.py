@@ -6,16 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import registry
+from .operators import aggregates, changes, entities, evaluation, filters, graph, joins, retrieval, windows  # noqa: F401  (they register queries)
+from .functions import scalars  # noqa: F401
+from .sources import readers  # noqa: F401
+from .streaming import streams  # noqa: F401
+
 Query = Callable[[SparkSession, str], DataFrame]
+FLAGSHIP: Query = registry.QUERIES["topk04_grouped_counts"]
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return registry.QUERIES
 
 
 def oracles() -> dict[str, str]:
-    return {}
-
-
-def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").count()
+    return registry.ORACLES
