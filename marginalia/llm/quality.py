@@ -22,7 +22,7 @@ from .langid import bounded_sample
 
 #: Hash rows (a power of two), numbers in a vector, character n-gram lengths, labelled rows that training uses at most
 #: and the bytes of each that it uses.
-BUCKETS, DIMENSIONS, GRAMS, SAMPLE_ROWS, SAMPLE_BYTES = 1 << 17, 12, (3, 4), 4_000, 4_096
+BUCKETS, DIMENSIONS, GRAMS, SAMPLE_ROWS, SAMPLE_BYTES = 1 << 17, 12, (3, 4), 3_000, 2_048
 #: How far back a repeated word is looked for.
 REPEATS = 4
 _SPACE = np.ones(256, bool)
@@ -58,14 +58,19 @@ class SubwordModel:
         self.out, self.bias = np.zeros((DIMENSIONS, 2), np.float32), np.zeros(2, np.float32)
 
     def train(self, texts: list[bytes], labels: np.ndarray, epochs: int = 12, rate: float = 0.4, seed: int = 3) -> None:
-        data = np.frombuffer(b"".join(texts), np.uint8)
-        offsets = np.concatenate(([0], np.cumsum([len(t) for t in texts]))).astype(np.int64)
-        found = list(features(data, offsets))
-        rows, hashes = np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])
-        keys, counts = np.unique(rows * BUCKETS + hashes, return_counts=True)
-        rows, hashes = keys // BUCKETS, keys % BUCKETS
+        rows, hashes, counts = [], [], []
+        for a in range(0, len(texts), 128):  # a few texts at a time: only distinct features are kept
+            part = texts[a : a + 128]
+            offsets = np.concatenate(([0], np.cumsum([len(t) for t in part]))).astype(np.int64)
+            keys = np.concatenate([r * BUCKETS + h for r, h in features(np.frombuffer(b"".join(part), np.uint8), offsets)])
+            keys, count = np.unique(keys, return_counts=True)
+            rows.append((keys // BUCKETS + a).astype(np.int32))
+            hashes.append((keys % BUCKETS).astype(np.int32))
+            counts.append(count.astype(np.float32))
+        rows, hashes, counts = np.concatenate(rows), np.concatenate(hashes), np.concatenate(counts)
         bounds = np.searchsorted(rows, np.arange(len(texts) + 1))
         totals = np.bincount(rows, counts, len(texts))
+        del rows
         share = np.bincount(labels, minlength=2) / len(labels)
         balance = 1 / np.maximum(2 * share, 1e-6)
         epochs = max(epochs, -(-6_000 // len(texts)))
