@@ -1 +1,153 @@
-"""."""
+"""Change detection, upserts as frames, and text pipelines: sections, chunks, keywords, evidence."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..registry import Tables, query
+
+
+def upserted(old: DataFrame, new: DataFrame, key: str, values: list[str]) -> DataFrame:
+    """``old`` with the rows of ``new`` inserted or merged over it column by column: new values win where they aren't null."""
+    o, n = old.select(key, *(F.col(v).alias(f"_o_{v}") for v in values)), new.select(key, *(F.col(v).alias(f"_n_{v}") for v in values))
+    return o.join(n, key, "full").select(key, *(F.coalesce(f"_n_{v}", f"_o_{v}").alias(v) for v in values))
+
+
+@query("snk01_upsert", "WITH o AS (SELECT p_partkey AS k, p_size AS size, p_brand AS brand FROM part WHERE p_partkey % 3 > 0), n AS (SELECT p_partkey AS k, p_size + 100 AS size, CASE WHEN p_partkey % 2 = 0 THEN p_brand END AS brand FROM part WHERE p_partkey % 3 < 2) SELECT coalesce(o.k, n.k) AS k, coalesce(n.size, o.size) AS size, coalesce(n.brand, o.brand) AS brand FROM o FULL JOIN n ON o.k = n.k")
+def upsert(t: Tables) -> DataFrame:
+    p = t.part.select(F.col("p_partkey").alias("k"), F.col("p_size").alias("size"), F.col("p_brand").alias("brand"))
+    new = p.where("k % 3 < 2").select("k", (F.col("size") + 100).alias("size"), F.when(F.col("k") % 2 == 0, F.col("brand")).alias("brand"))
+    return upserted(p.where("k % 3 > 0"), new, "k", ["size", "brand"])
+
+
+@query("snk04_conditional_update", "SELECT p_partkey, CASE WHEN p_size > 40 THEN 40 ELSE p_size END AS p_size FROM part")
+def conditional_update(t: Tables) -> DataFrame:
+    return t.part.select("p_partkey", F.when(F.col("p_size") > 40, 40).otherwise(F.col("p_size")).alias("p_size"))
+
+
+@query("snk05_purge", "SELECT event_id FROM events WHERE NOT (ts < (SELECT max(ts) FROM events) - INTERVAL 14 DAY AND event_type = 'error')")
+def purge(t: Tables) -> DataFrame:
+    rows = t.events.crossJoin(F.broadcast(t.events.agg(F.max("ts").alias("now"))))
+    return rows.where("NOT (ts < now - INTERVAL 14 DAYS AND event_type = 'error')").select("event_id")
+
+
+@query("snk06_reconcile", "WITH o AS (SELECT DISTINCT l_partkey AS k, 'old' AS detected FROM lineitem WHERE l_returnflag = 'A'), n AS (SELECT DISTINCT l_partkey AS k, 'new' AS detected FROM lineitem WHERE l_quantity > 49) SELECT n.k, coalesce(o.detected, n.detected) AS detected FROM n LEFT JOIN o ON o.k = n.k")
+def reconcile_by_key(t: Tables) -> DataFrame:
+    """Keeps the first detection of what is still there, inserts what is new, leaves out what has gone."""
+    keys = lambda where: t.lineitem.where(where).select(F.col("l_partkey").alias("k")).distinct()
+    return keys("l_quantity > 49").join(keys("l_returnflag = 'A'").withColumn("o", F.lit("old")), "k", "left").select("k", F.coalesce("o", F.lit("new")).alias("detected"))
+
+
+@query("snk08_repoint", "SELECT DISTINCT least(x, y) AS a, greatest(x, y) AS b FROM (SELECT l_partkey // 2 AS x, l_suppkey // 2 AS y FROM lineitem) WHERE x <> y")
+def repoint(t: Tables) -> DataFrame:
+    """Pairs after their keys were merged two by two: ordered again, without pairs of one key and without repeats."""
+    pairs = t.lineitem.select(F.expr("l_partkey div 2").alias("x"), F.expr("l_suppkey div 2").alias("y")).where("x <> y")
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+@query("snk11_monotone", "SELECT user_id, max(CASE event_type WHEN 'purchase' THEN 3 WHEN 'click' THEN 2 ELSE 1 END) AS strength FROM events e WHERE NOT EXISTS (SELECT 1 FROM events x WHERE x.user_id = e.user_id AND x.event_type = 'error' AND x.value > 95) GROUP BY user_id")
+def monotone(t: Tables) -> DataFrame:
+    """The strongest status of each key; keys with a live tombstone are left out."""
+    tombstones = t.events.where("event_type = 'error' AND value > 95").select("user_id")
+    strength = F.when(F.col("event_type") == "purchase", 3).when(F.col("event_type") == "click", 2).otherwise(1)
+    return t.events.join(tombstones, "user_id", "left_anti").groupBy("user_id").agg(F.max(strength).alias("strength"))
+
+
+@query("cdc01_hash_gate", r"SELECT doc_id, coalesce(h <> lag(h) OVER (PARTITION BY source ORDER BY doc_id), true) AS changed FROM (SELECT doc_id, source, sha256(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS h FROM documents)")
+def hash_gate(t: Tables) -> DataFrame:
+    h = t.documents.select("doc_id", "source", F.sha2(F.trim(F.regexp_replace("text", r"\s+", " ")), 256).alias("h"))
+    before = F.lag("h").over(Window.partitionBy("source").orderBy("doc_id"))
+    return h.select("doc_id", F.coalesce(F.col("h") != before, F.lit(True)).alias("changed"))
+
+
+@query("cdc05_change_feed", "SELECT event_id, event_type, value FROM events WHERE event_type <> 'login' AND value > 10 ORDER BY ts DESC, event_id DESC LIMIT 50")
+def change_feed(t: Tables) -> DataFrame:
+    return t.events.where("event_type <> 'login' AND value > 10").orderBy(F.desc("ts"), F.desc("event_id")).limit(50).select("event_id", "event_type", "value")
+
+
+@query("cdc06_recheck_plan", "SELECT DISTINCT doc_id FROM (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]{10,}'))) AS w FROM documents) JOIN (SELECT unnest(regexp_extract_all(lower(text), '[a-z]{10,}')) AS w FROM benchmark WHERE item_id < 10) USING (w)")
+def recheck_plan(t: Tables) -> DataFrame:
+    changed = t.benchmark.where("item_id < 10").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{10,})"))).alias("w")).distinct()
+    words = t.documents.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{10,})")))).alias("w"))
+    return words.join(F.broadcast(changed), "w", "left_semi").select("doc_id").distinct()
+
+
+@query("cdc08_upgrade_plan", "SELECT vec_id, place <= 40 AS now FROM (SELECT vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS place FROM embeddings WHERE label <> 3)")
+def upgrade_plan(t: Tables) -> DataFrame:
+    place = F.row_number().over(Window.partitionBy("label").orderBy("vec_id"))
+    return t.embeddings.where("label <> 3").select("vec_id", "label").withColumn("place", place).select("vec_id", (F.col("place") <= 40).alias("now"))
+
+
+@query("cdc09_staleness", "SELECT o_orderkey, list_filter([CASE WHEN o_totalprice < 1000 THEN 'small' END, CASE WHEN o_orderstatus = 'P' THEN 'pending' END, CASE WHEN year(o_orderdate) < 1993 THEN 'old' END], lambda x: x IS NOT NULL) AS reasons FROM orders")
+def staleness(t: Tables) -> DataFrame:
+    triggers = [F.when(F.col("o_totalprice") < 1000, "small"), F.when(F.col("o_orderstatus") == "P", "pending"), F.when(F.year("o_orderdate") < 1993, "old")]
+    return t.orders.select("o_orderkey", F.array_compact(F.array(*triggers)).alias("reasons"))
+
+
+@query("cdc10_lifecycle", "WITH a(x, y) AS (VALUES ('view', 'click'), ('click', 'purchase'), ('login', 'view'), ('view', 'view')) SELECT event_id, before IS NULL OR x IS NOT NULL AS valid FROM (SELECT event_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events) LEFT JOIN a ON x = before AND y = event_type")
+def lifecycle(t: Tables) -> DataFrame:
+    allowed = t.spark.createDataFrame([("view", "click"), ("click", "purchase"), ("login", "view"), ("view", "view")], "before string, event_type string").withColumn("ok", F.lit(True))
+    steps = t.events.select("event_id", "event_type", F.lag("event_type").over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("before"))
+    return steps.join(F.broadcast(allowed), ["before", "event_type"], "left").select("event_id", (F.col("before").isNull() | F.col("ok").isNotNull()).alias("valid"))
+
+
+@query("cdc11_gaps", "SELECT event_type, count(*) FILTER (value < 5) AS empties, count(*) FILTER (event_type = 'error') AS failures, max(ts) AS last_seen FROM events GROUP BY 1")
+def gaps(t: Tables) -> DataFrame:
+    return t.events.groupBy("event_type").agg(F.count_if(F.col("value") < 5).alias("empties"), F.count_if(F.col("event_type") == "error").alias("failures"), F.max("ts").alias("last_seen"))
+
+
+def sentences(text: Column) -> Column:
+    """The sentences of a text: split after a full stop and white space, trimmed, without empty ones."""
+    return F.filter(F.transform(F.split(text, r"\.\s+"), lambda s: F.trim(s)), lambda s: s != "")
+
+
+@query("txt01_sections", "SELECT doc_id, i - 1 AS section, left(trim(s[i]), 60) AS body FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents), unnest(range(1, len(s) + 1)) AS u(i) WHERE length(trim(s[i])) > 40")
+def sections(t: Tables) -> DataFrame:
+    rows = t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("section", "body"))
+    return rows.where(F.length(F.trim("body")) > 40).select("doc_id", F.col("section").cast("long").alias("section"), F.left(F.trim("body"), F.lit(60)).alias("body"))
+
+
+@query("txt02_overlap_chunks", "SELECT doc_id, c AS chunk, substr(text, c * 780 + 1, 900) AS body FROM documents, unnest(range(0, greatest(1, (length(text) - 120 + 779) // 780))) AS u(c)")
+def overlap_chunks(t: Tables) -> DataFrame:
+    """Chunks of 900 characters that share 120 with the one before."""
+    last = F.greatest(F.lit(0), F.expr("(length(text) - 120 + 779) div 780") - 1)
+    rows = t.documents.select("doc_id", "text", F.explode(F.sequence(F.lit(0).cast("long"), last.cast("long"))).alias("chunk"))
+    return rows.select("doc_id", "chunk", F.substring("text", F.col("chunk").cast("int") * 780 + 1, F.lit(900)).alias("body"))
+
+
+@query("txt06_harvest", "SELECT term, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '[A-Z][a-z]{6,}')) AS term FROM documents) WHERE lower(term) NOT IN (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) FROM benchmark) GROUP BY 1 HAVING count(*) > 2")
+def harvest(t: Tables) -> DataFrame:
+    known = t.benchmark.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"))).alias("w")).distinct()
+    counted = t.documents.select(F.explode(F.regexp_extract_all("text", F.lit("([A-Z][a-z]{6,})"))).alias("term")).groupBy("term").agg(F.count("*").alias("n")).where("n > 2")
+    return counted.join(known, F.lower("term") == F.col("w"), "left_anti")
+
+
+@query("txt07_context", "SELECT doc_id, CASE WHEN p > 61 THEN '…' ELSE '' END || substr(text, greatest(1, p - 60), p - greatest(1, p - 60) + 60) || CASE WHEN p + 60 <= length(text) THEN '…' ELSE '' END AS snippet FROM (SELECT doc_id, text, instr(text, 'tion') AS p FROM documents) WHERE p > 0")
+def context(t: Tables) -> DataFrame:
+    rows = t.documents.select("doc_id", "text", F.locate("tion", "text").alias("p")).where("p > 0")
+    start = F.greatest(F.lit(1), F.col("p") - 60)
+    snippet = F.concat(F.when(F.col("p") > 61, "…").otherwise(""), F.substring("text", start, F.col("p") - start + 60), F.when(F.col("p") + 60 <= F.length("text"), "…").otherwise(""))
+    return rows.select("doc_id", snippet.alias("snippet"))
+
+
+@query("txt08_shortest_definition", "SELECT lang, min(length(s)) AS chars FROM (SELECT lang, trim(unnest(string_split(text, chr(10)))) AS s FROM documents) WHERE s <> '' GROUP BY lang")
+def shortest_definition(t: Tables) -> DataFrame:
+    rows = t.documents.select("lang", F.explode(F.split("text", "\n")).alias("s")).select("lang", F.trim("s").alias("s")).where("s <> ''")
+    return rows.groupBy("lang").agg(F.min(F.length("s")).alias("chars"))
+
+
+@query("txt09_evidence_gate", r"SELECT doc_id, regexp_matches(text, '\[[^\]]+\]') AS bracketed, regexp_matches(lower(text), '(^|[^\pL])(may|can|peut|kann)([^\pL]|$)') AS optional FROM documents")
+def evidence_gate(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", F.col("text").rlike(r"\[[^\]]+\]").alias("bracketed"), F.lower("text").rlike(r"(^|[^\pL])(may|can|peut|kann)([^\pL]|$)").alias("optional"))
+
+
+@query("txt10_promotion", "SELECT doc_id, CASE WHEN toxic = 1 THEN 'rejected' WHEN quality = 0 THEN 'review' ELSE 'verified' END AS status, toxic = 1 AS tombstone FROM labels")
+def promotion(t: Tables) -> DataFrame:
+    status = F.when(F.col("toxic") == 1, "rejected").when(F.col("quality") == 0, "review").otherwise("verified")
+    return t.labels.select("doc_id", status.alias("status"), (F.col("toxic") == 1).alias("tombstone"))
+
+
+@query("txt12_support_tokens", "SELECT doc_id, len(list_filter(list_distinct(string_split(lower(text), ' ')), lambda w: length(w) >= 4)) AS support FROM documents")
+def support_tokens(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", F.size(F.filter(F.array_distinct(F.split(F.lower("text"), " ")), lambda w: F.length(w) >= 4)).cast("long").alias("support"))

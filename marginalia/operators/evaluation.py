@@ -1 +1,61 @@
-"""."""
+"""Retrieval-evaluation metrics over expected and found lists."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..registry import Tables, query
+
+
+def overlap_scores(expected: Column, found: Column) -> dict[str, Column]:
+    """Recall, precision and F1 of two lists. Nothing expected: recall 1; nothing found: precision 0."""
+    hit = F.size(F.array_intersect(expected, found))
+    recall = F.when(F.size(expected) == 0, 1.0).otherwise(hit / F.size(expected))
+    precision = F.when(F.size(found) == 0, 0.0).otherwise(hit / F.size(found))
+    f1 = F.when(recall + precision == 0, 0.0).otherwise(2 * recall * precision / (recall + precision))
+    return {"recall": recall, "precision": precision, "f1": f1}
+
+
+_LISTS = "l AS (SELECT l_orderkey AS id, list_distinct(list(l_partkey) FILTER (l_linenumber % 2 = 1)) AS e, list_distinct(list(l_partkey) FILTER (l_linenumber <= 3)) AS f FROM lineitem GROUP BY 1), m AS (SELECT id, coalesce(e, []) AS e, coalesce(f, []) AS f FROM l), h AS (SELECT id, len(e) AS ne, len(f) AS nf, len(list_intersect(e, f)) AS n FROM m), s AS (SELECT id, CASE WHEN ne = 0 THEN 1.0 ELSE n / ne END AS recall, CASE WHEN nf = 0 THEN 0.0 ELSE n / nf END AS prec FROM h)"
+
+
+def _lists(t: Tables) -> DataFrame:
+    keep = lambda c: F.collect_set(F.when(c, F.col("l_partkey")))
+    return t.lineitem.groupBy(F.col("l_orderkey").alias("id")).agg(keep(F.col("l_linenumber") % 2 == 1).alias("e"), keep(F.col("l_linenumber") <= 3).alias("f"))
+
+
+@query("evl01_scores", f"WITH {_LISTS} SELECT id, round(recall, 6) AS recall, round(prec, 6) AS precision, round(CASE WHEN recall + prec = 0 THEN 0.0 ELSE 2 * recall * prec / (recall + prec) END, 6) AS f1 FROM s")
+def scores(t: Tables) -> DataFrame:
+    found = overlap_scores(F.col("e"), F.col("f"))
+    return _lists(t).select("id", *(F.round(c, 6).alias(n) for n, c in found.items()))
+
+
+@query("evl02_consistency", "WITH d AS (SELECT DISTINCT o_custkey AS c, o_orderkey AS o, l_returnflag AS f FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_custkey % 20 = 1), g AS (SELECT c, o, list(f) AS fs FROM d GROUP BY 1, 2) SELECT a.c AS custkey, round(avg(len(list_intersect(a.fs, b.fs)) / (len(a.fs) + len(b.fs) - len(list_intersect(a.fs, b.fs)))), 6) AS consistency FROM g a JOIN g b ON a.c = b.c AND a.o < b.o GROUP BY 1")
+def consistency(t: Tables) -> DataFrame:
+    """Mean Jaccard similarity of the answers to paraphrases, over the pairs of each question."""
+    d = t.orders.where("o_custkey % 20 = 1").join(t.lineitem, F.col("l_orderkey") == F.col("o_orderkey"))
+    g = d.groupBy(F.col("o_custkey").alias("custkey"), "o_orderkey").agg(F.collect_set("l_returnflag").alias("fs"))
+    b = g.select("custkey", F.col("o_orderkey").alias("o"), F.col("fs").alias("gs"))
+    pairs = g.join(b, "custkey").where("o_orderkey < o")
+    hit = F.size(F.array_intersect("fs", "gs"))
+    return pairs.groupBy("custkey").agg(F.round(F.avg(hit / (F.size("fs") + F.size("gs") - hit)), 6).alias("consistency"))
+
+
+@query("evl03_unpivot", f"WITH {_LISTS} SELECT metric, round(avg(x), 6) AS mean, count(*) AS samples FROM (SELECT 'recall' AS metric, recall AS x FROM s UNION ALL SELECT 'precision', prec FROM s) GROUP BY metric")
+def unpivot(t: Tables) -> DataFrame:
+    found = overlap_scores(F.col("e"), F.col("f"))
+    long = _lists(t).select(found["recall"].alias("recall"), found["precision"].alias("precision")).select(F.expr("stack(2, 'recall', recall, 'precision', precision) AS (metric, x)"))
+    return long.groupBy("metric").agg(F.round(F.avg("x"), 6).alias("mean"), F.count("*").alias("samples"))
+
+
+@query("evl04_gate", "SELECT lang, list_filter([CASE WHEN avg(n_chars) < 2000 THEN 'short' END, CASE WHEN count(*) < 150 THEN 'few' END], lambda x: x IS NOT NULL) AS violations, NOT (avg(n_chars) < 2000 OR count(*) < 150) AS passed FROM documents GROUP BY lang")
+def gate(t: Tables) -> DataFrame:
+    rules = [F.when(F.avg("n_chars") < 2000, "short"), F.when(F.count("*") < 150, "few")]
+    return t.documents.groupBy("lang").agg(F.array_compact(F.array(*rules)).alias("violations")).withColumn("passed", F.size("violations") == 0)
+
+
+@query("evl07_choices", "SELECT event_type, 100.0 * avg(CASE WHEN regexp_extract(props, '([0-9]+)', 1) IN ('1', '2', '3') THEN 1 ELSE 0 END) AS percent FROM events GROUP BY 1")
+def choices(t: Tables) -> DataFrame:
+    right = F.regexp_extract("props", "([0-9]+)", 1).isin("1", "2", "3").cast("int")
+    return t.events.groupBy("event_type").agg((100.0 * F.avg(right)).alias("percent"))

@@ -1 +1,176 @@
-"""."""
+"""Graph operators over ``nodes`` (ref, label, name) and ``edges`` (src, dst, type) that are projected from the tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..registry import Tables, query
+from .filters import tokens
+
+_NODES = "nodes AS (SELECT 'c' || c_custkey AS ref, 'customer' AS label, c_name AS name FROM customer UNION ALL SELECT 's' || s_suppkey, 'supplier', s_name FROM supplier UNION ALL SELECT 'n' || n_nationkey, 'nation', n_name FROM nation UNION ALL SELECT 'r' || r_regionkey, 'region', r_name FROM region)"
+_EDGES = "edges AS (SELECT 'c' || c_custkey AS src, 'n' || c_nationkey AS dst, 'LIVES_IN' AS type FROM customer UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey, 'BASED_IN' FROM supplier UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, 'PART_OF' FROM nation)"
+
+
+def _ref(letter: str, column: str):
+    return F.concat(F.lit(letter), F.col(column).cast("string"))
+
+
+def nodes(t: Tables) -> DataFrame:
+    kinds = [(t.customer, "c", "c_custkey", "customer", "c_name"), (t.supplier, "s", "s_suppkey", "supplier", "s_name"), (t.nation, "n", "n_nationkey", "nation", "n_name"), (t.region, "r", "r_regionkey", "region", "r_name")]
+    parts = [df.select(_ref(letter, key).alias("ref"), F.lit(label).alias("label"), F.col(name).alias("name")) for df, letter, key, label, name in kinds]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+def edges(t: Tables) -> DataFrame:
+    kinds = [(t.customer, "c", "c_custkey", "n", "c_nationkey", "LIVES_IN"), (t.supplier, "s", "s_suppkey", "n", "s_nationkey", "BASED_IN"), (t.nation, "n", "n_nationkey", "r", "n_regionkey", "PART_OF")]
+    parts = [df.select(_ref(a, x).alias("src"), _ref(b, y).alias("dst"), F.lit(kind).alias("type")) for df, a, x, b, y, kind in kinds]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("grf01_nodes", f"WITH {_NODES} SELECT * FROM nodes")
+def project_nodes(t: Tables) -> DataFrame:
+    return nodes(t)
+
+
+@query("agg29_label_counts", f"WITH {_NODES} SELECT label, count(*) AS n FROM nodes GROUP BY label")
+def label_counts(t: Tables) -> DataFrame:
+    return nodes(t).groupBy("label").agg(F.count("*").alias("n"))
+
+
+@query("grf02_facet_edges", r"SELECT 'p' || p_partkey AS src, 'w:' || unnest(list_distinct(string_split_regex(lower(p_name), '\s+'))) AS dst FROM part")
+def facet_edges(t: Tables) -> DataFrame:
+    return t.part.select(_ref("p", "p_partkey").alias("src"), F.explode(tokens()).alias("w")).select("src", F.concat(F.lit("w:"), "w").alias("dst"))
+
+
+@query("grf03_hierarchy", "SELECT 'n' || n_nationkey AS src, 'r' || n_regionkey AS dst FROM nation JOIN region ON n_regionkey = r_regionkey")
+def hierarchy(t: Tables) -> DataFrame:
+    return t.nation.join(F.broadcast(t.region), F.col("n_regionkey") == F.col("r_regionkey")).select(_ref("n", "n_nationkey").alias("src"), _ref("r", "n_regionkey").alias("dst"))
+
+
+@query("grf04_about_edges", "SELECT DISTINCT 'd' || doc_id AS src, 'b' || item_id AS dst FROM (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]{9,}'))) AS w FROM documents) JOIN (SELECT item_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]{9,}'))) AS w FROM benchmark) USING (w)")
+def about_edges(t: Tables) -> DataFrame:
+    long_words = lambda df, key: df.select(key, F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{9,})")))).alias("w"))
+    met = long_words(t.documents, "doc_id").join(long_words(t.benchmark, "item_id"), "w")
+    return met.select(_ref("d", "doc_id").alias("src"), _ref("b", "item_id").alias("dst")).distinct()
+
+
+@query("grf06_orphans", f"WITH {_NODES}, {_EDGES} SELECT ref FROM nodes WHERE ref NOT IN (SELECT src FROM edges) AND ref NOT IN (SELECT dst FROM edges)")
+def orphans(t: Tables) -> DataFrame:
+    ends = edges(t).select(F.col("src").alias("ref")).unionByName(edges(t).select(F.col("dst").alias("ref"))).distinct()
+    return nodes(t).join(ends, "ref", "left_anti").select("ref")
+
+
+@query("grf07_whitelist_merge", f"WITH {_NODES}, {_EDGES} SELECT type, count(*) AS n, count(*) FILTER (a.ref IS NOT NULL AND b.ref IS NOT NULL) AS written FROM (SELECT DISTINCT * FROM edges) e LEFT JOIN nodes a ON a.ref = src AND a.label <> 'region' LEFT JOIN nodes b ON b.ref = dst AND b.label IN ('nation', 'region') GROUP BY type")
+def whitelist_merge(t: Tables) -> DataFrame:
+    known = nodes(t)
+    a = known.where("label <> 'region'").select(F.col("ref").alias("src"), F.lit(True).alias("a"))
+    b = known.where("label IN ('nation', 'region')").select(F.col("ref").alias("dst"), F.lit(True).alias("b"))
+    return edges(t).distinct().join(a, "src", "left").join(b, "dst", "left").groupBy("type").agg(F.count("*").alias("n"), F.count_if(F.col("a") & F.col("b")).alias("written"))
+
+
+def neighbours(e: DataFrame, refs: DataFrame, types: list[str] | None = None) -> DataFrame:
+    """(ref, other, type, way): the edges at each of ``refs``, out and in; other is null for a node without any."""
+    both = e.select(F.col("src").alias("ref"), F.col("dst").alias("other"), "type", F.lit("out").alias("way")).unionByName(e.select(F.col("dst").alias("ref"), F.col("src").alias("other"), "type", F.lit("in").alias("way")))
+    return refs.join(both.where(F.col("type").isin(types)) if types else both, "ref", "left")
+
+
+@query("grf08_neighbours", f"WITH {_EDGES} SELECT 'n1' AS ref, dst AS other, type, 'out' AS way FROM edges WHERE src = 'n1' UNION ALL SELECT 'n1', src, type, 'in' FROM edges WHERE dst = 'n1'")
+def node_neighbours(t: Tables) -> DataFrame:
+    return neighbours(edges(t), nodes(t).where("ref = 'n1'").select("ref"))
+
+
+def shortest_paths(e: DataFrame, start: str, most: int) -> DataFrame:
+    """(ref, hops, path): breadth first from ``start`` over undirected edges, at most ``most`` hops, the least path where several are as short."""
+    both = e.select("src", "dst").unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    seen = e.sparkSession.createDataFrame([(start, 0, start)], "ref string, hops int, path string")
+    frontier = seen
+    for hop in range(1, most + 1):
+        step = frontier.join(both, F.col("ref") == F.col("src")).groupBy(F.col("dst").alias("ref")).agg(F.min(F.concat_ws(">", "path", "dst")).alias("path"))
+        frontier = step.join(seen.select("ref"), "ref", "left_anti").select("ref", F.lit(hop).alias("hops"), "path")
+        seen = seen.unionByName(frontier)
+    return seen
+
+
+@query("grf09_shortest_path", f"""WITH RECURSIVE {_EDGES}, b AS (SELECT DISTINCT src, dst FROM (SELECT src, dst FROM edges UNION ALL SELECT dst, src FROM edges)),
+    p AS (SELECT 's1' AS ref, 0 AS hops, 's1' AS path UNION SELECT dst, hops + 1, path || '>' || dst FROM p JOIN b ON ref = src WHERE hops < 3 AND NOT contains('>' || path || '>', '>' || dst || '>')) SELECT ref, hops, min(path) AS path FROM p WHERE (ref, hops) IN (SELECT ref, min(hops) FROM p GROUP BY ref) GROUP BY ref, hops""")
+def shortest_path(t: Tables) -> DataFrame:
+    return shortest_paths(edges(t), "s1", 3)
+
+
+@query("grf10_expansion", f"WITH {_EDGES} SELECT ref, other FROM (SELECT src AS ref, dst AS other FROM edges UNION ALL SELECT dst, src FROM edges) WHERE ref IN ('n1', 'n2', 'n3', 'n4') QUALIFY row_number() OVER (PARTITION BY ref ORDER BY other) <= 12")
+def expansion(t: Tables) -> DataFrame:
+    seeds = nodes(t).where(F.col("ref").isin("n1", "n2", "n3", "n4")).select("ref")
+    near = neighbours(edges(t), seeds).where("other IS NOT NULL")
+    return near.withColumn("r", F.row_number().over(Window.partitionBy("ref").orderBy("other"))).where("r <= 12").select("ref", "other")
+
+
+@query("grf11_adjacency", "SELECT DISTINCT least(a.l_partkey, b.l_partkey) AS a, greatest(a.l_partkey, b.l_partkey) AS b FROM lineitem a JOIN lineitem b USING (l_orderkey) WHERE a.l_partkey <> b.l_partkey AND a.l_partkey IN (SELECT p_partkey FROM part WHERE p_size <= 5) AND b.l_partkey IN (SELECT p_partkey FROM part WHERE p_size <= 5)")
+def adjacency(t: Tables) -> DataFrame:
+    wanted = t.part.where("p_size <= 5").select(F.col("p_partkey").alias("l_partkey"))
+    rows = t.lineitem.join(wanted, "l_partkey", "left_semi").select("l_orderkey", "l_partkey").distinct()
+    return rows.withColumnRenamed("l_partkey", "a").join(rows.withColumnRenamed("l_partkey", "b"), "l_orderkey").where("a < b").select("a", "b").distinct()
+
+
+@query("grf12_path_cost", f"WITH {_NODES}, {_EDGES} SELECT a.src AS start, b.dst AS stop, round(1 / 0.7 + 1 / 0.9, 6) AS cost FROM edges a JOIN edges b ON a.dst = b.src WHERE a.type = 'BASED_IN' ORDER BY cost, start, stop LIMIT 10")
+def path_cost(t: Tables) -> DataFrame:
+    weighted = edges(t).withColumn("confidence", F.when(F.col("type") == "PART_OF", 0.9).otherwise(0.7))
+    a = weighted.where("type = 'BASED_IN'").select(F.col("src").alias("start"), F.col("dst").alias("mid"), F.col("confidence").alias("c1"))
+    b = weighted.select(F.col("src").alias("mid"), F.col("dst").alias("stop"), F.col("confidence").alias("c2"))
+    cost = F.aggregate(F.array("c1", "c2"), F.lit(0.0), lambda s, c: s + 1 / F.greatest(F.lit(1e-6), c))
+    return a.join(b, "mid").select("start", "stop", F.round(cost, 6).alias("cost")).orderBy("cost", "start", "stop").limit(10)
+
+
+@query("grf14_reified", "SELECT o_orderkey, CASE WHEN count(DISTINCT l_returnflag) = 1 THEN max(l_returnflag) END AS flag, CASE WHEN count(DISTINCT l_linestatus) = 1 THEN max(l_linestatus) END AS status, count(DISTINCT l_returnflag) > 1 OR count(DISTINCT l_linestatus) > 1 AS reified_only FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")
+def reified(t: Tables) -> DataFrame:
+    single = lambda c: F.when(F.min(c) == F.max(c), F.max(c))
+    several = (F.min("l_returnflag") != F.max("l_returnflag")) | (F.min("l_linestatus") != F.max("l_linestatus"))
+    return t.orders.join(t.lineitem, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_orderkey").agg(single("l_returnflag").alias("flag"), single("l_linestatus").alias("status"), several.alias("reified_only"))
+
+
+@query("grf15_versions", "SELECT event_id, lead(event_id) OVER w AS next_id, lead(event_id) OVER w IS NULL AS current FROM events WINDOW w AS (PARTITION BY user_id, event_type ORDER BY CAST(json_extract_string(props, '$.k') AS INTEGER), ts, event_id)")
+def versions(t: Tables) -> DataFrame:
+    w = Window.partitionBy("user_id", "event_type").orderBy(F.get_json_object("props", "$.k").cast("int"), "ts", "event_id")
+    return t.events.select("event_id", F.lead("event_id").over(w).alias("next_id")).withColumn("current", F.col("next_id").isNull())
+
+
+@query("rsn01_chain", f"WITH {_EDGES} SELECT DISTINCT a.src, b.dst, a.type || '/' || b.type AS chain FROM edges a JOIN edges b ON a.dst = b.src")
+def chain(t: Tables) -> DataFrame:
+    e = edges(t)
+    b = e.select(F.col("src").alias("dst"), F.col("dst").alias("end"), F.col("type").alias("last"))
+    return e.join(b, "dst").select("src", F.col("end").alias("dst"), F.concat_ws("/", "type", "last").alias("chain")).distinct()
+
+
+@query("rsn02_symmetric", f"WITH {_EDGES} SELECT dst AS src, src AS dst FROM edges EXCEPT SELECT src, dst FROM edges")
+def symmetric(t: Tables) -> DataFrame:
+    e = edges(t).select("src", "dst")
+    return e.select(F.col("dst").alias("src"), F.col("src").alias("dst")).distinct().join(e, ["src", "dst"], "left_anti")
+
+
+@query("rsn03_collapse", f"WITH {_EDGES} SELECT DISTINCT src, dst, CASE WHEN type IN ('LIVES_IN', 'BASED_IN') THEN 'LOCATED_IN' ELSE type END AS type FROM edges")
+def collapse(t: Tables) -> DataFrame:
+    kinds = t.spark.createDataFrame([("LIVES_IN", "LOCATED_IN"), ("BASED_IN", "LOCATED_IN")], "type string, above string")
+    return edges(t).join(F.broadcast(kinds), "type", "left").select("src", "dst", F.coalesce("above", "type").alias("type")).distinct()
+
+
+@query("rsn04_contradictions", "SELECT a.l_orderkey, a.l_linenumber AS x, b.l_linenumber AS y FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_suppkey = b.l_suppkey AND a.l_linenumber < b.l_linenumber AND a.l_returnflag <> b.l_returnflag ORDER BY 1, 2, 3 LIMIT 500")
+def contradictions(t: Tables) -> DataFrame:
+    a = t.lineitem.select("l_orderkey", "l_suppkey", F.col("l_linenumber").alias("x"), F.col("l_returnflag").alias("fx"))
+    b = t.lineitem.select("l_orderkey", "l_suppkey", F.col("l_linenumber").alias("y"), F.col("l_returnflag").alias("fy"))
+    return a.join(b, ["l_orderkey", "l_suppkey"]).where("x < y AND fx <> fy").select("l_orderkey", "x", "y").orderBy("l_orderkey", "x", "y").limit(500)
+
+
+@query("ont02_validation", f"WITH {_NODES}, {_EDGES}, shapes(type, a, b) AS (VALUES ('LIVES_IN', 'customer', 'nation'), ('BASED_IN', 'supplier', 'nation'), ('PART_OF', 'nation', 'region')) SELECT e.type, CASE WHEN x.ref IS NULL THEN 'domain' WHEN y.ref IS NULL THEN 'range' ELSE 'ok' END AS reason, count(*) AS n FROM edges e JOIN shapes s USING (type) LEFT JOIN nodes x ON x.ref = src AND x.label = s.a LEFT JOIN nodes y ON y.ref = dst AND y.label = s.b GROUP BY 1, 2")
+def validation(t: Tables) -> DataFrame:
+    shapes = t.spark.createDataFrame([("LIVES_IN", "customer", "nation"), ("BASED_IN", "supplier", "nation"), ("PART_OF", "nation", "region")], "type string, a string, b string")
+    known = nodes(t)
+    x = known.select(F.col("ref").alias("src"), F.col("label").alias("a"), F.lit(True).alias("x"))
+    y = known.select(F.col("ref").alias("dst"), F.col("label").alias("b"), F.lit(True).alias("y"))
+    checked = edges(t).join(F.broadcast(shapes), "type").join(x, ["src", "a"], "left").join(y, ["dst", "b"], "left")
+    return checked.groupBy("type", F.when(F.col("x").isNull(), "domain").when(F.col("y").isNull(), "range").otherwise("ok").alias("reason")).agg(F.count("*").alias("n"))
+
+
+@query("ont04_fingerprint", "SELECT p_brand, sha256(string_agg(line, chr(10) ORDER BY line)) AS fingerprint FROM (SELECT DISTINCT p_brand, p_type || ':' || p_size AS line FROM part) GROUP BY 1")
+def fingerprint(t: Tables) -> DataFrame:
+    lines = t.part.select("p_brand", F.concat_ws(":", "p_type", "p_size").alias("line"))
+    return lines.groupBy("p_brand").agg(F.sha2(F.array_join(F.array_sort(F.collect_set("line")), "\n"), 256).alias("fingerprint"))

@@ -1 +1,225 @@
-"""."""
+"""Vector and text retrieval, rank fusion, budgets and gates."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..registry import Tables, query
+from .filters import ranked
+
+_D = "CAST({} AS DOUBLE[])"
+
+
+def dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a.cast("array<double>"), b.cast("array<double>"), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+
+
+def cosine_distance(a: Column, b: Column, empty: float | None = None) -> Column:
+    """1 - cos of two vectors; ``empty`` (null unless given) where one has no length."""
+    norms = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
+    return F.when(norms == 0, F.lit(empty)).otherwise(1 - dot(a, b) / norms)
+
+
+def nearest(vectors: DataFrame, anchor: DataFrame, k: int, *conditions: Column) -> DataFrame:
+    """(vec_id, d): the k rows nearest to the one vector of ``anchor`` (q), after ``conditions``. An exact scan: each task keeps k rows."""
+    rows = vectors.where(F.col("embedding").isNotNull())
+    for c in conditions:
+        rows = rows.where(c)
+    scored = rows.crossJoin(F.broadcast(anchor)).select("vec_id", "label", (F.round(cosine_distance(F.col("embedding"), F.col("q")), 6) + 0.0).alias("d"))
+    return scored.orderBy("d", "vec_id").limit(k)
+
+
+def anchor(t: Tables, vec_id: int = 0) -> DataFrame:
+    return t.embeddings.where(F.col("vec_id") == vec_id).select(F.col("embedding").alias("q")).limit(1)
+
+
+_DIST = "round(1 - list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) / (sqrt(list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[]))) * sqrt(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])))), 6) + 0.0"
+_NEAR = f"FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q"
+
+
+@query("vec01_knn", f"SELECT vec_id, {_DIST} AS d {_NEAR} ORDER BY d, vec_id LIMIT 10")
+def knn(t: Tables) -> DataFrame:
+    return nearest(t.embeddings, anchor(t), 10).select("vec_id", "d")
+
+
+@query("vec02_filtered_knn", f"SELECT vec_id, {_DIST} AS d {_NEAR} WHERE label IN (1, 2) ORDER BY d, vec_id LIMIT 10")
+def filtered_knn(t: Tables) -> DataFrame:
+    return nearest(t.embeddings, anchor(t), 10, F.col("label").isin(1, 2)).select("vec_id", "d")
+
+
+@query("vec03_gated_knn", f"SELECT * FROM (SELECT vec_id, {_DIST} AS d {_NEAR} ORDER BY d, vec_id LIMIT 20) WHERE d <= 0.85")
+def gated_knn(t: Tables) -> DataFrame:
+    return nearest(t.embeddings, anchor(t), 20).where("d <= 0.85").select("vec_id", "d")
+
+
+@query("vec04_similar_items", f"SELECT vec_id, CAST(round_even(100 * (1 - {_DIST}), 0) AS INTEGER) AS similarity {_NEAR} WHERE vec_id <> 0 AND label <> (SELECT label FROM embeddings WHERE vec_id = 0) ORDER BY {_DIST}, vec_id LIMIT 8")
+def similar_items(t: Tables) -> DataFrame:
+    own = t.embeddings.where("vec_id = 0").select(F.col("embedding").alias("q"), F.col("label").alias("own")).limit(1)
+    rows = t.embeddings.crossJoin(F.broadcast(own)).where("vec_id <> 0 AND label <> own")
+    near = rows.select("vec_id", (F.round(cosine_distance(F.col("embedding"), F.col("q")), 6) + 0.0).alias("d")).orderBy("d", "vec_id").limit(8)
+    return near.select("vec_id", F.bround(100 * (1 - F.col("d")), 0).cast("int").alias("similarity"))
+
+
+@query("vec06_nearest_sibling", f"SELECT label, arg_min(vec_id, (d, vec_id)) FILTER (d <= 0.9) AS vec_id FROM (SELECT vec_id, label, {_DIST} AS d {_NEAR} WHERE vec_id <> 0) GROUP BY label")
+def nearest_sibling(t: Tables) -> DataFrame:
+    rows = t.embeddings.where("vec_id <> 0").crossJoin(F.broadcast(anchor(t))).select("vec_id", "label", (F.round(cosine_distance(F.col("embedding"), F.col("q")), 6) + 0.0).alias("d"))
+    return rows.groupBy("label").agg(F.min_by("vec_id", F.when(F.col("d") <= 0.9, F.struct("d", "vec_id"))).alias("vec_id"))
+
+
+@query("vec07_multi_query", f"SELECT q.vec_id AS query_id, e.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_DIST}, e.vec_id) AS place FROM embeddings e, embeddings q WHERE q.vec_id IN (0, 7, 11) QUALIFY place <= 5")
+def multi_query(t: Tables) -> DataFrame:
+    queries = t.embeddings.where("vec_id IN (0, 7, 11)").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    rows = t.embeddings.crossJoin(F.broadcast(queries)).select("query_id", "vec_id", (F.round(cosine_distance(F.col("embedding"), F.col("q")), 6) + 0.0).alias("d"))
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("d", "vec_id"))).where("place <= 5").select("query_id", "vec_id", "place")
+
+
+def stemmed(text: Column) -> Column:
+    """The words of a text, lower case, without a plural or verb ending: a light stemmer of three rules."""
+    words = F.regexp_extract_all(F.lower(text), F.lit(r"(\p{L}+)"))
+    return F.transform(words, lambda w: F.regexp_replace(w, "(ing|ed|s)$", ""))
+
+
+_STEM = "list_transform(regexp_extract_all(lower({}), '\\p{{L}}+'), lambda w: regexp_replace(w, '(ing|ed|s)$', ''))"
+
+
+@query("fts01_match", f"SELECT doc_id FROM documents WHERE list_has_all({_STEM.format('text')}, ['the', 'and', 'with'])")
+def text_match(t: Tables) -> DataFrame:
+    words = t.documents.select("doc_id", F.array_distinct(stemmed(F.col("text"))).alias("w"))
+    return words.where(F.array_contains("w", "the") & F.array_contains("w", "and") & F.array_contains("w", "with")).select("doc_id")
+
+
+_SCORE = f"WITH w AS (SELECT doc_id, {_STEM.format('text')} AS w FROM documents), s AS (SELECT doc_id, round(len(list_filter(w, lambda x: x IN ('the', 'with'))) / len(w), 6) AS score FROM w WHERE len(w) > 0)"
+
+
+def text_scores(t: Tables, *terms: str) -> DataFrame:
+    """(doc_id, score): the share of a text's words that the terms are."""
+    words = t.documents.select("doc_id", stemmed(F.col("text")).alias("w")).where(F.size("w") > 0)
+    return words.select("doc_id", F.round(F.size(F.filter("w", lambda x: x.isin(*terms))) / F.size("w"), 6).alias("score")).where("score > 0")
+
+
+@query("fts02_rank", _SCORE + " SELECT doc_id, score FROM s WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 20")
+def text_rank(t: Tables) -> DataFrame:
+    return text_scores(t, "the", "with").orderBy(F.desc("score"), "doc_id").limit(20)
+
+
+@query("fts03_fields", "SELECT doc_id, concat_ws(chr(10) || chr(10), lang, nullif(source, 'src0'), left(text, 50)) AS body FROM documents")
+def fields(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", F.concat_ws("\n\n", "lang", F.nullif("source", F.lit("src0")), F.left("text", F.lit(50))).alias("body"))
+
+
+def fuse(lists: DataFrame, k: int = 60) -> DataFrame:
+    """Reciprocal rank fusion of ``lists`` (list_id, pos from 0, item, bonus): sum of 1 / (k + pos + 1) + bonus; ties by first place, then item."""
+    return lists.groupBy("item").agg(F.round(F.sum(1 / (F.lit(k) + F.col("pos") + 1) + F.col("bonus")), 9).alias("score"), F.min(F.struct("list_id", "pos")).alias("first"))
+
+
+_FUSED = f"""{_SCORE}, v AS (SELECT 1 AS list_id, vec_id AS item, row_number() OVER (ORDER BY {_DIST}, vec_id) - 1 AS pos {_NEAR} QUALIFY pos < 30),
+x AS (SELECT 2 AS list_id, doc_id AS item, row_number() OVER (ORDER BY score DESC, doc_id) - 1 AS pos FROM s WHERE score > 0 QUALIFY pos < 30), a AS (SELECT * FROM v UNION ALL SELECT * FROM x)"""
+
+
+def both_lists(t: Tables) -> DataFrame:
+    by_vector = ranked(nearest(t.embeddings, anchor(t), 30), "r", F.asc("d"), F.asc("vec_id")).select(F.lit(1).alias("list_id"), F.col("vec_id").alias("item"), (F.col("r") - 1).alias("pos"))
+    by_text = ranked(text_scores(t, "the", "with").orderBy(F.desc("score"), "doc_id").limit(30), "r", F.desc("score"), F.asc("doc_id"))
+    return by_vector.unionByName(by_text.select(F.lit(2).alias("list_id"), F.col("doc_id").alias("item"), (F.col("r") - 1).alias("pos")))
+
+
+@query("rrf01_fusion", _FUSED + " SELECT item, round(sum(1 / (60 + pos + 1)), 9) AS score FROM a GROUP BY item ORDER BY score DESC, min(list_id * 1000 + pos), item LIMIT 15")
+def fusion(t: Tables) -> DataFrame:
+    return fuse(both_lists(t).withColumn("bonus", F.lit(0.0))).orderBy(F.desc("score"), "first", "item").limit(15).select("item", "score")
+
+
+@query("rrf02_source_bonus", _FUSED + " SELECT item, round(sum(1 / (60 + pos + 1) + CASE WHEN source LIKE '%1%' THEN 0.008 ELSE 0 END), 9) AS score FROM a LEFT JOIN documents ON doc_id = item GROUP BY item ORDER BY score DESC, min(list_id * 1000 + pos), item LIMIT 15")
+def source_bonus(t: Tables) -> DataFrame:
+    sources = t.documents.select(F.col("doc_id").alias("item"), "source")
+    lists = F.broadcast(both_lists(t)).join(sources, "item", "left").withColumn("bonus", F.when(F.contains("source", F.lit("1")), 0.008).otherwise(0.0))
+    return fuse(lists).orderBy(F.desc("score"), "first", "item").limit(15).select("item", "score")
+
+
+@query("rag01_hybrid", _FUSED + ", f AS (SELECT item, round(sum(1 / (60 + pos + 1)), 9) AS score, min(list_id * 1000 + pos) AS first FROM a GROUP BY item) SELECT doc_id, source, score, left(text, 60) AS snippet FROM f JOIN documents ON doc_id = item QUALIFY row_number() OVER (PARTITION BY source, lang ORDER BY score DESC, first, item) = 1 ORDER BY score DESC, first, item LIMIT 8")
+def hybrid(t: Tables) -> DataFrame:
+    """Vector and text lists fused, joined to their rows, one row for each source and language, best first."""
+    fused = fuse(both_lists(t).withColumn("bonus", F.lit(0.0)))
+    rows = F.broadcast(fused).join(t.documents, F.col("item") == F.col("doc_id"))
+    best = rows.withColumn("r", F.row_number().over(Window.partitionBy("source", "lang").orderBy(F.desc("score"), "first", "item"))).where("r = 1")
+    return best.orderBy(F.desc("score"), "first", "item").limit(8).select("doc_id", "source", "score", F.left("text", F.lit(60)).alias("snippet"))
+
+
+@query("rag06_mmr_budget")
+def mmr_budget(t: Tables) -> DataFrame:
+    """Maximal marginal relevance within each language over the 40 longest texts, then a cost budget. Greedy and sequential
+    by definition, so each (query, tier) group of at most 40 rows is ordered in one task."""
+    best = t.documents.select("doc_id", "lang", "n_chars", F.left("text", F.lit(400)).alias("text"))
+    best = best.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n_chars"), "doc_id"))).where("r <= 40")
+
+    def order(group: pd.DataFrame) -> pd.DataFrame:
+        left = [(r.doc_id, r.n_chars / max(1, group.n_chars.max()), {r.text[i : i + 3] for i in range(len(r.text) - 2)}) for r in group.sort_values("doc_id").itertuples()]
+        picked: list = []
+        while left:
+            near = lambda x: max((len(x[2] & p[2]) / max(1, len(x[2] | p[2])) for p in picked), default=0.0)
+            top = max(left, key=lambda x: (round(0.7 * x[1] - 0.3 * near(x), 9), -x[0]))
+            left.remove(top)
+            picked.append(top)
+        return pd.DataFrame({"lang": group.lang.iloc[0], "doc_id": [p[0] for p in picked], "place": range(1, len(picked) + 1)})
+
+    placed = best.groupBy("lang").applyInPandas(order, "lang string, doc_id long, place int").join(best.select("doc_id", "n_chars"), "doc_id")
+    used = F.sum(F.expr("(n_chars + 3) div 4")).over(Window.partitionBy("lang").orderBy("place"))
+    return placed.withColumn("used", used).where("used <= 12000 OR place = 1").select("lang", "doc_id", "place", "used")
+
+
+@query("rag07_trust_weight", "SELECT doc_id, greatest(0.05, least(1.0, (0.5 + 0.5 * quality) * (1 - 0.6 * toxic) * (CASE WHEN doc_id % 2 = 0 THEN 1.0 ELSE 0.8 END))) AS weight FROM labels")
+def trust_weight(t: Tables) -> DataFrame:
+    product = (0.5 + 0.5 * F.col("quality")) * (1 - 0.6 * F.col("toxic")) * F.when(F.col("doc_id") % 2 == 0, 1.0).otherwise(0.8)
+    return t.labels.select("doc_id", F.greatest(F.lit(0.05), F.least(F.lit(1.0), product)).alias("weight"))
+
+
+#: Half-lives in days by tier; null never decays. Fixed values.
+HALF_LIVES = {"purchase": None, "view": 1095, "click": 365, "login": 210, "error": 21}
+
+
+@query("rag08_decay", "WITH e AS (SELECT event_id, greatest(0, (epoch_us((SELECT max(ts) FROM events)) - epoch_us(ts)) / 864e8) AS days, CASE event_type WHEN 'view' THEN 1095 WHEN 'click' THEN 365 WHEN 'login' THEN 210 WHEN 'error' THEN 21 END AS half FROM events) SELECT event_id, round(CASE WHEN half IS NULL THEN 1.0 ELSE exp(-ln(2) / half * days) END, 9) AS decay FROM e")
+def decay(t: Tables) -> DataFrame:
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    rows = t.events.crossJoin(F.broadcast(t.events.agg(F.max("ts").alias("now"))))
+    days = F.greatest(F.lit(0.0), (micros("now") - micros("ts")) / 864e8)
+    half = F.lit(None).cast("double")
+    for kind, value in HALF_LIVES.items():
+        half = F.when(F.col("event_type") == kind, F.lit(value).cast("double")).otherwise(half)
+    return rows.select("event_id", F.round(F.when(half.isNull(), 1.0).otherwise(F.exp(-F.log(F.lit(2.0)) / half * days)), 9).alias("decay"))
+
+
+@query("rag09_trust_gate", "SELECT source, CASE WHEN bool_or(quality = 1 AND toxic = 0 AND lang = 'en') THEN 'official' WHEN max(quality * 0.3) >= 0.28 THEN 'community' ELSE 'none' END AS gate FROM labels JOIN documents USING (doc_id) GROUP BY source")
+def trust_gate(t: Tables) -> DataFrame:
+    rows = t.labels.join(t.documents.select("doc_id", "source", "lang"), "doc_id")
+    official = F.bool_or((F.col("quality") == 1) & (F.col("toxic") == 0) & (F.col("lang") == "en"))
+    return rows.groupBy("source").agg(F.when(official, "official").when(F.max(F.col("quality") * 0.3) >= 0.28, "community").otherwise("none").alias("gate"))
+
+
+@query("rag10_router", r"SELECT conv_id, turn, CASE WHEN regexp_matches(text, '\?') THEN 'question' WHEN length(text) < 60 THEN 'short' WHEN regexp_matches(lower(text), '(^|[^\pL])(the|la|der)([^\pL]|$)') THEN 'statement' ELSE 'other' END AS route FROM conversations")
+def router(t: Tables) -> DataFrame:
+    text = F.col("text")
+    route = F.when(text.rlike(r"\?"), "question").when(F.length(text) < 60, "short").when(F.lower(text).rlike(r"(^|[^\pL])(the|la|der)([^\pL]|$)"), "statement").otherwise("other")
+    return t.conversations.select("conv_id", "turn", route.alias("route"))
+
+
+@query("rag11_mode", "SELECT conv_id, CASE WHEN count(*) > 4 THEN 'graph' WHEN sum(length(text)) > 1500 THEN 'hybrid' ELSE 'text' END AS mode, max(length(text)) <= 4000 AS warm FROM conversations GROUP BY conv_id")
+def mode(t: Tables) -> DataFrame:
+    chosen = F.when(F.count("*") > 4, "graph").when(F.sum(F.length("text")) > 1500, "hybrid").otherwise("text")
+    return t.conversations.groupBy("conv_id").agg(chosen.alias("mode"), (F.max(F.length("text")) <= 4000).alias("warm"))
+
+
+@query("rag12_beta", "SELECT conv_id, turn, round(1 / (1 + exp(-(6 * d - 5 * a - 0.5))), 9) AS beta FROM (SELECT conv_id, turn, len(regexp_extract_all(text, '[A-Z]')) / greatest(1, length(text)) AS d, least(1.0, length(text) / 2000.0) AS a FROM conversations)")
+def beta(t: Tables) -> DataFrame:
+    density = F.regexp_count("text", F.lit("[A-Z]")) / F.greatest(F.lit(1), F.length("text"))
+    abstraction = F.least(F.lit(1.0), F.length("text") / 2000.0)
+    return t.conversations.select("conv_id", "turn", F.round(1 / (1 + F.exp(-(6 * density - 5 * abstraction - 0.5))), 9).alias("beta"))
+
+
+@query("rag14_longest_names", "WITH n AS (SELECT DISTINCT p_brand, p_type AS name FROM part WHERE p_size <= 3), k AS (SELECT * FROM n a WHERE NOT EXISTS (SELECT 1 FROM n b WHERE b.p_brand = a.p_brand AND contains(b.name, a.name) AND length(b.name) > length(a.name))) SELECT p_brand, name FROM k QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY length(name) DESC, name) <= 2")
+def longest_names(t: Tables) -> DataFrame:
+    names = t.part.where("p_size <= 3").select("p_brand", F.col("p_type").alias("name")).distinct()
+    longer = names.select("p_brand", F.col("name").alias("other"))
+    kept = names.join(longer, (names["p_brand"] == longer["p_brand"]) & F.contains("other", "name") & (F.length("other") > F.length("name")), "left_anti")
+    return kept.withColumn("r", F.row_number().over(Window.partitionBy("p_brand").orderBy(F.desc(F.length("name")), "name"))).where("r <= 2").select("p_brand", "name")
