@@ -13,7 +13,7 @@ from .sources import readers  # noqa: F401
 from .streaming import streams  # noqa: F401
 
 Query = Callable[[SparkSession, str], DataFrame]
-FLAGSHIP: Query = registry.QUERIES["topk04_grouped_counts"]
+FLAGSHIP: Query = registry.QUERIES["rag01_hybrid"]
 
 
 def queries() -> dict[str, Query]:

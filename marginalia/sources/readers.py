@@ -1 +1,67 @@
-"""."""
+"""Sources: anchors and feeds in pages, page scans of JSON, settings, embedded JSON in text, printed words to lines."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from ..registry import Tables, query
+
+
+def read_json_pages(spark: SparkSession, folder: str, schema: StructType | str) -> DataFrame:
+    """All pages of a JSON listing that were stored in ``folder``; rows that don't fit the schema become nulls."""
+    return spark.read.schema(schema).option("mode", "PERMISSIVE").json(folder)
+
+
+def setting(stored: Column, environment: str | None, default: str) -> Column:
+    """A setting: the stored value over that of the environment over the default."""
+    return F.coalesce(stored, F.lit(environment), F.lit(default))
+
+
+def anchors(pages: DataFrame) -> DataFrame:
+    """(page_id, pos, href, title) of the links of each page."""
+    tags = F.regexp_extract_all("html", F.lit(r"(?is)(<a\s[^>]*>.*?</a>)"))
+    rows = pages.select("page_id", F.posexplode(tags).alias("pos", "tag"))
+    title = F.trim(F.regexp_replace(F.regexp_replace("tag", r"(?s)<[^>]+>", " "), r"\s+", " "))
+    return rows.select("page_id", "pos", F.regexp_extract("tag", r"""(?i)href\s*=\s*["']?([^"'\s>]+)""", 1).alias("href"), title.alias("title"))
+
+
+def page_lines(words: DataFrame, height: float = 3.0) -> DataFrame:
+    """(page, line, text) of printed ``words`` (page, x, y, text): words of about one height are a line, left to right, top to bottom."""
+    line = F.bround(F.col("y") / height, 0)
+    return words.groupBy("page", line.alias("line")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x", "text"))), lambda w: w["text"]), " ").alias("text"))
+
+
+_TAGS = r"(SELECT page_id, unnest(regexp_extract_all(html, '<a\s[^>]*>.*?</a>', 0, 'is')) AS tag FROM pages)"
+_HREF = r"""regexp_extract(tag, 'href\s*=\s*["'']?([^"''\s>]+)', 1, 'i')"""
+
+
+@query("src07_anchors", f"SELECT page_id, {_HREF} AS href FROM {_TAGS}")
+def page_anchors(t: Tables) -> DataFrame:
+    return anchors(t.pages).select("page_id", "href")
+
+
+@query("src06_first_link", f"SELECT page_id, count(*) AS links, min({_HREF}) AS least_href FROM {_TAGS} GROUP BY page_id")
+def first_link(t: Tables) -> DataFrame:
+    return anchors(t.pages).groupBy("page_id").agg(F.count("*").alias("links"), F.min("href").alias("least_href"))
+
+
+@query("src08_titles", "SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_extract(url, '^https?://[^/]+/([^/?#]+)', 1) AS category FROM pages")
+def titles(t: Tables) -> DataFrame:
+    return t.pages.select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.regexp_extract("url", "^https?://[^/]+/([^/?#]+)", 1).alias("category"))
+
+
+@query("src12_json_rows", "SELECT event_id, event_type AS kind, json_extract_string(props, '$.k') AS k FROM events")
+def json_rows(t: Tables) -> DataFrame:
+    return t.events.select("event_id", F.col("event_type").alias("kind"), F.get_json_object("props", "$.k").alias("k"))
+
+
+@query("src15_settings", "SELECT c_custkey, coalesce(CASE WHEN c_acctbal > 0 THEN c_mktsegment END, 'DEFAULT') AS segment FROM customer")
+def settings(t: Tables) -> DataFrame:
+    return t.customer.select("c_custkey", setting(F.when(F.col("c_acctbal") > 0, F.col("c_mktsegment")), None, "DEFAULT").alias("segment"))
+
+
+@query("src05_page_lines", "SELECT l_orderkey AS page, round_even(l_quantity / 3, 0) AS line, string_agg(l_returnflag, ' ' ORDER BY l_linenumber, l_returnflag) AS text FROM lineitem GROUP BY 1, 2")
+def printed_lines(t: Tables) -> DataFrame:
+    return page_lines(t.lineitem.select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("x"), F.col("l_quantity").alias("y"), F.col("l_returnflag").alias("text")))

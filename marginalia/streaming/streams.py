@@ -1 +1,87 @@
-"""."""
+"""Streaming: windows over event time, sessions, deduplication and per-key state. The same functions take static frames."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from ..registry import Tables, query
+
+
+def event_stream(spark: SparkSession, folder: str, schema, late: str = "1 hour", files: int = 1) -> DataFrame:
+    """Events of a folder of Parquet files as a stream with a watermark on ``ts``."""
+    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(folder)
+    return rows.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+
+
+def tumbling_counts(events: DataFrame, size: str = "5 minutes") -> DataFrame:
+    """(start, user_id, n): events of each user in each window."""
+    counted = events.groupBy(F.window("ts", size), "user_id").agg(F.count("*").alias("n"))
+    return counted.select(F.col("window.start").alias("start"), "user_id", "n")
+
+
+def sliding_totals(events: DataFrame, size: str = "7 days", step: str = "1 day") -> DataFrame:
+    """(start, event_type, total): rolling sums of value."""
+    summed = events.groupBy(F.window("ts", size, step), "event_type").agg(F.sum("value").alias("total"))
+    return summed.select(F.col("window.start").alias("start"), "event_type", "total")
+
+
+def sessions(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
+    """(user_id, start, n): runs of events of a user without a longer gap."""
+    found = events.groupBy(F.session_window("ts", gap).alias("s"), "user_id").agg(F.count("*").alias("n"))
+    return found.select("user_id", F.col("s.start").alias("start"), "n")
+
+
+def unseen(events: DataFrame, *keys: str) -> DataFrame:
+    """Events whose keys were not seen within the watermark (a stream) or before (a frame)."""
+    return events.dropDuplicatesWithinWatermark(list(keys)) if events.isStreaming else events.dropDuplicates(list(keys))
+
+
+def changed_values(events: DataFrame) -> DataFrame:
+    """(user_id, seen, changes): for each user of a stream how many events came and how often the type changed, kept as state."""
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        seen, changes, last = state.get if state.exists else (0, 0, None)
+        for frame in frames:
+            for kind in frame.sort_values(["ts", "event_id"]).event_type:
+                seen, changes, last = seen + 1, changes + (last is not None and kind != last), kind
+        state.update((seen, changes, last))
+        yield pd.DataFrame({"user_id": [key[0]], "seen": [seen], "changes": [changes]})
+
+    rows = events.select("user_id", "event_id", "ts", "event_type").groupBy("user_id")
+    return rows.applyInPandasWithState(step, "user_id long, seen long, changes long", "seen long, changes long, last string", "update", GroupStateTimeout.NoTimeout)
+
+
+def in_night(at, zone: str, first: int, last: int):
+    """Whether a moment falls in the nightly hours of a time zone; the hours may pass midnight."""
+    hour = F.hour(F.from_utc_timestamp(at, zone))
+    return (hour >= first) & (hour < last) if first <= last else (hour >= first) | (hour < last)
+
+
+@query("str01_tumbling", "SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS start, user_id, count(*) AS n FROM events GROUP BY 1, 2")
+def tumbling(t: Tables) -> DataFrame:
+    return tumbling_counts(t.events)
+
+
+@query("str02_sliding", "SELECT d AS start, event_type, sum(value) AS total FROM events, unnest(generate_series(date_trunc('day', ts) - INTERVAL 6 DAY, date_trunc('day', ts), INTERVAL 1 DAY)) AS u(d) GROUP BY 1, 2")
+def sliding(t: Tables) -> DataFrame:
+    return sliding_totals(t.events)
+
+
+@query("str03_sessions", "WITH a AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS c FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), b AS (SELECT *, sum(c) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM a) SELECT user_id, min(ts) AS start, count(*) AS n FROM b GROUP BY user_id, s")
+def session_counts(t: Tables) -> DataFrame:
+    return sessions(t.events)
+
+
+@query("str05_dedupe", "SELECT DISTINCT user_id, event_type FROM events")
+def dedupe(t: Tables) -> DataFrame:
+    return unseen(t.events.select("user_id", "event_type"), "user_id", "event_type")
+
+
+@query("str06_night", "SELECT event_id, hour(timezone('Europe/Berlin', timezone('UTC', ts))) >= 23 OR hour(timezone('Europe/Berlin', timezone('UTC', ts))) < 5 AS night FROM events")
+def night(t: Tables) -> DataFrame:
+    return t.events.select("event_id", in_night(F.col("ts").cast("timestamp"), "Europe/Berlin", 23, 5).alias("night"))
