@@ -19,50 +19,90 @@ def connected_components(edges: DataFrame, kind: str = "long") -> DataFrame:
     """
     a, b = F.col("a").cast(kind), F.col("b").cast(kind)
     stars = common.materialize(edges.where("a <> b").select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct(), "edges")
-    before = None
-    while True:
+    while not _all_stars(stars):
         both = stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         # Large star: larger neighbours of a node go to the least of its neighbourhood.
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         # Small star: a node and its smaller neighbours go to the least of them.
         smallest = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(smallest, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(smallest.select("a", F.col("m").alias("b")))
         stars = common.materialize(small.where("a <> b").distinct(), "stars")
-        now = stars.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
-    # Written down already: what follows only reads the last stars.
     return stars.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(stars.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 
-def bucket_components(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def _all_stars(edges: DataFrame) -> bool:
+    """Whether each node (a) has one smaller neighbour (b), which has none."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("to")), F.struct(F.col("b").alias("node"), F.lit(None).cast(edges.schema["b"].dataType).alias("to")))).alias("e"))
+    seen = ends.select("e.node", "e.to").groupBy("node").agg(F.min("to").alias("x"), F.max("to").alias("y"), F.count_if(F.col("to").isNull()).alias("centre"))
+    return seen.where("x <> y OR (x IS NOT NULL AND centre > 0)").isEmpty()
+
+
+#: Groups that the elements of a set are counted in for the bound on the difference of two sets.
+GROUPS = 64
+
+
+def profiles(elements: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``sizes`` (node, size) with ``lone``, how many elements (node, element) of a node no other node has, and ``profile``,
+    how many of its other elements fall in each group of elements."""
+
+    def counted(rows: DataFrame, name: str) -> DataFrame:
+        group = F.pmod(F.shiftright("element", 7), F.lit(GROUPS))
+        each = rows.select("node", group.alias("g")).groupBy("node").agg(*(F.count_if(F.col("g") == j).alias(f"{name}{j}") for j in range(GROUPS)))
+        return each.select("node", F.array(*(F.col(f"{name}{j}").cast("int") for j in range(GROUPS))).alias(name))
+
+    single = elements.groupBy("element").agg(F.min("node").alias("node"), F.max("node").alias("other")).where("node = other").select("node", "element")
+    both = sizes.join(counted(elements, "every"), "node").join(counted(single, "alone"), "node", "left")
+    alone = F.coalesce("alone", F.array_repeat(F.lit(0), GROUPS))
+    lone = F.aggregate(alone, F.lit(0), lambda s, x: s + x)
+    return both.select("node", "size", lone.alias("lone"), F.zip_with("every", alone, lambda x, y: x - y).alias("profile"))
+
+
+def bucket_components(buckets: DataFrame, sizes: DataFrame, common_of: Callable[[DataFrame], DataFrame], num: int, den: int) -> DataFrame:
     """(node, component) of the nodes that linked pairs within buckets lead to, without listing all pairs of a bucket.
 
-    ``buckets`` (signature, node) holds the nodes that share a signature with others; ``verify`` takes pairs (a, b) and
-    returns those that link. Every node is compared with the first one of its bucket; what is then in one component
-    needs no further comparison. Buckets that still hold several components take a growing number of further pivots a
-    round, each compared only with nodes of other components: in the end any two nodes of a bucket are in one component
-    or were compared.
+    ``buckets`` (signature, node) holds the nodes that share a signature with others, ``sizes`` (node, size, lone, profile) their
+    sets; ``common_of`` adds to pairs (a, b, sa, sb) how many elements are common. A pair links when the common elements
+    are num / den of all. Every node is compared with the first one of its bucket; what is then in one component needs
+    no further comparison. Buckets that still hold several components take a growing number of further pivots a round,
+    each compared with nodes of other components.
+
+    Two sets that link differ in (sa + sb) * (den - num) / (den + num) elements at most. Elements that no other set has
+    always differ, and of the others at least as many as their counts by group differ: pairs beyond that are settled
+    without a comparison. In the end any two nodes of a bucket are in one component, were compared, or can't link.
     """
-    spark = buckets.sparkSession
     by = Window.partitionBy("signature")
-    links = tested = spark.createDataFrame([], "a long, b long")
-    first = buckets.withColumn("pivot", F.min("node").over(by))
-    pairs, rest, width = first.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), buckets, 1
+
+    def plausible(x: str, y: str, apart=F.lit(0)):
+        sx, sy = F.col(f"size{x}"), F.col(f"size{y}")
+        return ((den + num) * (F.col(f"lone{x}") + F.col(f"lone{y}") + apart) <= (den - num) * (sx + sy)) & (den * F.least(sx, sy) >= num * F.greatest(sx, sy))
+
+    apart = F.aggregate(F.zip_with("profile", "profile1", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
+
+    def pair(x: str, y: str) -> list:
+        low = F.col(f"node{x}") < F.col(f"node{y}")
+        return [F.when(low, F.col(f"{n}{p}")).otherwise(F.col(f"{n}{q}")).alias(as_) for n, as_, p, q in (("node", "a", x, y), ("node", "b", y, x), ("size", "sa", x, y), ("size", "sb", y, x))]
+
+    rows = buckets.join(sizes.where(num * F.col("lone") <= (den - num) * F.col("size")), "node")
+    first = F.min(F.struct("lone", "node", "size")).over(by)
+    rows = rows.withColumn("first", first).select("signature", "node", "size", "lone", "profile", F.col("first.node").alias("node1"), F.col("first.size").alias("size1"), F.col("first.lone").alias("lone1"))
+    rows = common.materialize(rows, "rows")
+    pairs = rows.where(F.col("node") != F.col("node1")).where(plausible("", "1")).select(*pair("", "1")).distinct()
+    known = common.materialize(common_of(pairs), "known")
+    linked = F.col("common") * den >= num * (F.col("sa") + F.col("sb") - F.col("common"))
+    links, tested, width = known.where(linked).select("a", "b"), known.select("a", "b"), 1
+    components, more = connected_components(links), False
+    named = rows.drop("node1", "size1", "lone1").join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
     while True:
-        pairs = common.materialize(pairs, "pairs")
-        links = common.materialize(links.unionByName(verify(pairs)), "links")
-        tested = tested.unionByName(pairs)
-        components = connected_components(links)
-        named = rest.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        open_ = named.withColumn("x", F.min("component").over(by)).withColumn("y", F.max("component").over(by)).where("x <> y")
-        ranked = common.materialize(open_.withColumn("place", F.row_number().over(by.orderBy("node"))).select("signature", "node", "component", "place"), "open")
+        open_ = named.withColumn("x", F.min("component").over(by)).withColumn("y", F.max("component").over(by)).where("x <> y").drop("x", "y")
+        ranked = common.materialize(open_.withColumn("place", F.row_number().over(by.orderBy("lone", "node"))), "open")
         if ranked.isEmpty():
-            return components
-        width *= 4
-        pivots = ranked.where(F.col("place") <= width).select("signature", F.col("node").alias("pivot"), F.col("component").alias("other"))
-        pairs = ranked.join(pivots, "signature").where("other <> component").select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b"))
-        pairs = pairs.distinct().join(tested, ["a", "b"], "left_anti")
-        rest = ranked.where(F.col("place") > width).select("signature", "node")
+            break
+        width *= 256
+        pivots = ranked.where(F.col("place") <= width).select("signature", *(F.col(c).alias(f"{c}1") for c in ("node", "size", "lone", "profile", "component")))
+        met = ranked.join(pivots, "signature").where((F.col("component") != F.col("component1")) & plausible("", "1") & plausible("", "1", apart))
+        pairs = met.select(*pair("", "1"))
+        known = common.materialize(common_of(pairs.distinct().join(tested, ["a", "b"], "left_anti")), "known")
+        links, tested, more = links.unionByName(known.where(linked).select("a", "b")), tested.unionByName(known.select("a", "b")), True
+        named = ranked.where(F.col("place") > width).drop("place")
+    return connected_components(links) if more else components

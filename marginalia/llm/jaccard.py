@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
-from .components import bucket_components
+from .components import bucket_components, profiles
 
 #: ASCII white space; every other byte belongs to a word.
 _WORD = np.ones(256, bool)
@@ -141,21 +141,23 @@ def _sets(n: int):
     return run
 
 
-def _verified(num: int, den: int):
-    """The pairs whose sets are similar enough: den * intersection >= num * union."""
+def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sets as single elements."""
+    for batch in common.blocks(batches, "prints"):
+        prints, offsets = common.as_bytes(batch.column("prints"))
+        ids = np.repeat(batch.column("_id").to_numpy(zero_copy_only=False), np.diff(offsets) // 8)
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.frombuffer(prints.tobytes(), np.int64))], ["node", "element"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("pa"), batch.column("pb")):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = np.concatenate((x, y))
-                both.sort(kind="stable")
-                common_ = int((both[1:] == both[:-1]).sum())
-                keep.append(den * common_ >= num * (len(both) - common_))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return run
+def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many elements the sets of each pair have in common."""
+    for batch in batches:
+        counts = []
+        for x, y in zip(batch.column("pa"), batch.column("pb")):
+            both = np.concatenate((np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)))
+            both.sort(kind="stable")
+            counts.append(int((both[1:] == both[:-1]).sum()))
+        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in ("a", "b", "sa", "sb")), pa.array(counts, pa.int32())], ["a", "b", "sa", "sb", "common"])
 
 
 def similar_sets(texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
@@ -167,14 +169,14 @@ def similar_sets(texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
     # The sets of those that share a signature with anything.
     wanted = shared.select(F.col("node").alias("_id")).distinct()
     sets = common.materialize(texts.join(common.maybe_broadcast(wanted, 1_000_000), "_id", "left_semi").mapInArrow(_sets(n), "_id long, prints binary").distinct(), "sets")
-    a, b = sets.select(F.col("_id").alias("a"), F.col("prints").alias("pa")), sets.select(F.col("_id").alias("b"), F.col("prints").alias("pb"))
+    sets = sets.withColumn("size", F.length("prints") / 8).withColumn("size", F.col("size").cast("int"))
+    sizes = profiles(sets.mapInArrow(_elements, "node long, element long"), sets.select(F.col("_id").alias("node"), "size"))
+    a, b = (sets.select(F.col("_id").alias(x), F.col("size").alias(f"s{x}"), F.col("prints").alias(f"p{x}")) for x in "ab")
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        # Sizes alone rule out some pairs before the sets are put side by side.
-        both = pairs.join(a, "a").join(b, "b").where(F.least(F.length("pa"), F.length("pb")) * den >= F.greatest(F.length("pa"), F.length("pb")) * num)
-        return both.mapInArrow(_verified(num, den), "a long, b long")
+    def common_of(pairs: DataFrame) -> DataFrame:
+        return pairs.join(a, ["a", "sa"]).join(b, ["b", "sb"]).select("a", "b", "sa", "sb", "pa", "pb").mapInArrow(_common, "a long, b long, sa int, sb int, common int")
 
-    return bucket_components(shared, verify)
+    return bucket_components(shared, common.materialize(sizes, "sizes"), common_of, num, den)
 
 
 def join(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, text: str = "text", key: str = "doc_id") -> DataFrame:
