@@ -151,3 +151,45 @@ def promotion(t: Tables) -> DataFrame:
 @query("txt12_support_tokens", "SELECT doc_id, len(list_filter(list_distinct(string_split(lower(text), ' ')), lambda w: length(w) >= 4)) AS support FROM documents")
 def support_tokens(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.size(F.filter(F.array_distinct(F.split(F.lower("text"), " ")), lambda w: F.length(w) >= 4)).cast("long").alias("support"))
+
+
+@query("snk03_replace_partition", "SELECT doc_id, lang, 'old' AS origin FROM documents WHERE lang <> 'fr' UNION ALL SELECT doc_id + 1000000, lang, 'new' FROM documents WHERE lang = 'fr' AND n_chars > 100")
+def replace_partition(t: Tables) -> DataFrame:
+    """One partition is replaced as a whole, the others stay: the frame that a dynamic partition overwrite leaves."""
+    new = t.documents.where("lang = 'fr' AND n_chars > 100").select((F.col("doc_id") + 1_000_000).alias("doc_id"), "lang", F.lit("new").alias("origin"))
+    return t.documents.where("lang <> 'fr'").select("doc_id", "lang", F.lit("old").alias("origin")).unionByName(new)
+
+
+@query("cdc02_flip_flop", "SELECT doc_id, row_number() OVER (PARTITION BY lang, md5(left(text, 30)) ORDER BY doc_id) > 1 AND md5(left(text, 30)) IS DISTINCT FROM lag(md5(left(text, 30))) OVER (PARTITION BY lang ORDER BY doc_id) AS flip FROM documents")
+def flip_flop(t: Tables) -> DataFrame:
+    """A content that was seen before, though not just before."""
+    h = t.documents.select("doc_id", "lang", F.md5(F.left("text", F.lit(30))).alias("h"))
+    seen = F.row_number().over(Window.partitionBy("lang", "h").orderBy("doc_id")) > 1
+    before = F.lag("h").over(Window.partitionBy("lang").orderBy("doc_id"))
+    return h.select("doc_id", (seen & ~F.col("h").eqNullSafe(before)).alias("flip"))
+
+
+@query("cdc07_invalidation", "SELECT DISTINCT b.l_partkey AS dependent FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey WHERE a.l_partkey = 1 AND b.l_partkey <> 1")
+def invalidation(t: Tables) -> DataFrame:
+    hit = t.lineitem.where("l_partkey = 1").select("l_orderkey")
+    return t.lineitem.where("l_partkey <> 1").join(hit, "l_orderkey", "left_semi").select(F.col("l_partkey").alias("dependent")).distinct()
+
+
+@query("txt11_grounded_quote", r"SELECT b.item_id, count(DISTINCT d.doc_id) AS texts FROM benchmark b JOIN documents d ON contains(regexp_replace(lower(d.text), '\s+', ' ', 'g'), left(regexp_replace(lower(b.text), '\s+', ' ', 'g'), 60)) GROUP BY b.item_id")
+def grounded_quote(t: Tables) -> DataFrame:
+    """Texts that hold the first 60 characters of a quote, after folding case and blanks. A quote's first two whole words
+    make the equi key, so only texts that have them next to each other are searched."""
+    folded = lambda c: F.regexp_replace(F.lower(c), r"\s+", " ")
+    quotes = t.benchmark.select("item_id", F.left(folded("text"), F.lit(60)).alias("quote"))
+    quotes = quotes.withColumn("key", F.concat_ws(" ", F.split_part("quote", F.lit(" "), F.lit(2)), F.split_part("quote", F.lit(" "), F.lit(3))))
+    texts = t.documents.select("doc_id", folded("text").alias("low")).withColumn("w", F.split("low", " "))
+    pairs = F.array_distinct(F.zip_with("w", F.slice("w", 2, F.greatest(F.lit(1), F.size("w"))), lambda x, y: F.concat_ws(" ", x, y)))
+    found = texts.select("doc_id", F.explode(pairs).alias("key")).join(F.broadcast(quotes), "key").select("doc_id", "item_id", "quote")
+    return found.join(t.documents.select("doc_id", folded("text").alias("low")), "doc_id").where(F.contains("low", "quote")).groupBy("item_id").agg(F.countDistinct("doc_id").alias("texts"))
+
+
+@query("txt05_keywords", r"SELECT doc_id, list_sort(list_distinct(list_filter(list_transform(regexp_extract_all(text, '\b[A-Z][a-z]+ ?[0-9]*'), lambda x: trim(regexp_replace(x, '[0-9]+', ''))), lambda x: length(x) BETWEEN 8 AND 20))) AS terms FROM documents")
+def keywords(t: Tables) -> DataFrame:
+    raw = F.regexp_extract_all("text", F.lit(r"((?<![A-Za-z0-9_])[A-Z][a-z]+ ?[0-9]*)"))
+    bare = F.filter(F.transform(raw, lambda x: F.trim(F.regexp_replace(x, "[0-9]+", ""))), lambda x: F.length(x).between(8, 20))
+    return t.documents.select("doc_id", F.array_sort(F.array_distinct(bare)).alias("terms"))

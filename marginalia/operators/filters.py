@@ -277,3 +277,15 @@ def covered_by(t: Tables) -> DataFrame:
 def overlaps(t: Tables) -> DataFrame:
     wanted = F.array(*map(F.lit, ("brass", "steel", "large", "small")))
     return t.part.where(F.arrays_overlap(F.split(F.lower("p_type"), " "), wanted)).select("p_partkey")
+
+
+@query("flt06_reversed_containment", "SELECT doc_id, count(*) AS n FROM documents, (SELECT DISTINCT lower(r_name) AS name FROM region UNION SELECT DISTINCT lower(n_name) FROM nation) WHERE length(name) >= 4 AND contains(lower(text), name) GROUP BY doc_id")
+def reversed_containment(t: Tables) -> DataFrame:
+    """Texts that contain names of a small fixed list: the list is broadcast, each text is read once."""
+    names = t.region.select(F.lower("r_name").alias("name")).unionByName(t.nation.select(F.lower("n_name").alias("name"))).distinct().where(F.length("name") >= 4)
+    return t.documents.select("doc_id", F.lower("text").alias("low")).join(F.broadcast(names), F.contains("low", "name")).groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+@query("topk02_recent_window", "SELECT o_orderkey FROM orders ORDER BY coalesce(o_orderdate, TIMESTAMP '1990-01-01') DESC, o_orderkey LIMIT 500")
+def recent_window(t: Tables) -> DataFrame:
+    return t.orders.orderBy(F.desc(F.coalesce("o_orderdate", F.lit("1990-01-01").cast("timestamp_ntz"))), "o_orderkey").limit(500).select("o_orderkey")

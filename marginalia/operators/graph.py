@@ -174,3 +174,22 @@ def validation(t: Tables) -> DataFrame:
 def fingerprint(t: Tables) -> DataFrame:
     lines = t.part.select("p_brand", F.concat_ws(":", "p_type", "p_size").alias("line"))
     return lines.groupBy("p_brand").agg(F.sha2(F.array_join(F.array_sort(F.collect_set("line")), "\n"), 256).alias("fingerprint"))
+
+
+@query("grf13_citations", f"WITH {_EDGES} SELECT start, ref, row_number() OVER (PARTITION BY start ORDER BY place, ref) AS number FROM (SELECT start, ref, min(place) AS place FROM (SELECT a.src AS start, unnest([a.src, a.dst, b.dst]) AS ref, unnest([1, 2, 3]) AS place FROM edges a JOIN edges b ON a.dst = b.src WHERE a.type = 'BASED_IN') GROUP BY 1, 2)")
+def citations(t: Tables) -> DataFrame:
+    """The nodes along the paths from each start, numbered at their first place."""
+    e = edges(t)
+    b = e.select(F.col("src").alias("dst"), F.col("dst").alias("end"))
+    hops = e.where("type = 'BASED_IN'").join(b, "dst").select(F.col("src").alias("start"), F.posexplode(F.array("src", "dst", "end")).alias("place", "ref"))
+    first = hops.groupBy("start", "ref").agg(F.min("place").alias("place"))
+    return first.select("start", "ref", F.row_number().over(Window.partitionBy("start").orderBy("place", "ref")).alias("number"))
+
+
+@query("rsn05_recompute", f"WITH {_EDGES}, d AS (SELECT DISTINCT a.src, b.dst FROM edges a JOIN edges b ON a.dst = b.src) SELECT src, dst, EXISTS (SELECT 1 FROM customer WHERE 'c' || c_custkey = src AND c_acctbal < 0) AS known FROM d")
+def recompute(t: Tables) -> DataFrame:
+    """Derived edges anew, with what was known of them before."""
+    e = edges(t)
+    derived = e.join(e.select(F.col("src").alias("dst"), F.col("dst").alias("end")), "dst").select("src", F.col("end").alias("dst")).distinct()
+    old = t.customer.where("c_acctbal < 0").select(_ref("c", "c_custkey").alias("src"), F.lit(True).alias("k")).distinct()
+    return derived.join(old, "src", "left").select("src", "dst", F.coalesce("k", F.lit(False)).alias("known"))

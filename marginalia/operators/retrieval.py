@@ -223,3 +223,36 @@ def longest_names(t: Tables) -> DataFrame:
     longer = names.select("p_brand", F.col("name").alias("other"))
     kept = names.join(longer, (names["p_brand"] == longer["p_brand"]) & F.contains("other", "name") & (F.length("other") > F.length("name")), "left_anti")
     return kept.withColumn("r", F.row_number().over(Window.partitionBy("p_brand").orderBy(F.desc(F.length("name")), "name"))).where("r <= 2").select("p_brand", "name")
+
+
+_LAYER = "l{0} AS (SELECT '{1}' AS layer, doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS pos FROM s JOIN documents USING (doc_id) WHERE score > 0 AND lang = '{1}' QUALIFY pos <= 5)"
+
+
+@query("rag02_layers", f"{_SCORE}, {_LAYER.format(1, 'en')}, {_LAYER.format(2, 'de')} SELECT layer, doc_id, round_even(1 / (60.0 + pos), 4) AS score FROM (SELECT * FROM l1 UNION ALL SELECT * FROM l2)")
+def layers(t: Tables) -> DataFrame:
+    """The best five of each layer, with the fused score of their place."""
+    scored = text_scores(t, "the", "with").join(t.documents.select("doc_id", F.col("lang").alias("layer")), "doc_id").where(F.col("layer").isin("en", "de"))
+    placed = scored.withColumn("pos", F.row_number().over(Window.partitionBy("layer").orderBy(F.desc("score"), "doc_id"))).where("pos <= 5")
+    return placed.select("layer", "doc_id", F.bround(1 / (60.0 + F.col("pos")), 4).alias("score"))
+
+
+@query("rag03_backfill", "WITH c AS (SELECT conv_id, turn, CAST(unnest(regexp_extract_all(text, '[A-Z][a-z]{3,}')) AS VARCHAR) AS code FROM conversations), d AS (SELECT doc_id, split_part(text, ' ', 1) AS code FROM documents) SELECT conv_id, c.code, min(doc_id) AS doc_id FROM c JOIN d ON d.code = c.code GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY c.code) <= 6")
+def backfill(t: Tables) -> DataFrame:
+    """Codes that a conversation names, resolved to the first text that begins with them; six for each at most."""
+    said = t.conversations.select("conv_id", F.explode(F.regexp_extract_all("text", F.lit("([A-Z][a-z]{3,})"))).alias("code")).distinct()
+    heads = t.documents.groupBy(F.split_part("text", F.lit(" "), F.lit(1)).alias("code")).agg(F.min("doc_id").alias("doc_id"))
+    met = said.join(heads, "code")
+    return met.withColumn("r", F.row_number().over(Window.partitionBy("conv_id").orderBy("code"))).where("r <= 6").select("conv_id", "code", "doc_id")
+
+
+@query("rag05_context_merge", "WITH a AS (SELECT 1 AS channel, p_partkey AS id FROM part WHERE p_size = 7 UNION ALL SELECT 2, p_partkey FROM part WHERE p_name LIKE '%a%' AND p_size < 4 UNION ALL SELECT 3, l_partkey FROM lineitem WHERE l_quantity = 50 AND l_tax = 0) SELECT id, min(channel) AS channel FROM a GROUP BY id ORDER BY channel, id LIMIT 40")
+def context_merge(t: Tables) -> DataFrame:
+    channels = [t.part.where("p_size = 7").select(F.lit(1).alias("channel"), F.col("p_partkey").alias("id")), t.part.where("p_name LIKE '%a%' AND p_size < 4").select(F.lit(2).alias("channel"), F.col("p_partkey").alias("id")), t.lineitem.where("l_quantity = 50 AND l_tax = 0").select(F.lit(3).alias("channel"), F.col("l_partkey").alias("id"))]
+    both = channels[0].unionByName(channels[1]).unionByName(channels[2])
+    return both.groupBy("id").agg(F.min("channel").alias("channel")).orderBy("channel", "id").limit(40)
+
+
+@query("rag13_agentic_gate", r"SELECT conv_id, count(*) AS turns, max(len(list_distinct(regexp_extract_all(text, '[A-Z][a-z]{5,}')))) >= 3 AND count(*) > 2 AS agentic FROM conversations GROUP BY conv_id")
+def agentic_gate(t: Tables) -> DataFrame:
+    mentions = F.size(F.array_distinct(F.regexp_extract_all("text", F.lit("([A-Z][a-z]{5,})"))))
+    return t.conversations.groupBy("conv_id").agg(F.count("*").alias("turns"), ((F.max(mentions) >= 3) & (F.count("*") > 2)).alias("agentic"))

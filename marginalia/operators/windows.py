@@ -93,3 +93,20 @@ def seen_before(t: Tables) -> DataFrame:
 @query("topk05_per_group", "SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) <= 3")
 def per_group(t: Tables) -> DataFrame:
     return first_by(t.orders, ["o_custkey"], F.desc("o_totalprice"), "o_orderkey", n=3).select("o_custkey", "o_orderkey")
+
+
+@query("win04_rank_in_list", "SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) - 1 AS pos FROM documents")
+def rank_in_list(t: Tables) -> DataFrame:
+    return t.documents.select("lang", "doc_id", (F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n_chars"), "doc_id")) - 1).alias("pos"))
+
+
+@query("win09_nearest_ancestor", "WITH c AS (SELECT p_partkey, CAST(p_size AS VARCHAR) || '.' || (p_partkey % 4) || '.' || (p_partkey % 3) AS code FROM part), s AS (SELECT DISTINCT code FROM c WHERE p_partkey % 2 = 0), a AS (SELECT p_partkey, c.code, unnest([split_part(c.code, '.', 1) || '.' || split_part(c.code, '.', 2) || '.0', split_part(c.code, '.', 1) || '.0.0']) AS up, unnest([2, 1]) AS depth FROM c) SELECT p_partkey, arg_max(up, depth) AS ancestor FROM a WHERE up <> code AND up IN (SELECT code FROM s) GROUP BY p_partkey")
+def nearest_ancestor(t: Tables) -> DataFrame:
+    """The deepest ancestor of a dotted code that is itself present."""
+    code = F.concat_ws(".", F.col("p_size").cast("string"), (F.col("p_partkey") % 4).cast("string"), (F.col("p_partkey") % 3).cast("string"))
+    c = t.part.select("p_partkey", code.alias("code"))
+    part = lambda k: F.split_part("code", F.lit("."), F.lit(k))
+    ups = F.array(F.struct(F.concat(part(1), F.lit("."), part(2), F.lit(".0")).alias("up"), F.lit(2).alias("depth")), F.struct(F.concat(part(1), F.lit(".0.0")).alias("up"), F.lit(1).alias("depth")))
+    present = c.where("p_partkey % 2 = 0").select(F.col("code").alias("up")).distinct()
+    rows = c.select("p_partkey", "code", F.inline(ups)).where("up <> code").join(present, "up", "left_semi")
+    return rows.groupBy("p_partkey").agg(F.max_by("up", "depth").alias("ancestor"))
