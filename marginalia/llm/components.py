@@ -38,71 +38,75 @@ def _all_stars(edges: DataFrame) -> bool:
     return seen.where("x <> y OR (x IS NOT NULL AND centre > 0)").isEmpty()
 
 
-#: Groups that the elements of a set are counted in for the bound on the difference of two sets.
-GROUPS = 64
+#: Words of 64 bits in the sketch of a set that bounds the difference of two sets.
+WORDS = 16
 
 
 def profiles(elements: DataFrame, sizes: DataFrame) -> DataFrame:
-    """``sizes`` (node, size) with ``lone``, how many elements (node, element) of a node no other node has, and ``profile``,
-    how many of its other elements fall in each group of elements."""
+    """(node, size, lone, p0 ...) of ``sizes`` (node, size) and ``elements`` (node, element).
 
-    def counted(rows: DataFrame, name: str) -> DataFrame:
-        group = F.pmod(F.shiftright("element", 7), F.lit(GROUPS))
-        each = rows.select("node", group.alias("g")).groupBy("node").agg(*(F.count_if(F.col("g") == j).alias(f"{name}{j}") for j in range(GROUPS)))
-        return each.select("node", F.array(*(F.col(f"{name}{j}").cast("int") for j in range(GROUPS))).alias(name))
-
-    single = elements.groupBy("element").agg(F.min("node").alias("node"), F.max("node").alias("other")).where("node = other").select("node", "element")
-    both = sizes.join(counted(elements, "every"), "node").join(counted(single, "alone"), "node", "left")
-    alone = F.coalesce("alone", F.array_repeat(F.lit(0), GROUPS))
-    lone = F.aggregate(alone, F.lit(0), lambda s, x: s + x)
-    return both.select("node", "size", lone.alias("lone"), F.zip_with("every", alone, lambda x, y: x - y).alias("profile"))
+    lone: how many elements of a node no other node has; p0 ...: for each of 1,024 groups of elements whether the node
+    has an odd number of them. A node that stands for several sets has null in all of these: nothing is known of it.
+    """
+    at = F.pmod(F.shiftright("element", 7), F.lit(64 * WORDS))
+    bit = F.expr(f"shiftleft(1L, CAST(pmod(shiftright(element, 7), {64 * WORDS}) % 64 AS INT))")
+    odd = elements.select("node", F.floor(at / 64).alias("w"), bit.alias("bit")).groupBy("node").agg(*(F.coalesce(F.bit_xor(F.when(F.col("w") == j, F.col("bit"))), F.lit(0)).alias(f"p{j}") for j in range(WORDS)))
+    single = elements.groupBy("element").agg(F.min("node").alias("node"), F.max("node").alias("other")).where("node = other").groupBy("node").agg(F.count("*").alias("lone"))
+    one = sizes.groupBy("node").agg(F.max("size").alias("size"), F.count("*").alias("sets"))
+    both = one.join(odd, "node", "left").join(single, "node", "left").withColumn("lone", F.coalesce("lone", F.lit(0)))
+    return both.select("node", *(F.when(F.col("sets") == 1, F.col(n)).alias(n) for n in ("size", "lone", *(f"p{j}" for j in range(WORDS)))))
 
 
-def bucket_components(buckets: DataFrame, sizes: DataFrame, common_of: Callable[[DataFrame], DataFrame], num: int, den: int) -> DataFrame:
+def bucket_components(buckets: DataFrame, common_of: Callable[[DataFrame], DataFrame], profiles_of: Callable[[DataFrame], DataFrame], num: int, den: int) -> DataFrame:
     """(node, component) of the nodes that linked pairs within buckets lead to, without listing all pairs of a bucket.
 
-    ``buckets`` (signature, node) holds the nodes that share a signature with others, ``sizes`` (node, size, lone, profile) their
-    sets; ``common_of`` adds to pairs (a, b, sa, sb) how many elements are common. A pair links when the common elements
-    are num / den of all. Every node is compared with the first one of its bucket; what is then in one component needs
-    no further comparison. Buckets that still hold several components take a growing number of further pivots a round,
+    ``buckets`` (signature, node) holds the nodes that share a signature with others. ``common_of`` adds to pairs (a, b)
+    the sizes sa and sb of their sets and how many elements are common; it may leave out pairs whose sizes rule a link
+    out. ``profiles_of`` gives the profiles of some nodes among themselves. A pair links when the common elements are
+    num / den of all. Every node is compared with the first one of its bucket; what is then in one component needs no
+    further comparison. Buckets that still hold several components take a growing number of further pivots a round,
     each compared with nodes of other components.
 
     Two sets that link differ in (sa + sb) * (den - num) / (den + num) elements at most. Elements that no other set has
-    always differ, and of the others at least as many as their counts by group differ: pairs beyond that are settled
-    without a comparison. In the end any two nodes of a bucket are in one component, were compared, or can't link.
+    always differ, and a group of elements that is odd in one set and even in the other holds one that differs: pairs
+    beyond that are settled without a comparison. In the end any two nodes of a bucket are in one component, were
+    compared, or can't link.
     """
     by = Window.partitionBy("signature")
-
-    def plausible(x: str, y: str, apart=F.lit(0)):
-        sx, sy = F.col(f"size{x}"), F.col(f"size{y}")
-        return ((den + num) * (F.col(f"lone{x}") + F.col(f"lone{y}") + apart) <= (den - num) * (sx + sy)) & (den * F.least(sx, sy) >= num * F.greatest(sx, sy))
-
-    apart = F.aggregate(F.zip_with("profile", "profile1", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
-
-    def pair(x: str, y: str) -> list:
-        low = F.col(f"node{x}") < F.col(f"node{y}")
-        return [F.when(low, F.col(f"{n}{p}")).otherwise(F.col(f"{n}{q}")).alias(as_) for n, as_, p, q in (("node", "a", x, y), ("node", "b", y, x), ("size", "sa", x, y), ("size", "sb", y, x))]
-
-    rows = buckets.join(sizes.where(num * F.col("lone") <= (den - num) * F.col("size")), "node")
-    first = F.min(F.struct("lone", "node", "size")).over(by)
-    rows = rows.withColumn("first", first).select("signature", "node", "size", "lone", "profile", F.col("first.node").alias("node1"), F.col("first.size").alias("size1"), F.col("first.lone").alias("lone1"))
-    rows = common.materialize(rows, "rows")
-    pairs = rows.where(F.col("node") != F.col("node1")).where(plausible("", "1")).select(*pair("", "1")).distinct()
-    known = common.materialize(common_of(pairs), "known")
     linked = F.col("common") * den >= num * (F.col("sa") + F.col("sb") - F.col("common"))
-    links, tested, width = known.where(linked).select("a", "b"), known.select("a", "b"), 1
-    components, more = connected_components(links), False
-    named = rows.drop("node1", "size1", "lone1").join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    first = buckets.withColumn("first", F.min("node").over(by)).where("node <> first")
+    pairs = first.select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
+    links = common.materialize(common_of(pairs).where(linked).select("a", "b"), "links")
+    components, more, width = connected_components(links), False, 1
+
+    def still_open(rows: DataFrame) -> DataFrame:
+        spread = rows.withColumn("x", F.min("component").over(by)).withColumn("y", F.max("component").over(by)).where("x <> y").drop("x", "y")
+        return common.materialize(spread, "open")
+
+    named = buckets.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    open_ = still_open(named)
+    if open_.isEmpty():
+        return components
+    told = common.materialize(profiles_of(open_.select("node").distinct()), "profiles")
+    # What no other set has rules some nodes out at once: they were compared with the first of their buckets, and link with no other.
+    rows = open_.join(told.where(f"lone IS NULL OR {num} * lone <= {den - num} * size"), "node")
+
+    apart = sum((F.bit_count(F.col(f"p{j}").bitwiseXOR(F.col(f"p{j}_1"))) for j in range(1, WORDS)), F.bit_count(F.col("p0").bitwiseXOR(F.col("p0_1"))))
+
+    def plausible(differ):
+        total, ratio = F.col("size") + F.col("size_1"), den * F.least("size", "size_1") >= num * F.greatest("size", "size_1")
+        return F.coalesce(((den + num) * differ <= (den - num) * total) & ratio, F.lit(True))
+
+    tested = None
     while True:
-        open_ = named.withColumn("x", F.min("component").over(by)).withColumn("y", F.max("component").over(by)).where("x <> y").drop("x", "y")
-        ranked = common.materialize(open_.withColumn("place", F.row_number().over(by.orderBy("lone", "node"))), "open")
+        ranked = common.materialize(still_open(rows).withColumn("place", F.row_number().over(by.orderBy("lone", "node"))), "ranked")
         if ranked.isEmpty():
-            break
+            return connected_components(links) if more else components
         width *= 256
-        pivots = ranked.where(F.col("place") <= width).select("signature", *(F.col(c).alias(f"{c}1") for c in ("node", "size", "lone", "profile", "component")))
-        met = ranked.join(pivots, "signature").where((F.col("component") != F.col("component1")) & plausible("", "1") & plausible("", "1", apart))
-        pairs = met.select(*pair("", "1"))
-        known = common.materialize(common_of(pairs.distinct().join(tested, ["a", "b"], "left_anti")), "known")
-        links, tested, more = links.unionByName(known.where(linked).select("a", "b")), tested.unionByName(known.select("a", "b")), True
-        named = ranked.where(F.col("place") > width).drop("place")
-    return connected_components(links) if more else components
+        pivots = ranked.where(F.col("place") <= width).select("signature", *(F.col(c).alias(f"{c}_1") for c in ("node", "component", *told.columns[1:])))
+        met = ranked.join(pivots, "signature").where((F.col("component") != F.col("component_1")) & plausible(F.col("lone") + F.col("lone_1")) & plausible(apart))
+        pairs = met.select(F.least("node", "node_1").alias("a"), F.greatest("node", "node_1").alias("b")).distinct()
+        pairs = common.materialize(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        links = links.unionByName(common.materialize(common_of(pairs).where(linked).select("a", "b"), "links"))
+        rows, more = ranked.where(F.col("place") > width).drop("place"), True

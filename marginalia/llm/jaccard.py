@@ -170,13 +170,18 @@ def similar_sets(texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
     wanted = shared.select(F.col("node").alias("_id")).distinct()
     sets = common.materialize(texts.join(common.maybe_broadcast(wanted, 1_000_000), "_id", "left_semi").mapInArrow(_sets(n), "_id long, prints binary").distinct(), "sets")
     sets = sets.withColumn("size", F.length("prints") / 8).withColumn("size", F.col("size").cast("int"))
-    sizes = profiles(sets.mapInArrow(_elements, "node long, element long"), sets.select(F.col("_id").alias("node"), "size"))
     a, b = (sets.select(F.col("_id").alias(x), F.col("size").alias(f"s{x}"), F.col("prints").alias(f"p{x}")) for x in "ab")
 
     def common_of(pairs: DataFrame) -> DataFrame:
-        return pairs.join(a, ["a", "sa"]).join(b, ["b", "sb"]).select("a", "b", "sa", "sb", "pa", "pb").mapInArrow(_common, "a long, b long, sa int, sb int, common int")
+        # Sizes alone rule out some pairs before the sets are put side by side.
+        both = pairs.join(a, "a").join(b, "b").where(F.least("sa", "sb") * den >= F.greatest("sa", "sb") * num)
+        return both.select("a", "b", "sa", "sb", "pa", "pb").mapInArrow(_common, "a long, b long, sa int, sb int, common int")
 
-    return bucket_components(shared, common.materialize(sizes, "sizes"), common_of, num, den)
+    def profiles_of(nodes: DataFrame) -> DataFrame:
+        own = sets.join(nodes.withColumnRenamed("node", "_id"), "_id")
+        return profiles(own.mapInArrow(_elements, "node long, element long"), own.select(F.col("_id").alias("node"), "size"))
+
+    return bucket_components(shared, common_of, profiles_of, num, den)
 
 
 def join(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, text: str = "text", key: str = "doc_id") -> DataFrame:
