@@ -32,7 +32,8 @@ from . import common
 
 #: Bytes of an anchor; stretches of an anchor that one task compares; bytes of a suffix array; bytes of a text at once.
 ANCHOR, CROWD, ARRAY_BYTES, SLICE = 96, 4_096, 1_500_000, 4_000_000
-BROADCAST_ROWS = 300_000
+#: Texts with spans, and texts that stretches are asked of, that a join broadcasts at most (a few hundred bytes and a few kB each).
+BROADCAST_ROWS, WANTED_ROWS = 300_000, 10_000
 _PLACE = np.uint64((1 << 24) - 1)
 
 
@@ -264,7 +265,7 @@ def repeated_windows(docs: DataFrame, width: int = 200, key: str = "doc_id", tex
     one = one.select(F.col(f"p.{key}").alias(key), "p.print", F.struct("p.start", "p.count", "anchor", "whole", "alone", "crowd").alias("w"))
     wanted = common.materialize(one.groupBy(key, "print").agg(F.collect_list("w").alias("wanted")), "wanted")
     wanted = wanted.select(F.col(key).alias("_key"), F.col("print").alias("_print"), "wanted")
-    cut = long.join(common.maybe_broadcast(wanted, BROADCAST_ROWS), long[key].eqNullSafe(wanted["_key"]) & (long["print"] == wanted["_print"]))
+    cut = long.join(common.maybe_broadcast(wanted, WANTED_ROWS), long[key].eqNullSafe(wanted["_key"]) & (long["print"] == wanted["_print"]))
     fields = f"{key} {kind}, print int, start long, count int, anchor long, whole long, alone boolean, bytes binary"
     unlike = lambda crowd: cut.withColumn("wanted", F.filter("wanted", lambda w: w["crowd"] if crowd else ~w["crowd"])).where(F.size("wanted") > 0).select(key, "print", "text", "wanted").mapInArrow(_texts(key, width), fields)
     few = unlike(False).repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_sorted_blocks(key, width), f"{key} {kind}, print int, start long, count int")
