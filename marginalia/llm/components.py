@@ -77,7 +77,7 @@ def bucket_components(buckets: DataFrame, common_of: Callable[[DataFrame], DataF
     first = buckets.withColumn("first", F.min("node").over(by)).where("node <> first")
     pairs = first.select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
     links = common.materialize(common_of(pairs).where(linked).select("a", "b"), "links")
-    components, more, width = connected_components(links), False, 1
+    components, width = connected_components(links), 1
 
     def still_open(rows: DataFrame) -> DataFrame:
         spread = rows.withColumn("x", F.min("component").over(by)).withColumn("y", F.max("component").over(by)).where("x <> y").drop("x", "y")
@@ -101,12 +101,14 @@ def bucket_components(buckets: DataFrame, common_of: Callable[[DataFrame], DataF
     while True:
         ranked = common.materialize(still_open(rows).withColumn("place", F.row_number().over(by.orderBy("lone", "node"))), "ranked")
         if ranked.isEmpty():
-            return connected_components(links) if more else components
-        width *= 256
+            return components
+        # First the two of each bucket with the fewest elements of their own: what is near the middle of a group links most of it.
+        width = 2 if width == 1 else width * 256
         pivots = ranked.where(F.col("place") <= width).select("signature", *(F.col(c).alias(f"{c}_1") for c in ("node", "component", *told.columns[1:])))
         met = ranked.join(pivots, "signature").where((F.col("component") != F.col("component_1")) & plausible(F.col("lone") + F.col("lone_1")) & plausible(apart))
         pairs = met.select(F.least("node", "node_1").alias("a"), F.greatest("node", "node_1").alias("b")).distinct()
         pairs = common.materialize(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         tested = pairs if tested is None else tested.unionByName(pairs)
         links = links.unionByName(common.materialize(common_of(pairs).where(linked).select("a", "b"), "links"))
-        rows, more = ranked.where(F.col("place") > width).drop("place"), True
+        components = connected_components(links)
+        rows = ranked.where(F.col("place") > width).drop("place", "component").join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
