@@ -1,7 +1,7 @@
 """Operator 3: fuzzy line dedup by MinHash, in DataFrame operations only.
 
-Lines are cut into character shingles of ``SHINGLE`` characters that begin at each word (in runs without white space at
-every eighth character), so that an edit moves no other shingle. One permutation of the shingle hashes is dealt to
+Distinct lines are cut into the shingles of ``SHINGLE`` characters that begin at every character (a shorter line is one
+shingle), so that an edit moves no other shingle. One permutation of the shingle hashes is dealt to
 ``BANDS * ROWS`` bins, the least hash of each bin is the signature, and empty bins borrow from the next one. Lines that
 agree in a band are candidates; their Jaccard similarity over all shingles is then computed exactly, and linked lines are
 joined to components. Of each component (and of each repeated line) the first occurrence by (key, line) stays.
@@ -25,8 +25,8 @@ BROADCAST_ROWS = 400_000
 
 
 def shingles(line: Column) -> Column:
-    """The character shingles of a line."""
-    return F.regexp_extract_all(line, F.lit(rf"(?s)(?=(\S.{{0,{SHINGLE - 1}}}))\S{{1,8}}\s*"), F.lit(1))
+    """The character shingles of a line, one for each position (by one pass over the line, however long it is)."""
+    return F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{SHINGLE}}}|^.{{1,{SHINGLE - 1}}}\z))."), F.lit(1))
 
 
 def _lines(docs: DataFrame, key: str) -> DataFrame:
@@ -39,10 +39,11 @@ def _lines(docs: DataFrame, key: str) -> DataFrame:
 def signatures(lines: DataFrame) -> DataFrame:
     """(h1, h2, n, b0 ...): the distinct lines with their number and a hash for each band."""
     bins = BANDS * ROWS
-    each = lines.select("h1", "h2", F.posexplode(shingles(F.col("line"))).alias("k", "shingle")).select("h1", "h2", "k", F.xxhash64("shingle").alias("s"))
-    each = each.select("h1", "h2", "k", F.pmod("s", F.lit(bins)).cast("int").alias("bin"), F.shiftright("s", 32).cast("int").alias("v"))
+    distinct = lines.groupBy("h1", "h2").agg(F.max("line").alias("line"), F.count("*").alias("n"))
+    each = distinct.select("h1", "h2", "n", F.explode(shingles(F.col("line"))).alias("shingle")).select("h1", "h2", "n", F.xxhash64("shingle").alias("s"))
+    each = each.select("h1", "h2", "n", F.pmod("s", F.lit(bins)).cast("int").alias("bin"), F.shiftright("s", 32).cast("int").alias("v"))
     mins = [F.min(F.when(F.col("bin") == j, F.col("v"))).alias(f"m{j}") for j in range(bins)]
-    least = each.groupBy("h1", "h2").agg(F.sum(F.when(F.col("k") == 0, 1)).alias("n"), *mins)
+    least = each.groupBy("h1", "h2").agg(F.max("n").alias("n"), *mins)
     # An empty bin takes the value of the next one that has any, told apart by the distance.
     full = [F.coalesce(*(F.col(f"m{(j + d) % bins}") + F.lit(d * 1_000_003).cast("long") for d in range(bins))).alias(f"f{j}") for j in range(bins)]
     least = least.select("h1", "h2", "n", *full)

@@ -151,6 +151,19 @@ def test_op3_keeps_one_line_of_each_component(spark):
     assert {x.doc_id: x.text for x in lines.dedup(df).collect()} == brute_lines(rows)
 
 
+def test_op3_links_unspaced_lines_with_an_early_insertion(spark):
+    from pyspark.sql import functions as F
+
+    r = np.random.default_rng(6)
+    url = lambda n: "".join("abcdefghijklmnopqrstuvwxyz0123456789/"[c] for c in r.integers(0, 37, n))
+    a, b, c = url(250), "".join(chr(0x4E00 + x) for x in r.integers(0, 9000, 250)), url(250)
+    rows = [(1, a), (2, a[:20] + "Z" + a[20:]), (3, b), (4, b[:20] + "字" + b[20:]), (5, c), (6, c[:200] + url(50)), (7, "short"), (8, "shorts")]
+    got = {x.doc_id: x.text for x in lines.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: "" if i in (2, 4) else t for i, t in rows}
+    found = spark.createDataFrame([(x,) for x in (a, b, "short", "exactly 12 c", "one more a c\r")], "line string").select("line", lines.shingles(F.col("line")).alias("s")).collect()
+    assert all(x.s == [x.line[k : k + 12] for k in range(max(1, len(x.line) - 11))] for x in found)
+
+
 def test_op3_query_gives_every_document(spark, sf_dir, docs):
     got = lines.op3_line_dedup(spark, sf_dir).collect()
     assert sorted(r.doc_id for r in got) == sorted(i for i, _ in docs)
