@@ -32,6 +32,8 @@ from . import common
 
 #: Bytes of an anchor; stretches of an anchor that one task compares; bytes of a suffix array; bytes of a text at once.
 ANCHOR, CROWD, ARRAY_BYTES, SLICE = 96, 4_096, 1_500_000, 4_000_000
+#: Bytes of a block that suffix_ranks can take.
+MOST_BYTES = (1 << 21) - 4
 #: Texts with spans, and texts that stretches are asked of, that a join broadcasts at most (a few hundred bytes and a few kB each).
 BROADCAST_ROWS, WANTED_ROWS = 300_000, 10_000
 _PLACE = np.uint64((1 << 24) - 1)
@@ -184,8 +186,16 @@ def _intervals(flags: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edges[::2].tolist(), edges[1::2].tolist()))
 
 
+def _crowd(width: int) -> int:
+    """Unlike stretches of one anchor that fit a block whatever they are; a stretch has 2 * width - ANCHOR bytes at most."""
+    return min(CROWD, MOST_BYTES // (2 * width - ANCHOR))
+
+
 def _sorted_blocks(key: str, width: int):
-    """Stretches in order of their anchors; gives the repeated starts of those that stand alone."""
+    """Stretches in order of their anchors; gives the repeated starts of those that stand alone.
+
+    A block has whole anchors only, and several of them only within ``ARRAY_BYTES``.
+    """
 
     def solve(rows: list[dict]) -> list[tuple]:
         unique = list({(r["anchor"], r["whole"]): r for r in rows}.values())
@@ -200,15 +210,18 @@ def _sorted_blocks(key: str, width: int):
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, kind = [], 0, None
+        # held: whole anchors, [0:last]; behind them the one that is being read, of ``own`` bytes.
+        held, size, last, own, kind = [], 0, 0, 0, None
         for batch in batches:
             kind = batch.schema.field(key).type
             for r in batch.to_pylist():
-                if size > ARRAY_BYTES and held[-1]["anchor"] != r["anchor"]:
-                    yield from _span_batch(solve(held), key, kind)
-                    held, size = [], 0
+                if held and held[-1]["anchor"] != r["anchor"]:
+                    last, own = len(held), 0
                 held.append(r)
-                size += len(r["bytes"])
+                size, own = size + len(r["bytes"]), own + len(r["bytes"])
+                if last and size > ARRAY_BYTES:
+                    yield from _span_batch(solve(held[:last]), key, kind)
+                    held, size, last = held[last:], own, 0
         if held:
             yield from _span_batch(solve(held), key, kind)
 
@@ -254,13 +267,13 @@ def repeated_windows(docs: DataFrame, width: int = 200, key: str = "doc_id", tex
     met = common.materialize(met.select(key, "print", "start", "count", "anchor", "whole", (F.col("x") == F.col("y")).alias("alike")), "stretches")
     alike = met.where("alike").select(key, "print", "start", "count")
     # Unlike stretches of one anchor: equal ones among them are settled, one text of each kind is compared.
-    mixed = met.where("not alike")
+    most, mixed = _crowd(width), met.where("not alike")
     kinds = mixed.groupBy("anchor", "whole").agg(F.count("*").alias("n"))
     kinds = common.materialize(kinds, "kinds")
     crowds = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).where("least = 1")
     crowds = common.materialize(crowds, "crowds")
     settled = mixed.join(kinds.where("n > 1").select("anchor", "whole"), ["anchor", "whole"]).select(key, "print", "start", "count")
-    open_ = mixed.join(crowds.select("anchor", (F.col("kinds") > CROWD).alias("crowd")), "anchor")
+    open_ = mixed.join(crowds.select("anchor", (F.col("kinds") > most).alias("crowd")), "anchor")
     one = open_.groupBy("anchor", "whole").agg(F.min(F.struct(F.col(key).isNotNull(), key, "print", "start", "count")).alias("p"), (F.count("*") == 1).alias("alone"), F.max("crowd").alias("crowd"))
     one = one.select(F.col(f"p.{key}").alias(key), "p.print", F.struct("p.start", "p.count", "anchor", "whole", "alone", "crowd").alias("w"))
     wanted = common.materialize(one.groupBy(key, "print").agg(F.collect_list("w").alias("wanted")), "wanted")
@@ -270,7 +283,7 @@ def repeated_windows(docs: DataFrame, width: int = 200, key: str = "doc_id", tex
     unlike = lambda crowd: cut.withColumn("wanted", F.filter("wanted", lambda w: w["crowd"] if crowd else ~w["crowd"])).where(F.size("wanted") > 0).select(key, "print", "text", "wanted").mapInArrow(_texts(key, width), fields)
     few = unlike(False).repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_sorted_blocks(key, width), f"{key} {kind}, print int, start long, count int")
     found = alike.unionByName(settled).unionByName(few)
-    if not crowds.where(F.col("kinds") > CROWD).isEmpty():
+    if not crowds.where(F.col("kinds") > most).isEmpty():
         dealt = unlike(True).mapInArrow(_dealt_windows(key, width), f"{key} {kind}, print int, start long, alone boolean, w1 long, w2 long")
         twice = dealt.distinct().withColumn("n", F.count("*").over(Window.partitionBy("w1", "w2"))).where("n > 1 and alone")
         found = found.unionByName(twice.select(key, "print", "start", F.lit(1).alias("count")))

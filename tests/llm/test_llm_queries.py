@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from compare import database, expected, rows_of
@@ -53,6 +54,17 @@ def test_op1_suffix_ranks_sort_prefixes():
         assert [raw[i : i + 200] for i in order] == sorted(raw[i : i + 200] for i in range(n))
 
 
+def test_op1_blocks_take_two_crowded_anchors():
+    r, n = np.random.default_rng(3), 4000
+    raw = [x.tobytes() for x in r.integers(0, 256, (2 * n, 304), dtype=np.uint8)]
+    raw[1] = raw[0][:250] + raw[1][250:]  # the first 51 windows of a stretch in another one of its anchor
+    rows = [{"doc_id": k, "print": 0, "start": 0, "count": 105, "anchor": k // n, "whole": k, "alone": True, "bytes": b} for k, b in enumerate(raw)]
+    batches = pa.Table.from_pylist(rows).to_batches(max_chunksize=1000)
+    got = [tuple(x.values()) for b in suffixes._sorted_blocks("doc_id", 200)(iter(batches)) for x in b.to_pylist()]
+    assert sorted(got) == [(0, 0, 0, 51), (1, 0, 0, 51)]
+    assert all(suffixes._crowd(w) * (2 * w - suffixes.ANCHOR) <= suffixes.MOST_BYTES for w in (97, 200, 400, 5000))
+
+
 def test_op1_cuts_long_texts_and_keeps_odd_rows(spark, monkeypatch):
     monkeypatch.setattr(suffixes, "SLICE", 700)
     r = np.random.default_rng(2)
