@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,23 +53,32 @@ def precision_gate(t: Tables) -> DataFrame:
     return t.labels.agg(predicted.alias("predicted"), right.alias("right_ones"), ((predicted >= 1) & (right / predicted >= 0.95)).alias("open"))
 
 
-def consolidated(pairs: DataFrame, most: int = 30) -> DataFrame:
-    """(node, root): the least node that pairs (a, b) lead to, by labels that spread along pairs and jump to their own label.
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written to the folder of ``spark.checkpoint.dir`` and read again, which cuts its lineage."""
+    spark, sc = df.sparkSession, df.sparkSession.sparkContext
+    if not (folder := sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()):
+        folder = f"file:///tmp/checkpoints/{uuid.uuid4().hex}"
+        sc.setCheckpointDir(folder)
+    path = f"{folder.rstrip('/')}/written-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def consolidated(pairs: DataFrame) -> DataFrame:
+    """(node, root): the least node that pairs (a, b) lead to.
 
-    The order of pairs doesn't matter. Labels are checkpointed by the caller's session settings only where pairs are many;
-    the loop ends when no label changes.
+    All nodes of one label take the least label next to any of them, then the label of that label, until no pair has
+    two labels. The order of pairs doesn't matter. Every round is written out.
     """
-    both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    labels = both.select(F.col("a").alias("node")).distinct().withColumn("root", F.col("node"))
-    for _ in range(most):
-        near = both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
-        spread = labels.join(near, "node", "left").select("node", F.least("root", F.coalesce("near", "root")).alias("root"))
-        jumped = spread.join(spread.select(F.col("node").alias("root"), F.col("root").alias("top")), "root").select("node", F.least("root", "top").alias("root")).cache()
-        changed = jumped.join(labels.withColumnRenamed("root", "old"), "node").where("root <> old").limit(1).count()
-        labels = jumped
-        if not changed:
-            break
-    return labels
+    both = written(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = written(both.select(F.col("a").alias("node")).distinct().withColumn("root", F.col("node")))
+    while True:
+        ends = both.join(labels.withColumnRenamed("node", "a"), "a").join(labels.select(F.col("node").alias("b"), F.col("root").alias("far")), "b")
+        near = written(ends.where("far < root").groupBy("root").agg(F.min("far").alias("near")))
+        if near.isEmpty():
+            return labels
+        spread = labels.join(near, "root", "left").select("node", F.coalesce("near", "root").alias("root"))
+        labels = written(spread.join(spread.select(F.col("node").alias("root"), F.col("root").alias("top")), "root").select("node", F.least("root", "top").alias("root")))
 
 
 @query("ent05_consolidation", """WITH RECURSIVE e AS (SELECT DISTINCT l_partkey AS a, l_suppkey + 1000000 AS b FROM lineitem WHERE l_quantity = 50 AND l_discount > 0.08 AND l_tax > 0.07 AND l_returnflag = 'R'), s AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
@@ -77,6 +88,11 @@ def consolidation(t: Tables) -> DataFrame:
     return consolidated(pairs)
 
 
+@query("ent05_consolidation_all")
+def consolidation_all(t: Tables) -> DataFrame:
+    return consolidated(t.lineitem.select(F.col("l_partkey").alias("a"), (F.col("l_suppkey") + 1_000_000).alias("b")))
+
+
 _URL = r"rtrim(regexp_replace(regexp_replace(lower(url), '^https?://(www\.)?', ''), '[?#].*$', ''), '/')"
 
 

@@ -51,6 +51,25 @@ def test_consolidation_reaches_chains(spark):
     assert {r.node: r.root for r in consolidated(pairs).collect()} == {3: 3, 4: 3, 5: 3, 9: 3, 20: 20, 21: 20}
 
 
+def test_consolidation_ends_only_when_no_label_changes(spark):
+    pairs = [(0, 70), *((k, k + 1) for k in range(1, 70))]  # one step a round for labels that only spread along pairs
+    assert {r.node: r.root for r in consolidated(spark.createDataFrame(pairs, "a long, b long")).collect()} == dict.fromkeys(range(71), 0)
+
+
+def test_consolidation_takes_all_pairs(spark, sf_dir):
+    top = {}
+
+    def find(x):
+        while top.setdefault(x, x) != x:
+            x = top[x]
+        return x
+
+    for r in spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_partkey", "l_suppkey").distinct().collect():
+        a, b = sorted((find(r[0]), find(r[1] + 1_000_000)))
+        top[b] = a
+    assert {r.node: r.root for r in catalogue.queries()["ent05_consolidation_all"](spark, sf_dir).collect()} == {x: find(x) for x in top}
+
+
 def test_shortest_paths_stop_at_the_bound(spark):
     edges = spark.createDataFrame([("a", "b", "t"), ("b", "c", "t"), ("c", "d", "t"), ("a", "c", "t")], "src string, dst string, type string")
     assert {r.ref: (r.hops, r.path) for r in shortest_paths(edges, "a", 2).collect()} == {"a": (0, "a"), "b": (1, "a>b"), "c": (1, "a>c"), "d": (2, "a>c>d")}
