@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..registry import Tables, query
+from .entities import written
 
 
 def upserted(old: DataFrame, new: DataFrame, key: str, values: list[str]) -> DataFrame:
@@ -169,6 +170,30 @@ def flip_flop(t: Tables) -> DataFrame:
     return h.select("doc_id", (seen & ~F.col("h").eqNullSafe(before)).alias("flip"))
 
 
+def flips(docs: DataFrame) -> DataFrame:
+    """(doc_id, flip) of ``docs`` (doc_id, source, text): whole texts that their source had before, though not just before.
+
+    Rows are dealt by ranges of (source, doc_id), so one source may spread over many tasks; the first row of a range
+    takes the text before it from the ranges of its source that come earlier.
+    """
+    h = docs.select("doc_id", "source", F.sha2(F.col("text").cast("binary"), 256).alias("h"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    h = written(h.repartitionByRange(parts, "source", "doc_id").withColumn("part", F.spark_partition_id()))
+    lasts = h.groupBy("source", "part").agg(F.max_by(F.struct("h"), "doc_id").alias("last"))
+    lasts = lasts.select("source", "part", F.lag("last").over(Window.partitionBy("source").orderBy("part")).alias("carried"))
+    firsts = h.groupBy("source", "h").agg(F.min("doc_id").alias("first"))
+    rows = h.withColumn("near", F.lag(F.struct("h")).over(Window.partitionBy("source", "part").orderBy("doc_id"))).alias("r")
+    rows = rows.join(F.broadcast(lasts).alias("l"), F.col("r.source").eqNullSafe(F.col("l.source")) & (F.col("r.part") == F.col("l.part")))
+    rows = rows.join(firsts.alias("f"), F.col("r.source").eqNullSafe(F.col("f.source")) & F.col("r.h").eqNullSafe(F.col("f.h")))
+    before = F.coalesce("near", "carried")["h"]
+    return rows.select("r.doc_id", ((F.col("first") < F.col("r.doc_id")) & ~F.col("r.h").eqNullSafe(before)).alias("flip"))
+
+
+@query("cdc02_flip_flop_whole")
+def flip_flop_whole(t: Tables) -> DataFrame:
+    return flips(t.documents)
+
+
 @query("cdc07_invalidation", "SELECT DISTINCT b.l_partkey AS dependent FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey WHERE a.l_partkey = 1 AND b.l_partkey <> 1")
 def invalidation(t: Tables) -> DataFrame:
     hit = t.lineitem.where("l_partkey = 1").select("l_orderkey")
@@ -188,6 +213,32 @@ def grounded_quote(t: Tables) -> DataFrame:
     return found.join(t.documents.select("doc_id", folded("text").alias("low")), "doc_id").where(F.contains("low", "quote")).groupBy("item_id").agg(F.countDistinct("doc_id").alias("texts"))
 
 
+def grounded(quotes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(item_id, texts): in how many of ``docs`` (doc_id, text) the whole quote (item_id, text) stands, 0 where in none.
+
+    Case, blanks, quotation marks and dashes are folded. The second and third word of a quote of four or more are whole
+    words of any text that holds it and make the equi key; all texts are searched for shorter quotes. A blank quote is in none.
+    """
+    plain = lambda c: F.translate(c, "\u2018\u2019\u02bc\u2032\u201c\u201d\u2033\u2013\u2014\u2212\u00a0\u202f\u2009", "'" * 4 + '"' * 3 + "-" * 3 + " " * 3)
+    folded = lambda c: F.trim(F.regexp_replace(F.lower(plain(c)), r"\s+", " "))
+    every = quotes.select("item_id", folded("text").alias("quote"))
+    asked = every.where("quote <> ''").distinct().withColumn("q", F.split("quote", " "))
+    texts = docs.select("doc_id", folded("text").alias("low"))
+    long = asked.where(F.size("q") > 3).select("item_id", "quote", F.concat_ws(" ", F.col("q")[1], F.col("q")[2]).alias("key"))
+    w = F.split("low", " ")
+    pairs = F.array_distinct(F.zip_with(w, F.slice(w, F.lit(2), F.greatest(F.lit(1), F.size(w))), lambda x, y: F.concat_ws(" ", x, y)))
+    near = texts.select("doc_id", F.explode(pairs).alias("key")).join(F.broadcast(long), "key").select("doc_id", "item_id", "quote")
+    found = near.join(texts, "doc_id").where(F.contains("low", "quote")).select("item_id", "doc_id")
+    short = texts.join(F.broadcast(asked.where(F.size("q") <= 3)), F.contains("low", "quote")).select("item_id", "doc_id")
+    counts = found.unionByName(short).groupBy("item_id").agg(F.countDistinct("doc_id").alias("texts"))
+    return every.select("item_id").distinct().join(counts, "item_id", "left").select("item_id", F.coalesce("texts", F.lit(0)).alias("texts"))
+
+
+@query("txt11_grounded_quote_whole")
+def grounded_quote_whole(t: Tables) -> DataFrame:
+    return grounded(t.benchmark, t.documents)
+
+
 @query("txt05_keywords", r"SELECT doc_id, list_sort(list_distinct(list_filter(list_transform(regexp_extract_all(text, '\b[A-Z][a-z]+ ?[0-9]*'), lambda x: trim(regexp_replace(x, '[0-9]+', ''))), lambda x: length(x) BETWEEN 8 AND 20))) AS terms FROM documents")
 def keywords(t: Tables) -> DataFrame:
     raw = F.regexp_extract_all("text", F.lit(r"((?<![A-Za-z0-9_])[A-Z][a-z]+ ?[0-9]*)"))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from marginalia import catalogue
 from marginalia.functions.scalars import squeezed, truncated
 from marginalia.operators.aggregates import co_occurrence, noisy_or
-from marginalia.operators.changes import upserted
+from marginalia.operators.changes import flips, grounded, upserted
 from marginalia.operators.entities import consolidated
 from marginalia.operators.filters import page, ranked
 from marginalia.operators.graph import shortest_paths
@@ -70,6 +70,25 @@ def test_consolidation_takes_all_pairs(spark, sf_dir):
     assert {r.node: r.root for r in catalogue.queries()["ent05_consolidation_all"](spark, sf_dir).collect()} == {x: find(x) for x in top}
 
 
+def test_flips_hold_whole_texts_of_a_source(spark):
+    head = "x" * 30
+    rows = [(1, "s", head + "a"), (2, "s", head + "b"), (3, "s", head + "a"), (4, "s", head + "a"), (5, "t", head + "b"), (6, "t", None), (7, "t", "c"), (8, "t", None), (9, None, "c"), (10, None, "d"), (11, None, "c")]
+    rows += [(k, "hot", f"{k % 5}" if k % 2 else f"new {k}") for k in range(100, 300)]
+    seen, last, want = {}, {}, {}
+    for i, s, x in rows:
+        want[i] = x in seen.setdefault(s, set()) and last[s] != x
+        seen[s].add(x)
+        last[s] = x
+    assert {r.doc_id: r.flip for r in flips(spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(3)).collect()} == want
+
+
+def test_quotes_are_grounded_as_a_whole(spark):
+    opening = "the quick brown fox jumps over the lazy dog and runs on to the far end"
+    quotes = spark.createDataFrame([(1, opening + " of it"), (2, "Two  Words"), (3, "nowhere to be found at all"), (4, " "), (5, "it\u2019s a so\u2014called fact of life")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, opening), (2, "x" + opening.upper() + "\nof  items, two words"), (3, "It's a so-called fact of lifetimes"), (4, None), (5, "two wordsmiths")], "doc_id long, text string")
+    assert {r.item_id: r.texts for r in grounded(quotes, docs).collect()} == {1: 1, 2: 2, 3: 0, 4: 0, 5: 1}
+
+
 def test_shortest_paths_stop_at_the_bound(spark):
     edges = spark.createDataFrame([("a", "b", "t"), ("b", "c", "t"), ("c", "d", "t"), ("a", "c", "t")], "src string, dst string, type string")
     assert {r.ref: (r.hops, r.path) for r in shortest_paths(edges, "a", 2).collect()} == {"a": (0, "a"), "b": (1, "a>b"), "c": (1, "a>c"), "d": (2, "a>c>d")}
