@@ -42,6 +42,26 @@ def consistency(t: Tables) -> DataFrame:
     return pairs.groupBy("custkey").agg(F.round(F.avg(hit / (F.size("fs") + F.size("gs") - hit)), 6).alias("consistency"))
 
 
+def agreement(answers: DataFrame) -> DataFrame:
+    """(custkey, consistency) of ``answers`` (custkey, o_orderkey, flag): the mean over all pairs of a customer's orders.
+
+    Orders with equal sets are counted first and pairs of distinct sets weighted by their counts, so no customer's pairs are listed.
+    """
+    g = answers.groupBy("custkey", "o_orderkey").agg(F.array_sort(F.collect_set("flag")).alias("fs")).groupBy("custkey", "fs").agg(F.count("*").alias("n"))
+    pairs = g.join(g.select("custkey", F.col("fs").alias("gs"), F.col("n").alias("m")), "custkey").where("fs <= gs")
+    hit = F.size(F.array_intersect("fs", "gs"))
+    weight = F.when(F.col("fs") == F.col("gs"), F.col("n") * (F.col("n") - 1) / 2).otherwise(F.col("n") * F.col("m"))
+    alike = F.when(F.col("fs") == F.col("gs"), 1.0).otherwise(hit / (F.size("fs") + F.size("gs") - hit))
+    summed = pairs.groupBy("custkey").agg(F.sum(weight).alias("w"), F.sum(weight * alike).alias("s")).where("w > 0")
+    return summed.select("custkey", F.round(F.col("s") / F.col("w"), 6).alias("consistency"))
+
+
+@query("evl02_consistency_all")
+def consistency_all(t: Tables) -> DataFrame:
+    both = t.orders.join(t.lineitem, F.col("l_orderkey") == F.col("o_orderkey"))
+    return agreement(both.select(F.col("o_custkey").alias("custkey"), "o_orderkey", F.col("l_returnflag").alias("flag")))
+
+
 @query("evl03_unpivot", f"WITH {_LISTS} SELECT metric, round(avg(x), 6) AS mean, count(*) AS samples FROM (SELECT 'recall' AS metric, recall AS x FROM s UNION ALL SELECT 'precision', prec FROM s) GROUP BY metric")
 def unpivot(t: Tables) -> DataFrame:
     found = overlap_scores(F.col("e"), F.col("f"))

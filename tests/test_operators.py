@@ -1,4 +1,5 @@
 from datetime import datetime
+from itertools import combinations
 
 from pyspark.sql import functions as F
 
@@ -89,6 +90,15 @@ def test_quotes_are_grounded_as_a_whole(spark):
     assert {r.item_id: r.texts for r in grounded(quotes, docs).collect()} == {1: 1, 2: 2, 3: 0, 4: 0, 5: 1}
 
 
+def test_consistency_is_worked_out_for_every_customer(spark, sf_dir):
+    got = {r.custkey: r.consistency for r in catalogue.queries()["evl02_consistency_all"](spark, sf_dir).collect()}
+    flags = {}
+    for r in spark.read.parquet(f"{sf_dir}/orders.parquet").join(spark.read.parquet(f"{sf_dir}/lineitem.parquet"), F.col("l_orderkey") == F.col("o_orderkey")).collect():
+        flags.setdefault(r.o_custkey, {}).setdefault(r.o_orderkey, set()).add(r.l_returnflag)
+    want = {c: [len(x & y) / len(x | y) for x, y in combinations(o.values(), 2)] for c, o in flags.items() if len(o) > 1}
+    assert got.keys() == want.keys() and all(abs(got[c] - sum(v) / len(v)) < 1e-6 for c, v in want.items())
+
+
 def test_shortest_paths_stop_at_the_bound(spark):
     edges = spark.createDataFrame([("a", "b", "t"), ("b", "c", "t"), ("c", "d", "t"), ("a", "c", "t")], "src string, dst string, type string")
     assert {r.ref: (r.hops, r.path) for r in shortest_paths(edges, "a", 2).collect()} == {"a": (0, "a"), "b": (1, "a>b"), "c": (1, "a>c"), "d": (2, "a>c>d")}
