@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from marginalia import catalogue
 from marginalia.functions.scalars import squeezed, truncated
-from marginalia.operators.aggregates import co_occurrence, noisy_or
+from marginalia.operators.aggregates import all_co_occurrence, co_occurrence, noisy_or
 from marginalia.operators.changes import flips, grounded, upserted
 from marginalia.operators.entities import consolidated
 from marginalia.operators.filters import page, ranked
@@ -99,6 +99,12 @@ def test_consistency_is_worked_out_for_every_customer(spark, sf_dir):
     assert got.keys() == want.keys() and all(abs(got[c] - sum(v) / len(v)) < 1e-6 for c, v in want.items())
 
 
+def test_all_pairs_of_items_are_measured(spark):
+    baskets = spark.createDataFrame([(1, 2), (1, 9), (1, 2), (2, 2), (2, 9), (3, 4), (3, 9)], "basket long, item long")
+    got = {(r.a, r.b): (r.co, round(r.support, 6), round(r["lift"], 6)) for r in all_co_occurrence(baskets).collect()}
+    assert got == {(2, 9): (2, 0.666667, 1.0), (4, 9): (1, 0.333333, 1.0)}
+
+
 def test_shortest_paths_stop_at_the_bound(spark):
     edges = spark.createDataFrame([("a", "b", "t"), ("b", "c", "t"), ("c", "d", "t"), ("a", "c", "t")], "src string, dst string, type string")
     assert {r.ref: (r.hops, r.path) for r in shortest_paths(edges, "a", 2).collect()} == {"a": (0, "a"), "b": (1, "a>b"), "c": (1, "a>c"), "d": (2, "a>c>d")}
