@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import registry
 from .operators import aggregates, changes, entities, evaluation, filters, graph, joins, retrieval, windows  # noqa: F401  (they register queries)
-from .functions import scalars  # noqa: F401
+from .functions import scalars, texts, values  # noqa: F401
 from .sources import readers  # noqa: F401
 from .streaming import streams  # noqa: F401
 

@@ -24,14 +24,6 @@ def squeezed(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
-def truncated(text: Column, most: int) -> Column:
-    """At most ``most`` characters, cut at the last blank in them if there is one, with an ellipsis."""
-    head = F.substring(text, 1, most)
-    at = F.length(head) - F.locate(" ", F.reverse(head))
-    cut = F.when(F.contains(head, F.lit(" ")), F.substring(head, F.lit(1), at)).otherwise(head)
-    return F.when(F.length(text) <= most, text).otherwise(F.concat(F.rtrim(cut), F.lit("…")))
-
-
 def normal_form(name: Column) -> Column:
     """The form that names are compared in: lower case, blanks, dashes and underscores as one blank."""
     return F.trim(F.regexp_replace(F.lower(name), r"[\s_-]+", " "))
@@ -51,11 +43,6 @@ def page_text(t: Tables) -> DataFrame:
     return t.pages.select("page_id", F.sha2(html_to_text(F.col("html")), 256).alias("text_sha"))
 
 
-@query("strf03_truncate", "SELECT doc_id, CASE WHEN length(text) <= 40 THEN text WHEN contains(left(text, 40), ' ') THEN rtrim(left(text, 40 - instr(reverse(left(text, 40)), ' '))) || '…' ELSE rtrim(left(text, 40)) || '…' END AS head FROM documents")
-def truncate(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", truncated(F.col("text"), 40).alias("head"))
-
-
 @query("strf04_slug", "SELECT p_partkey, regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '(^-+)|(-+$)', '', 'g') AS slug FROM part")
 def slugs(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", slug(F.col("p_name")).alias("slug"))

@@ -4,7 +4,8 @@ from itertools import combinations
 from pyspark.sql import functions as F
 
 from marginalia import catalogue
-from marginalia.functions.scalars import squeezed, truncated
+from marginalia.functions import texts
+from marginalia.functions.scalars import squeezed
 from marginalia.operators.aggregates import all_co_occurrence, co_occurrence, noisy_or
 from marginalia.operators.changes import flips, grounded, upserted
 from marginalia.operators.entities import consolidated
@@ -120,8 +121,33 @@ def test_page_clamps_its_number(spark):
 
 
 def test_text_helpers(spark):
-    row = spark.range(1).select(squeezed(F.lit("a\n\tb  c ")).alias("s"), truncated(F.lit("abcdef ghijkl mnopqr"), 10).alias("t"), truncated(F.lit("abcdefghijkl"), 5).alias("u")).first()
-    assert (row.s, row.t, row.u) == ("a b c", "abcdef…", "abcde…")
+    cases = [
+        (squeezed(F.lit("a\n\tb  c ")), "a b c"),
+        (texts.snippet(F.lit("abcdef ghijkl mnopqr"), 10), "abcdef…"),
+        (texts.snippet(F.lit("ab cdefghijkl"), 10), "ab cdefghi…"),
+        (texts.snippet(F.lit(" abcdefghijkl "), 5), "abcde…"),
+        (texts.base_name(F.lit("Name (Alt Art) ")), "Name"),
+        (texts.readable_icons(F.lit("pay :rb_energy_3:  :rb_any_rune: x_y")), "pay (3) [any rune] x_y"),
+        (texts.plain_text(F.lit("a&AMP;lt;b<br>c&nbsp;d<script>x</script>")), "a<b c d"),
+        (texts.magnitude(F.lit("Tank 2"))[0], "Tank"),
+        (texts.magnitude(F.lit("Tank 2"))[1], 2),
+        (texts.magnitude(F.lit("2"))[1], None),
+        (texts.contains_word(F.lit("a tank-top"), F.lit("Tank")), True),
+        (texts.contains_word(F.lit("tanks"), F.lit("tank")), False),
+        (texts.contains_word(F.lit("x"), F.lit(" ")), False),
+        (texts.section_code(F.lit("601.2d")), "601.2.d"),
+        (texts.strong_url(F.lit("HTTP://WWW.Host.org/A/?q=1#f")), "host.org/a?q=1"),
+        (texts.url_slug(F.lit("https://www.host.org/rules/core.rules.pdf")), "host-org-core-rules"),
+        (texts.statement(F.lit(" So it  IS?! ")), "so it is"),
+        (texts.relation_kind(F.lit("\"governed_by\".")), "governed by"),
+        (texts.relation_kind(F.lit("x" * 41)), None),
+        (texts.hex_colour(F.lit(" #AbC ")), "#abc"),
+        (texts.hex_colour(F.lit("#abcd")), None),
+    ]
+    row = spark.range(1).select(*(c.alias(f"c{k}") for k, (c, _) in enumerate(cases))).first()
+    assert list(row) == [want for _, want in cases]
+    ids = [tuple(r.p) if r.p else None for r in spark.createDataFrame([("OGN-001-024",), ("sfd-239*-221",), ("unl-t04",), ("ven-sp3-006",), ("ogn-1a-24",), ("nonsense",)], "c string").select(texts.printed_id(F.col("c")).alias("p")).collect()]
+    assert ids == [("OGN", 1, "", 24, False), ("SFD", 239, "star", 221, False), ("UNL", 4, "t", None, True), ("VEN", 3, "sp", 6, True), ("OGN", 1, "a", 24, False), None]
 
 
 def test_streams_agree_with_frames(spark, sf_dir, tmp_path):
