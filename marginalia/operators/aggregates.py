@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..registry import Tables, query
 from .joins import _TARIFF, latest_before, tariff
+from .ranges import ranked
 
 
 def ratio(a, b, empty: float = 0.0) -> Column:
@@ -104,13 +105,13 @@ def co_occurrence(baskets: DataFrame, pairs: DataFrame) -> DataFrame:
 
 @query(
     "agg11_co_occurrence",
-    """WITH b AS (SELECT DISTINCT l_orderkey AS basket, l_partkey AS item FROM lineitem), p AS (SELECT DISTINCT l_partkey AS a, l_partkey + 1 AS b FROM lineitem WHERE l_partkey % 5 = 0), t AS (SELECT count(DISTINCT basket) AS total FROM b),
+    """WITH b AS (SELECT DISTINCT l_orderkey AS basket, l_partkey AS item FROM lineitem), p AS (SELECT DISTINCT l_partkey AS a, l_partkey + 1 AS b FROM lineitem), t AS (SELECT count(DISTINCT basket) AS total FROM b),
     n AS (SELECT item, count(*) AS n FROM b GROUP BY 1), c AS (SELECT p.a, p.b, count(*) AS co FROM p JOIN b x ON x.item = p.a JOIN b y ON y.item = p.b AND y.basket = x.basket GROUP BY 1, 2)
     SELECT p.a, p.b, coalesce(co, 0) AS co, coalesce(co, 0) / total AS support, CASE WHEN coalesce(na.n, 0) * coalesce(nb.n, 0) = 0 THEN 0 ELSE coalesce(co, 0) * total::DOUBLE / (na.n * nb.n) END AS lift
     FROM p CROSS JOIN t LEFT JOIN c USING (a, b) LEFT JOIN n na ON na.item = p.a LEFT JOIN n nb ON nb.item = p.b""",
 )
 def pair_lift(t: Tables) -> DataFrame:
-    pairs = t.lineitem.where("l_partkey % 5 = 0").select(F.col("l_partkey").alias("a"), (F.col("l_partkey") + 1).alias("b")).distinct()
+    pairs = t.lineitem.select(F.col("l_partkey").alias("a"), (F.col("l_partkey") + 1).alias("b")).distinct()
     return co_occurrence(t.lineitem.select(F.col("l_orderkey").alias("basket"), F.col("l_partkey").alias("item")), pairs)
 
 
@@ -259,10 +260,13 @@ def last_run(t: Tables) -> DataFrame:
     return t.events.groupBy("event_type").agg(F.max("ts").alias("last"), F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"))
 
 
-@query("agg32_term_matches", "WITH t AS (SELECT unnest(['the', 'que', 'der', 'pour']) AS term) SELECT doc_id, count(*) AS n FROM documents, t WHERE contains(lower(text), ' ' || term || ' ') GROUP BY doc_id ORDER BY n DESC, doc_id LIMIT 50")
+@query("agg32_term_matches", r"WITH t AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{6,}')) AS term FROM benchmark), w AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS term FROM documents) SELECT doc_id, n, row_number() OVER (ORDER BY n DESC, doc_id) AS place FROM (SELECT doc_id, count(*) AS n FROM w JOIN t USING (term) GROUP BY doc_id)")
 def term_matches(t: Tables) -> DataFrame:
-    hits = [F.contains(F.lower("text"), F.lit(f" {term} ")).cast("long") for term in ("the", "que", "der", "pour")]
-    return t.documents.select("doc_id", sum(hits[1:], hits[0]).alias("n")).where("n > 0").orderBy(F.desc("n"), "doc_id").limit(50)
+    """How many of the terms that the benchmark names each text has, most first; the terms are joined, not tried one by one."""
+    words = lambda df, pattern: F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(pattern))))
+    terms = t.benchmark.select(words(t.benchmark, "([a-z]{6,})").alias("term")).distinct()
+    counted = t.documents.select("doc_id", words(t.documents, "([a-z]+)").alias("term")).join(terms, "term", "left_semi").groupBy("doc_id").agg(F.count("*").alias("n"))
+    return ranked(counted, "place", F.desc("n"), F.asc("doc_id"))
 
 
 @query("agg33_aliases", "SELECT lower(p_brand) AS brand, list_sort(list(DISTINCT lower(p_type))) AS aliases FROM part GROUP BY 1")

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import scratch
 from ..registry import Tables, query
-from .entities import written
+from .ranges import previous, running
 
 
 def upserted(old: DataFrame, new: DataFrame, key: str, values: list[str]) -> DataFrame:
@@ -58,8 +59,7 @@ def monotone(t: Tables) -> DataFrame:
 @query("cdc01_hash_gate", r"SELECT doc_id, coalesce(h <> lag(h) OVER (PARTITION BY source ORDER BY doc_id), true) AS changed FROM (SELECT doc_id, source, sha256(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS h FROM documents)")
 def hash_gate(t: Tables) -> DataFrame:
     h = t.documents.select("doc_id", "source", F.sha2(F.trim(F.regexp_replace("text", r"\s+", " ")), 256).alias("h"))
-    before = F.lag("h").over(Window.partitionBy("source").orderBy("doc_id"))
-    return h.select("doc_id", F.coalesce(F.col("h") != before, F.lit(True)).alias("changed"))
+    return previous(h, ["source"], ["doc_id"], "before", F.col("h")).select("doc_id", F.coalesce(F.col("h") != F.col("before"), F.lit(True)).alias("changed"))
 
 
 @query("cdc05_change_feed", "SELECT event_id, event_type, value FROM events WHERE event_type <> 'login' AND value > 10 ORDER BY ts DESC, event_id DESC LIMIT 50")
@@ -67,17 +67,17 @@ def change_feed(t: Tables) -> DataFrame:
     return t.events.where("event_type <> 'login' AND value > 10").orderBy(F.desc("ts"), F.desc("event_id")).limit(50).select("event_id", "event_type", "value")
 
 
-@query("cdc06_recheck_plan", "SELECT DISTINCT doc_id FROM (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]{10,}'))) AS w FROM documents) JOIN (SELECT unnest(regexp_extract_all(lower(text), '[a-z]{10,}')) AS w FROM benchmark WHERE item_id < 10) USING (w)")
+@query("cdc06_recheck_plan", "SELECT DISTINCT doc_id FROM (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]{10,}'))) AS w FROM documents) JOIN (SELECT unnest(regexp_extract_all(lower(text), '[a-z]{10,}')) AS w FROM benchmark) USING (w)")
 def recheck_plan(t: Tables) -> DataFrame:
-    changed = t.benchmark.where("item_id < 10").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{10,})"))).alias("w")).distinct()
+    changed = t.benchmark.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{10,})"))).alias("w")).distinct()
     words = t.documents.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{10,})")))).alias("w"))
-    return words.join(F.broadcast(changed), "w", "left_semi").select("doc_id").distinct()
+    return words.join(changed, "w", "left_semi").select("doc_id").distinct()
 
 
 @query("cdc08_upgrade_plan", "SELECT vec_id, place <= 40 AS now FROM (SELECT vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS place FROM embeddings WHERE label <> 3)")
 def upgrade_plan(t: Tables) -> DataFrame:
-    place = F.row_number().over(Window.partitionBy("label").orderBy("vec_id"))
-    return t.embeddings.where("label <> 3").select("vec_id", "label").withColumn("place", place).select("vec_id", (F.col("place") <= 40).alias("now"))
+    placed = running(t.embeddings.where("label <> 3").select("vec_id", "label"), ["label"], ["vec_id"], "place")
+    return placed.select("vec_id", (F.col("place") <= 40).alias("now"))
 
 
 @query("cdc09_staleness", "SELECT o_orderkey, list_filter([CASE WHEN o_totalprice < 1000 THEN 'small' END, CASE WHEN o_orderstatus = 'P' THEN 'pending' END, CASE WHEN year(o_orderdate) < 1993 THEN 'old' END], lambda x: x IS NOT NULL) AS reasons FROM orders")
@@ -161,13 +161,10 @@ def replace_partition(t: Tables) -> DataFrame:
     return t.documents.where("lang <> 'fr'").select("doc_id", "lang", F.lit("old").alias("origin")).unionByName(new)
 
 
-@query("cdc02_flip_flop", "SELECT doc_id, row_number() OVER (PARTITION BY lang, md5(left(text, 30)) ORDER BY doc_id) > 1 AND md5(left(text, 30)) IS DISTINCT FROM lag(md5(left(text, 30))) OVER (PARTITION BY lang ORDER BY doc_id) AS flip FROM documents")
+@query("cdc02_flip_flop", "SELECT doc_id, row_number() OVER (PARTITION BY source, md5(text) ORDER BY doc_id) > 1 AND md5(text) IS DISTINCT FROM lag(md5(text)) OVER (PARTITION BY source ORDER BY doc_id) AS flip FROM documents")
 def flip_flop(t: Tables) -> DataFrame:
     """A content that was seen before, though not just before."""
-    h = t.documents.select("doc_id", "lang", F.md5(F.left("text", F.lit(30))).alias("h"))
-    seen = F.row_number().over(Window.partitionBy("lang", "h").orderBy("doc_id")) > 1
-    before = F.lag("h").over(Window.partitionBy("lang").orderBy("doc_id"))
-    return h.select("doc_id", (seen & ~F.col("h").eqNullSafe(before)).alias("flip"))
+    return flips(t.documents)
 
 
 def flips(docs: DataFrame) -> DataFrame:
@@ -177,16 +174,10 @@ def flips(docs: DataFrame) -> DataFrame:
     takes the text before it from the ranges of its source that come earlier.
     """
     h = docs.select("doc_id", "source", F.sha2(F.col("text").cast("binary"), 256).alias("h"))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    h = written(h.repartitionByRange(parts, "source", "doc_id").withColumn("part", F.spark_partition_id()))
-    lasts = h.groupBy("source", "part").agg(F.max_by(F.struct("h"), "doc_id").alias("last"))
-    lasts = lasts.select("source", "part", F.lag("last").over(Window.partitionBy("source").orderBy("part")).alias("carried"))
-    firsts = h.groupBy("source", "h").agg(F.min("doc_id").alias("first"))
-    rows = h.withColumn("near", F.lag(F.struct("h")).over(Window.partitionBy("source", "part").orderBy("doc_id"))).alias("r")
-    rows = rows.join(F.broadcast(lasts).alias("l"), F.col("r.source").eqNullSafe(F.col("l.source")) & (F.col("r.part") == F.col("l.part")))
-    rows = rows.join(firsts.alias("f"), F.col("r.source").eqNullSafe(F.col("f.source")) & F.col("r.h").eqNullSafe(F.col("f.h")))
-    before = F.coalesce("near", "carried")["h"]
-    return rows.select("r.doc_id", ((F.col("first") < F.col("r.doc_id")) & ~F.col("r.h").eqNullSafe(before)).alias("flip"))
+    firsts = h.groupBy("source", "h").agg(F.min("doc_id").alias("first")).alias("f")
+    rows = previous(h, ["source"], ["doc_id"], "before", F.col("h")).alias("r")
+    rows = rows.join(firsts, F.col("r.source").eqNullSafe(F.col("f.source")) & F.col("r.h").eqNullSafe(F.col("f.h")))
+    return rows.select("r.doc_id", ((F.col("first") < F.col("r.doc_id")) & ~F.col("r.h").eqNullSafe(F.col("before"))).alias("flip"))
 
 
 @query("cdc02_flip_flop_whole")
@@ -194,23 +185,20 @@ def flip_flop_whole(t: Tables) -> DataFrame:
     return flips(t.documents)
 
 
-@query("cdc07_invalidation", "SELECT DISTINCT b.l_partkey AS dependent FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey WHERE a.l_partkey = 1 AND b.l_partkey <> 1")
+@query("cdc07_invalidation", "SELECT DISTINCT a.l_partkey AS erratum, b.l_partkey AS dependent FROM lineitem a JOIN part ON p_partkey = a.l_partkey AND p_size = 1 JOIN lineitem b ON a.l_orderkey = b.l_orderkey WHERE b.l_partkey <> a.l_partkey")
 def invalidation(t: Tables) -> DataFrame:
-    hit = t.lineitem.where("l_partkey = 1").select("l_orderkey")
-    return t.lineitem.where("l_partkey <> 1").join(hit, "l_orderkey", "left_semi").select(F.col("l_partkey").alias("dependent")).distinct()
+    """For each erratum (a changed item) what depends on it, itself left out: whatever shares an order with it."""
+    errata = t.part.where("p_size = 1").select(F.col("p_partkey").alias("erratum"))
+    hit = t.lineitem.select("l_orderkey", F.col("l_partkey").alias("erratum")).join(errata, "erratum").distinct()
+    return t.lineitem.select("l_orderkey", F.col("l_partkey").alias("dependent")).join(hit, "l_orderkey").where("dependent <> erratum").select("erratum", "dependent").distinct()
+
 
+_FOLDED = "trim(regexp_replace(lower(translate({0}, '\u2018\u2019\u02bc\u2032\u201c\u201d\u2033\u2013\u2014\u2212\u00a0\u202f\u2009', '" + "''" * 4 + '"""---   ' + "')), '\\s+', ' ', 'g'))"
 
-@query("txt11_grounded_quote", r"SELECT b.item_id, count(DISTINCT d.doc_id) AS texts FROM benchmark b JOIN documents d ON contains(regexp_replace(lower(d.text), '\s+', ' ', 'g'), left(regexp_replace(lower(b.text), '\s+', ' ', 'g'), 60)) GROUP BY b.item_id")
+
+@query("txt11_grounded_quote", f"WITH f AS (SELECT doc_id, {_FOLDED.format('text')} AS low FROM documents), q AS (SELECT item_id, {_FOLDED.format('text')} AS quote FROM benchmark) SELECT item_id, (SELECT count(DISTINCT doc_id) FROM f WHERE quote <> '' AND contains(low, quote)) AS texts FROM q")
 def grounded_quote(t: Tables) -> DataFrame:
-    """Texts that hold the first 60 characters of a quote, after folding case and blanks. A quote's first two whole words
-    make the equi key, so only texts that have them next to each other are searched."""
-    folded = lambda c: F.regexp_replace(F.lower(c), r"\s+", " ")
-    quotes = t.benchmark.select("item_id", F.left(folded("text"), F.lit(60)).alias("quote"))
-    quotes = quotes.withColumn("key", F.concat_ws(" ", F.split_part("quote", F.lit(" "), F.lit(2)), F.split_part("quote", F.lit(" "), F.lit(3))))
-    texts = t.documents.select("doc_id", folded("text").alias("low")).withColumn("w", F.split("low", " "))
-    pairs = F.array_distinct(F.zip_with("w", F.slice("w", 2, F.greatest(F.lit(1), F.size("w"))), lambda x, y: F.concat_ws(" ", x, y)))
-    found = texts.select("doc_id", F.explode(pairs).alias("key")).join(F.broadcast(quotes), "key").select("doc_id", "item_id", "quote")
-    return found.join(t.documents.select("doc_id", folded("text").alias("low")), "doc_id").where(F.contains("low", "quote")).groupBy("item_id").agg(F.countDistinct("doc_id").alias("texts"))
+    return grounded(t.benchmark, t.documents)
 
 
 def grounded(quotes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -227,9 +215,12 @@ def grounded(quotes: DataFrame, docs: DataFrame) -> DataFrame:
     long = asked.where(F.size("q") > 3).select("item_id", "quote", F.concat_ws(" ", F.col("q")[1], F.col("q")[2]).alias("key"))
     w = F.split("low", " ")
     pairs = F.array_distinct(F.zip_with(w, F.slice(w, F.lit(2), F.greatest(F.lit(1), F.size(w))), lambda x, y: F.concat_ws(" ", x, y)))
-    near = texts.select("doc_id", F.explode(pairs).alias("key")).join(F.broadcast(long), "key").select("doc_id", "item_id", "quote")
-    found = near.join(texts, "doc_id").where(F.contains("low", "quote")).select("item_id", "doc_id")
-    short = texts.join(F.broadcast(asked.where(F.size("q") <= 3)), F.contains("low", "quote")).select("item_id", "doc_id")
+    near = texts.select("doc_id", F.explode(pairs).alias("key")).join(scratch.maybe_broadcast(long), "key").select("doc_id", "item_id", "quote")
+    # Texts that no key leads to are not read again: only the rows of candidate ids are folded and searched.
+    near = scratch.materialize(near, "near")
+    asked_of = docs.join(scratch.maybe_broadcast(near.select("doc_id").distinct()), "doc_id", "left_semi").select("doc_id", folded("text").alias("low"))
+    found = near.join(asked_of, "doc_id").where(F.contains("low", "quote")).select("item_id", "doc_id")
+    short = texts.join(scratch.maybe_broadcast(asked.where(F.size("q") <= 3)), F.contains("low", "quote")).select("item_id", "doc_id")
     counts = found.unionByName(short).groupBy("item_id").agg(F.countDistinct("doc_id").alias("texts"))
     return every.select("item_id").distinct().join(counts, "item_id", "left").select("item_id", F.coalesce("texts", F.lit(0)).alias("texts"))
 

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..components import connected_components
 from ..registry import Tables, query
 from .windows import first_by
 
@@ -53,32 +52,9 @@ def precision_gate(t: Tables) -> DataFrame:
     return t.labels.agg(predicted.alias("predicted"), right.alias("right_ones"), ((predicted >= 1) & (right / predicted >= 0.95)).alias("open"))
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` written to the folder of ``spark.checkpoint.dir`` and read again, which cuts its lineage."""
-    spark, sc = df.sparkSession, df.sparkSession.sparkContext
-    if not (folder := sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()):
-        folder = f"file:///tmp/checkpoints/{uuid.uuid4().hex}"
-        sc.setCheckpointDir(folder)
-    path = f"{folder.rstrip('/')}/written-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def consolidated(pairs: DataFrame) -> DataFrame:
-    """(node, root): the least node that pairs (a, b) lead to.
-
-    All nodes of one label take the least label next to any of them, then the label of that label, until no pair has
-    two labels. The order of pairs doesn't matter. Every round is written out.
-    """
-    both = written(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = written(both.select(F.col("a").alias("node")).distinct().withColumn("root", F.col("node")))
-    while True:
-        ends = both.join(labels.withColumnRenamed("node", "a"), "a").join(labels.select(F.col("node").alias("b"), F.col("root").alias("far")), "b")
-        near = written(ends.where("far < root").groupBy("root").agg(F.min("far").alias("near")))
-        if near.isEmpty():
-            return labels
-        spread = labels.join(near, "root", "left").select("node", F.coalesce("near", "root").alias("root"))
-        labels = written(spread.join(spread.select(F.col("node").alias("root"), F.col("root").alias("top")), "root").select("node", F.least("root", "top").alias("root")))
+    """(node, root): the least node that pairs (a, b) lead to; the order of pairs doesn't matter."""
+    return connected_components(pairs).select("node", F.col("component").alias("root"))
 
 
 @query("ent05_consolidation", """WITH RECURSIVE e AS (SELECT DISTINCT l_partkey AS a, l_suppkey + 1000000 AS b FROM lineitem WHERE l_quantity = 50 AND l_discount > 0.08 AND l_tax > 0.07 AND l_returnflag = 'R'), s AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
@@ -114,5 +90,5 @@ def code_linker(t: Tables) -> DataFrame:
     known = t.part.select("p_brand").distinct()
     rows = t.lineitem.select("l_orderkey", "l_linenumber", F.concat(F.lit("Brand#"), "l_suppkey").alias("exact"), F.concat(F.lit("Brand#"), F.lit(11) + F.col("l_linenumber")).alias("loose"))
     for form in ("exact", "loose"):
-        rows = rows.join(F.broadcast(known.select(F.col("p_brand").alias(form), F.col("p_brand").alias(f"found_{form}"))), form, "left")
+        rows = rows.join(known.select(F.col("p_brand").alias(form), F.col("p_brand").alias(f"found_{form}")), form, "left")
     return rows.select("l_orderkey", "l_linenumber", F.coalesce("found_exact", "found_loose", F.lit("none")).alias("brand"))

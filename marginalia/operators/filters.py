@@ -7,7 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import scratch
 from ..registry import Tables, query
+from .ranges import ranked
 
 
 def tokens(column: str = "p_name") -> Column:
@@ -155,27 +157,16 @@ def mixed_sort(t: Tables) -> DataFrame:
     return ranked(t.supplier, "place", F.col("s_nationkey").asc_nulls_last(), F.col("s_acctbal").desc_nulls_last(), F.col("s_suppkey").asc()).select("s_suppkey", "place")
 
 
-def ranked(df: DataFrame, name: str, *order) -> DataFrame:
-    """``df`` with the place of each row in a total order over all rows, from 1. The sort is by range; only the row
-    counts of the ranges are added up on the way."""
-    ordered = df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id())
-    part, within = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
-    rows = ordered.withColumn("_part", part).withColumn("_within", within)
-    sizes = rows.groupBy("_part").agg(F.count("*").alias("_n"))
-    starts = sizes.alias("x").join(sizes.alias("y"), F.col("y._part") < F.col("x._part"), "left").groupBy(F.col("x._part").alias("_part")).agg(F.coalesce(F.sum("y._n"), F.lit(0)).alias("_start"))
-    return rows.join(F.broadcast(starts), "_part").withColumn(name, F.col("_start") + F.col("_within") + 1).drop("_at", "_part", "_within", "_start")
-
-
-@query("sort02_case_rank", "SELECT o_orderkey, o_orderstatus FROM orders ORDER BY CASE o_orderstatus WHEN 'O' THEN 0 WHEN 'P' THEN 1 ELSE 2 END, o_totalprice DESC, o_orderkey LIMIT 40")
+@query("sort02_case_rank", "SELECT o_orderkey, o_orderstatus, row_number() OVER (ORDER BY CASE o_orderstatus WHEN 'O' THEN 0 WHEN 'P' THEN 1 ELSE 2 END, o_totalprice DESC, o_orderkey) AS place FROM orders")
 def case_rank(t: Tables) -> DataFrame:
     rank = F.when(F.col("o_orderstatus") == "O", 0).when(F.col("o_orderstatus") == "P", 1).otherwise(2)
-    return t.orders.orderBy(rank, F.desc("o_totalprice"), "o_orderkey").limit(40).select("o_orderkey", "o_orderstatus")
+    return ranked(t.orders.select("o_orderkey", "o_orderstatus", "o_totalprice"), "place", rank.asc(), F.desc("o_totalprice"), F.asc("o_orderkey")).select("o_orderkey", "o_orderstatus", "place")
 
 
-@query("sort03_custom_sequence", "SELECT event_id, event_type FROM events ORDER BY coalesce(list_position(['purchase', 'view', 'click'], event_type), 99), event_id LIMIT 40")
+@query("sort03_custom_sequence", "SELECT event_id, event_type, row_number() OVER (ORDER BY coalesce(list_position(['purchase', 'view', 'click'], event_type), 99), event_id) AS place FROM events")
 def custom_sequence(t: Tables) -> DataFrame:
-    place = F.array_position(F.array(*map(F.lit, ("purchase", "view", "click"))), F.col("event_type"))
-    return t.events.orderBy(F.when(place > 0, place).otherwise(99), "event_id").limit(40).select("event_id", "event_type")
+    at = F.array_position(F.array(*map(F.lit, ("purchase", "view", "click"))), F.col("event_type"))
+    return ranked(t.events.select("event_id", "event_type"), "place", F.when(at > 0, at).otherwise(99).asc(), F.asc("event_id"))
 
 
 @query("sort04_inside_array", "SELECT l_orderkey, list_sort(list(l_partkey)) AS parts FROM lineitem GROUP BY l_orderkey")
@@ -237,13 +228,16 @@ def priority_union(t: Tables) -> DataFrame:
     return both.groupBy("doc_id").agg(F.min("place").alias("place")).orderBy("place").limit(40)
 
 
-@query("set03_sentence_difference", r"""WITH s AS (SELECT doc_id, list_distinct(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) AS lines FROM documents)
-    SELECT a.doc_id, CAST(len(list_filter(b.lines, lambda x: NOT list_contains(a.lines, x))) AS INTEGER) AS inserted, CAST(len(list_filter(a.lines, lambda x: NOT list_contains(b.lines, x))) AS INTEGER) AS deleted
-    FROM s a JOIN s b ON b.doc_id = a.doc_id + 1""")
+@query("set03_sentence_difference", r"""WITH s AS (SELECT doc_id, list_distinct(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) AS lines FROM documents),
+    d AS (SELECT a.doc_id, list_filter(b.lines, lambda x: NOT list_contains(a.lines, x)) AS i, list_filter(a.lines, lambda x: NOT list_contains(b.lines, x)) AS d FROM s a JOIN s b ON b.doc_id = a.doc_id + 1)
+    SELECT doc_id, len(i) AS inserted, len(d) AS deleted, sha256(array_to_string(list_sort(i)[1:40], chr(10))) AS inserted_sha, sha256(array_to_string(list_sort(d)[1:40], chr(10))) AS deleted_sha FROM d""")
 def sentence_difference(t: Tables) -> DataFrame:
+    """What one version has and the other has not, both ways: all are counted, forty of each are shown."""
     lines = t.documents.select("doc_id", F.array_distinct(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")).alias("lines"))
     after = lines.select((F.col("doc_id") - 1).alias("doc_id"), F.col("lines").alias("new"))
-    return lines.join(after, "doc_id").select("doc_id", F.size(F.array_except("new", "lines")).alias("inserted"), F.size(F.array_except("lines", "new")).alias("deleted"))
+    both = lines.join(after, "doc_id").select("doc_id", F.array_except("new", "lines").alias("i"), F.array_except("lines", "new").alias("d"))
+    shown = lambda c: F.sha2(F.array_join(F.slice(F.array_sort(c), 1, 40), "\n"), 256)
+    return both.select("doc_id", F.size("i").cast("long").alias("inserted"), F.size("d").cast("long").alias("deleted"), shown("i").alias("inserted_sha"), shown("d").alias("deleted_sha"))
 
 
 @query("set04_shared_tokens", r"""WITH p AS (SELECT p_partkey, p_brand, p_size, list_distinct(string_split_regex(lower(p_name), '\s+')) AS w FROM part)
@@ -283,7 +277,7 @@ def overlaps(t: Tables) -> DataFrame:
 def reversed_containment(t: Tables) -> DataFrame:
     """Texts that contain names of a small fixed list: the list is broadcast, each text is read once."""
     names = t.region.select(F.lower("r_name").alias("name")).unionByName(t.nation.select(F.lower("n_name").alias("name"))).distinct().where(F.length("name") >= 4)
-    return t.documents.select("doc_id", F.lower("text").alias("low")).join(F.broadcast(names), F.contains("low", "name")).groupBy("doc_id").agg(F.count("*").alias("n"))
+    return t.documents.select("doc_id", F.lower("text").alias("low")).join(scratch.maybe_broadcast(names), F.contains("low", "name")).groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
 @query("topk02_recent_window", "SELECT o_orderkey FROM orders ORDER BY coalesce(o_orderdate, TIMESTAMP '1990-01-01') DESC, o_orderkey LIMIT 500")

@@ -2,26 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..registry import Tables, query
 from .filters import tokens
+from .ranges import previous
 
 
 def latest_before(events: DataFrame, prices: DataFrame, by: str, at: str, since: str, tie: str, values: list[str]) -> DataFrame:
     """As-of join: each event with ``values`` of the latest price of its ``by`` that began at or before it (then the highest ``tie``).
 
-    Both sides are put in one ordered stream for each key and the last price is carried forward, so the cost is a sort,
-    not a range join.
+    Both sides are put in one ordered stream for each key and the last price is carried forward, over ranges of time, so
+    a key with a third of all events spreads over many tasks.
     """
     held = F.struct(*values)
     kept = [c for c in events.columns if c != by]
     left = events.select(by, F.col(at).alias("_at"), F.lit(1).alias("_side"), F.lit(None).cast("long").alias("_tie"), F.struct(*kept).alias("_event"), F.lit(None).cast(prices.select(held.alias("h")).schema["h"].dataType).alias("_price"))
     right = prices.select(by, F.col(since).alias("_at"), F.lit(0).alias("_side"), F.col(tie).cast("long").alias("_tie"), F.lit(None).cast(left.schema["_event"].dataType).alias("_event"), held.alias("_price"))
-    order = Window.partitionBy(by).orderBy("_at", "_side", F.asc_nulls_last("_tie")).rowsBetween(Window.unboundedPreceding, 0)
-    carried = left.unionByName(right).withColumn("_price", F.last("_price", ignorenulls=True).over(order)).where("_side = 1")
-    return carried.select(by, *(F.col(f"_event.{c}").alias(c) for c in kept), *(F.col(f"_price.{v}").alias(v) for v in values))
+    carried = previous(left.unionByName(right), [by], ["_at", "_side", "_tie"], "_last", F.col("_price"), F.col("_side") == 0).where("_side = 1")
+    return carried.select(by, *(F.col(f"_event.{c}").alias(c) for c in kept), *(F.col(f"_last.{v}").alias(v) for v in values))
 
 
 @query("join01_inner", "SELECT l_orderkey, l_linenumber, p_brand FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity > 45")

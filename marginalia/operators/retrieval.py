@@ -221,9 +221,9 @@ def beta(t: Tables) -> DataFrame:
     return t.conversations.select("conv_id", "turn", F.round(1 / (1 + F.exp(-(6 * density - 5 * abstraction - 0.5))), 9).alias("beta"))
 
 
-@query("rag14_longest_names", "WITH n AS (SELECT DISTINCT p_brand, p_type AS name FROM part WHERE p_size <= 3), k AS (SELECT * FROM n a WHERE NOT EXISTS (SELECT 1 FROM n b WHERE b.p_brand = a.p_brand AND contains(b.name, a.name) AND length(b.name) > length(a.name))) SELECT p_brand, name FROM k QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY length(name) DESC, name) <= 2")
+@query("rag14_longest_names", "WITH n AS (SELECT DISTINCT p_brand, p_type AS name FROM part), k AS (SELECT * FROM n a WHERE NOT EXISTS (SELECT 1 FROM n b WHERE b.p_brand = a.p_brand AND contains(b.name, a.name) AND length(b.name) > length(a.name))) SELECT p_brand, name FROM k QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY length(name) DESC, name) <= 2")
 def longest_names(t: Tables) -> DataFrame:
-    names = t.part.where("p_size <= 3").select("p_brand", F.col("p_type").alias("name")).distinct()
+    names = t.part.select("p_brand", F.col("p_type").alias("name")).distinct()
     longer = names.select("p_brand", F.col("name").alias("other"))
     kept = names.join(longer, (names["p_brand"] == longer["p_brand"]) & F.contains("other", "name") & (F.length("other") > F.length("name")), "left_anti")
     return kept.withColumn("r", F.row_number().over(Window.partitionBy("p_brand").orderBy(F.desc(F.length("name")), "name"))).where("r <= 2").select("p_brand", "name")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..registry import Tables, query
+from .ranges import previous, running
 
 
 def first_by(df: DataFrame, keys: list[str], *order, n: int = 1) -> DataFrame:
@@ -68,9 +69,11 @@ def dedupe_capped(t: Tables) -> DataFrame:
 
 @query("win08_token_budget", "WITH d AS (SELECT doc_id, source, (length(text) + 3) // 4 AS cost, row_number() OVER w AS pos, sum((length(text) + 3) // 4) OVER w AS used FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id)) SELECT doc_id, CAST(used AS BIGINT) AS used FROM d WHERE used <= 3000 OR pos = 1")
 def token_budget(t: Tables) -> DataFrame:
-    w = Window.partitionBy("source").orderBy("doc_id")
     costs = t.documents.select("doc_id", "source", F.expr("(length(text) + 3) div 4").alias("cost"))
-    return costs.withColumn("pos", F.row_number().over(w)).withColumn("used", F.sum("cost").over(w)).where("used <= 3000 OR pos = 1").select("doc_id", "used")
+    # The first row of a source is the one whose running sum is its own cost; costs may be 0, so the least id decides.
+    first = costs.groupBy("source").agg(F.min("doc_id").alias("first"))
+    used = running(costs, ["source"], ["doc_id"], "used", F.col("cost"))
+    return used.join(first.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).where("used <= 3000 OR doc_id = first").select("doc_id", "used")
 
 
 @query("win10_budgeted_pick", "SELECT p_brand, p_partkey FROM part QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY (p_size = 1) DESC, p_type, p_retailprice DESC, p_partkey) <= 4")
@@ -86,8 +89,9 @@ def state(t: Tables) -> DataFrame:
 @query("win12_seen_before", "SELECT doc_id, lag(doc_id) OVER w AS previous, count(*) OVER (PARTITION BY source, md5(text) ORDER BY doc_id) > 1 AS seen FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id)")
 def seen_before(t: Tables) -> DataFrame:
     hashed = t.documents.select("doc_id", "source", F.md5("text").alias("h"))
-    seen = F.row_number().over(Window.partitionBy("source", "h").orderBy("doc_id")) > 1
-    return hashed.select("doc_id", F.lag("doc_id").over(Window.partitionBy("source").orderBy("doc_id")).alias("previous"), seen.alias("seen"))
+    first = hashed.groupBy("source", "h").agg(F.min("doc_id").alias("first")).toDF("s", "g", "first")
+    rows = previous(hashed, ["source"], ["doc_id"], "previous", F.col("doc_id"))
+    return rows.join(first, F.col("source").eqNullSafe(F.col("s")) & F.col("h").eqNullSafe(F.col("g"))).select("doc_id", "previous", (F.col("first") < F.col("doc_id")).alias("seen"))
 
 
 @query("topk05_per_group", "SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) <= 3")
@@ -97,7 +101,8 @@ def per_group(t: Tables) -> DataFrame:
 
 @query("win04_rank_in_list", "SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) - 1 AS pos FROM documents")
 def rank_in_list(t: Tables) -> DataFrame:
-    return t.documents.select("lang", "doc_id", (F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n_chars"), "doc_id")) - 1).alias("pos"))
+    placed = running(t.documents.select("lang", "doc_id", "n_chars"), ["lang"], [F.desc("n_chars"), F.asc("doc_id")], "place")
+    return placed.select("lang", "doc_id", (F.col("place") - 1).alias("pos"))
 
 
 @query("win09_nearest_ancestor", "WITH c AS (SELECT p_partkey, CAST(p_size AS VARCHAR) || '.' || (p_partkey % 4) || '.' || (p_partkey % 3) AS code FROM part), s AS (SELECT DISTINCT code FROM c WHERE p_partkey % 2 = 0), a AS (SELECT p_partkey, c.code, unnest([split_part(c.code, '.', 1) || '.' || split_part(c.code, '.', 2) || '.0', split_part(c.code, '.', 1) || '.0.0']) AS up, unnest([2, 1]) AS depth FROM c) SELECT p_partkey, arg_max(up, depth) AS ancestor FROM a WHERE up <> code AND up IN (SELECT code FROM s) GROUP BY p_partkey")
