@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import pandas as pd
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import scratch
+from ..functions.texts import BROAD_CUES
 from ..registry import Tables, query
+from .windows import first_by
 
 _D = "CAST({} AS DOUBLE[])"
 
@@ -29,7 +34,7 @@ def nearest(vectors: DataFrame, anchor: DataFrame, k: int, *conditions: Column)
     for c in conditions:
         rows = rows.where(c)
     scored = rows.crossJoin(F.broadcast(anchor)).select("vec_id", "label", (F.round(cosine_distance(F.col("embedding"), F.col("q")), 6) + 0.0).alias("d"))
-    return scored.orderBy("d", "vec_id").limit(k)
+    return scored.orderBy("d", "vec_id").limit(k).select("vec_id", "label", "d")
 
 
 def anchor(t: Tables, vec_id: int = 0) -> DataFrame:
@@ -69,11 +74,50 @@ def nearest_sibling(t: Tables) -> DataFrame:
     return rows.groupBy("label").agg(F.min_by("vec_id", F.when(F.col("d") <= 0.9, F.struct("d", "vec_id"))).alias("vec_id"))
 
 
-@query("vec07_multi_query", f"SELECT q.vec_id AS query_id, e.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_DIST}, e.vec_id) AS place FROM embeddings e, embeddings q WHERE q.vec_id IN (0, 7, 11) QUALIFY place <= 5")
+_QUERIES = f"SELECT q.vec_id AS query_id, e.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_DIST}, e.vec_id) AS place FROM embeddings e, embeddings q"
+
+
+def nearest_to_each(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(query_id, vec_id, place): the k rows nearest to each of ``queries`` (query_id, q); every task keeps k rows a query."""
+    rows = vectors.where(F.col("embedding").isNotNull()).crossJoin(scratch.maybe_broadcast(queries))
+    rows = rows.select("query_id", "vec_id", (F.round(cosine_distance(F.col("embedding"), F.col("q")), 6) + 0.0).alias("d"))
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("d", "vec_id"))).where(F.col("place") <= k).select("query_id", "vec_id", "place")
+
+
+@query("vec07_multi_query", _QUERIES + " WHERE q.vec_id % 50 = 0 QUALIFY place <= 5")
 def multi_query(t: Tables) -> DataFrame:
-    queries = t.embeddings.where("vec_id IN (0, 7, 11)").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    rows = t.embeddings.crossJoin(F.broadcast(queries)).select("query_id", "vec_id", (F.round(cosine_distance(F.col("embedding"), F.col("q")), 6) + 0.0).alias("d"))
-    return rows.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("d", "vec_id"))).where("place <= 5").select("query_id", "vec_id", "place")
+    """One ranked list for each query vector: every fiftieth row against all rows."""
+    return nearest_to_each(t.embeddings, t.embeddings.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), 5)
+
+
+@query("vec03_gates", f"SELECT * FROM (SELECT vec_id, {_DIST} AS d, {_DIST} <= 0.55 AS near, {_DIST} <= 0.35 AS same {_NEAR} ORDER BY d, vec_id LIMIT 40)")
+def gates(t: Tables) -> DataFrame:
+    """The nearest forty first, then both gates: 0.55 for what is near, 0.35 for what counts as the same."""
+    return nearest(t.embeddings, anchor(t), 40).select("vec_id", "d", (F.col("d") <= 0.55).alias("near"), (F.col("d") <= 0.35).alias("same"))
+
+
+@query("vec05_zero_vectors", f"SELECT e.vec_id, coalesce({_DIST}, 1.0) AS distance, coalesce(round(1 - {_DIST}, 6), 0.0) AS similarity, {_DIST} AS known FROM (SELECT vec_id, CASE WHEN vec_id % 10 = 3 THEN NULL ELSE embedding END AS embedding FROM embeddings) e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q")
+def zero_vectors(t: Tables) -> DataFrame:
+    """The three conventions for a vector without length: distance 1, similarity 0, or nothing known."""
+    zeroed = F.when(F.col("vec_id") % 10 == 3, F.transform("embedding", lambda x: F.lit(0.0).cast("float"))).otherwise(F.col("embedding"))
+    rows = t.embeddings.select("vec_id", zeroed.alias("e")).crossJoin(F.broadcast(anchor(t)))
+    at = lambda empty: F.round(cosine_distance(F.col("e"), F.col("q"), empty), 6) + 0.0
+    return rows.select("vec_id", at(1.0).alias("distance"), F.coalesce(F.round(1 - at(None), 6), F.lit(0.0)).alias("similarity"), at(None).alias("known"))
+
+
+@query("vec08_misconceptions", f"SELECT vec_id, {_DIST} AS d {_NEAR} WHERE label IN (1, 2) AND vec_id % 4 <> 1 AND vec_id <> 0 AND {_DIST} <= 0.95 ORDER BY d, vec_id LIMIT 2")
+def misconceptions(t: Tables) -> DataFrame:
+    """The two nearest of the rejected or superseded rows that give a reason and lie within the gate."""
+    status = F.when(F.col("label") == 1, "rejected").when(F.col("label") == 2, "superseded").otherwise("accepted")
+    reason = F.when(F.col("vec_id") % 4 == 1, " ").otherwise("shown to be wrong")
+    rows = t.embeddings.where(status.isin("rejected", "superseded") & (F.trim(reason) != "") & (F.col("vec_id") != 0)).crossJoin(F.broadcast(anchor(t)))
+    scored = rows.select("vec_id", (F.round(cosine_distance(F.col("embedding"), F.col("q")), 6) + 0.0).alias("d"))
+    return scored.where("d <= 0.95").orderBy("d", "vec_id").limit(2)
+
+
+@query("topk03_by_distance", f"SELECT vec_id, label, {_DIST} AS d {_NEAR} ORDER BY d, vec_id LIMIT 25")
+def by_distance(t: Tables) -> DataFrame:
+    return nearest(t.embeddings, anchor(t), 25)
 
 
 def stemmed(text: Column) -> Column:
@@ -85,27 +129,37 @@ def stemmed(text: Column) -> Column:
 _STEM = "list_transform(regexp_extract_all(lower({}), '\\p{{L}}+'), lambda w: regexp_replace(w, '(ing|ed|s)$', ''))"
 
 
-@query("fts01_match", f"SELECT doc_id FROM documents WHERE list_has_all({_STEM.format('text')}, ['the', 'and', 'with'])")
-def text_match(t: Tables) -> DataFrame:
-    words = t.documents.select("doc_id", F.array_distinct(stemmed(F.col("text"))).alias("w"))
-    return words.where(F.array_contains("w", "the") & F.array_contains("w", "and") & F.array_contains("w", "with")).select("doc_id")
+_TERMS = f"""q AS (SELECT item_id AS query_id, unnest(list_distinct(({_STEM.format('text')})[1:2])) AS term FROM (SELECT DISTINCT item_id, text FROM benchmark)), k AS (SELECT query_id, count(*) AS k FROM q GROUP BY 1),
+w AS (SELECT doc_id, {_STEM.format('text')} AS ws FROM documents), p AS (SELECT doc_id, term, max(n) AS n, count(*) AS tf FROM (SELECT doc_id, len(ws) AS n, unnest(ws) AS term FROM w) GROUP BY 1, 2),
+s AS (SELECT query_id, doc_id, round(sum(tf) / max(n), 6) AS score FROM q JOIN p USING (term) JOIN k USING (query_id) GROUP BY 1, 2 HAVING count(*) = max(k))"""
+
+
+def query_terms(t: Tables) -> DataFrame:
+    """(query_id, term, k): the plain terms of each query, here the first two words of each benchmark item, and their number."""
+    terms = F.array_distinct(F.slice(stemmed(F.col("text")), 1, 2))
+    return t.benchmark.select(F.col("item_id").alias("query_id"), F.size(terms).alias("k"), F.explode(terms).alias("term")).distinct()
 
 
-_SCORE = f"WITH w AS (SELECT doc_id, {_STEM.format('text')} AS w FROM documents), s AS (SELECT doc_id, round(len(list_filter(w, lambda x: x IN ('the', 'with'))) / len(w), 6) AS score FROM w WHERE len(w) > 0)"
+def text_scores(t: Tables) -> DataFrame:
+    """(query_id, doc_id, score): the texts that have all terms of a query, with the share of their words that those are.
 
+    One scan makes the postings of the terms of all queries; they are joined by term, so queries share the scan.
+    """
+    asked = query_terms(t)
+    words = t.documents.select("doc_id", stemmed(F.col("text")).alias("ws")).select("doc_id", F.size("ws").alias("n"), F.explode("ws").alias("term"))
+    postings = words.join(asked.select("term").distinct(), "term", "left_semi").groupBy("doc_id", "term").agg(F.max("n").alias("n"), F.count("*").alias("tf"))
+    met = postings.join(asked, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum("tf") / F.max("n"), 6).alias("score"), F.count("*").alias("hit"), F.max("k").alias("k"))
+    return met.where("hit = k").select("query_id", "doc_id", "score")
 
-def text_scores(t: Tables, *terms: str) -> DataFrame:
-    """(doc_id, score): the share of a text's words that the terms are."""
-    # A word has the stem of a term if it is the term, or the term with one of the endings: two counts, no array of words.
-    low = F.lower("text")
-    hits = F.regexp_count(low, F.lit(rf"(?<!\p{{L}})({'|'.join(terms)})(ing|ed|s)?(?!\p{{L}})"))
-    counted = t.documents.select("doc_id", hits.alias("hits"), F.regexp_count(low, F.lit(r"\p{L}+")).alias("n"))
-    return counted.where("n > 0").select("doc_id", F.round(F.col("hits") / F.col("n"), 6).alias("score")).where("score > 0")
+
+@query("fts01_match", f"WITH {_TERMS} SELECT query_id, doc_id FROM s")
+def text_match(t: Tables) -> DataFrame:
+    return text_scores(t).select("query_id", "doc_id")
 
 
-@query("fts02_rank", _SCORE + " SELECT doc_id, score FROM s WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 20")
+@query("fts02_rank", f"WITH {_TERMS} SELECT query_id, doc_id, score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 20")
 def text_rank(t: Tables) -> DataFrame:
-    return text_scores(t, "the", "with").orderBy(F.desc("score"), "doc_id").limit(20)
+    return first_by(text_scores(t), ["query_id"], F.desc("score"), "doc_id", n=20)
 
 
 @query("fts03_fields", "SELECT doc_id, concat_ws(chr(10) || chr(10), lang, nullif(source, 'src0'), left(text, 50)) AS body FROM documents")
@@ -113,42 +167,44 @@ def fields(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.concat_ws("\n\n", "lang", F.nullif("source", F.lit("src0")), F.left("text", F.lit(50))).alias("body"))
 
 
-def fuse(lists: DataFrame, k: int = 60) -> DataFrame:
-    """Reciprocal rank fusion of ``lists`` (list_id, pos from 0, item, bonus): sum of 1 / (k + pos + 1) + bonus; ties by first place, then item."""
-    return lists.groupBy("item").agg(F.round(F.sum(1 / (F.lit(k) + F.col("pos") + 1) + F.col("bonus")), 9).alias("score"), F.min(F.struct("list_id", "pos")).alias("first"))
+def fuse(lists: DataFrame, k: int = 60, *by: str) -> DataFrame:
+    """Reciprocal rank fusion of ``lists`` (``by``, list_id, pos from 0, item, bonus): sum of 1 / (k + pos + 1) + bonus; ties by first place, then item."""
+    return lists.groupBy(*by, "item").agg(F.round(F.sum(1 / (F.lit(k) + F.col("pos") + 1) + F.col("bonus")), 9).alias("score"), F.min(F.struct("list_id", "pos")).alias("first"))
 
 
-_FUSED = f"""{_SCORE}, v AS (SELECT 1 AS list_id, vec_id AS item, row_number() OVER (ORDER BY {_DIST}, vec_id) - 1 AS pos {_NEAR} QUALIFY pos < 30),
-x AS (SELECT 2 AS list_id, doc_id AS item, row_number() OVER (ORDER BY score DESC, doc_id) - 1 AS pos FROM s WHERE score > 0 QUALIFY pos < 30), a AS (SELECT * FROM v UNION ALL SELECT * FROM x)"""
+_LISTS = f"""WITH {_TERMS}, v AS (SELECT query_id, 1 AS list_id, vec_id AS item, place - 1 AS pos FROM ({_QUERIES} WHERE q.vec_id IN (SELECT item_id FROM benchmark) QUALIFY place <= 30)),
+x AS (SELECT query_id, 2 AS list_id, doc_id AS item, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) - 1 AS pos FROM s QUALIFY pos < 30), a AS (SELECT * FROM v UNION ALL SELECT * FROM x)"""
 
 
 def both_lists(t: Tables) -> DataFrame:
-    # Thirty rows each: their places are given in one small window.
-    place = lambda *order: F.row_number().over(Window.orderBy(*order)) - 1
-    by_vector = nearest(t.embeddings, anchor(t), 30).select(F.lit(1).alias("list_id"), F.col("vec_id").alias("item"), place("d", "vec_id").alias("pos"))
-    by_text = text_scores(t, "the", "with").orderBy(F.desc("score"), "doc_id").limit(30)
-    return by_vector.unionByName(by_text.select(F.lit(2).alias("list_id"), F.col("doc_id").alias("item"), place(F.desc("score"), "doc_id").alias("pos")))
+    """(query_id, list_id, item, pos): for each query thirty rows by vector and thirty by text."""
+    asked = t.benchmark.select(F.col("item_id").alias("vec_id")).distinct()
+    vectors = t.embeddings.join(asked, "vec_id", "left_semi").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    by_vector = nearest_to_each(t.embeddings, vectors, 30).select("query_id", F.lit(1).alias("list_id"), F.col("vec_id").alias("item"), (F.col("place") - 1).alias("pos"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
+    by_text = text_scores(t).withColumn("pos", place - 1).where("pos < 30").select("query_id", F.lit(2).alias("list_id"), F.col("doc_id").alias("item"), "pos")
+    return by_vector.unionByName(by_text)
 
 
-@query("rrf01_fusion", _FUSED + " SELECT item, round(sum(1 / (60 + pos + 1)), 9) AS score FROM a GROUP BY item ORDER BY score DESC, min(list_id * 1000 + pos), item LIMIT 15")
+@query("rrf01_fusion", _LISTS + " SELECT query_id, item, round(sum(1 / (60 + pos + 1)), 9) AS score FROM a GROUP BY query_id, item QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, min(list_id * 1000 + pos), item) <= 15")
 def fusion(t: Tables) -> DataFrame:
-    return fuse(both_lists(t).withColumn("bonus", F.lit(0.0))).orderBy(F.desc("score"), "first", "item").limit(15).select("item", "score")
+    return first_by(fuse(both_lists(t).withColumn("bonus", F.lit(0.0)), 60, "query_id"), ["query_id"], F.desc("score"), "first", "item", n=15).select("query_id", "item", "score")
 
 
-@query("rrf02_source_bonus", _FUSED + " SELECT item, round(sum(1 / (60 + pos + 1) + CASE WHEN source LIKE '%1%' THEN 0.008 ELSE 0 END), 9) AS score FROM a LEFT JOIN documents ON doc_id = item GROUP BY item ORDER BY score DESC, min(list_id * 1000 + pos), item LIMIT 15")
+@query("rrf02_source_bonus", _LISTS + " SELECT query_id, item, round(sum(1 / (60 + pos + 1) + CASE WHEN source LIKE '%1%' THEN 0.008 ELSE 0 END), 9) AS score FROM a LEFT JOIN documents ON doc_id = item GROUP BY query_id, item QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, min(list_id * 1000 + pos), item) <= 15")
 def source_bonus(t: Tables) -> DataFrame:
     sources = t.documents.select(F.col("doc_id").alias("item"), "source")
-    lists = F.broadcast(both_lists(t)).join(sources, "item", "left").withColumn("bonus", F.when(F.contains("source", F.lit("1")), 0.008).otherwise(0.0))
-    return fuse(lists).orderBy(F.desc("score"), "first", "item").limit(15).select("item", "score")
+    lists = both_lists(t).join(sources, "item", "left").withColumn("bonus", F.when(F.contains("source", F.lit("1")), 0.008).otherwise(0.0))
+    return first_by(fuse(lists, 60, "query_id"), ["query_id"], F.desc("score"), "first", "item", n=15).select("query_id", "item", "score")
 
 
-@query("rag01_hybrid", _FUSED + ", f AS (SELECT item, round(sum(1 / (60 + pos + 1)), 9) AS score, min(list_id * 1000 + pos) AS first FROM a GROUP BY item) SELECT doc_id, source, score, left(text, 60) AS snippet FROM f JOIN documents ON doc_id = item QUALIFY row_number() OVER (PARTITION BY source, lang ORDER BY score DESC, first, item) = 1 ORDER BY score DESC, first, item LIMIT 8")
+@query("rag01_hybrid", _LISTS + ", f AS (SELECT query_id, item, round(sum(1 / (60 + pos + 1)), 9) AS score, min(list_id * 1000 + pos) AS first FROM a GROUP BY 1, 2), d AS (SELECT query_id, doc_id, source, score, first, left(text, 60) AS snippet FROM f JOIN documents ON doc_id = item QUALIFY row_number() OVER (PARTITION BY query_id, source, lang ORDER BY score DESC, first, item) = 1) SELECT query_id, doc_id, source, score, snippet FROM d QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first, doc_id) <= 8")
 def hybrid(t: Tables) -> DataFrame:
-    """Vector and text lists fused, joined to their rows, one row for each source and language, best first."""
-    fused = fuse(both_lists(t).withColumn("bonus", F.lit(0.0)))
-    rows = F.broadcast(fused).join(t.documents, F.col("item") == F.col("doc_id"))
-    best = rows.withColumn("r", F.row_number().over(Window.partitionBy("source", "lang").orderBy(F.desc("score"), "first", "item"))).where("r = 1")
-    return best.orderBy(F.desc("score"), "first", "item").limit(8).select("doc_id", "source", "score", F.left("text", F.lit(60)).alias("snippet"))
+    """Vector and text lists of each query fused, joined to their rows, one row for each source and language, the best eight."""
+    fused = fuse(both_lists(t).withColumn("bonus", F.lit(0.0)), 60, "query_id")
+    heads = t.documents.select(F.col("doc_id").alias("item"), "source", "lang", F.left("text", F.lit(60)).alias("snippet"))
+    rows = first_by(fused.join(heads, "item"), ["query_id", "source", "lang"], F.desc("score"), "first", "item")
+    return first_by(rows, ["query_id"], F.desc("score"), "first", "item", n=8).select("query_id", F.col("item").alias("doc_id"), "source", "score", "snippet")
 
 
 @query("rag06_mmr_budget")
@@ -173,10 +229,17 @@ def mmr_budget(t: Tables) -> DataFrame:
     return placed.withColumn("used", used).where("used <= 12000 OR place = 1").select("lang", "doc_id", "place", "used")
 
 
-@query("rag07_trust_weight", "SELECT doc_id, greatest(0.05, least(1.0, (0.5 + 0.5 * quality) * (1 - 0.6 * toxic) * (CASE WHEN doc_id % 2 = 0 THEN 1.0 ELSE 0.8 END))) AS weight FROM labels")
+@query("rag07_trust_weight", """WITH c AS (SELECT md5(text) AS h, count(DISTINCT source) AS n FROM documents GROUP BY 1), m AS (SELECT max(doc_id) AS m FROM documents)
+    SELECT l.doc_id, round(greatest(0.05, least(1.0, (0.5 + 0.5 * quality) * (CASE WHEN toxic = 1 THEN 0.4 ELSE 1.0 END) * (1 - pow(0.5, n)) * exp(-ln(2) * (m - l.doc_id) / greatest(1, m)))), 9) AS weight FROM labels l JOIN documents d ON d.doc_id = l.doc_id JOIN c ON h = md5(text), m""")
 def trust_weight(t: Tables) -> DataFrame:
-    product = (0.5 + 0.5 * F.col("quality")) * (1 - 0.6 * F.col("toxic")) * F.when(F.col("doc_id") % 2 == 0, 1.0).otherwise(0.8)
-    return t.labels.select("doc_id", F.greatest(F.lit(0.05), F.least(F.lit(1.0), product)).alias("weight"))
+    """Authority, verification, corroboration by sources with the same text, and recency, multiplied and kept within 0.05 and 1."""
+    hashed = t.documents.select("doc_id", "source", F.md5("text").alias("h"))
+    sources = hashed.groupBy("h").agg(F.countDistinct("source").alias("n"))
+    rows = t.labels.join(hashed, "doc_id").join(sources, "h").crossJoin(F.broadcast(t.documents.agg(F.max("doc_id").alias("m"))))
+    authority, verified = 0.5 + 0.5 * F.col("quality"), F.when(F.col("toxic") == 1, 0.4).otherwise(1.0)
+    recency = F.exp(-F.log(F.lit(2.0)) * (F.col("m") - F.col("doc_id")) / F.greatest(F.lit(1), F.col("m")))
+    product = authority * verified * (1 - F.pow(F.lit(0.5), F.col("n"))) * recency
+    return rows.select("doc_id", F.round(F.greatest(F.lit(0.05), F.least(F.lit(1.0), product)), 9).alias("weight"))
 
 
 #: Half-lives in days by tier; null never decays. Fixed values.
@@ -201,17 +264,94 @@ def trust_gate(t: Tables) -> DataFrame:
     return rows.groupBy("source").agg(F.when(official, "official").when(F.max(F.col("quality") * 0.3) >= 0.28, "community").otherwise("none").alias("gate"))
 
 
-@query("rag10_router", r"SELECT conv_id, turn, CASE WHEN regexp_matches(text, '\?') THEN 'question' WHEN length(text) < 60 THEN 'short' WHEN regexp_matches(lower(text), '(^|[^\pL])(the|la|der)([^\pL]|$)') THEN 'statement' ELSE 'other' END AS route FROM conversations")
+#: What the kinds of questions are told by, in order, and the cues of the retrieval modes.
+ROUTES = {
+    "tournament": r"\b(toernooi|tournament|ronde|rondes|judge|penalt|mulligan|match|best of|swiss|top ?cut|deck ?check|tijdslimiet|time limit)\b",
+    "legality": r"\b(ban|banned|banlijst|banlist|verboden|legaal|legal|legaliteit|rotatie|rotation|toegestaan|hoeveel (kopie|exemplar)|deck ?(bouw|construction|limiet)|4x|playset)\b",
+    "list": r"\b(welke|which|what|noem)\b[^.?!]{0,60}\b(kaarten|cards)\b|\bwelke\b[^.?!]{0,60}\bzijn er\b|\b(geef|maak|toon|give|show)\b[^.?!]{0,40}\b(overzicht|lijst|overview|list)\b|\b(overzicht|lijst) van\b|\blist all\b|\balle? (kaarten|cards)\b|\bde meta\b|\bmeta ?-?(decks?|kaarten|cards|overzicht)\b",
+    "card": r"\b(wat doet|what does|hoe werkt de kaart|kaarttekst van)\b",
+    "definition": r"^\s*(wat (is|zijn|betekent|betekenen|doet het keyword)|what (is|are|does .* mean)|leg .*uit|explain)\b",
+}
+CAUSAL = r"\b(waarom|why|hoezo|hoe komt|hoe kan|wat maakt|wat gebeurt er als|verliest|wint|beats|loses?|verslaat|voorrang|precede|because)\b"
+INTERACTION = r"\b(werkt .* (samen|met)|combineer|combo|interact|samen met|tegen|counter|stapel|stack|reageer|response op|triggert)\b"
+MISCONCEPTION = r"\b(klopt het dat|is het waar|mag je altijd|kun je altijd|moet je altijd|is it true|can you always)\b"
+
+
+def question_kind(question: Column, mentions: Column) -> Column:
+    """The kind of a question by the first rule that fits; a question about a card needs the mention of one, a definition must have none."""
+    fits = {k: question.rlike(f"(?i){p}") for k, p in ROUTES.items()}
+    return F.when(fits["tournament"], "tournament").when(fits["legality"], "legality").when(fits["list"], "list").when(fits["card"] & mentions, "card").when(fits["definition"] & ~mentions, "definition").otherwise("ruling")
+
+
+def retrieval_mode(kind: Column, question: Column, entities: Column, elapsed_ms: Column, warm: Column, budget_ms: int = 4_000) -> Column:
+    """(mode, hops, drift, path, fallback): how to retrieve for a question of a kind that names so many entities; over the
+    budget only what is local is left, and without a warm graph no paths."""
+    cue = lambda p: question.rlike(f"(?i){p}")
+    several = entities >= 2
+    pick = lambda mode, hops, drift, path: F.struct(F.lit(mode).alias("mode"), F.lit(hops).alias("hops") if isinstance(hops, int) else hops.alias("hops"), drift.alias("drift"), path.alias("path"))
+    yes, no = F.lit(True), F.lit(False)
+    chosen = F.when(kind == "legality", pick("direct", 0, no, no)).when((kind == "list") | cue(BROAD_CUES), pick("global", 1, no, no))
+    chosen = chosen.when(cue(CAUSAL) & several, pick("path", 2, yes, yes)).when(cue(INTERACTION) & several, pick("drift", 2, yes, yes)).when(cue(MISCONCEPTION), pick("drift", 2, yes, yes))
+    chosen = chosen.when(kind == "definition", pick("local", 1, no, no)).when(kind == "card", pick("local", 1, several, no)).otherwise(pick("drift", F.when(several, 2).otherwise(1), yes, several))
+    late, cold = elapsed_ms >= budget_ms, chosen["path"] & ~warm
+    mode = F.when(late, "local").when(cold & (chosen["mode"] == "path"), "drift").otherwise(chosen["mode"])
+    hops = F.when(late, F.greatest(F.lit(1), chosen["hops"])).otherwise(chosen["hops"])
+    fallback = F.when(late, "latency").when(cold, "cold")
+    return F.struct(mode.alias("mode"), hops.alias("hops"), (chosen["drift"] & ~late).alias("drift"), (chosen["path"] & ~late & warm).alias("path"), fallback.alias("fallback"))
+
+
+def asked(t: Tables) -> DataFrame:
+    """(conv_id, turn, question, entities, elapsed_ms, warm): the turns of conversations with openings that the routes tell apart."""
+    openings = F.array(*(F.lit(x) for x in OPENINGS))
+    question = F.concat(F.element_at(openings, (F.pmod("conv_id", F.lit(len(OPENINGS))) + 1).cast("int")), "text")
+    entities = F.size(F.array_distinct(F.regexp_extract_all("text", F.lit("([A-Z][a-z]{5,})"))))
+    return t.conversations.where("text IS NOT NULL").select("conv_id", "turn", question.alias("question"), entities.alias("entities"), (F.length("text") * 10).alias("elapsed_ms"), (F.col("turn") % 2 == 0).alias("warm"))
+
+
+OPENINGS = ("", "What is ", "Which cards have ", "Is it legal that ", "what does it do: ", "In a match ", "Why does it beat ", "Is it true that ", "combo ")
+_ASKED = "asked AS (SELECT conv_id, turn, [" + ", ".join(f"'{x}'" for x in OPENINGS) + f"][conv_id % {len(OPENINGS)} + 1] || text AS question, len(list_distinct(regexp_extract_all(text, '[A-Z][a-z]{{5,}}'))) AS entities, length(text) * 10 AS elapsed_ms, turn % 2 = 0 AS warm FROM conversations WHERE text IS NOT NULL)"
+_FIT = {k: f"regexp_matches(question, '(?i){p}')" for k, p in (ROUTES | {"broad": BROAD_CUES, "causal": CAUSAL, "interaction": INTERACTION, "misconception": MISCONCEPTION}).items()}
+_KIND = f"CASE WHEN {_FIT['tournament']} THEN 'tournament' WHEN {_FIT['legality']} THEN 'legality' WHEN {_FIT['list']} THEN 'list' WHEN {_FIT['card']} AND entities > 0 THEN 'card' WHEN {_FIT['definition']} AND entities = 0 THEN 'definition' ELSE 'ruling' END"
+
+
+@query("rag10_router", f"WITH {_ASKED} SELECT conv_id, turn, {_KIND} AS route FROM asked")
 def router(t: Tables) -> DataFrame:
-    text = F.col("text")
-    route = F.when(text.rlike(r"\?"), "question").when(F.length(text) < 60, "short").when(F.lower(text).rlike(r"(^|[^\pL])(the|la|der)([^\pL]|$)"), "statement").otherwise("other")
-    return t.conversations.select("conv_id", "turn", route.alias("route"))
+    return asked(t).select("conv_id", "turn", question_kind(F.col("question"), F.col("entities") > 0).alias("route"))
 
 
-@query("rag11_mode", "SELECT conv_id, CASE WHEN count(*) > 4 THEN 'graph' WHEN sum(length(text)) > 1500 THEN 'hybrid' ELSE 'text' END AS mode, max(length(text)) <= 4000 AS warm FROM conversations GROUP BY conv_id")
+@query("rag11_mode", f"""WITH {_ASKED}, k AS (SELECT *, {_KIND} AS kind FROM asked),
+    c AS (SELECT *, CASE WHEN kind = 'legality' THEN ['direct', '0', '', ''] WHEN kind = 'list' OR {_FIT['broad']} THEN ['global', '1', '', ''] WHEN {_FIT['causal']} AND entities >= 2 THEN ['path', '2', 'y', 'y'] WHEN {_FIT['interaction']} AND entities >= 2 THEN ['drift', '2', 'y', 'y'] WHEN {_FIT['misconception']} THEN ['drift', '2', 'y', 'y']
+      WHEN kind = 'definition' THEN ['local', '1', '', ''] WHEN kind = 'card' THEN ['local', '1', CASE WHEN entities >= 2 THEN 'y' ELSE '' END, ''] ELSE ['drift', CASE WHEN entities >= 2 THEN '2' ELSE '1' END, 'y', CASE WHEN entities >= 2 THEN 'y' ELSE '' END] END AS m FROM k)
+    SELECT conv_id, turn, CASE WHEN elapsed_ms >= 4000 THEN 'local' WHEN m[4] = 'y' AND NOT warm AND m[1] = 'path' THEN 'drift' ELSE m[1] END AS mode, CASE WHEN elapsed_ms >= 4000 THEN greatest(1, CAST(m[2] AS INTEGER)) ELSE CAST(m[2] AS INTEGER) END AS hops,
+      m[3] = 'y' AND elapsed_ms < 4000 AS drift, m[4] = 'y' AND elapsed_ms < 4000 AND warm AS path, CASE WHEN elapsed_ms >= 4000 THEN 'latency' WHEN m[4] = 'y' AND NOT warm THEN 'cold' END AS fallback FROM c""")
 def mode(t: Tables) -> DataFrame:
-    chosen = F.when(F.count("*") > 4, "graph").when(F.sum(F.length("text")) > 1500, "hybrid").otherwise("text")
-    return t.conversations.groupBy("conv_id").agg(chosen.alias("mode"), (F.max(F.length("text")) <= 4000).alias("warm"))
+    kind = question_kind(F.col("question"), F.col("entities") > 0)
+    rows = asked(t).withColumn("kind", kind)
+    return rows.select("conv_id", "turn", retrieval_mode(F.col("kind"), F.col("question"), F.col("entities"), F.col("elapsed_ms"), F.col("warm")).alias("m")).select("conv_id", "turn", "m.*")
+
+
+def channel(name: str, build: Callable[[], DataFrame], like: DataFrame, failed: list[str]) -> DataFrame:
+    """The rows of a retrieval channel; if it fails, none in the schema of ``like``, and its name is added to ``failed``.
+
+    The rows are written out here, so that a failure shows in this channel and not in the query that it is part of.
+    """
+    try:
+        return scratch.materialize(build().select(like.columns), name)
+    except (PySparkException, Py4JError):
+        failed.append(name)
+        return like.limit(0)
+
+
+@query("rag15_degraded", "SELECT 'parts' AS channel, p_partkey AS id, 'vectors' AS failed FROM part WHERE p_size = 7 UNION ALL SELECT 'orders', o_orderkey, 'vectors' FROM orders WHERE o_totalprice > 400000")
+def degraded(t: Tables) -> DataFrame:
+    """Three channels, of which the second can't be read: the others answer, and its name stands beside the rows."""
+    like, failed = t.part.select(F.lit("").alias("channel"), F.col("p_partkey").alias("id")), []
+    found = [
+        channel("parts", lambda: t.part.where("p_size = 7").select(F.lit("parts").alias("channel"), F.col("p_partkey").alias("id")), like, failed),
+        channel("vectors", lambda: t.no_such_table.select(F.lit("vectors").alias("channel"), F.col("vec_id").alias("id")), like, failed),
+        channel("orders", lambda: t.orders.where("o_totalprice > 400000").select(F.lit("orders").alias("channel"), F.col("o_orderkey").alias("id")), like, failed),
+    ]
+    return found[0].unionByName(found[1]).unionByName(found[2]).withColumn("failed", F.lit(",".join(failed)))
 
 
 @query("rag12_beta", "SELECT conv_id, turn, round(1 / (1 + exp(-(6 * d - 5 * a - 0.5))), 9) AS beta FROM (SELECT conv_id, turn, len(regexp_extract_all(text, '[A-Z]')) / greatest(1, length(text)) AS d, least(1.0, length(text) / 2000.0) AS a FROM conversations)")
@@ -229,15 +369,12 @@ def longest_names(t: Tables) -> DataFrame:
     return kept.withColumn("r", F.row_number().over(Window.partitionBy("p_brand").orderBy(F.desc(F.length("name")), "name"))).where("r <= 2").select("p_brand", "name")
 
 
-_LAYER = "l{0} AS (SELECT '{1}' AS layer, doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS pos FROM s JOIN documents USING (doc_id) WHERE score > 0 AND lang = '{1}' QUALIFY pos <= 5)"
-
-
-@query("rag02_layers", f"{_SCORE}, {_LAYER.format(1, 'en')}, {_LAYER.format(2, 'de')} SELECT layer, doc_id, round_even(1 / (60.0 + pos), 4) AS score FROM (SELECT * FROM l1 UNION ALL SELECT * FROM l2)")
+@query("rag02_layers", f"WITH {_TERMS} SELECT query_id, lang AS layer, doc_id, round_even(1 / (60.0 + row_number() OVER (PARTITION BY query_id, lang ORDER BY score DESC, doc_id)), 4) AS score FROM s JOIN documents USING (doc_id) QUALIFY row_number() OVER (PARTITION BY query_id, lang ORDER BY score DESC, doc_id) <= 5")
 def layers(t: Tables) -> DataFrame:
-    """The best five of each layer, with the fused score of their place."""
-    scored = text_scores(t, "the", "with").join(t.documents.select("doc_id", F.col("lang").alias("layer")), "doc_id").where(F.col("layer").isin("en", "de"))
-    placed = scored.withColumn("pos", F.row_number().over(Window.partitionBy("layer").orderBy(F.desc("score"), "doc_id"))).where("pos <= 5")
-    return placed.select("layer", "doc_id", F.bround(1 / (60.0 + F.col("pos")), 4).alias("score"))
+    """The best five of each layer for each query, with the fused score of their place; the languages are the layers."""
+    scored = text_scores(t).join(t.documents.select("doc_id", F.col("lang").alias("layer")), "doc_id")
+    placed = scored.withColumn("pos", F.row_number().over(Window.partitionBy("query_id", "layer").orderBy(F.desc("score"), "doc_id"))).where("pos <= 5")
+    return placed.select("query_id", "layer", "doc_id", F.bround(1 / (60.0 + F.col("pos")), 4).alias("score"))
 
 
 @query("rag03_backfill", "WITH c AS (SELECT conv_id, turn, CAST(unnest(regexp_extract_all(text, '[A-Z][a-z]{3,}')) AS VARCHAR) AS code FROM conversations), d AS (SELECT doc_id, split_part(text, ' ', 1) AS code FROM documents) SELECT conv_id, c.code, min(doc_id) AS doc_id FROM c JOIN d ON d.code = c.code GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY c.code) <= 6")

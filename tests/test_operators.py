@@ -9,9 +9,10 @@ from marginalia.functions.scalars import squeezed
 from marginalia.operators.aggregates import all_co_occurrence, co_occurrence, noisy_or
 from marginalia.operators.changes import flips, grounded, upserted
 from marginalia.operators.entities import consolidated
-from marginalia.operators.filters import page, ranked
+from marginalia.operators.filters import page
 from marginalia.operators.graph import shortest_paths
 from marginalia.operators.joins import latest_before
+from marginalia.operators.ranges import previous, ranked, running
 from marginalia.operators.retrieval import fuse
 from marginalia.streaming import streams
 
@@ -112,8 +113,24 @@ def test_shortest_paths_stop_at_the_bound(spark):
 
 
 def test_ranked_numbers_all_rows_without_gaps(spark):
-    rows = spark.range(0, 1000).select(((F.col("id") * 37) % 1000).alias("x"))
-    assert ranked(rows, "r", F.asc("x")).where("r <> x + 1").count() == 0
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    rows = spark.range(0, 1_000_000).select(((F.col("id") * 7919) % 1_000_000).alias("x"), F.sha2(F.col("id").cast("string"), 512).alias("wide"))
+    assert ranked(rows, "r", F.asc("x")).agg(F.count("*"), F.count_if(F.col("r") != F.col("x") + 1)).first() == (1_000_000, 0)
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_running_sums_and_carried_values_over_ranges(spark):
+    rows = [("hot" if k % 3 else None if k % 2 else "x", (k * 37) % 301, k % 5) for k in range(301)]
+    df, want, sums, last = spark.createDataFrame(rows, "k string, at long, v long").repartition(3), {}, {}, {}
+    for k, at, v in sorted(rows, key=lambda r: r[1]):
+        sums[k] = sums.get(k, 0) + v
+        want[at] = (sums[k], last.get((k, "any")), last.get((k, "odd")))
+        last[k, "any"] = at
+        if v % 2:
+            last[k, "odd"] = v
+    got = running(df, ["k"], ["at"], "s", F.col("v"))
+    got = previous(previous(got, ["k"], ["at"], "p", F.col("at")), ["k"], ["at"], "o", F.col("v"), F.col("v") % 2 == 1)
+    assert {r["at"]: (r.s, r.p, r.o) for r in got.collect()} == want
 
 
 def test_page_clamps_its_number(spark):
