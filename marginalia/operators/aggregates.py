@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.texts import _PARTS_SQL, printed_id, printed_ids
 from ..registry import Tables, query
 from .joins import _TARIFF, latest_before, tariff
 from .ranges import ranked
+from .windows import first_by
 
 
 def ratio(a, b, empty: float = 0.0) -> Column:
@@ -308,3 +310,74 @@ def dossier(t: Tables) -> DataFrame:
     top = t.lineitem.withColumn("r", F.row_number().over(by)).where("r <= 5").groupBy("l_suppkey").agg(F.array_sort(F.collect_list(F.struct("r", "l_orderkey"))).alias("x"))
     counts = t.lineitem.groupBy("l_suppkey").agg(F.count("*").alias("n_lines"), F.countDistinct("l_partkey").alias("n_parts"))
     return counts.join(top, "l_suppkey").select("l_suppkey", "n_lines", "n_parts", F.col("x.l_orderkey").alias("newest"))
+
+
+_USAGE = _COST.replace("e AS (SELECT *,", "e AS (SELECT x.*, CAST(json_extract_string(props, '$.k') AS INTEGER) % 3 AS kind,")
+
+
+@query("agg12_usage", _USAGE + """, g AS (SELECT CASE grouping(event_type, kind, user_id) WHEN 7 THEN 'total' WHEN 3 THEN 'model' WHEN 1 THEN 'kind' ELSE 'user' END AS level, event_type, kind, user_id, count(*) AS calls, sum(units) AS units, count(*) FILTER (price IS NULL) AS unpriced, CAST(coalesce(sum(units * price), 0) * 100 AS BIGINT) AS c FROM e GROUP BY GROUPING SETS ((), (event_type), (event_type, kind), (user_id))),
+    f AS (SELECT * EXCLUDE (c), (c // 10 + CASE WHEN c % 10 > 5 OR (c % 10 = 5 AND (c // 10) % 2 = 1) THEN 1 ELSE 0 END) / 10000 AS usd FROM g)
+    SELECT * FROM f WHERE level <> 'user' UNION ALL (SELECT * FROM f WHERE level = 'user' ORDER BY usd DESC, user_id LIMIT 15)""")
+def usage(t: Tables) -> DataFrame:
+    """Calls, units, unpriced calls and cost (four places, half to even) in total, by model, by model and kind, and of the 15 dearest users."""
+    units, kind = F.round("value", 0).cast("long"), F.get_json_object("props", "$.k").cast("int") % 3
+    priced = latest_before(t.events.select("event_type", "event_id", "ts", "user_id", kind.alias("kind"), units.alias("units")), tariff(t), "event_type", "ts", "effective_from", "id", ["price"])
+    sets = priced.groupingSets([[], [F.col("event_type")], [F.col("event_type"), F.col("kind")], [F.col("user_id")]], F.col("event_type"), F.col("kind"), F.col("user_id"))
+    level = F.grouping_id("event_type", "kind", "user_id")
+    g = sets.agg(F.when(level == 7, "total").when(level == 3, "model").when(level == 1, "kind").otherwise("user").alias("level"), F.count("*").alias("calls"), F.sum("units").alias("units"), F.count_if(F.col("price").isNull()).alias("unpriced"), F.bround(F.coalesce(F.sum(F.col("units") * F.col("price")), F.lit(0)) * F.lit("0.001").cast("decimal(4,3)"), 4).cast("double").alias("usd"))
+    top = g.where("level = 'user'").orderBy(F.desc("usd"), "user_id").limit(15)
+    return g.where("level <> 'user'").unionByName(top).select("level", "event_type", "kind", "user_id", "calls", "units", "unpriced", "usd")
+
+
+@query("agg10_co_played", """WITH pool AS (SELECT o_orderkey FROM orders ORDER BY o_orderdate DESC NULLS LAST, o_orderkey LIMIT 500), b AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM pool))
+    SELECT x.l_partkey, y.l_partkey AS other, count(*) AS decks FROM b x JOIN b y ON x.l_orderkey = y.l_orderkey AND x.l_partkey <> y.l_partkey GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY x.l_partkey ORDER BY count(*) DESC, y.l_partkey) <= 5""")
+def co_played(t: Tables) -> DataFrame:
+    """The five items that the newest 500 orders hold most often together with each item."""
+    pool = t.orders.orderBy(F.desc_nulls_last("o_orderdate"), "o_orderkey").limit(500).select(F.col("o_orderkey").alias("l_orderkey"))
+    b = t.lineitem.join(F.broadcast(pool), "l_orderkey", "left_semi").select("l_orderkey", "l_partkey").distinct()
+    pairs = b.join(b.withColumnRenamed("l_partkey", "other"), "l_orderkey").where("l_partkey <> other").groupBy("l_partkey", "other").agg(F.count("*").alias("decks"))
+    return first_by(pairs, ["l_partkey"], F.desc("decks"), "other", n=5)
+
+
+@query("agg14_accept_rates", "SELECT user_id, count(*) AS candidates, round(CASE WHEN count(*) FILTER (event_type IN ('purchase', 'click')) = 0 THEN 0 ELSE count(*) FILTER (event_type = 'purchase') / count(*) FILTER (event_type IN ('purchase', 'click')) END, 9) AS precision, round(count(*) FILTER (event_type = 'purchase') / count(*), 9) AS accepted FROM events GROUP BY 1")
+def accept_rates(t: Tables) -> DataFrame:
+    """Precision among what was judged, and the share of all candidates that were accepted."""
+    verified, rejected = F.count_if(F.col("event_type") == "purchase"), F.count_if(F.col("event_type") == "click")
+    return t.events.groupBy("user_id").agg(F.count("*").alias("candidates"), F.round(ratio(verified, verified + rejected), 9).alias("precision"), F.round(ratio(verified, F.count("*")), 9).alias("accepted"))
+
+
+@query("agg26_phases", "WITH l AS (SELECT event_type, value FROM events ORDER BY ts DESC, event_id DESC LIMIT 50) SELECT event_type, count(*) AS n, CAST(trunc(avg(value)) AS INTEGER) AS mean FROM l GROUP BY 1")
+def phase_means(t: Tables) -> DataFrame:
+    """The mean of each phase over the last fifty rows, its fraction cut off."""
+    last = t.events.orderBy(F.desc("ts"), F.desc("event_id")).limit(50)
+    return last.groupBy("event_type").agg(F.count("*").alias("n"), F.avg("value").cast("int").alias("mean"))
+
+
+@query("agg17_coverage", f"""WITH {_PARTS_SQL}, v AS (SELECT set_code, total, count(*) AS n FROM ids WHERE NOT special AND total IS NOT NULL GROUP BY 1, 2), w AS (SELECT set_code, total AS base FROM v QUALIFY row_number() OVER (PARTITION BY set_code ORDER BY n DESC, total DESC) = 1),
+    j AS (SELECT ids.*, base FROM ids LEFT JOIN w USING (set_code)) SELECT set_code, base, count(DISTINCT number) FILTER (NOT special AND suffix = '' AND total = base AND number BETWEEN 1 AND base) AS present, coalesce(base, 0) - count(DISTINCT number) FILTER (NOT special AND suffix = '' AND total = base AND number BETWEEN 1 AND base) AS missing,
+      count(*) FILTER (special OR suffix <> '' OR (total IS NOT NULL AND total IS DISTINCT FROM base) OR coalesce(number > base, false)) AS variants, count(*) FILTER (total IS NOT NULL AND total IS DISTINCT FROM base) AS deviations FROM j GROUP BY 1, 2""")
+def coverage(t: Tables) -> DataFrame:
+    """Sets by the total most of their ids vote for (ties: the larger): numbers present and missing, variants, ids with another total."""
+    ids = printed_ids(t).select(printed_id(F.col("code")).alias("p")).where("p IS NOT NULL").select(F.col("p.set").alias("set_code"), "p.number", "p.suffix", "p.total", "p.special")
+    votes = ids.where("NOT special AND total IS NOT NULL").groupBy("set_code", "total").agg(F.count("*").alias("n"))
+    base = votes.groupBy("set_code").agg(F.max(F.struct("n", "total")).alias("w")).select("set_code", F.col("w.total").alias("base"))
+    plain = F.expr("NOT special AND suffix = '' AND total = base AND number BETWEEN 1 AND base")
+    other = F.expr("total IS NOT NULL AND NOT (total <=> base)")
+    rows = ids.join(base, "set_code", "left").groupBy("set_code", "base")
+    found = rows.agg(F.countDistinct(F.when(plain, F.col("number"))).alias("present"), F.count_if(F.expr("special OR suffix <> '' OR coalesce(number > base, false)") | other).alias("variants"), F.count_if(other).alias("deviations"))
+    return found.select("set_code", "base", "present", (F.coalesce("base", F.lit(0)) - F.col("present")).alias("missing"), "variants", "deviations")
+
+
+@query("agg35_lift", """WITH h AS (SELECT DISTINCT least(a.p_partkey, b.p_partkey) AS a, greatest(a.p_partkey, b.p_partkey) AS b FROM part a JOIN part b ON a.p_name = b.p_name AND a.p_type = b.p_type AND a.p_partkey <> b.p_partkey), g AS (SELECT DISTINCT x.l_partkey AS a, y.l_partkey AS b FROM lineitem x JOIN lineitem y ON x.l_orderkey = y.l_orderkey AND x.l_partkey < y.l_partkey),
+    n AS (SELECT count(*) AS n FROM part), c AS (SELECT (SELECT n * (n - 1) // 2 FROM n) AS blind, (SELECT count(*) FROM h) AS hypotheses, (SELECT count(*) FROM h JOIN g USING (a, b)) AS hits, (SELECT count(*) FROM g) AS gold)
+    SELECT blind, hypotheses, round(blind / greatest(1, hypotheses), 6) AS reduction, hits, round(CASE WHEN hypotheses = 0 THEN 0 ELSE hits / hypotheses END, 9) AS precision, round(CASE WHEN blind = 0 THEN 0 ELSE gold / blind END, 9) AS base_rate, round(CASE WHEN gold > 0 AND hypotheses > 0 THEN (hits / hypotheses) / (gold / blind) END, 6) AS lift FROM c""")
+def hypothesis_lift(t: Tables) -> DataFrame:
+    """How far hypotheses (items alike in name and type) cut down all pairs, and how much oftener than any pair they hold (items ordered together)."""
+    p = t.part.select("p_partkey", "p_name", "p_type")
+    h = p.withColumnRenamed("p_partkey", "a").join(p.withColumnRenamed("p_partkey", "b"), ["p_name", "p_type"]).where("a < b").select("a", "b")
+    b = t.lineitem.select("l_orderkey", "l_partkey").distinct()
+    gold = b.withColumnRenamed("l_partkey", "a").join(b.withColumnRenamed("l_partkey", "b"), "l_orderkey").where("a < b").select("a", "b").distinct()
+    marked = h.withColumn("hypothesis", F.lit(1)).join(gold.withColumn("gold", F.lit(1)), ["a", "b"], "full")
+    c = marked.agg(F.count("hypothesis").alias("hypotheses"), F.count_if(F.col("hypothesis").isNotNull() & F.col("gold").isNotNull()).alias("hits"), F.count("gold").alias("gold")).crossJoin(t.part.agg(F.expr("count(*) * (count(*) - 1) div 2").alias("blind")))
+    precision, rate = ratio(F.col("hits"), F.col("hypotheses")), ratio(F.col("gold"), F.col("blind"))
+    return c.select("blind", "hypotheses", F.round(F.col("blind") / F.greatest(F.lit(1), F.col("hypotheses")), 6).alias("reduction"), "hits", F.round(precision, 9).alias("precision"), F.round(rate, 9).alias("base_rate"), F.round(F.when((rate > 0) & (F.col("hypotheses") > 0), precision / rate), 6).alias("lift"))

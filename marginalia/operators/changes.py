@@ -235,3 +235,47 @@ def keywords(t: Tables) -> DataFrame:
     raw = F.regexp_extract_all("text", F.lit(r"((?<![A-Za-z0-9_])[A-Z][a-z]+ ?[0-9]*)"))
     bare = F.filter(F.transform(raw, lambda x: F.trim(F.regexp_replace(x, "[0-9]+", ""))), lambda x: F.length(x).between(8, 20))
     return t.documents.select("doc_id", F.array_sort(F.array_distinct(bare)).alias("terms"))
+
+
+@query("cdc03_rebaseline", r"""WITH h AS (SELECT doc_id, source, doc_id // 50 AS parser, sha256(text) AS h FROM documents), l AS (SELECT *, lag(parser) OVER w AS p, lag(h) OVER w AS b FROM h WINDOW w AS (PARTITION BY source ORDER BY doc_id))
+    SELECT doc_id, CASE WHEN p IS NULL THEN 'new' WHEN p <> parser THEN 'rebaselined' WHEN b = h THEN 'same' ELSE 'changed' END AS state FROM l""")
+def rebaseline(t: Tables) -> DataFrame:
+    """A text of another parser version gives a new baseline and no change; only texts of one version are held against each other."""
+    h = t.documents.select("doc_id", "source", F.floor(F.col("doc_id") / 50).alias("parser"), F.sha2("text", 256).alias("h"))
+    rows = previous(h, ["source"], ["doc_id"], "b", F.struct("parser", "h"))
+    state = F.when(F.col("b").isNull(), "new").when(F.col("b.parser") != F.col("parser"), "rebaselined").when(F.col("b.h") == F.col("h"), "same").otherwise("changed")
+    return rows.select("doc_id", state.alias("state"))
+
+
+@query("cdc04_real_differences", r"""WITH s AS (SELECT doc_id, md5(text) AS h, list_distinct(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> '')) AS l FROM documents),
+    v AS (SELECT doc_id, doc_id + 1 AS next_id, h, l FROM s UNION ALL SELECT doc_id, -doc_id - 1, h, l FROM s), n AS (SELECT doc_id AS next_id, h, l FROM s UNION ALL SELECT -doc_id - 1, md5('again ' || h), list_reverse(l) FROM s)
+    SELECT v.doc_id, v.next_id, len(list_filter(n.l, lambda x: NOT list_contains(v.l, x))) AS inserted, len(list_filter(v.l, lambda x: NOT list_contains(n.l, x))) AS deleted FROM v JOIN n USING (next_id) WHERE v.h <> n.h AND len(list_filter(n.l, lambda x: NOT list_contains(v.l, x))) + len(list_filter(v.l, lambda x: NOT list_contains(n.l, x))) > 0""")
+def real_differences(t: Tables) -> DataFrame:
+    """Versions with another hash are a change only if some line is new or gone: the same lines in another order or layout are none."""
+    bare = F.array_distinct(F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))), lambda x: x != ""))
+    s = t.documents.select("doc_id", F.md5("text").alias("h"), bare.alias("l"))
+    old = s.select("doc_id", (F.col("doc_id") + 1).alias("next_id"), "h", "l").unionByName(s.select("doc_id", (-F.col("doc_id") - 1).alias("next_id"), "h", "l"))
+    turned = s.select((-F.col("doc_id") - 1).alias("next_id"), F.md5(F.concat(F.lit("again "), "h")).alias("nh"), F.reverse("l").alias("nl"))
+    new = s.select(F.col("doc_id").alias("next_id"), F.col("h").alias("nh"), F.col("l").alias("nl")).unionByName(turned)
+    both = old.join(new, "next_id").where("h <> nh")
+    counted = both.select("doc_id", "next_id", F.size(F.array_except("nl", "l")).cast("long").alias("inserted"), F.size(F.array_except("l", "nl")).cast("long").alias("deleted"))
+    return counted.where("inserted + deleted > 0")
+
+
+#: Days after which a fact of a tier is looked at again; null never.
+STALE_DAYS = {"1-URGENT": None, "2-HIGH": 730, "3-MEDIUM": 365, "4-NOT SPECIFIED": 210, "5-LOW": 30}
+
+
+@query("cdc09_triggers", """WITH m AS (SELECT max(o_orderdate) AS m FROM orders), e AS (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_quantity = 50), c AS (SELECT l_orderkey, avg(l_discount) AS now, max(l_discount) AS base, count(*) FILTER (l_returnflag = 'R') AS bad FROM lineitem GROUP BY 1)
+    SELECT o_orderkey, list_filter([CASE WHEN (epoch_us(m) - epoch_us(o_orderdate)) / 864e8 > CASE o_orderpriority WHEN '1-URGENT' THEN NULL WHEN '2-HIGH' THEN 730 WHEN '3-MEDIUM' THEN 365 WHEN '4-NOT SPECIFIED' THEN 210 WHEN '5-LOW' THEN 30 ELSE 365 END THEN 'age' END, CASE WHEN o_orderstatus <> 'F' THEN 'model' END, CASE WHEN o_custkey % 3 <> 0 THEN 'embedding' END,
+      CASE WHEN now < base - 0.04 THEN 'corroboration' END, CASE WHEN e.l_orderkey IS NOT NULL THEN 'errata' END, CASE WHEN bad >= 3 THEN 'negative' END], lambda x: x IS NOT NULL) AS reasons FROM orders LEFT JOIN e ON e.l_orderkey = o_orderkey LEFT JOIN c ON c.l_orderkey = o_orderkey, m""")
+def triggers(t: Tables) -> DataFrame:
+    """All six reasons to look at a fact again: age by tier, model, embedding, less corroboration, new errata, negative signals."""
+    per = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.avg("l_discount").alias("now"), F.max("l_discount").alias("base"), F.count_if(F.col("l_returnflag") == "R").alias("bad"), F.max(F.col("l_quantity") == 50).alias("erratum"))
+    rows = t.orders.join(per, "o_orderkey", "left").crossJoin(F.broadcast(t.orders.agg(F.max("o_orderdate").alias("m"))))
+    most = F.lit(365)
+    for tier, days in STALE_DAYS.items():
+        most = F.when(F.col("o_orderpriority") == tier, F.lit(days).cast("int")).otherwise(most)
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    found = {"age": (micros("m") - micros("o_orderdate")) / 864e8 > most, "model": F.col("o_orderstatus") != "F", "embedding": F.col("o_custkey") % 3 != 0, "corroboration": F.col("now") < F.col("base") - 0.04, "errata": F.col("erratum"), "negative": F.col("bad") >= 3}
+    return rows.select("o_orderkey", F.array_compact(F.array(*(F.when(c, n) for n, c in found.items()))).alias("reasons"))

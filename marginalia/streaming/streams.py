@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.ranges import previous
 from ..registry import Tables, query
 
 
@@ -85,3 +86,24 @@ def dedupe(t: Tables) -> DataFrame:
 @query("str06_night", "SELECT event_id, hour(timezone('Europe/Berlin', timezone('UTC', ts))) >= 23 OR hour(timezone('Europe/Berlin', timezone('UTC', ts))) < 5 AS night FROM events")
 def night(t: Tables) -> DataFrame:
     return t.events.select("event_id", in_night(F.col("ts").cast("timestamp"), "Europe/Berlin", 23, 5).alias("night"))
+
+
+@query("str04_keyed_state", "SELECT user_id, count(*) AS seen, count(*) FILTER (before IS NOT NULL AND before <> event_type) AS changes, count(DISTINCT event_type) AS kinds FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events) GROUP BY user_id")
+def keyed_state(t: Tables) -> DataFrame:
+    """The static twin of ``changed_values``: what the state of each user holds when all events have come."""
+    rows = previous(t.events.select("user_id", "event_id", "ts", "event_type"), ["user_id"], ["ts", "event_id"], "before", F.col("event_type"))
+    return rows.groupBy("user_id").agg(F.count("*").alias("seen"), F.count_if(F.col("before") != F.col("event_type")).alias("changes"), F.countDistinct("event_type").alias("kinds"))
+
+
+def night_runs(runs: DataFrame, zone: str, first: int, last: int) -> DataFrame:
+    """(day, event_id, deadline) of ``runs`` (event_id, ts): the first run of each local day that falls in the nightly hours, with the moment the window closes."""
+    at = F.col("ts").cast("timestamp")
+    due = runs.where(in_night(at, zone, first, last)).withColumn("day", F.to_date(F.from_utc_timestamp(at, zone)))
+    once = due.groupBy("day").agg(F.min(F.struct("ts", "event_id")).alias("m"))
+    close = F.to_utc_timestamp(F.col("day").cast("timestamp") + F.make_interval(hours=F.lit(last)), zone)
+    return once.select("day", F.col("m.event_id").alias("event_id"), close.cast("timestamp_ntz").alias("deadline"))
+
+
+@query("str06_nightly_runs", "WITH l AS (SELECT event_id, ts, timezone('Europe/Amsterdam', timezone('UTC', ts)) AS local FROM events) SELECT CAST(local AS DATE) AS day, arg_min(event_id, (ts, event_id)) AS event_id, timezone('UTC', timezone('Europe/Amsterdam', CAST(CAST(local AS DATE) AS TIMESTAMP) + INTERVAL 5 HOUR)) AS deadline FROM l WHERE hour(local) >= 2 AND hour(local) < 5 GROUP BY 1")
+def nightly_runs(t: Tables) -> DataFrame:
+    return night_runs(t.events, "Europe/Amsterdam", 2, 5)
