@@ -1,13 +1,21 @@
 """Operator 5: exact top-k search by MaxScore.
 
-Each dimension is a query term. Shifted to its least value (or from its greatest, for a negative query weight) every
-contribution is non-negative, so a term has a score bound in each shard: its weight times the span of the dimension.
-Terms are ordered by bound. The first ones are essential: their postings are traversed for all vectors of the shard.
-The others are probed only for vectors whose score so far plus the bounds left still reaches the k-th best score known;
-ties stay in. Shards are merged at the end. Queries meet candidates in blocks: every block of queries goes to every shard.
-
-Components become floor(scale * x) as whole numbers; scores are exact while the sums stay within 64 bits. Vectors that
-are null, hold null or non-finite components, or lie beyond what that takes, are left out. Equal scores go by smaller id.
+Each dimension is a query term, and a shard keeps the postings of each term: the values of all its vectors, with the
+least and greatest. Above the least that a term can give, a vector gains at most the term's bound: its weight times the
+span of the dimension. A query goes through a shard in growing runs of vectors and keeps the k-th best score so far as
+its threshold. The terms of the smallest bounds that together can't lift a vector to the threshold are non-essential:
+the others, the essential ones, are traversed for the whole run, and non-essential terms are probed only for vectors
+whose score and remaining bounds still reach the threshold; ties stay in. As the threshold rises, fewer terms are
+essential. Shards are merged at the end. Blocks of queries meet every shard.
+
+Components become floor(scale * x) as whole numbers. Scores are exact for all finite components: sums below 2 ** 52 are
+added in floating point, below 2 ** 62 in integers of 64 bits, beyond that in integers of any length. A score is given
+as a decimal of 38 digits (larger ones as the largest such); the query gives it as a long, null beyond that.
+
+Vectors that are null or hold null or non-finite components take no part, and neither do rows without a key. Vectors are
+compared with those of their length; empty ones have score 0 among themselves. Equal scores go by smaller key. Only its
+own row is left out of a query's candidates: rows that repeat a key are candidates and queries of their own. An empty
+table gives an empty one; other columns are left alone.
 """
 
 from __future__ import annotations
@@ -21,117 +29,139 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Vectors of a shard, queries of a block, essential terms.
-SHARD, BLOCK, ESSENTIAL = 4_096, 1_024, 8
+#: Vectors of a shard, queries of a block, vectors of the first runs of a shard, non-essential terms probed at once.
+SHARD, BLOCK, RUNS, PROBED = 4_096, 1_024, (256, 1_024), 8
+_WIDEST = 10**38 - 1
 
 
 def whole_numbers(vectors: DataFrame, key: str, vector: str, scale: float) -> DataFrame:
-    """(id, v array<long>): the vectors that take part, as whole numbers."""
+    """(id, v array<double>): the vectors that take part, as whole numbers."""
     x = F.col(vector)
-    fine = x.isNotNull() & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c.cast("double")) & (F.abs(c.cast("double")) < 2.0**40))
-    return vectors.where(fine & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.transform(x, lambda c: F.floor(c.cast("double") * scale).cast("long")).alias("v"))
+    finite = lambda c: c.isNotNull() & ~F.isnan(c.cast("double")) & (F.abs(c.cast("double")) < float("inf"))
+    fine = x.isNotNull() & F.forall(x, finite)
+    return vectors.where(fine & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.transform(x, lambda c: _floor(c.cast("double") * scale)).alias("v"))
+
+
+def _floor(x):
+    """floor() of a double that stays a double: whole numbers from 2 ** 52 on are their own floor."""
+    return F.when(F.abs(x) < 2.0**52, F.floor(x).cast("double")).otherwise(x)
 
 
 class Shard:
     """Postings of a shard: for each term the values of all vectors, with the least and greatest of each term."""
 
-    def __init__(self, ids: np.ndarray, values: np.ndarray):
+    def __init__(self, rows: np.ndarray, ids: np.ndarray, values: np.ndarray):
         order = np.argsort(ids, kind="stable")
-        self.ids, self.terms = ids[order], np.ascontiguousarray(values[order].T)
-        self.least, self.most = self.terms.min(axis=1), self.terms.max(axis=1)
-        # Sums that stay below 2 ** 52 are exact in floating point, which multiplies faster.
-        self.floats, self.widest = self.terms.astype(np.float64), int(np.abs(self.terms).max(initial=0))
-
-    def search(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The k best (ids, scores), without the vector ``own``; with more where the k-th score is shared."""
-        exact = int(np.abs(query).max(initial=0)) * self.widest * len(query) * 4 < 2**52
-        values, numbers = (self.floats, query.astype(np.float64)) if exact else (self.terms, query)
-        weights = np.abs(query)
-        bounds = weights * (self.most - self.least)
-        base = int((query * np.where(query >= 0, self.least, self.most)).sum())
-        order = np.argsort(-bounds, kind="stable")
-        left = np.concatenate((np.cumsum(bounds[order][::-1])[::-1], [0]))
-        best = order[:ESSENTIAL]
-        score = numbers[best] @ values[best] - (query[best] * np.where(query[best] >= 0, self.least[best], self.most[best])).sum()
-        alive = np.flatnonzero(self.ids != own)
-        score = score[alive]
-        # Full scores of the best vectors so far give a threshold that k vectors reach.
-        if len(alive) > k:
-            seeds = alive[np.argpartition(-score, k)[: 2 * k]]
-            full = numbers @ values[:, seeds] - base
-            threshold = np.partition(full, len(full) - k)[len(full) - k]
-        else:
-            threshold = -(2.0**63)
-        done = len(best)
-        while done < len(order):
-            fit = score + left[done] >= threshold
-            if not fit.all():
-                alive, score = alive[fit], score[fit]
-            terms = order[done : done + ESSENTIAL]
-            part = numbers[terms] @ values[np.ix_(terms, alive)]
-            score = score + part - (query[terms] * np.where(query[terms] >= 0, self.least[terms], self.most[terms])).sum()
-            done += len(terms)
-        score = (score + base).astype(np.int64)
-        keep = np.lexsort((self.ids[alive], -score))[:k]
-        return self.ids[alive][keep], score[keep]
+        self.rows, self.ids, self.floats = rows[order], ids[order], np.ascontiguousarray(values[order].T)
+        self.widest = float(np.abs(self.floats).max(initial=0))
+        self._kinds: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+
+    def _as(self, kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(postings, least, most) in floating point, integers of 64 bits, or integers of any length."""
+        if kind not in self._kinds:
+            terms = {"float": lambda: self.floats, "long": lambda: self.floats.astype(np.int64), "any": lambda: _integers(self.floats)}[kind]()
+            self._kinds[kind] = terms, terms.min(axis=1), terms.max(axis=1)
+        return self._kinds[kind]
+
+    def search(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, list[int] | np.ndarray]:
+        """The k best (ids, scores), without the row ``own``; ties by smaller id."""
+        size = 4.0 * max(1, len(query)) * float(np.abs(query).max(initial=0)) * self.widest
+        kind = "float" if size < 2**52 else "long" if size < 2**62 else "any"
+        terms, least, most = self._as(kind)
+        q = query if kind == "float" else query.astype(np.int64) if kind == "long" else _integers(query)
+        low = q * np.where(query >= 0, least, most)
+        bounds = abs(q) * (most - least)
+        order = np.argsort(bounds, kind="stable")
+        reach, base = np.concatenate((np.zeros(1, bounds.dtype), np.cumsum(bounds[order]))), low.sum()
+        best_at, best, threshold = np.empty(0, np.int64), np.empty(0, q.dtype), None
+        edges = [0, *(x for x in np.cumsum(RUNS).tolist() if x < len(self.ids)), len(self.ids)]
+        for a, b in zip(edges, edges[1:]):
+            # All terms whose bounds add up to less than what the threshold asks above the base are non-essential.
+            spared = 0 if threshold is None else int(np.searchsorted(reach[1:], threshold - base, side="left"))
+            essential = order[spared:]
+            score = q[essential] @ terms[essential, a:b] + (base - low[essential].sum()) if len(essential) else np.full(b - a, base, q.dtype)
+            alive = np.flatnonzero(self.rows[a:b] != own)
+            score, alive = score[alive], alive + a
+            while spared:
+                fit = score + reach[spared] >= threshold
+                score, alive = score[fit], alive[fit]
+                probed = order[max(0, spared - PROBED) : spared]
+                score = score + (q[probed] @ terms[np.ix_(probed, alive)] - low[probed].sum())
+                spared -= len(probed)
+            best_at, best = np.concatenate((best_at, alive)), np.concatenate((best, score))
+            if len(best) >= k:
+                threshold = np.sort(best)[len(best) - k]
+                fit = best >= threshold
+                best_at, best = best_at[fit], best[fit]
+        keep = sorted(range(len(best)), key=lambda i: (-best[i], self.ids[best_at[i]]))[:k]
+        return self.ids[best_at[keep]], [int(best[i]) for i in keep]
+
+
+def _integers(x: np.ndarray) -> np.ndarray:
+    out = np.empty(x.shape, object)
+    out.ravel()[:] = [int(v) for v in x.ravel()]
+    return out
 
 
 def _pack(rows: DataFrame, by: str) -> DataFrame:
-    """The vectors of each value of ``by`` in one row: ids and values as bytes, and the length of a vector."""
+    """The vectors of each value of ``by`` in one row: rows, ids and values as bytes, and the length of a vector."""
 
     def run(groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in groups:
-            ids = [np.asarray(x, np.int64).tobytes() for x in batch.column("ids").to_pylist()]
-            values = [np.asarray(x, np.int64).tobytes() for x in batch.column("vs").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(by), batch.column("size"), pa.array(ids, pa.binary()), pa.array(values, pa.binary())], [by, "size", f"{by}_ids", f"{by}_values"])
+            told = [[np.asarray(x, kind).tobytes() for x in batch.column(name).to_pylist()] for name, kind in (("rows", np.int64), ("ids", np.int64), ("vs", np.float64))]
+            yield pa.RecordBatch.from_arrays([batch.column(by), batch.column("size"), *(pa.array(x, pa.binary()) for x in told)], [by, "size", f"{by}_rows", f"{by}_ids", f"{by}_values"])
 
-    packed = rows.groupBy(by, F.size("v").alias("size")).agg(F.collect_list(F.struct("id", "v")).alias("r")).select(by, "size", F.col("r.id").alias("ids"), F.flatten(F.col("r.v")).alias("vs"))
-    return packed.mapInArrow(run, f"{by} long, size int, {by}_ids binary, {by}_values binary")
+    packed = rows.groupBy(by, F.size("v").alias("size")).agg(F.collect_list(F.struct("row", "id", "v")).alias("r"))
+    packed = packed.select(by, "size", F.col("r.row").alias("rows"), F.col("r.id").alias("ids"), F.flatten(F.col("r.v")).alias("vs"))
+    return packed.mapInArrow(run, f"{by} long, size int, {by}_rows binary, {by}_ids binary, {by}_values binary")
 
 
 def search(vectors: DataFrame, is_query, k: int = 20, key: str = "vec_id", vector: str = "embedding", scale: float = 64.0) -> DataFrame:
-    """(query_id, rank, key, score): for each row of ``vectors`` with ``is_query`` the k other rows of highest inner product.
+    """(query_id, rank, key, score decimal): for each row of ``vectors`` with ``is_query`` the k other rows of highest inner product.
 
-    ``is_query`` is a condition on the column ``id``. Vectors are compared with those of their length; none are empty.
+    ``is_query`` is a condition on the column ``id``.
     """
-    rows = common.materialize(whole_numbers(vectors, key, vector, scale).where(F.size("v") > 0), "vectors")
-    # Shards and blocks have about as many rows each, whatever the ids are: they are dealt by hash.
+    rows = common.materialize(whole_numbers(vectors, key, vector, scale).withColumn("row", F.monotonically_increasing_id()), "vectors")
+    # Shards and blocks have about as many rows each, whatever the ids are: rows are dealt by hash.
     n, m = rows.count(), rows.where(is_query).count()
-    shards = _pack(rows.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(max(1, -(-n // SHARD))))), "shard")
+    shards = _pack(rows.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(max(1, -(-n // SHARD))))), "shard")
     n_blocks = max(1, -(-m // BLOCK))
-    blocks = _pack(rows.where(is_query).withColumn("block", F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(n_blocks))), "block")
+    blocks = _pack(rows.where(is_query).withColumn("block", F.pmod(F.xxhash64(F.lit(1), "row"), F.lit(n_blocks))), "block")
     # Every block of queries is sent to every shard; rows of a block stay packed.
     met = shards.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long")))).join(blocks, ["block", "size"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                take = lambda name: np.frombuffer(batch.column(name)[row].as_buffer(), np.int64)
+                take = lambda name, kind=np.int64: np.frombuffer(batch.column(name)[row].as_buffer(), kind)
                 size = batch.column("size")[row].as_py()
-                ids, wanted = take("shard_ids"), take("block_ids")
-                shard, queries = Shard(ids, take("shard_values").reshape(-1, size)), take("block_values").reshape(-1, size)
-                found = [shard.search(q, own, k) for q, own in zip(queries, wanted)]
+                ids, wanted, own = take("shard_ids"), take("block_ids"), take("block_rows")
+                shard = Shard(take("shard_rows"), ids, take("shard_values", np.float64).reshape(len(ids), size))
+                queries = take("block_values", np.float64).reshape(len(wanted), size)
+                found = [shard.search(q, o, k) for q, o in zip(queries, own)]
                 counts = [len(a) for a, _ in found]
+                scores = [max(-_WIDEST, min(_WIDEST, x)) for _, b in found for x in b]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(wanted, counts)), pa.array(np.concatenate([a for a, _ in found])), pa.array(np.concatenate([b for _, b in found]))],
-                    ["query_id", key, "score"],
+                    [pa.array(np.repeat(own, counts)), pa.array(np.repeat(wanted, counts)), pa.array(np.concatenate([a for a, _ in found])), pa.array(scores, pa.decimal128(38, 0))],
+                    ["_query", "query_id", key, "score"],
                 )
 
-    best = met.repartition("shard", "block").mapInArrow(run, f"query_id long, {key} long, score long")
-    by = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
+    best = met.repartition("shard", "block").mapInArrow(run, f"_query long, query_id long, {key} long, score decimal(38,0)")
+    by = Window.partitionBy("_query").orderBy(F.desc("score"), key)
     merged = best.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
     return merged.select("query_id", F.col("rank").cast("int").alias("rank"), key, "score")
 
 
 def op5_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search(common.table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("id") % 20 == 0, k=20)
+    found = search(common.table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("id") % 20 == 0, k=20)
+    return found.withColumn("score", F.col("score").try_cast("long"))
 
 
 OP5_SQL = """
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
-      FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
-SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20
+s AS (SELECT q.r, q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.r <> q.r),
+n AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM n WHERE rank <= 20
 """
