@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import scratch
 from ..registry import Tables, query
 from .filters import tokens
 
@@ -82,12 +83,15 @@ def node_neighbours(t: Tables) -> DataFrame:
 
 def shortest_paths(e: DataFrame, start: str, most: int) -> DataFrame:
     """(ref, hops, path): breadth first from ``start`` over undirected edges, at most ``most`` hops, the least path where several are as short."""
-    both = e.select("src", "dst").unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    # The edges are written once, and so is every hop: no hop works out those before it again.
+    both = scratch.materialize(e.select("src", "dst").unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), "both")
     seen = e.sparkSession.createDataFrame([(start, 0, start)], "ref string, hops int, path string")
     frontier = seen
     for hop in range(1, most + 1):
         step = frontier.join(both, F.col("ref") == F.col("src")).groupBy(F.col("dst").alias("ref")).agg(F.min(F.concat_ws(">", "path", "dst")).alias("path"))
-        frontier = step.join(seen.select("ref"), "ref", "left_anti").select("ref", F.lit(hop).alias("hops"), "path")
+        frontier = scratch.materialize(step.join(seen.select("ref"), "ref", "left_anti").select("ref", F.lit(hop).alias("hops"), "path"), "frontier")
+        if frontier.isEmpty():
+            break
         seen = seen.unionByName(frontier)
     return seen
 
@@ -193,3 +197,85 @@ def recompute(t: Tables) -> DataFrame:
     derived = e.join(e.select(F.col("src").alias("dst"), F.col("dst").alias("end")), "dst").select("src", F.col("end").alias("dst")).distinct()
     old = t.customer.where("c_acctbal < 0").select(_ref("c", "c_custkey").alias("src"), F.lit(True).alias("k")).distinct()
     return derived.join(old, "src", "left").select("src", "dst", F.coalesce("k", F.lit(False)).alias("known"))
+
+
+def filtered_neighbours(e: DataFrame, n: DataFrame, refs: DataFrame, way: str = "both", types: list[str] | None = None, kinds: list[str] | None = None, take: int = 12) -> DataFrame:
+    """(ref, found, other, type, way): at most ``take`` neighbours of each of ``refs``, by direction, type of edge and label of the
+    neighbour. ``found`` tells a ref that is no node (false, one row) from a node without neighbours (true, other null)."""
+    known = refs.join(n.select("ref", F.lit(True).alias("found")), "ref", "left").withColumn("found", F.coalesce("found", F.lit(False)))
+    near = neighbours(e, refs, types).where("other IS NOT NULL")
+    if way != "both":
+        near = near.where(F.col("way") == way)
+    if kinds:
+        near = near.join(n.where(F.col("label").isin(kinds)).select(F.col("ref").alias("other")), "other", "left_semi").select("ref", "other", "type", "way")
+    near = near.withColumn("r", F.row_number().over(Window.partitionBy("ref").orderBy("other", "type", "way"))).where(F.col("r") <= take).drop("r")
+    return known.join(near, "ref", "left")
+
+
+@query("grf08_filtered", f"WITH {_NODES}, {_EDGES}, a(ref) AS (VALUES ('n1'), ('n2'), ('r3'), ('nowhere')), m AS (SELECT a.ref, src AS other, type, 'in' AS way FROM a JOIN edges ON dst = a.ref JOIN nodes x ON x.ref = src AND label IN ('customer', 'nation') WHERE type IN ('LIVES_IN', 'PART_OF') QUALIFY row_number() OVER (PARTITION BY a.ref ORDER BY src, type) <= 5) SELECT a.ref, n.ref IS NOT NULL AS found, other, type, way FROM a LEFT JOIN nodes n ON n.ref = a.ref LEFT JOIN m ON m.ref = a.ref")
+def filtered(t: Tables) -> DataFrame:
+    refs = t.spark.createDataFrame([("n1",), ("n2",), ("r3",), ("nowhere",)], "ref string")
+    return filtered_neighbours(edges(t), nodes(t), refs, "in", ["LIVES_IN", "PART_OF"], ["customer", "nation"], 5)
+
+
+def path_outcome(e: DataFrame, n: DataFrame, start: str, stop: str, most: int, types: list[str] | None = None) -> DataFrame:
+    """(outcome, hops, path): the shortest path between two nodes over edges of some types, or why there is none."""
+    ends = n.where(F.col("ref").isin(start, stop)).agg(F.countDistinct("ref").alias("known"))
+    used = e.where(F.col("type").isin(types)) if types else e
+    way = shortest_paths(used, start, most).where(F.col("ref") == stop).agg(F.min("hops").alias("hops"), F.min("path").alias("path"))
+    missing = F.col("known") < (1 if start == stop else 2)
+    outcome = F.when(missing, "endpoint missing").when(F.col("hops").isNull(), "none").otherwise("found")
+    return ends.crossJoin(way).select(outcome.alias("outcome"), F.when(~missing, F.col("hops")).alias("hops"), F.when(~missing, F.col("path")).alias("path"))
+
+
+@query("grf09_outcomes", f"""WITH RECURSIVE {_EDGES}, b AS (SELECT DISTINCT src, dst FROM (SELECT src, dst FROM edges WHERE type <> 'LIVES_IN' UNION ALL SELECT dst, src FROM edges WHERE type <> 'LIVES_IN')),
+    p AS (SELECT 's1' AS ref, 0 AS hops, 's1' AS path UNION SELECT dst, hops + 1, path || '>' || dst FROM p JOIN b ON ref = src WHERE hops < 4 AND NOT contains('>' || path || '>', '>' || dst || '>')), f AS (SELECT ref, min(hops) AS hops FROM p GROUP BY ref), w AS (SELECT p.ref, p.hops, min(path) AS path FROM p JOIN f USING (ref, hops) GROUP BY 1, 2)
+    SELECT 's2' AS stop, CASE WHEN (SELECT count(*) FROM w WHERE ref = 's2') > 0 THEN 'found' ELSE 'none' END AS outcome, (SELECT hops FROM w WHERE ref = 's2') AS hops, (SELECT path FROM w WHERE ref = 's2') AS path UNION ALL SELECT 'c1', 'none', NULL, NULL UNION ALL SELECT 'nowhere', 'endpoint missing', NULL, NULL""")
+def outcomes(t: Tables) -> DataFrame:
+    """From one supplier to another over what they are based in, to a customer (whose edges are left out), and to no node at all."""
+    parts = [path_outcome(edges(t), nodes(t), "s1", stop, 4, ["BASED_IN", "PART_OF"]).withColumn("stop", F.lit(stop)) for stop in ("s2", "c1", "nowhere")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).select("stop", "outcome", "hops", "path")
+
+
+def chains(e: DataFrame, last: str, most: int) -> DataFrame:
+    """(src, dst, chain, hops): what chains of up to ``most`` edges imply whose last edge is of type ``last``; each step is a join."""
+    tail = e.where(F.col("type") == last).select("src", "dst", F.col("type").alias("chain"), F.lit(1).alias("hops"))
+    found = tail
+    for hop in range(2, most + 1):
+        tail = e.select("src", F.col("dst").alias("mid"), "type").join(tail.withColumnRenamed("src", "mid"), "mid").select("src", "dst", F.concat_ws("/", "type", "chain").alias("chain"), F.lit(hop).alias("hops")).distinct()
+        found = found.unionByName(tail)
+    return found.where("hops > 1")
+
+
+@query("rsn01_deep_chains", f"WITH RECURSIVE {_EDGES}, m AS (SELECT * FROM edges UNION ALL SELECT 'p' || l_partkey, 's' || l_suppkey, 'MADE_BY' FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem)), c AS (SELECT src, dst, type AS chain, 1 AS hops FROM m WHERE type = 'PART_OF' UNION SELECT m.src, c.dst, m.type || '/' || chain, hops + 1 FROM c JOIN m ON m.dst = c.src WHERE hops < 4) SELECT src, dst, chain, hops FROM c WHERE hops > 1")
+def deep_chains(t: Tables) -> DataFrame:
+    """Parts, suppliers, customers and nations tied to regions by chains of up to four edges."""
+    made = t.lineitem.select(_ref("p", "l_partkey").alias("src"), _ref("s", "l_suppkey").alias("dst"), F.lit("MADE_BY").alias("type")).distinct()
+    return chains(edges(t).unionByName(made), "PART_OF", 4)
+
+
+@query("rsn04_patterns", """WITH a AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE l_returnflag = 'R'), s AS (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_linestatus = 'F' AND l_returnflag = 'A'), d AS (SELECT l_partkey FROM lineitem GROUP BY 1 HAVING count(*) FILTER (l_returnflag = 'A') > 0 AND count(*) FILTER (l_returnflag = 'N') > 0 AND max(l_tax) < 0.08)
+    SELECT 'claim against official' AS pattern, CAST(l_orderkey AS VARCHAR) AS subject, CAST(l_partkey AS VARCHAR) AS counter FROM a WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.l_orderkey = a.l_orderkey)
+    UNION ALL SELECT 'ruling collision', CAST(x.l_linenumber AS VARCHAR) || '@' || x.l_orderkey, CAST(y.l_linenumber AS VARCHAR) || '@' || y.l_orderkey FROM lineitem x JOIN lineitem y ON x.l_orderkey = y.l_orderkey AND x.l_suppkey = y.l_suppkey AND x.l_linenumber < y.l_linenumber AND x.l_returnflag <> y.l_returnflag
+    UNION ALL SELECT 'disjoint labels', CAST(l_partkey AS VARCHAR), NULL FROM d""")
+def patterns(t: Tables) -> DataFrame:
+    """Three kinds of contradictions: claims without official support, rulings on one target that differ, subjects with two labels that exclude each other."""
+    text = lambda c: F.col(c).cast("string")
+    supported = t.lineitem.where("l_linestatus = 'F' AND l_returnflag = 'A'").select("l_orderkey")
+    claims = t.lineitem.where("l_returnflag = 'R'").select("l_orderkey", "l_partkey").distinct().join(supported, "l_orderkey", "left_anti")
+    claims = claims.select(F.lit("claim against official").alias("pattern"), text("l_orderkey").alias("subject"), text("l_partkey").alias("counter"))
+    x = t.lineitem.select("l_orderkey", "l_suppkey", F.col("l_linenumber").alias("x"), F.col("l_returnflag").alias("fx"))
+    y = t.lineitem.select("l_orderkey", "l_suppkey", F.col("l_linenumber").alias("y"), F.col("l_returnflag").alias("fy"))
+    at = lambda c: F.concat_ws("@", text(c), text("l_orderkey"))
+    rulings = x.join(y, ["l_orderkey", "l_suppkey"]).where("x < y AND fx <> fy").select(F.lit("ruling collision").alias("pattern"), at("x").alias("subject"), at("y").alias("counter"))
+    both = t.lineitem.groupBy("l_partkey").agg(F.count_if(F.col("l_returnflag") == "A").alias("a"), F.count_if(F.col("l_returnflag") == "N").alias("n"), F.max("l_tax").alias("tax")).where("a > 0 AND n > 0 AND tax < 0.08")
+    return claims.unionByName(rulings).unionByName(both.select(F.lit("disjoint labels").alias("pattern"), text("l_partkey").alias("subject"), F.lit(None).cast("string").alias("counter")))
+
+
+@query("rsn05_new_conflicts", f"WITH {_EDGES}, d AS (SELECT DISTINCT a.src, b.dst FROM edges a JOIN edges b ON a.dst = b.src), old AS (SELECT 'c' || c_custkey || '|' || 'r' || (c_custkey % 5) AS key FROM customer) SELECT src || '|' || dst AS key FROM d WHERE src || '|' || dst NOT IN (SELECT key FROM old)")
+def new_conflicts(t: Tables) -> DataFrame:
+    """Derived edges are made anew each time; what they tell is kept only where its key is not known yet."""
+    e = edges(t)
+    derived = e.join(e.select(F.col("src").alias("dst"), F.col("dst").alias("end")), "dst").select(F.concat_ws("|", "src", "end").alias("key")).distinct()
+    old = t.customer.select(F.concat(_ref("c", "c_custkey"), F.lit("|r"), (F.col("c_custkey") % 5).cast("string")).alias("key"))
+    return derived.join(old, "key", "left_anti")

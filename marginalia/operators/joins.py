@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.texts import contains_word
 from ..registry import Tables, query
 from .filters import tokens
 from .ranges import previous
@@ -183,3 +184,45 @@ def url_variants(t: Tables) -> DataFrame:
 def work_queue(t: Tables) -> DataFrame:
     done = t.lineitem.where("l_quantity >= 50").select(F.col("l_partkey").alias("p_partkey"))
     return t.part.select("p_partkey").join(done, "p_partkey", "left_anti").orderBy("p_partkey").limit(101)
+
+
+@query("join17_effects", r"""WITH w AS (SELECT p_partkey, unnest(list_distinct(string_split(lower(p_name), ' '))) AS word FROM part), x AS (SELECT p_partkey AS a, word FROM w WHERE p_partkey % 2 = 0), y AS (SELECT p_partkey AS b, word FROM w WHERE p_partkey % 3 = 0), m AS (SELECT p_type || p_brand || p_size AS m, p_partkey FROM part), g AS (SELECT m FROM m GROUP BY m HAVING count(*) BETWEEN 2 AND 12),
+    c AS (SELECT least(a, b) AS a, greatest(a, b) AS b, 1 AS kind FROM (SELECT a, b, count(*) AS n FROM x JOIN y USING (word) WHERE a <> b GROUP BY 1, 2 HAVING count(*) >= 2) UNION ALL SELECT p.p_partkey, q.p_partkey, 2 FROM m p JOIN m q USING (m) JOIN g USING (m) WHERE p.p_partkey < q.p_partkey)
+    SELECT a, b, min(kind) AS kind FROM c GROUP BY 1, 2 ORDER BY kind, a, b LIMIT 200""")
+def effects(t: Tables) -> DataFrame:
+    """Pairs where the effect of one names the trigger of the other (two words in common), then pairs of small groups with one mechanic; each pair once, the first 200."""
+    w = t.part.select("p_partkey", F.explode(F.array_distinct(F.split(F.lower("p_name"), " "))).alias("word"))
+    x, y = w.where("p_partkey % 2 = 0").withColumnRenamed("p_partkey", "a"), w.where("p_partkey % 3 = 0").withColumnRenamed("p_partkey", "b")
+    told = x.join(y, "word").where("a <> b").groupBy("a", "b").agg(F.count("*").alias("n")).where("n >= 2").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.lit(1).alias("kind"))
+    m = t.part.select(F.concat("p_type", "p_brand", F.col("p_size").cast("string")).alias("m"), "p_partkey")
+    groups = m.groupBy("m").agg(F.count("*").alias("n")).where("n BETWEEN 2 AND 12").select("m")
+    kept = m.join(groups, "m")
+    alike = kept.withColumnRenamed("p_partkey", "a").join(kept.withColumnRenamed("p_partkey", "b"), "m").where("a < b").select("a", "b", F.lit(2).alias("kind"))
+    return told.unionByName(alike).groupBy("a", "b").agg(F.min("kind").alias("kind")).orderBy("kind", "a", "b").limit(200)
+
+
+@query("join18_hypotheses", """WITH rules(agent, patient, kind, same, domains) AS (VALUES ('R', 'A', 'offsets', false, true), ('N', 'R', 'meets', true, false), ('A', 'N', 'feeds', false, false)), f AS (SELECT l_orderkey AS o, l_linenumber AS ref, l_returnflag AS pred, l_linestatus AS token, [l_suppkey % 3, l_partkey % 3] AS domains FROM lineitem)
+    SELECT a.o, a.ref AS x, b.ref AS y, list_sort(list(DISTINCT kind)) AS kinds FROM f a JOIN rules r ON a.pred = agent JOIN f b ON b.o = a.o AND b.pred = patient AND b.ref <> a.ref WHERE (NOT same OR a.token = b.token) AND (NOT r.domains OR list_has_any(a.domains, b.domains)) GROUP BY 1, 2, 3""")
+def hypotheses(t: Tables) -> DataFrame:
+    """Pairs that rules predict from what both hold; a rule may ask for equal tokens and for a domain in common. What led to a pair is gathered."""
+    listed = t.spark.createDataFrame([("R", "A", "offsets", False, True), ("N", "R", "meets", True, False), ("A", "N", "feeds", False, False)], "pred string, patient string, kind string, same boolean, domains boolean")
+    facts = t.lineitem.select(F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("ref"), F.col("l_returnflag").alias("pred"), F.col("l_linestatus").alias("token"), F.array((F.col("l_suppkey") % 3).alias("d"), F.col("l_partkey") % 3).alias("d"))
+    agents = facts.join(F.broadcast(listed), "pred").select("o", F.col("ref").alias("x"), "patient", "kind", "same", "domains", F.col("token").alias("tx"), F.col("d").alias("dx"))
+    both = agents.join(facts.select("o", F.col("ref").alias("y"), F.col("pred").alias("patient"), "token", "d"), ["o", "patient"]).where("x <> y AND (NOT same OR tx = token) AND (NOT domains OR arrays_overlap(dx, d))")
+    return both.groupBy("o", "x", "y").agg(F.array_sort(F.collect_set("kind")).alias("kinds"))
+
+
+@query("join08_longest_name", r"WITH n AS (SELECT DISTINCT item_id, trim(lower(regexp_extract(text, '^([A-Za-z]+(?: [A-Za-z]+){0,2})', 1))) AS name FROM benchmark UNION SELECT DISTINCT item_id, trim(lower(regexp_extract(text, '^([A-Za-z]+)', 1))) FROM benchmark), o AS (SELECT name, CASE WHEN count(DISTINCT item_id) = 1 THEN min(item_id) END AS item_id FROM n WHERE length(name) >= 4 GROUP BY name), m AS (SELECT doc_id, o.name, item_id FROM documents JOIN o ON contains(lower(text), o.name) AND regexp_matches(lower(text), '(^|[^\pL\p{Nd}])' || o.name || '($|[^\pL\p{Nd}])')) SELECT doc_id, name, item_id FROM m QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length(name) DESC, name) = 1")
+def longest_name(t: Tables) -> DataFrame:
+    """The longest of the names that stand in each text at word boundaries; a name of several owners gives null.
+
+    A name's first word is the key that texts are joined by; only then is the whole name looked for.
+    """
+    whole, first = (F.trim(F.lower(F.regexp_extract("text", p, 1))) for p in ("^([A-Za-z]+(?: [A-Za-z]+){0,2})", "^([A-Za-z]+)"))
+    named = t.benchmark.select("item_id", F.explode(F.array_distinct(F.array(whole, first))).alias("name")).where(F.length("name") >= 4)
+    owners = named.groupBy("name").agg(F.min("item_id").alias("least"), F.max("item_id").alias("most")).select("name", F.when(F.col("least") == F.col("most"), F.col("least")).alias("item_id"), F.split_part("name", F.lit(" "), F.lit(1)).alias("word"))
+    low = t.documents.select("doc_id", F.lower("text").alias("low"))
+    keyed = low.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("low", F.lit(r"([\p{L}\p{Nd}]+)")))).alias("word")).join(owners, "word")
+    met = keyed.join(low, "doc_id").where(F.contains("low", "name")).where(contains_word(F.col("low"), F.col("name")))
+    best = met.groupBy("doc_id").agg(F.min(F.struct((-F.length("name")).alias("n"), "name", "item_id")).alias("b"))
+    return best.select("doc_id", "b.name", "b.item_id")

@@ -65,3 +65,42 @@ def settings(t: Tables) -> DataFrame:
 @query("src05_page_lines", "SELECT l_orderkey AS page, round_even(l_quantity / 3, 0) AS line, string_agg(l_returnflag, ' ' ORDER BY l_linenumber, l_returnflag) AS text FROM lineitem GROUP BY 1, 2")
 def printed_lines(t: Tables) -> DataFrame:
     return page_lines(t.lineitem.select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("x"), F.col("l_quantity").alias("y"), F.col("l_returnflag").alias("text")))
+
+
+def pdf_links(pages: DataFrame, keyword: str) -> DataFrame:
+    """(page_id, href): the link to a PDF whose address or text has ``keyword``, the first on the page; the only PDF of a page where none has it."""
+    pdfs = anchors(pages).where(F.col("href").rlike(r"(?i)\.pdf($|[?#])"))
+    hit = F.contains(F.lower("href"), F.lit(keyword)) | F.contains(F.lower("title"), F.lit(keyword))
+    per = pdfs.groupBy("page_id").agg(F.min_by("href", F.when(hit, F.col("pos"))).alias("named"), F.min("href").alias("only"), F.count("*").alias("n"))
+    return per.select("page_id", F.coalesce("named", F.when(F.col("n") == 1, F.col("only"))).alias("href")).where("href IS NOT NULL")
+
+
+def hub_pages(pages: DataFrame, base: str, kinds: dict[str, str]) -> DataFrame:
+    """(page_id, url, title, kind): links whose title has one of ``kinds`` (words, kind), https only and no PDFs, with their fragments
+    left out; of links that differ in a slash at the end the first one stands."""
+    kind = F.lit(None).cast("string")
+    for words, name in reversed(list(kinds.items())):
+        kind = F.when(F.contains(F.lower("title"), F.lit(words)), name).otherwise(kind)
+    url = F.regexp_replace(F.when(F.col("href").startswith("/"), F.concat(F.lit(base), "href")).otherwise(F.col("href")), "#.*$", "")
+    rows = anchors(pages).select("page_id", "pos", url.alias("url"), "title", kind.alias("kind"))
+    rows = rows.where("kind IS NOT NULL AND length(title) BETWEEN 1 AND 160 AND url LIKE 'https://%'").where(~F.col("url").rlike(r"(?i)\.pdf($|\?)"))
+    first = rows.groupBy("page_id", F.rtrim(F.lower("url"), F.lit("/")).alias("key")).agg(F.min_by(F.struct("url", "title", "kind"), "pos").alias("r"))
+    return first.select("page_id", "r.url", "r.title", "r.kind")
+
+
+_PDFS = r"(SELECT page_id, pos, tag, regexp_replace(regexp_extract(tag, 'href=\"([^\"]+)\"', 1), '^(/[A-Za-m][a-z]*)$', '\1.pdf') AS href, trim(regexp_replace(regexp_replace(tag, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) AS title FROM (SELECT page_id, i - 1 AS pos, tags[i] AS tag FROM (SELECT page_id, regexp_extract_all(html, '<a\s[^>]*>.*?</a>', 0, 'is') AS tags FROM pages), unnest(range(1, len(tags) + 1)) AS u(i)))".replace('\\"', '"')
+
+
+def with_pdfs(t: Tables) -> DataFrame:
+    """The pages with some of their links made PDFs."""
+    return t.pages.select("page_id", F.regexp_replace("html", r'href="(/[A-Za-m][a-z]*)"', r'href="$1.pdf"').alias("html"))
+
+
+@query("src06_pdf_links", f"WITH a AS {_PDFS}, p AS (SELECT page_id, pos, href, contains(lower(href), 'and') OR contains(lower(title), 'and') AS hit FROM a WHERE href LIKE '%.pdf') SELECT page_id, coalesce(arg_min(href, pos) FILTER (hit), CASE WHEN count(*) = 1 THEN min(href) END) AS href FROM p GROUP BY page_id HAVING coalesce(arg_min(href, pos) FILTER (hit), CASE WHEN count(*) = 1 THEN min(href) END) IS NOT NULL")
+def pdf_of_page(t: Tables) -> DataFrame:
+    return pdf_links(with_pdfs(t), "and")
+
+
+@query("src07_hub_pages", rf"WITH a AS {_PDFS}, u AS (SELECT page_id, pos, regexp_replace(CASE WHEN href LIKE '/%' THEN 'https://hub.example.org' || href ELSE href END, '#.*$', '') AS url, title, CASE WHEN contains(lower(title), 'tion') THEN 'notes' WHEN contains(lower(title), 'e') THEN 'errata' END AS kind FROM a) SELECT page_id, url, title, kind FROM u WHERE kind IS NOT NULL AND length(title) BETWEEN 1 AND 160 AND url LIKE 'https://%' AND NOT regexp_matches(url, '(?i)\.pdf($|\?)') QUALIFY row_number() OVER (PARTITION BY page_id, rtrim(lower(url), '/') ORDER BY pos) = 1")
+def hub(t: Tables) -> DataFrame:
+    return hub_pages(with_pdfs(t), "https://hub.example.org", {"tion": "notes", "e": "errata"})

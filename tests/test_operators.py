@@ -1,3 +1,4 @@
+import re
 from datetime import datetime
 from itertools import combinations
 
@@ -12,8 +13,11 @@ from marginalia.operators.entities import consolidated
 from marginalia.operators.filters import page
 from marginalia.operators.graph import shortest_paths
 from marginalia.operators.joins import latest_before
+from marginalia.operators.linking import mentions
 from marginalia.operators.ranges import previous, ranked, running
 from marginalia.operators.retrieval import fuse
+from marginalia.operators.sections import HEADER, parsed_sections
+from marginalia.operators.sinks import ParquetTable
 from marginalia.streaming import streams
 
 
@@ -167,6 +171,61 @@ def test_text_helpers(spark):
     assert ids == [("OGN", 1, "", 24, False), ("SFD", 239, "star", 221, False), ("UNL", 4, "t", None, True), ("VEN", 3, "sp", 6, True), ("OGN", 1, "a", 24, False), None]
 
 
+def brute_sections(text, most):
+    clean = lambda x: re.sub(r"[ \t\n\x0b\f\r]+", " ", x).strip(" ")
+
+    def parts(code, body, page):
+        if len(body) <= most:
+            return [(code, page, body)]
+        out, held = [], ""
+        for sentence in re.split(r"(?<=\.)[ \t\n\x0b\f\r]+", body):
+            if len(held) + len(sentence) > most and held:
+                out.append((code, page, held.strip(" ")))
+                held = ""
+            held += sentence + " "
+        return out + [(code, page, held.strip(" "))]
+
+    found = list(re.finditer(HEADER, text, re.M))
+    if not found:
+        return parts("", clean(text), 1) if clean(text) else []
+    intro = clean(text[: found[0].start()])
+    out = parts("intro", intro, 1) if len(intro) > 40 else []
+    for m, end in zip(found, [*(x.start() for x in found[1:]), len(text)]):
+        code = re.sub(r"^(.*?)\.?([a-z])$", lambda c: c[1].rstrip(".") + "." + c[2], m[1])
+        if body := clean(text[m.end() : end]):
+            out += parts(code, body, 1 + text[: m.start()].count("\f"))
+    return out
+
+
+def test_sections_are_parsed_as_by_hand(spark):
+    long = " ".join(f"Sentence number {k} goes on for a while." for k in range(30))
+    rows = [(1, "A title that is long enough to be an introduction of its own.\n101. First\n102.3b Second\f\n  103 Third. " + long), (2, "No header here\nat all"), (3, "short\n7. x\n8.\n9.1.c. y"), (4, ""), (5, None), (6, "1. \n2. two\f\f\n\n3. three")]
+    got = {}
+    for r in sorted(parsed_sections(spark.createDataFrame(rows, "id long, text string").where("text is not null"), "id", "text", 300).collect(), key=lambda r: (r.id, r.pos, r.part)):
+        got.setdefault(r.id, []).append((r.code, r.page, r.body))
+    assert got == {i: w for i, t in rows if t is not None and (w := brute_sections(t, 300))}
+
+
+def test_mentions_take_the_longest_span_and_tolerate_misspellings(spark):
+    surfaces = spark.createDataFrame([("death knell", "card:1"), ("death", "card:2"), ("knell of doom", "card:3"), ("tank", "card:4"), ("tank", "card:5"), ("guardian", "card:6")], "form string, ref string")
+    texts = spark.createDataFrame([(1, "Does Death-Knell beat (death) knell?"), (2, "a TANK, guardiann"), (3, ""), (4, "?! ..")], "id long, text string")
+    got = sorted((r.id, r["at"], r.len, r.ref, round(r.likeness, 3)) for r in mentions(texts, ["id"], "text", surfaces).collect())
+    assert got[:2] == [(1, 1, 1, "card:1", 1.0), (1, 3, 2, "card:1", 1.0)]
+    assert got[2:4] == [(2, 1, 1, "card:4", 1.0), (2, 1, 1, "card:5", 1.0)] and got[4][:4] == (2, 2, 1, "card:6") and 0.55 <= got[4][4] < 1 and len(got) == 5
+
+
+def test_parquet_tables_keep_what_was_whole(spark, tmp_path):
+    table = ParquetTable(spark, f"file://{tmp_path}/t")
+    assert table.read() is None
+    table.replace(spark.range(5))
+    table.append(spark.range(5, 7))
+    (tmp_path / "t" / "v-9").mkdir()  # a version whose writer died
+    table.delete(F.col("id") == 3)
+    assert not table.replace_unless_empty(spark.range(0)) and sorted(r.id for r in table.read().collect()) == [0, 1, 2, 4, 5, 6]
+    table.upsert(spark.createDataFrame([(6,), (8,)], "id long"), ["id"])
+    assert table.read().count() == 7
+
+
 def test_streams_agree_with_frames(spark, sf_dir, tmp_path):
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     events.repartition(3).write.parquet(str(tmp_path / "in"))
