@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,41 +10,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import collect_garbage, discard, materialize, maybe_broadcast  # noqa: F401  (the operators take them from here)
+
 #: Bytes of text that a numpy block holds at most (one longer document makes its own block).
-BLOCK_BYTES = 2_000_000
+BLOCK_BYTES = 750_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession) -> str:
-    """The shared folder of the cluster (``spark.checkpoint.dir``); a folder of our own only where none is named."""
-    sc = spark.sparkContext
-    folder = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not folder:
-        folder = f"file:///tmp/checkpoints/{uuid.uuid4().hex}"
-        sc.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again: lineage is cut, and any executor can read it."""
-    path = f"{scratch(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def small_enough(df: DataFrame, rows: int) -> bool:
-    """Whether ``df`` has at most ``rows`` rows; looks at no more than that many and one."""
-    return df.limit(rows + 1).count() <= rows
-
-
-def maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
-    """``df`` marked for a broadcast if its counted rows stay within the bound, else as it is (a shuffle join then)."""
-    return F.broadcast(df) if small_enough(df, rows) else df
-
-
 def crc_bucket(column: str = "doc_id", buckets: int = 3):
     """crc32 of the id as text, modulo ``buckets``; null ids count as the text ''."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % buckets

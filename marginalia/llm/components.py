@@ -1,114 +1,91 @@
-"""Connected components by DataFrame joins: each node takes the smallest label near it, then the label of its label."""
+"""Components of the links within buckets, without listing the pairs of a bucket."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..components import connected_components
 from . import common
 
+#: Words of 64 bits in the sketch of a set that bounds the difference of two sets.
+WORDS = 8
+SKETCH = [f"p{j}" for j in range(WORDS)]
 
-def connected_components(edges: DataFrame, kind: str = "long") -> DataFrame:
-    """(node, component): the smallest node that ``edges`` (a, b) lead to. Nodes without an edge are absent.
 
-    Union-find by large and small stars: every node ties its larger neighbours to its smallest one, then the smaller ones,
-    until each component is one star. The edge count never grows, minima are taken before the shuffle, and the joins
-    go by key, so a hub is split by the adaptive skew join. Every round is written to the shared folder.
-    """
-    a, b = F.col("a").cast(kind), F.col("b").cast(kind)
-    stars = common.materialize(edges.where("a <> b").select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct(), "edges")
-    while not _all_stars(stars):
-        both = stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        # Large star: larger neighbours of a node go to the least of its neighbourhood.
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        # Small star: a node and its smaller neighbours go to the least of them.
-        smallest = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(smallest, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(smallest.select("a", F.col("m").alias("b")))
-        stars = common.materialize(small.where("a <> b").distinct(), "stars")
-    return stars.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(stars.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
-
-
-def _all_stars(edges: DataFrame) -> bool:
-    """Whether each node (a) has one smaller neighbour (b), which has none."""
-    ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("to")), F.struct(F.col("b").alias("node"), F.lit(None).cast(edges.schema["b"].dataType).alias("to")))).alias("e"))
-    seen = ends.select("e.node", "e.to").groupBy("node").agg(F.min("to").alias("x"), F.max("to").alias("y"), F.count_if(F.col("to").isNull()).alias("centre"))
-    return seen.where("x <> y OR (x IS NOT NULL AND centre > 0)").isEmpty()
+def own_elements(elements: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, lone): how many elements of each of ``nodes`` (node, component, size) no node of another component has."""
+    several = elements.join(nodes, "node").groupBy("element").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
+    shared = elements.join(several.select("element"), "element", "left_semi").groupBy("node").agg(F.count("*").alias("shared"))
+    return nodes.join(shared, "node", "left").select("node", (F.col("size") - F.coalesce("shared", F.lit(0))).alias("lone"))
 
 
-#: Words of 64 bits in the sketch of a set that bounds the difference of two sets.
-WORDS = 16
+def plausible(differ: Column, num: int, den: int) -> Column:
+    """Whether sets of ``size`` and ``size_1`` elements can link that differ in ``differ`` elements or more; unknown counts as yes."""
+    fits = (den + num) * differ <= (den - num) * (F.col("size") + F.col("size_1"))
+    return F.coalesce(fits & (den * F.least("size", "size_1") >= num * F.greatest("size", "size_1")), F.lit(True))
 
 
-def profiles(elements: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(node, size, lone, p0 ...) of ``sizes`` (node, size) and ``elements`` (node, element).
+def apart() -> Column:
+    """In how many groups of elements two sketches differ at least."""
+    return sum((F.bit_count(F.col(p).bitwiseXOR(F.col(f"{p}_1"))) for p in SKETCH[1:]), F.bit_count(F.col("p0").bitwiseXOR(F.col("p0_1"))))
 
-    lone: how many elements of a node no other node has; p0 ...: for each of 1,024 groups of elements whether the node
-    has an odd number of them. A node that stands for several sets has null in all of these: nothing is known of it.
-    """
-    at = F.pmod(F.shiftright("element", 7), F.lit(64 * WORDS))
-    bit = F.expr(f"shiftleft(1L, CAST(pmod(shiftright(element, 7), {64 * WORDS}) % 64 AS INT))")
-    odd = elements.select("node", F.floor(at / 64).alias("w"), bit.alias("bit")).groupBy("node").agg(*(F.coalesce(F.bit_xor(F.when(F.col("w") == j, F.col("bit"))), F.lit(0)).alias(f"p{j}") for j in range(WORDS)))
-    single = elements.groupBy("element").agg(F.min("node").alias("node"), F.max("node").alias("other")).where("node = other").groupBy("node").agg(F.count("*").alias("lone"))
-    one = sizes.groupBy("node").agg(F.max("size").alias("size"), F.count("*").alias("sets"))
-    both = one.join(odd, "node", "left").join(single, "node", "left").withColumn("lone", F.coalesce("lone", F.lit(0)))
-    return both.select("node", *(F.when(F.col("sets") == 1, F.col(n)).alias(n) for n in ("size", "lone", *(f"p{j}" for j in range(WORDS)))))
-
-
-def bucket_components(buckets: DataFrame, common_of: Callable[[DataFrame], DataFrame], profiles_of: Callable[[DataFrame], DataFrame], num: int, den: int) -> DataFrame:
-    """(node, component) of the nodes that linked pairs within buckets lead to, without listing all pairs of a bucket.
-
-    ``buckets`` (signature, node) holds the nodes that share a signature with others. ``common_of`` adds to pairs (a, b)
-    the sizes sa and sb of their sets and how many elements are common; it may leave out pairs whose sizes rule a link
-    out. ``profiles_of`` gives the profiles of some nodes among themselves. A pair links when the common elements are
-    num / den of all. Every node is compared with the first one of its bucket; what is then in one component needs no
-    further comparison. Buckets that still hold several components take a growing number of further pivots a round,
-    each compared with nodes of other components.
-
-    Two sets that link differ in (sa + sb) * (den - num) / (den + num) elements at most. Elements that no other set has
-    always differ, and a group of elements that is odd in one set and even in the other holds one that differs: pairs
-    beyond that are settled without a comparison. In the end any two nodes of a bucket are in one component, were
-    compared, or can't link.
-    """
-    by = Window.partitionBy("signature")
-    linked = F.col("common") * den >= num * (F.col("sa") + F.col("sb") - F.col("common"))
-    first = buckets.withColumn("first", F.min("node").over(by)).where("node <> first")
-    pairs = first.select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
-    links = common.materialize(common_of(pairs).where(linked).select("a", "b"), "links")
-    components, width = connected_components(links), 1
-
-    def still_open(rows: DataFrame) -> DataFrame:
-        spread = rows.withColumn("x", F.min("component").over(by)).withColumn("y", F.max("component").over(by)).where("x <> y").drop("x", "y")
-        return common.materialize(spread, "open")
-
-    named = buckets.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    open_ = still_open(named)
-    if open_.isEmpty():
-        return components
-    told = common.materialize(profiles_of(open_.select("node").distinct()), "profiles")
-    # What no other set has rules some nodes out at once: they were compared with the first of their buckets, and link with no other.
-    rows = open_.join(told.where(f"lone IS NULL OR {num} * lone <= {den - num} * size"), "node")
 
-    apart = sum((F.bit_count(F.col(f"p{j}").bitwiseXOR(F.col(f"p{j}_1"))) for j in range(1, WORDS)), F.bit_count(F.col("p0").bitwiseXOR(F.col("p0_1"))))
+def bucket_components(buckets: DataFrame, light: DataFrame, links_of: Callable[[DataFrame], DataFrame], elements_of: Callable[[DataFrame], DataFrame], num: int, den: int) -> DataFrame:
+    """(node, component) of the nodes that linked pairs within buckets lead to.
 
-    def plausible(differ):
-        total, ratio = F.col("size") + F.col("size_1"), den * F.least("size", "size_1") >= num * F.greatest("size", "size_1")
-        return F.coalesce(((den + num) * differ <= (den - num) * total) & ratio, F.lit(True))
+    ``buckets`` (signature, node) holds the nodes that share a signature with others; ``light`` (node, size, p0 ...) the
+    size and sketch of each node's set, null where a node stands for several sets; ``links_of`` keeps those of some pairs
+    (a, b) that link, which is when their sets have num / den of all their elements in common; ``elements_of`` gives
+    (node, element) of some nodes.
 
-    tested = None
+    Every node is compared with the first one of its bucket, which is then done. What is then in one component needs no further comparison,
+    and what is in several is first looked at as a whole: elements that no other component has always differ, so a node
+    with too many of them has no link left to find. Among the few that remain, rounds follow of 4, 256, 16,384 ... further
+    pivots a bucket: one for each part that a hash deals its nodes to. A pivot meets the bucket's nodes of other
+    components that its own elements and its sketch leave a link with, and is then done. Two sets that link differ in
+    (sa + sb) * (den - num) / (den + num) elements at most, and a group of elements that is odd in one set and even in
+    the other holds one that differs. In the end any two nodes of a bucket are in one component, were compared, or
+    can't link.
+    """
+    other = light.select(*(F.col(c).alias(f"{c}_1") for c in light.columns))
+    first = buckets.groupBy("signature").agg(F.min("node").alias("a"))
+    rest = buckets.join(first, "signature").where("node <> a")
+    pairs = common.materialize(rest.select("a", F.col("node").alias("b")).distinct(), "pairs")
+    near = pairs.join(light, F.col("a") == F.col("node")).join(other, F.col("b") == F.col("node_1")).where(plausible(apart(), num, den)).select("a", "b")
+    links = common.materialize(links_of(common.materialize(near, "near")).select("a", "b"), "links")
+    components = connected_components(links)
+
+    def labelled(rows: DataFrame) -> DataFrame:
+        """``rows`` with their components, of buckets that hold several."""
+        named = rows.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        several = named.groupBy("signature").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
+        return common.materialize(named.join(several.select("signature"), "signature", "left_semi"), "open")
+
+    open_ = labelled(rest.select("signature", "node"))
+    if open_.isEmpty():
+        return components
+    common.collect_garbage(buckets.sparkSession)
+    nodes = common.materialize(open_.select("node", "component").distinct().join(light.select("node", "size"), "node"), "nodes")
+    left = nodes.join(own_elements(elements_of(nodes.select("node")), nodes), "node").where(f"lone IS NULL OR {num} * lone <= {den - num} * size").select("node", "lone")
+    told = common.materialize(light.join(left, "node"), "told")
+    rows, parts, tested = open_.select("signature", "node").join(told.select("node"), "node", "left_semi"), 4, None
     while True:
-        ranked = common.materialize(still_open(rows).withColumn("place", F.row_number().over(by.orderBy("lone", "node"))), "ranked")
-        if ranked.isEmpty():
+        open_ = labelled(rows)
+        if open_.isEmpty():
             return components
-        # First the two of each bucket with the fewest elements of their own: what is near the middle of a group links most of it.
-        width = 2 if width == 1 else width * 256
-        pivots = ranked.where(F.col("place") <= width).select("signature", *(F.col(c).alias(f"{c}_1") for c in ("node", "component", *told.columns[1:])))
-        met = ranked.join(pivots, "signature").where((F.col("component") != F.col("component_1")) & plausible(F.col("lone") + F.col("lone_1")) & plausible(apart))
+        part = F.pmod(F.xxhash64(F.lit(parts), "node"), F.lit(parts))
+        # What has the fewest elements of its own is near the middle of a group and links most of it.
+        pivots = open_.join(told.select("node", "lone"), "node").groupBy("signature", part.alias("part")).agg(F.min(F.struct("lone", "node", "component")).alias("p"))
+        pivots = common.materialize(pivots.select("signature", "p.node", "p.component"), "pivots")
+        here, there = (x.join(told, "node") for x in (open_, pivots))
+        there = there.select("signature", *(F.col(c).alias(f"{c}_1") for c in ("component", *told.columns)))
+        met = here.join(there, "signature").where((F.col("component") != F.col("component_1")) & plausible(F.col("lone") + F.col("lone_1"), num, den) & plausible(apart(), num, den))
         pairs = met.select(F.least("node", "node_1").alias("a"), F.greatest("node", "node_1").alias("b")).distinct()
         pairs = common.materialize(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         tested = pairs if tested is None else tested.unionByName(pairs)
-        links = links.unionByName(common.materialize(common_of(pairs).where(linked).select("a", "b"), "links"))
-        components = connected_components(links)
-        rows = ranked.where(F.col("place") > width).drop("place", "component").join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        links = links.unionByName(common.materialize(links_of(pairs).select("a", "b"), "links"))
+        components, parts = connected_components(links), parts * 64
+        rows = open_.select("signature", "node").join(pivots, ["signature", "node"], "left_anti")

@@ -2,11 +2,14 @@
 
 Sets of equal size bands (each band reaches 1/similarity times as far as it begins) take part in two instances, their own
 and the next. An instance knows how many elements two linked sets can differ in (k) and deals the feature domain to
-k // 2 + 1 first parts, so that in some part linked sets differ in one element at most; each first part has three
-sub-parts, and each choice of two of them gives a signature. Linked sets share at least one signature; what shares one
-is compared exactly.
+first parts, so that in some part linked sets differ in one element at most; each first part has three sub-parts, and
+each choice of two of them gives a signature. With k // 2 + 1 parts one such part is sure; where parts are so small that
+some choices hold no element at all (which unlike sets would share), there are 2 m more, and a set leaves out the m of
+its parts that hold fewest: of 2 m + 1 sure parts at least one is kept by both sets. Linked sets share at least one
+signature; what shares one is compared exactly.
 
-Inside the rows of one signature no pairs are enumerated; see components.bucket_components.
+Inside the rows of one signature no pairs are enumerated; see components.bucket_components. Sketches settle most pairs
+before any sets are put side by side.
 
 Equal sets are one node, so copies cost nothing. Shingles are 64-bit fingerprints of three words.
 Null or wordless texts have an empty set and link with nothing; texts of fewer words than ``n`` have one shingle.
@@ -22,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
-from .components import bucket_components, profiles
+from .sets import distinct_sets, linked_components, packed_sets
 
 #: ASCII white space; every other byte belongs to a word.
 _WORD = np.ones(256, bool)
@@ -50,13 +53,7 @@ def word_shingles(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.nda
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """The distinct shingles of every row, sorted within the row, and the offsets of the rows in them."""
-    rows, prints = word_shingles(data, offsets, n)
-    order = np.lexsort((prints, rows))
-    rows, prints = rows[order], prints[order]
-    new = np.ones(len(rows), bool)
-    new[1:] = (rows[1:] != rows[:-1]) | (prints[1:] != prints[:-1])
-    rows, prints = rows[new], prints[new]
-    return prints, np.searchsorted(rows, np.arange(len(offsets)))
+    return distinct_sets(data, offsets, lambda d, o: word_shingles(d, o, n))
 
 
 class Bands:
@@ -81,6 +78,14 @@ class Bands:
         return (top + below) * (self.den - self.num) // (self.den + self.num)
 
 
+def parts_of(k: int, size: int) -> tuple[int, int]:
+    """(first parts, how many of them a set leaves out) for a difference of k at most in sets of ``size`` elements or more."""
+    sure = k // 2 + 1
+    empty = 3 * sure * np.exp(-size * 2 / 3 / sure)
+    spare = 0 if empty < 0.02 or sure < 12 else int(np.ceil(2 * empty)) + 1
+    return sure + 2 * spare, spare
+
+
 def signatures(prints: np.ndarray, bands: Bands) -> np.ndarray:
     """The distinct PartEnum signatures of one set."""
     out, band = [], bands.of(len(prints))
@@ -89,16 +94,21 @@ def signatures(prints: np.ndarray, bands: Bands) -> np.ndarray:
         if k == 0:
             out.append(common.mix(np.array([prints.sum(dtype=np.uint64) + np.uint64(instance)], np.uint64)))
             continue
-        parts = k // 2 + 1
+        parts, spare = parts_of(k, bands.low[instance - 1] if instance else 1)
         spread = common.mix(prints + np.uint64(instance * 0x9E3779B97F4A7C15 % 2**64))
-        cell = (spread >> np.uint64(33)) % np.uint64(3 * parts)
+        cell = ((spread >> np.uint64(33)) % np.uint64(3 * parts)).astype(np.int64)
         sums = np.zeros(3 * parts, np.uint64)
-        np.add.at(sums, cell.astype(np.int64), spread)
+        np.add.at(sums, cell, spread)
         sums = sums.reshape(parts, 3)
         # Leave one sub-part out each time; which part and which sub-part it is belongs to the signature.
         left = sums.sum(axis=1, keepdims=True, dtype=np.uint64) - sums
         name = np.arange(3 * parts, dtype=np.uint64).reshape(parts, 3) + np.uint64(instance << 40)
-        out.append(common.mix(left + common.mix(name + np.uint64(1))).ravel())
+        found = common.mix(left + common.mix(name + np.uint64(1)))
+        if spare:
+            held = np.bincount(cell, minlength=3 * parts).reshape(parts, 3)
+            fewest = held.sum(axis=1) - held.max(axis=1)  # elements of the smallest choice of two sub-parts
+            found = found[np.sort(np.argsort(fewest, kind="stable")[spare:])]
+        out.append(found.ravel())
     return np.unique(np.concatenate(out))
 
 
@@ -130,36 +140,6 @@ def _signature_rows(n: int, num: int, den: int):
     return run
 
 
-def _sets(n: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.blocks(batches):
-            data, offsets = common.as_bytes(batch.column("text"))
-            prints, ends = shingle_sets(data, offsets, n)
-            out = pa.array([prints[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), out], ["_id", "prints"])
-
-    return run
-
-
-def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The sets as single elements."""
-    for batch in common.blocks(batches, "prints"):
-        prints, offsets = common.as_bytes(batch.column("prints"))
-        ids = np.repeat(batch.column("_id").to_numpy(zero_copy_only=False), np.diff(offsets) // 8)
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.frombuffer(prints.tobytes(), np.int64))], ["node", "element"])
-
-
-def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How many elements the sets of each pair have in common."""
-    for batch in batches:
-        counts = []
-        for x, y in zip(batch.column("pa"), batch.column("pb")):
-            both = np.concatenate((np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)))
-            both.sort(kind="stable")
-            counts.append(int((both[1:] == both[:-1]).sum()))
-        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in ("a", "b", "sa", "sb")), pa.array(counts, pa.int32())], ["a", "b", "sa", "sb", "common"])
-
-
 def similar_sets(texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """(node, component) of the rows of ``texts`` (_id, text; sets all different) with at least one link."""
     signed = texts.mapInArrow(_signature_rows(n, num, den), "signature long, _id long")
@@ -168,20 +148,10 @@ def similar_sets(texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
     shared = common.materialize(shared.select("signature", F.col("_id").alias("node")), "shared")
     # The sets of those that share a signature with anything.
     wanted = shared.select(F.col("node").alias("_id")).distinct()
-    sets = common.materialize(texts.join(common.maybe_broadcast(wanted, 1_000_000), "_id", "left_semi").mapInArrow(_sets(n), "_id long, prints binary").distinct(), "sets")
-    sets = sets.withColumn("size", F.length("prints") / 8).withColumn("size", F.col("size").cast("int"))
-    a, b = (sets.select(F.col("_id").alias(x), F.col("size").alias(f"s{x}"), F.col("prints").alias(f"p{x}")) for x in "ab")
-
-    def common_of(pairs: DataFrame) -> DataFrame:
-        # Sizes alone rule out some pairs before the sets are put side by side.
-        both = pairs.join(a, "a").join(b, "b").where(F.least("sa", "sb") * den >= F.greatest("sa", "sb") * num)
-        return both.select("a", "b", "sa", "sb", "pa", "pb").mapInArrow(_common, "a long, b long, sa int, sb int, common int")
-
-    def profiles_of(nodes: DataFrame) -> DataFrame:
-        own = sets.join(nodes.withColumnRenamed("node", "_id"), "_id")
-        return profiles(own.mapInArrow(_elements, "node long, element long"), own.select(F.col("_id").alias("node"), "size"))
-
-    return bucket_components(shared, common_of, profiles_of, num, den)
+    sets = packed_sets(texts.join(common.maybe_broadcast(wanted), "_id", "left_semi"), lambda d, o: word_shingles(d, o, n))
+    sets = common.materialize(sets, "sets")
+    common.collect_garbage(texts.sparkSession)
+    return linked_components(shared, sets, num, den)
 
 
 def join(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -196,7 +166,7 @@ def join(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, text: str =
     filled = sets.where("n_shingles > 0")
     # One node for each distinct set, so that copies meet no signature.
     kinds = common.materialize(filled.where("_id is not null").groupBy("d0", "d1", "n_shingles").agg(F.min("_id").alias("rep")), "kinds")
-    chosen = texts.join(common.maybe_broadcast(kinds.select(F.col("rep").alias("_id")).distinct(), 1_000_000), "_id", "left_semi")
+    chosen = texts.join(common.maybe_broadcast(kinds.select(F.col("rep").alias("_id")).distinct()), "_id", "left_semi")
     linked = similar_sets(chosen, n, num, den)
     rows = filled.join(kinds, ["d0", "d1", "n_shingles"], "left").select("_id", "n_shingles", "rep")
     rows = rows.join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))

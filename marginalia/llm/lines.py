@@ -1,32 +1,80 @@
-"""Operator 3: fuzzy line dedup by MinHash, in DataFrame operations only.
+"""Operator 3: fuzzy line dedup by MinHash.
 
-Distinct lines are cut into the shingles of ``SHINGLE`` characters that begin at every character (a shorter line is one
-shingle), so that an edit moves no other shingle. One permutation of the shingle hashes is dealt to
-``BANDS * ROWS`` bins, the least hash of each bin is the signature, and empty bins borrow from the next one. Lines that
-agree in a band are candidates; their Jaccard similarity over all shingles is then computed exactly, and linked lines are
-joined to components. Of each component (and of each repeated line) the first occurrence by (key, line) stays.
+Lines are cut into the shingles of ``SHINGLE`` characters that begin at every character (a shorter line is one shingle),
+so that an edit moves no other shingle. One permutation of the shingle hashes is dealt to ``BANDS * ROWS`` bins, the
+least hash of each bin is the signature, and an empty bin borrows from the next one that has any. Lines that agree in a
+band are candidates; their Jaccard similarity over all shingles is then computed exactly, and linked lines are joined to
+components. Of each component (and of each repeated line) the first occurrence by (key, line) stays.
+
+Lines are split, hashed, grouped and joined by DataFrame operations. Shingles and signatures are made in Arrow batches:
+with DataFrame functions alone every character becomes a row, which is beyond the limits (figures in the README).
 
 Lines are separated by a newline and compared without white space at either end. Blank lines are left alone. Null texts
-stay null, empty texts stay empty. Rows that repeat a key with the same text are one document and keep the same lines.
+stay null, empty texts stay empty, a line may be as long as a text. Rows that repeat a key with the same text are one
+document and keep the same lines. Columns named n_lines and n_kept are replaced, any others kept whatever their names.
+An empty table gives an empty one.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .components import bucket_components, profiles
+from .sets import linked_components, packed_sets
 
 #: Characters of a shingle; common shingles of linked lines, as a share (80 of 100); bands and their rows (0.8 ** 3 in each of 8 bands: 99.7 % of pairs at 0.8 become candidates).
 SHINGLE, BANDS, ROWS = 12, 8, 3
 SIMILARITY = (80, 100)
-BROADCAST_ROWS = 400_000
-
-
-def shingles(line: Column) -> Column:
-    """The character shingles of a line, one for each position (by one pass over the line, however long it is)."""
-    return F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{SHINGLE}}}|^.{{1,{SHINGLE - 1}}}\z))."), F.lit(1))
+#: Bytes of lines that are signed at once: a worker holds about a hundred bytes for each.
+LINE_BYTES = 400_000
+_BAND_COLUMNS = [f"b{j}" for j in range(BANDS)]
+
+
+def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash) of the shingle at each character of the lines of a block; a shorter line is one shingle."""
+    chars = np.flatnonzero((data & 0xC0) != 0x80)
+    first = np.searchsorted(chars, offsets)
+    counts = np.diff(first)
+    row = np.repeat(np.arange(len(counts)), counts)
+    size = np.minimum(counts, SHINGLE)[row]
+    at = np.flatnonzero(np.arange(len(chars)) + size <= first[1:][row])
+    ends = np.append(chars, len(data))
+    return row[at], common.Runs(data).hashes(chars[at], ends[at + size[at]])
+
+
+def signatures(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """(lines, BANDS): a hash for each band of each line of a block."""
+    row, prints = shingles(data, offsets)
+    lines, bins, none = len(offsets) - 1, BANDS * ROWS, np.uint64(1 << 32)
+    least = np.full(lines * bins, none)
+    np.minimum.at(least, row * bins + (prints % np.uint64(bins)).astype(np.int64), prints >> np.uint64(32))
+    least = least.reshape(lines, bins)
+    full = least.copy()
+    for d in range(1, bins):  # an empty bin takes the value of the next one that has any, told apart by the distance
+        empty = full == none
+        if not empty.any():
+            break
+        lent = np.roll(least, -d, axis=1)
+        full = np.where(empty & (lent != none), lent + np.uint64(d << 33), full)
+    out = np.empty((lines, BANDS), np.uint64)
+    for b in range(BANDS):
+        out[:, b] = np.uint64(b)
+        for r in range(ROWS):
+            out[:, b] = common.mix(out[:, b] * np.uint64(0x2545F4914F6CDD1D) + full[:, b * ROWS + r])
+    return out
+
+
+def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The lines without their text, but with their bands."""
+    for batch in common.blocks(batches, "line", LINE_BYTES):
+        bands = signatures(*common.as_bytes(batch.column("line"))).view(np.int64)
+        kept = [n for n in batch.schema.names if n != "line"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), *(pa.array(np.ascontiguousarray(bands[:, b])) for b in range(BANDS))], [*kept, *_BAND_COLUMNS])
 
 
 def _lines(docs: DataFrame, key: str) -> DataFrame:
@@ -36,58 +84,39 @@ def _lines(docs: DataFrame, key: str) -> DataFrame:
     return rows.withColumn("h1", F.xxhash64("line")).withColumn("h2", F.xxhash64(F.lit(1), "line"))
 
 
-def signatures(lines: DataFrame) -> DataFrame:
-    """(h1, h2, n, b0 ...): the distinct lines with their number and a hash for each band."""
-    bins = BANDS * ROWS
-    distinct = lines.groupBy("h1", "h2").agg(F.max("line").alias("line"), F.count("*").alias("n"))
-    each = distinct.select("h1", "h2", "n", F.explode(shingles(F.col("line"))).alias("shingle")).select("h1", "h2", "n", F.xxhash64("shingle").alias("s"))
-    each = each.select("h1", "h2", "n", F.pmod("s", F.lit(bins)).cast("int").alias("bin"), F.shiftright("s", 32).cast("int").alias("v"))
-    mins = [F.min(F.when(F.col("bin") == j, F.col("v"))).alias(f"m{j}") for j in range(bins)]
-    least = each.groupBy("h1", "h2").agg(F.max("n").alias("n"), *mins)
-    # An empty bin takes the value of the next one that has any, told apart by the distance.
-    full = [F.coalesce(*(F.col(f"m{(j + d) % bins}") + F.lit(d * 1_000_003).cast("long") for d in range(bins))).alias(f"f{j}") for j in range(bins)]
-    least = least.select("h1", "h2", "n", *full)
-    bands = [F.xxhash64(F.lit(b), *(F.col(f"f{b * ROWS + r}") for r in range(ROWS))).alias(f"b{b}") for b in range(BANDS)]
-    return least.select("h1", "h2", "n", *bands)
-
-
 def repeated(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, print, drop array<int>): for each document the places of the lines that repeat an earlier line."""
     lines = _lines(docs.select(key, "text"), key)
-    occurrences = common.materialize(lines.select(key, "print", "at", "h1", "h2"), "lines")
-    kinds = common.materialize(signatures(lines).withColumn("node", F.monotonically_increasing_id()), "kinds")
-    banded = kinds.select("node", F.explode(F.array(*(f"b{b}" for b in range(BANDS)))).alias("signature"))
+    fields = f"_key {docs.schema[key].dataType.simpleString()}, print long, at int, h1 long, h2 long, " + ", ".join(f"{b} long" for b in _BAND_COLUMNS)
+    signed = lines.select(F.col(key).alias("_key"), "print", "at", "h1", "h2", "line").mapInArrow(_signed, fields)
+    occurrences = common.materialize(signed.withColumnRenamed("_key", key), "lines")
+    kinds = occurrences.groupBy("h1", "h2").agg(F.count("*").alias("n"), *(F.min(b).alias(b) for b in _BAND_COLUMNS))
+    kinds = common.materialize(kinds.withColumn("node", F.monotonically_increasing_id()), "kinds")
+    banded = kinds.select("node", F.explode(F.array(*_BAND_COLUMNS)).alias("signature"))
     shared = banded.groupBy("signature").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y").select("signature")
-    shared = common.materialize(banded.join(shared, "signature").select("signature", "node"), "shared")
-    wanted = kinds.join(shared.select("node").distinct(), "node").select("node", "h1", "h2")
-    texts = lines.join(common.maybe_broadcast(common.materialize(wanted, "wanted"), BROADCAST_ROWS), ["h1", "h2"]).groupBy("node").agg(F.max("line").alias("line"))
-    sets = common.materialize(texts.select("node", F.array_distinct(F.transform(shingles(F.col("line")), lambda x: F.xxhash64(x))).alias("s")), "sets")
-    sets = sets.withColumn("size", F.size("s"))
-    a, b = (sets.select(F.col("node").alias(x), F.col("size").alias(f"s{x}"), F.col("s").alias(f"e{x}")) for x in "ab")
-    num, den = SIMILARITY
-
-    def common_of(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(a, "a").join(b, "b").where(F.least("sa", "sb") * den >= F.greatest("sa", "sb") * num)
-        return both.select("a", "b", "sa", "sb", F.size(F.array_intersect("ea", "eb")).alias("common"))
-
-    def profiles_of(nodes: DataFrame) -> DataFrame:
-        own = sets.join(nodes, "node")
-        return profiles(own.select("node", F.explode("s").alias("element")), own.select("node", "size"))
-
-    components = bucket_components(shared, common_of, profiles_of, num, den)
-    groups = kinds.select("node", "h1", "h2", "n").join(components, "node", "left").where("n > 1 or component is not null")
-    groups = common.maybe_broadcast(common.materialize(groups.select("h1", "h2", F.coalesce("component", "node").alias("component")), "groups"), BROADCAST_ROWS)
-    met = common.materialize(occurrences.join(groups, ["h1", "h2"]).select(key, "print", "at", "component"), "met")
+    buckets = common.materialize(banded.join(common.maybe_broadcast(common.materialize(shared, "signatures")), "signature").select("signature", "node"), "buckets")
+    wanted = common.materialize(kinds.select("node", "h1", "h2").join(buckets.select("node").distinct(), "node"), "wanted")
+    texts = lines.select("h1", "h2", "line").join(common.maybe_broadcast(wanted), ["h1", "h2"]).groupBy("node").agg(F.max("line").alias("text"))
+    sets = common.materialize(packed_sets(texts.withColumnRenamed("node", "_id"), shingles), "sets")
+    common.collect_garbage(docs.sparkSession)
+    components = linked_components(buckets, sets, *SIMILARITY)
+    # Lines that stand several times or have a component; a line without one is a component of its own.
+    named = kinds.select("node", "h1", "h2", "n").join(components, "node", "left").where("n > 1 OR component IS NOT NULL")
+    groups = common.materialize(named.select("h1", "h2", F.coalesce("component", "node").alias("component")), "groups")
+    common.discard(kinds, buckets, sets, wanted)
+    met = occurrences.select(key, "print", "at", "h1", "h2").join(common.maybe_broadcast(groups), ["h1", "h2"]).select(key, "print", "at", "component")
+    met = common.materialize(met, "met")
+    common.discard(occurrences, groups)
     place = F.struct(F.col(key).isNotNull().alias("given"), key, "print", "at")
     firsts = met.groupBy("component").agg(F.min(place).alias("first"))
-    late = met.join(common.maybe_broadcast(firsts, BROADCAST_ROWS), "component").where(place != F.col("first"))
+    late = met.join(common.maybe_broadcast(firsts), "component").where(place != F.col("first"))
     return late.groupBy(key, "print").agg(F.array_sort(F.collect_set("at")).alias("drop"))
 
 
 def dedup(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """``docs`` with the lines of ``text`` that stay, and n_lines and n_kept (null for null texts; columns of these names are replaced)."""
     late = repeated(docs, key).select(F.col(key).alias("_ld_key"), F.col("print").alias("_ld_print"), F.col("drop").alias("_ld_drop"))
-    late = common.maybe_broadcast(common.materialize(late, "late"), BROADCAST_ROWS)
+    late = common.maybe_broadcast(common.materialize(late, "late"))
     columns = [c for c in docs.columns if c not in ("n_lines", "n_kept")]
     rows = docs.select(columns).join(late, F.col(key).eqNullSafe(F.col("_ld_key")) & (F.xxhash64("text") == F.col("_ld_print")), "left")
     every = F.split("text", "\n")
