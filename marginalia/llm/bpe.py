@@ -6,13 +6,15 @@ their own. A pre-token depends only on the text after its start, so after one co
 Where an overlap holds no common boundary (a run of letters longer than the overlap), the neighbours are joined and
 count as one piece. Decoding concatenates the bytes of the ids.
 
-Null texts count as empty: no ids, empty bytes. Repeated rows and repeated ids stay separate rows.
+Null texts count as empty: no ids, empty bytes. Repeated rows and repeated ids stay separate rows; columns other than key
+and text are left out, whatever their names; an empty table gives an empty one.
 """
 
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+import hashlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +25,8 @@ from . import common
 
 #: Characters of a chunk without its overlap, and of the overlap.
 CHUNK, OVERLAP = 65_536, 2_048
-#: Pieces whose ids a task remembers; then it starts anew.
-REMEMBERED = 400_000
+#: Pieces whose ids a task remembers; then it starts anew, as does every task.
+REMEMBERED = 200_000
 
 _vocabularies: dict[str, "Vocabulary"] = {}
 
@@ -32,11 +34,10 @@ _vocabularies: dict[str, "Vocabulary"] = {}
 class Vocabulary:
     """Ranks of a vocabulary file (one base64 token and its rank a line) and the merges they imply."""
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, raw: bytes, pattern: str):
         import regex
 
-        with open(path, "rb") as lines:
-            self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
+        self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in raw.splitlines() if line.strip())}
         self.find = regex.compile(pattern).findall
         self.scan = regex.compile(pattern).finditer
         self.tokens = [b""] * (max(self.ranks.values()) + 1)
@@ -102,10 +103,18 @@ class Vocabulary:
         return self.bytes[where], starts
 
 
-def vocabulary(path: str, pattern: str) -> Vocabulary:
-    if path not in _vocabularies:
-        _vocabularies[path] = Vocabulary(path, pattern)
-    return _vocabularies[path]
+def shipped(spark: SparkSession, path: str, pattern: str) -> Callable[[], Vocabulary]:
+    """The vocabulary for use in tasks: the driver reads the file (a bounded one) and broadcasts its bytes, each worker builds it once."""
+    with open(path, "rb") as file:
+        raw = file.read()
+    told, name = spark.sparkContext.broadcast(raw), hashlib.sha256(raw + pattern.encode()).hexdigest()
+
+    def get() -> Vocabulary:
+        if name not in _vocabularies:
+            _vocabularies[name] = Vocabulary(told.value, pattern)
+        return _vocabularies[name]
+
+    return get
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,7 +130,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _CHUNKS = pa.schema([("_row", pa.int64()), ("chunk", pa.int64()), ("body", pa.string()), ("last", pa.bool_())])
 
 
-def _boundaries(path: str, pattern: str):
+def _boundaries(vocabulary: Callable[[], Vocabulary]):
     """For each chunk the starts of pre-tokens in its head and in its tail, both as places in the overlap.
 
     The last pre-token of a cut chunk may go on after it, and the one before it may have stopped for the cut (white space
@@ -130,7 +139,7 @@ def _boundaries(path: str, pattern: str):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = vocabulary(path, pattern)
+        words = vocabulary()
         for batch in batches:
             heads, tails = [], []
             for body, last in zip(batch.column("body").to_pylist(), batch.column("last").to_pylist()):
@@ -142,10 +151,10 @@ def _boundaries(path: str, pattern: str):
     return run
 
 
-def pieces(texts: DataFrame, path: str, pattern: str) -> DataFrame:
+def pieces(texts: DataFrame, vocabulary: Callable[[], Vocabulary]) -> DataFrame:
     """(_row, piece, body): texts (_row, _text) cut where pre-tokens surely begin."""
     chunks = texts.repartition("_row").mapInArrow(_cut, "_row long, chunk long, body string, last boolean")
-    seen = common.materialize(chunks.repartition("_row", "chunk").mapInArrow(_boundaries(path, pattern), "_row long, chunk long, body string, last boolean, head array<int>, tail array<int>"), "chunks")
+    seen = common.materialize(chunks.repartition("_row", "chunk").mapInArrow(_boundaries(vocabulary), "_row long, chunk long, body string, last boolean, head array<int>, tail array<int>"), "chunks")
     order = Window.partitionBy("_row").orderBy("chunk")
     meets = F.array_min(F.array_intersect(F.col("tail"), F.lead("head").over(order)))
     stitched = seen.select("_row", "chunk", "last", meets.alias("stitch")).withColumn("came", F.lag("stitch").over(order))
@@ -158,50 +167,60 @@ def pieces(texts: DataFrame, path: str, pattern: str) -> DataFrame:
     return one.select("_row", "piece", F.array_join(F.col("parts.body"), "").alias("body"))
 
 
-def _encoded(path: str, pattern: str, column: str):
+def _encoded(vocabulary: Callable[[], Vocabulary], column: str, decoded: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = vocabulary(path, pattern)
+        words = vocabulary()
         for batch in common.blocks(batches, column):
             ends, flat = [0], []
             for text in batch.column(column).to_pylist():
                 flat += words.encode(text or "")
                 ends.append(len(flat))
             ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.array(flat, np.int32)))
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in batch.schema.names if n != column), ids], [*(n for n in batch.schema.names if n != column), "ids"])
+            kept = [n for n in batch.schema.names if n != column]
+            more = [_bytes_of(words, ids)] if decoded else []
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), ids, *more], [*kept, "ids", *["decoded"] * decoded])
+        words.known.clear()  # a worker that goes on to other stages keeps the vocabulary only
 
     return run
 
 
-def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", key: str = "doc_id", long_text: int = CHUNK) -> DataFrame:
-    """(key, ids array<int>): each row of ``docs`` with the ids of its whole text."""
+def _bytes_of(words: Vocabulary, ids: pa.ListArray) -> pa.Array:
+    """The bytes of each list of ids, concatenated."""
+    data, starts = words.decode(ids.flatten().to_numpy(zero_copy_only=False).astype(np.int64))
+    ends = np.concatenate(([0], np.cumsum(ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))))
+    places = starts[ends.astype(np.int64)].astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(places.tobytes()), pa.py_buffer(data.tobytes())])
+
+
+def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", key: str = "doc_id", long_text: int = CHUNK, decoded: bool = False) -> DataFrame:
+    """(key, ids array<int>): each row of ``docs`` with the ids of its whole text; with ``decoded``, also the bytes that
+    decoding those ids gives, in the same pass of the same worker."""
     both = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    kind = both.schema[key].dataType.simpleString()
-    short = both.where(F.length("_text") <= long_text).mapInArrow(_encoded(path, pattern, "_text"), f"{key} {kind}, ids array<int>")
+    kind, vocabulary = both.schema[key].dataType.simpleString(), shipped(docs.sparkSession, path, pattern)
+    fields = f"{key} {kind}, ids array<int>" + ", decoded binary" * decoded
+    short = both.where(F.length("_text") <= long_text).mapInArrow(_encoded(vocabulary, "_text", decoded), fields)
     long = both.where(F.length("_text") > long_text)
     if long.isEmpty():
         return short
     # Rows get a number of their own, written down once: ids may repeat.
     long = common.materialize(long.withColumn("_row", F.monotonically_increasing_id()), "long")
-    coded = pieces(long.select("_row", "_text"), path, pattern).repartition("_row", "piece").mapInArrow(_encoded(path, pattern, "body"), "_row long, piece long, ids array<int>")
+    coded = pieces(long.select("_row", "_text"), vocabulary).repartition("_row", "piece").mapInArrow(_encoded(vocabulary, "body"), "_row long, piece long, ids array<int>")
     whole = coded.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("piece", "ids"))).alias("p"))
     whole = whole.select("_row", F.flatten(F.col("p.ids")).alias("ids"))
-    return short.unionByName(long.select("_row", key).join(whole, "_row").select(key, "ids"))
+    joined = long.select("_row", key).join(whole, "_row").select(key, "ids")
+    return short.unionByName(decode(joined, path, pattern) if decoded else joined)
 
 
 def decode(coded: DataFrame, path: str, pattern: str) -> DataFrame:
     """``coded`` with ``decoded binary``: the bytes of ``ids``, concatenated."""
+    vocabulary = shipped(coded.sparkSession, path, pattern)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = vocabulary(path, pattern)
+        words = vocabulary()
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
                 part = batch.slice(a, 256)
-                ids = part.column("ids")
-                data, starts = words.decode(ids.flatten().to_numpy(zero_copy_only=False).astype(np.int64))
-                ends = np.concatenate(([0], np.cumsum(ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))))
-                places = starts[ends.astype(np.int64)].astype(np.int32)
-                out = pa.Array.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer(places.tobytes()), pa.py_buffer(data.tobytes())])
-                yield pa.RecordBatch.from_arrays([*part.columns, out], [*part.schema.names, "decoded"])
+                yield pa.RecordBatch.from_arrays([*part.columns, _bytes_of(words, part.column("ids"))], [*part.schema.names, "decoded"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in coded.schema)
     return coded.mapInArrow(run, f"{kinds}, decoded binary")
@@ -226,4 +245,4 @@ def digests(decoded: DataFrame, *more: str) -> DataFrame:
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = default_vocabulary()
-    return digests(decode(encode(common.table(spark, sf_dir, "documents"), path, pattern), path, pattern))
+    return digests(encode(common.table(spark, sf_dir, "documents"), path, pattern, decoded=True))
