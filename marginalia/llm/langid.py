@@ -4,7 +4,9 @@ Filters of several widths run over embedded bytes, their maxima over a fixed-len
 is trained in numpy on a bounded sample of labelled rows and applied to all windows of every text; the window
 probabilities of a text are averaged, weighted by the bytes each window holds.
 
-Null texts and texts without a letter are ``und`` with score 0. Empty training data gives ``und`` for all.
+Null texts and texts without a letter are ``und`` with score 0. Empty training data gives ``und`` for all. Texts of any
+length are read whole, repeated rows give equal rows, an empty table an empty one. Columns named lang_pred and score are
+replaced; all others are kept whatever their names.
 """
 
 from __future__ import annotations
@@ -14,13 +16,13 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
 
-#: Bytes of a window; labelled rows that training uses at most, and the bytes of each that it uses.
-WINDOW, SAMPLE_ROWS, SAMPLE_BYTES = 256, 3_000, 1_024
+#: Bytes of a window; labelled rows that training uses at most, and the windows of each, spread over its whole text.
+WINDOW, SAMPLE_ROWS, SAMPLE_WINDOWS = 256, 3_000, 4
 WIDTHS, FILTERS, EMBEDDED = (2, 3, 4), 16, 8
 #: Steps of training at least, however few the windows are.
 LEAST_STEPS = 800
@@ -119,11 +121,19 @@ def bounded_sample(rows: DataFrame, key: str, most: int) -> DataFrame:
     return rows.join(F.broadcast(chosen), key, "left_semi")
 
 
+def spread(key: str, raw: Column, size: int, most: int) -> Column:
+    """At most ``most`` windows of ``size`` bytes of a text, dealt by hash over all of it, in their order; a text of fewer is whole."""
+    every = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.octet_length(raw) - 1) / size).cast("int")))
+    dealt = F.slice(F.array_sort(F.transform(every, lambda i: F.struct(F.xxhash64(F.col(key), i).alias("h"), i.alias("i")))), 1, most)
+    chosen = F.transform(F.array_sort(F.transform(dealt, lambda x: x["i"])), lambda i: F.substring(raw, size * i + 1, F.lit(size)))
+    return F.aggregate(chosen, F.lit(b""), lambda a, b: F.concat(a, b))
+
+
 def fit(labelled: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id", rows: int = SAMPLE_ROWS) -> tuple[ByteNetwork | None, list[str]]:
     """A network trained on at most ``rows`` rows of ``labelled``; rows without text or label are left out."""
     use = labelled.where(F.col(label).isNotNull() & (F.length(text) > 0)).select(F.col(key), F.col(text), F.col(label))
-    cut = bounded_sample(use, key, rows).select(key, label, F.substring(F.col(text).cast("binary"), 1, SAMPLE_BYTES).alias("bytes"))
-    found = sorted(cut.limit(2 * rows).collect(), key=lambda r: (str(r[0]), str(r[1]), bytes(r[2])))
+    cut = bounded_sample(use, key, rows).select(key, label, spread(key, F.col(text).cast("binary"), WINDOW, SAMPLE_WINDOWS).alias("bytes"))
+    found = sorted(cut.orderBy(F.xxhash64(key), key, label, "bytes").limit(rows).collect(), key=lambda r: (str(r[0]), str(r[1]), bytes(r[2])))
     classes = sorted({str(r[1]) for r in found})
     if not classes:
         return None, []
@@ -146,19 +156,22 @@ def predict(docs: DataFrame, network: ByteNetwork | None, classes: list[str], te
     Columns of these two names that ``docs`` has are replaced.
     """
     keep = [c for c in keep if c not in ("lang_pred", "score")]
+    given = "_text"
+    while given in keep:
+        given += "_"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.blocks(batches, "_text"):
-            lettered = pc.fill_null(pc.match_substring_regex(batch.column("_text"), r"\pL"), False).to_numpy(zero_copy_only=False)
+        for batch in common.blocks(batches, given):
+            lettered = pc.fill_null(pc.match_substring_regex(batch.column(given), r"\pL"), False).to_numpy(zero_copy_only=False)
             best, score = np.full(batch.num_rows, len(classes)), np.zeros(batch.num_rows)
             if network is not None:
-                p = network.predict(*common.as_bytes(batch.column("_text")))
+                p = network.predict(*common.as_bytes(batch.column(given)))
                 best[lettered], score[lettered] = p.argmax(axis=1)[lettered], p.max(axis=1)[lettered]
             names = np.array([*classes, "und"], object)[best]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(names, pa.string()), pa.array(np.minimum(score, 1.0))], [*keep, "lang_pred", "score"])
 
     kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
-    return docs.select(*keep, F.col(text).cast("string").alias("_text")).mapInArrow(run, f"{kinds}lang_pred string, score double")
+    return docs.select(*keep, F.col(text).cast("string").alias(given)).mapInArrow(run, f"{kinds}lang_pred string, score double")
 
 
 def identify(docs: DataFrame) -> DataFrame:

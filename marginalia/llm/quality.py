@@ -6,6 +6,8 @@ rows. Averaging and the output are linear, so scoring folds both into one number
 look-up for each word and n-gram of its whole length.
 
 Null and empty texts have no feature: their score is that of the bias alone. Without any labelled row all scores are 0.5.
+Texts of any length are scored whole; rows that repeat a key are scored each; other columns are left out; an empty table
+gives an empty one.
 """
 
 from __future__ import annotations
@@ -18,13 +20,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .langid import bounded_sample
+from .langid import bounded_sample, spread
 
 #: Hash rows (a power of two), numbers in a vector, character n-gram lengths, labelled rows that training uses at most
-#: and the bytes of each that it uses.
-BUCKETS, DIMENSIONS, GRAMS, SAMPLE_ROWS, SAMPLE_BYTES = 1 << 17, 12, (3, 4), 3_000, 2_048
-#: How far back a repeated word is looked for.
-REPEATS = 4
+#: and the windows of each, of so many bytes, spread over its whole text.
+BUCKETS, DIMENSIONS, GRAMS, SAMPLE_ROWS, WINDOWS, WINDOW = 1 << 17, 12, (3, 4), 3_000, 8, 256
 _SPACE = np.ones(256, bool)
 _SPACE[[32, *range(9, 14)]] = False
 
@@ -39,9 +39,6 @@ def features(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray
     same = rows[1:] == rows[:-1]
     pairs = common.mix(words[:-1] * np.uint64(31) + words[1:])[same]
     yield rows[:-1][same], (pairs & np.uint64(BUCKETS - 1)).astype(np.int64)
-    for lag in range(1, 1 + REPEATS):  # a word that stands again a few words on counts as a word of its own kind
-        again = (words[lag:] == words[:-lag]) & (rows[lag:] == rows[:-lag])
-        yield rows[lag:][again], np.full(int(again.sum()), 7919 * lag % BUCKETS)
     of = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     for n in GRAMS:
         grams = (runs.windows(n) + np.uint64(n)) & np.uint64(BUCKETS - 1)
@@ -99,8 +96,8 @@ class SubwordModel:
 def fit(labelled: DataFrame, text: str = "text", label: str = "quality", key: str = "doc_id", rows: int = SAMPLE_ROWS) -> SubwordModel | None:
     """A model of label 1 against 0 from at most ``rows`` rows of ``labelled``; null labels are left out, null texts are empty."""
     use = labelled.where(F.col(label).isin(0, 1)).select(key, text, label)
-    cut = bounded_sample(use, key, rows).select(key, label, F.substring(F.coalesce(F.col(text), F.lit("")).cast("binary"), 1, SAMPLE_BYTES).alias("bytes"))
-    found = sorted(cut.limit(2 * rows).collect(), key=lambda r: (str(r[0]), r[1], bytes(r[2])))
+    cut = bounded_sample(use, key, rows).select(key, label, spread(key, F.coalesce(F.col(text), F.lit("")).cast("binary"), WINDOW, WINDOWS).alias("bytes"))
+    found = sorted(cut.orderBy(F.xxhash64(key), key, label, "bytes").limit(rows).collect(), key=lambda r: (str(r[0]), r[1], bytes(r[2])))
     if not found:
         return None
     model = SubwordModel()
@@ -131,5 +128,5 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = common.table(spark, sf_dir, "labels").select("doc_id", "quality").where(common.crc_bucket() != 1)
     # Which rows train is settled before texts are read: keys only, bounded by SAMPLE_ROWS.
     chosen = bounded_sample(labels.where(F.col("quality").isin(0, 1)), "doc_id", SAMPLE_ROWS)
-    scored = score(docs, fit(docs.join(F.broadcast(chosen.limit(2 * SAMPLE_ROWS)), "doc_id")))
+    scored = score(docs, fit(docs.join(F.broadcast(chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(SAMPLE_ROWS)), "doc_id")))
     return scored.select("doc_id", (common.crc_bucket() == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
