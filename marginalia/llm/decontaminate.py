@@ -6,7 +6,8 @@ that term is intersected with that of the second rarest, and what is left is com
 of matches as long as a window is an exact occurrence.
 
 Null and wordless texts have no words and no hits; items without words are left out; repeated rows stay separate rows;
-items that repeat an id count once.
+items that repeat an id count once. Texts of any length are indexed whole, columns other than key and text are left out
+whatever their names, and an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -16,8 +17,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Words of a window, and rows up to which a side is broadcast.
-WINDOW, BROADCAST_ROWS = 13, 500_000
+#: Words of a window.
+WINDOW = 13
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _CLOSING = " "
 
@@ -40,7 +41,7 @@ class Index:
         terms = common.materialize(spelt.select("word").distinct().withColumn("term", F.monotonically_increasing_id()), "terms")
         self.spelt = common.materialize(spelt.join(terms, "word").select("item", "length", "at", "term"), "spelt")
         closing = terms.sparkSession.createDataFrame([(_CLOSING, -1)], "word string, term long")
-        listed = common.maybe_broadcast(terms.unionByName(closing), BROADCAST_ROWS)
+        listed = common.maybe_broadcast(terms.unionByName(closing))
         rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key), words(F.col(text)).alias("words"))
         rows = rows.select("row", key, F.posexplode(F.concat("words", F.array(F.lit(_CLOSING)))).alias("pos", "word"))
         stored = common.materialize(rows.join(listed, "word").select("row", key, "pos", "term"), "postings")
@@ -65,19 +66,19 @@ class Index:
         second = probes.where("rank = 2").select("item", "start", F.col("at").alias("at2"), F.col("term").alias("term2"))
         pairs = common.materialize(first.join(second, ["item", "start"], "left").drop("start").distinct(), "pairs")
         leading = pairs.select("item", "at1", F.col("term1").alias("term")).distinct()
-        hits = self.postings.join(common.maybe_broadcast(leading, BROADCAST_ROWS), "term").select("row", "item", "at1", (F.col("pos") - F.col("at1")).alias("shift"))
-        hits = hits.join(common.maybe_broadcast(pairs, BROADCAST_ROWS), ["item", "at1"])
+        hits = self.postings.join(common.maybe_broadcast(leading), "term").select("row", "item", "at1", (F.col("pos") - F.col("at1")).alias("shift"))
+        hits = hits.join(common.maybe_broadcast(pairs), ["item", "at1"])
         alone = hits.where("term2 is null").select("row", "item", "shift")
         wanted = hits.where("term2 is not null").select("row", "item", "shift", F.col("term2").alias("term"), (F.col("shift") + F.col("at2")).alias("pos"))
-        others = self.postings.join(common.maybe_broadcast(pairs.select(F.col("term2").alias("term")).distinct(), BROADCAST_ROWS), "term", "left_semi")
+        others = self.postings.join(common.maybe_broadcast(pairs.select(F.col("term2").alias("term")).distinct()), "term", "left_semi")
         return common.materialize(alone.unionByName(wanted.join(others, ["row", "pos", "term"], "left_semi").select("row", "item", "shift")).distinct(), "aligned")
 
     def phrases(self, window: int = WINDOW) -> DataFrame:
         """(row, item, shift, starts, size): the starts in the item of all windows that occur exactly, ``shift`` words on in the row."""
         found = self._aligned(window)
-        near = common.maybe_broadcast(found.select("row").distinct(), BROADCAST_ROWS)
+        near = common.maybe_broadcast(found.select("row").distinct())
         held = self.postings.join(near, "row", "left_semi")
-        spelt = common.maybe_broadcast(self.spelt, BROADCAST_ROWS)
+        spelt = common.maybe_broadcast(self.spelt)
         wanted = found.join(spelt, "item").withColumn("pos", F.col("shift") + F.col("at"))
         matched = wanted.join(held, ["row", "pos", "term"], "left_semi").groupBy("row", "item", "shift", "length").agg(F.array_sort(F.collect_list("at")).alias("m"))
         # m[i + size - 1] = m[i] + size - 1 says that all places between match as well.
@@ -91,7 +92,7 @@ class Index:
         by = Window.partitionBy("item").orderBy("n", "term")
         rare = self.spelt.select("item", "term").distinct().join(counts, "term").withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= terms)
         rare = common.materialize(rare.select("item", "term", "rank", F.max("rank").over(Window.partitionBy("item")).alias("of")), "rare")
-        hits = self.postings.join(common.maybe_broadcast(rare, BROADCAST_ROWS), "term")
+        hits = self.postings.join(common.maybe_broadcast(rare), "term")
         centres = hits.where("rank = 1").select("row", "item", "of", F.col("pos").alias("centre"))
         cells = centres.withColumn("cell", F.explode(F.array(*(F.floor(F.col("centre") / span) + d for d in (-1, 0, 1)))))
         others = hits.where("rank > 1").select("row", "item", "rank", "pos", F.floor(F.col("pos") / span).alias("cell"))

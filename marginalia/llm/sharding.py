@@ -7,7 +7,9 @@ equal intervals for all nodes at once and narrows each node to the interval that
 reach the driver. Rows of one coordinate are told apart by a hash of the text, of the id and last by their place, so
 that equal texts stand next to each other and a large group of them is split only where balance asks for it.
 
-Null texts have no bytes; each row counts one byte more. Null metadata sort first. Repeated rows stay separate rows.
+Null texts have no bytes; each row counts one byte more. Null metadata sort first; of longer metadata the first six bytes
+are the coordinate. Repeated rows stay separate rows, a text of any length is one row, an empty table gives an empty one,
+and columns other than key, text, lang and source are left out.
 """
 
 from __future__ import annotations
@@ -127,7 +129,7 @@ def slots(rows: DataFrame, order: list[str], n_rows: int) -> DataFrame:
     counts = parted.groupBy("shard", "_part").agg(F.count("*").alias("n"))
     by = Window.partitionBy("shard").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = common.materialize(counts.select("shard", "_part", F.coalesce(F.sum("n").over(by), F.lit(0)).alias("_start")), "starts")
-    return local.join(common.maybe_broadcast(starts, 500_000), ["shard", "_part"]).withColumn("slot", F.col("_start") + F.col("_place")).drop("_part", "_place", "_start")
+    return local.join(common.maybe_broadcast(starts), ["shard", "_part"]).withColumn("slot", F.col("_start") + F.col("_place")).drop("_part", "_place", "_start")
 
 
 def shard_documents(docs: DataFrame, shards: int | None = 8, target_bytes: int | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -145,7 +147,8 @@ def shard_documents(docs: DataFrame, shards: int | None = 8, target_bytes: int |
     )
     rows = common.materialize(rows, "metadata")
     # Equal texts share the coordinates of the first of them, so that they stand at one place of the tree.
-    told = rows.groupBy("print", "size").agg(F.min("lang").alias("lang"), F.min("source").alias("source"))
+    # They are written first: a join with a written table can be split where one text has a third of the rows.
+    told = common.materialize(rows.groupBy("print", "size").agg(F.min("lang").alias("lang"), F.min("source").alias("source")), "told")
     placed = common.materialize(rows.drop("lang", "source").join(told, ["print", "size"]), "placed")
     dealt = common.materialize(tree(placed, ["size", "lang", "source"], ["print", "key_print", "row"], shards, target_bytes), "dealt")
     return slots(dealt, ["print", "key_print", "row"], rows.count()).select(key, "size", "text_crc32", "shard", "slot")

@@ -15,7 +15,8 @@ by their first byte and the rank of what follows and merged in, and the prefixes
 An anchor with more than ``CROWD`` unlike stretches is not brought to one task: its windows are dealt by hash.
 
 Texts are UTF-8 bytes, null counts as empty, matches never cross texts. Rows that repeat a key and its text are two
-rows, and each repeats the other.
+rows, and each repeats the other. A text may have any length; an empty table gives an empty one. Columns of ``docs`` are
+kept; one named spans, _p, _key or _print is not allowed.
 """
 
 from __future__ import annotations
@@ -34,8 +35,6 @@ from . import common
 ANCHOR, CROWD, ARRAY_BYTES, SLICE = 96, 4_096, 1_500_000, 4_000_000
 #: Bytes of a block that suffix_ranks can take.
 MOST_BYTES = (1 << 21) - 4
-#: Texts with spans, and texts that stretches are asked of, that a join broadcasts at most (a few hundred bytes and a few kB each).
-BROADCAST_ROWS, WANTED_ROWS = 300_000, 10_000
 _PLACE = np.uint64((1 << 24) - 1)
 
 
@@ -278,7 +277,7 @@ def repeated_windows(docs: DataFrame, width: int = 200, key: str = "doc_id", tex
     one = one.select(F.col(f"p.{key}").alias(key), "p.print", F.struct("p.start", "p.count", "anchor", "whole", "alone", "crowd").alias("w"))
     wanted = common.materialize(one.groupBy(key, "print").agg(F.collect_list("w").alias("wanted")), "wanted")
     wanted = wanted.select(F.col(key).alias("_key"), F.col("print").alias("_print"), "wanted")
-    cut = long.join(common.maybe_broadcast(wanted, WANTED_ROWS), long[key].eqNullSafe(wanted["_key"]) & (long["print"] == wanted["_print"]))
+    cut = long.join(common.maybe_broadcast(wanted), long[key].eqNullSafe(wanted["_key"]) & (long["print"] == wanted["_print"]))
     fields = f"{key} {kind}, print int, start long, count int, anchor long, whole long, alone boolean, bytes binary"
     unlike = lambda crowd: cut.withColumn("wanted", F.filter("wanted", lambda w: w["crowd"] if crowd else ~w["crowd"])).where(F.size("wanted") > 0).select(key, "print", "text", "wanted").mapInArrow(_texts(key, width), fields)
     few = unlike(False).repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_sorted_blocks(key, width), f"{key} {kind}, print int, start long, count int")
@@ -297,7 +296,7 @@ def repeated_spans(docs: DataFrame, width: int = 200, key: str = "doc_id", text:
     each = common.materialize(spans.groupBy(key, "print").agg(F.array_sort(F.collect_set("s")).alias("spans")), "spans")
     each = each.select(F.col(key).alias("_key"), F.col("print").alias("_print"), F.col("spans"))
     rows = docs.withColumn("_p", F.hash(text))
-    joined = rows.join(common.maybe_broadcast(each, BROADCAST_ROWS), rows[key].eqNullSafe(each["_key"]) & (rows["_p"] == each["_print"]), "left")
+    joined = rows.join(common.maybe_broadcast(each), rows[key].eqNullSafe(each["_key"]) & (rows["_p"] == each["_print"]), "left")
     none = F.array().cast("array<struct<start:bigint,end:bigint>>")
     return joined.select(*docs.columns, F.coalesce("spans", none).alias("spans"))
 
