@@ -113,6 +113,8 @@ def tree(rows: DataFrame, dimensions: list[str], ties: list[str], shards: int |
         for k, c in reversed(list(enumerate(["_first", *ties]))):
             below = (F.col(c) < F.col(f"cut{k}")) | ((F.col(c) == F.col(f"cut{k}")) & below)
         rows = joined.withColumn("node", F.when(F.col("cut0").isNull(), F.col("node")).otherwise(2 * F.col("node") + (~below).cast("long"))).select(*rows.columns)
+        # A node without rows (its neighbour holds a row larger than a leaf) needs no further cut.
+        leaves |= {n: 1 for n in leaves if n not in searches}
         for n in list(searches):
             left = leaves[n] // 2
             leaves |= {2 * n: left, 2 * n + 1: leaves[n] - left}
