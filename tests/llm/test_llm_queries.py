@@ -131,7 +131,7 @@ def test_components_of_chains_and_stars(spark):
 
 
 def line_shingles(line):
-    return {m[1] for m in re.finditer(r"(?s)(?=(\S.{0,11}))\S{1,8}\s*", line)}
+    return {line[k : k + 12] for k in range(max(1, len(line) - 11))}
 
 
 def brute_lines(docs):
@@ -172,8 +172,27 @@ def test_op3_links_unspaced_lines_with_an_early_insertion(spark):
     rows = [(1, a), (2, a[:20] + "Z" + a[20:]), (3, b), (4, b[:20] + "字" + b[20:]), (5, c), (6, c[:200] + url(50)), (7, "short"), (8, "shorts")]
     got = {x.doc_id: x.text for x in lines.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {i: "" if i in (2, 4) else t for i, t in rows}
-    found = spark.createDataFrame([(x,) for x in (a, b, "short", "exactly 12 c", "one more a c\r")], "line string").select("line", lines.shingles(F.col("line")).alias("s")).collect()
-    assert all(x.s == [x.line[k : k + 12] for k in range(max(1, len(x.line) - 11))] for x in found)
+    told = [a, b, "short", "exactly 12 c", "one more a c\r", "aaaaaaaaaaaaaaaa", "é漢x"]
+    row, prints = lines.shingles(*common.as_bytes(pa.array(told)))
+    assert all((row == k).sum() == max(1, len(x) - 11) and len(set(prints[row == k].tolist())) == len(line_shingles(x)) for k, x in enumerate(told))
+
+
+def test_op3_candidates_have_high_recall():
+    """The share of pairs at the threshold that agree in a band, measured over sets of very different sizes."""
+    r, found, pairs = np.random.default_rng(8), 0, 0
+    for size in (9, 18, 45, 90, 360):
+        own = max(1, size // 10)
+        both = size - own
+        for _ in range(400):
+            text = lambda n: r.integers(97, 123, n + 11, dtype=np.uint8).tobytes()
+            shared = text(both)
+            x, y = (shared + r.integers(97, 123, own, dtype=np.uint8).tobytes() for _ in range(2))
+            a, b = (set(p[k : k + 12] for k in range(len(p) - 11)) for p in (x, y))
+            assert len(a & b) / len(a | b) > 0.6
+            s = lines.signatures(*common.as_bytes(pa.array([x.decode(), y.decode()])))
+            if len(a & b) * 100 >= 80 * len(a | b):
+                found, pairs = found + bool((s[0] == s[1]).any()), pairs + 1
+    assert pairs > 300 and found / pairs >= 0.99
 
 
 def test_op3_query_gives_every_document(spark, sf_dir, docs):
@@ -194,13 +213,46 @@ def test_op4_balances_bytes_and_numbers_slots(spark, sf_dir, docs):
         assert own == list(range(len(own)))
 
 
+def check_kd(rows, spans, slack, low, high):
+    """Every node is cut along its widest dimension, near the bytes that its leaves on the left should hold."""
+    if high - low == 1:
+        return
+    width = lambda d: (max(r[d] for r in rows) - min(r[d] for r in rows)) / spans[d]
+    widest, middle = max(range(3), key=lambda d: (width(d), -d)), low + (high - low) // 2
+    left, right = [r for r in rows if r[3] < middle], [r for r in rows if r[3] >= middle]
+    assert max(r[widest] for r in left) <= min(r[widest] for r in right)
+    wanted = sum(r[0] for r in rows) * (middle - low) / (high - low)
+    assert abs(sum(r[0] for r in left) - wanted) <= max(slack, max(r[0] for r in rows))
+    check_kd(left, spans, slack, low, middle)
+    check_kd(right, spans, slack, middle, high)
+
+
+def test_op4_is_a_kd_tree(spark, sf_dir):
+    docs = common.table(spark, sf_dir, "documents").collect()
+    order = lambda x: -1 if x is None else int.from_bytes((x.encode() + bytes(6))[:6])
+    first = {}
+    for d in docs:
+        a, b = first.get(d.text, (1 << 60, 1 << 60))
+        first[d.text] = min(a, order(d.lang)), min(b, order(d.source))
+    shard = {r.doc_id: r.shard for r in sharding.op4_kd_shards(spark, sf_dir).collect()}
+    rows = [(len((d.text or "").encode()) + 1, *first[d.text], shard[d.doc_id]) for d in docs]
+    spans = [max(1, max(r[d] for r in rows) - min(r[d] for r in rows)) for d in range(3)]
+    check_kd(rows, spans, 0.005 * sum(r[0] for r in rows) / 8, 0, 8)
+
+
+def test_op4_takes_odd_rows(spark):
+    rows = [(k % 20, "x" * (k % 7) if k % 5 else None, None, "s", 1, 2) for k in range(200)] + [(7, "y" * 200_000, "en", "s", 1, 2)] * 2
+    got = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, shard int, print int")).collect()
+    assert sorted((r.doc_id, r["size"]) for r in got) == sorted((r[0], len(r[1] or "") + 1) for r in rows)
+
+
 def test_op4_splits_a_group_only_for_balance(spark):
     rows = [(k, "same text" if k < 300 else f"text {k} " + "x" * (k % 50), "en", f"s{k % 3}") for k in range(400)] + [(401, None, None, None)]
     got = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
     sizes = Counter()
     for r in got:
         sizes[r.shard] += r["size"]
-    assert len(got) == 401 and max(sizes.values()) < 1.25 * min(sizes.values())
+    assert len(got) == 401 and max(sizes.values()) - min(sizes.values()) <= 2 * 60
     empty = spark.createDataFrame([], "doc_id long, text string, lang string, source string")
     assert sharding.shard_documents(empty).count() == 0
 
@@ -223,6 +275,23 @@ def test_op5_leaves_out_unfit_vectors_and_orders_ties(spark):
     assert topk.search(df.where("vec_id < 0"), F.col("id") % 20 == 0).count() == 0
 
 
+def test_op5_takes_all_finite_components_and_repeated_ids(spark):
+    from pyspark.sql import functions as F
+
+    r = np.random.default_rng(9)
+    wide = [2.0**45, -(2.0**45), 3.0, 1e15, -0.5, 0.0]
+    rows = [(int(k), [float(x) for x in r.choice(wide, 3)]) for k in r.integers(0, 60, 400)] + [(20, []), (40, []), (41, [])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = [[int(np.floor(64 * x)) for x in v] for _, v in rows]
+    want = []
+    for q, (i, v) in enumerate(rows):
+        if i % 20 == 0:
+            scores = sorted((-sum(a * b for a, b in zip(whole[q], whole[c])), j) for c, (j, w) in enumerate(rows) if c != q and len(w) == len(v))[:5]
+            want += [(i, n + 1, j, -s) for n, (s, j) in enumerate(scores)]
+    got = sorted((x.query_id, x["rank"], x.vec_id, int(x.score)) for x in topk.search(df, F.col("id") % 20 == 0, k=5).collect())
+    assert got == sorted(want) and max(x[3] for x in got) > 2**63
+
+
 def test_op7_templates_fold_and_render():
     tree = chat.fold(chat.parse("{% if 'a' == 'a' %}x{{ 'b' | upper }}{% else %}y{% endif %}{% for m in messages %}[{{ m.text | escape }}]{% endfor %}"))
     assert tree[0] == ("text", "xB")
@@ -306,6 +375,24 @@ def test_op2_short_items_nulls_and_proximity(spark):
     assert sorted((r.item_id, r.n_near) for r in near.collect() if r.item_id == "1") == [("1", 1), ("1", 1), ("1", 1)]
 
 
+def test_clashing_names_and_repeated_rows_are_defined(spark):
+    rows = [(1, "the same line of two documents\nown line one", "en", "s", 1, 2, 3.0), (1, "the same line of two documents\nown line one", "en", "s", 1, 2, 3.0), (2, "the same line of two documents\nsecond " + "word " * 30_000, "en", "s", 1, 2, 3.0), (3, None, None, None, 1, 2, 3.0), (4, "", "en", "s", 1, 2, 3.0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, _text int, node int, score double")
+    network, classes = langid.fit(df)
+    found = langid.predict(df, network, classes, keep=df.columns)
+    assert sorted(r.doc_id for r in found.collect()) == [1, 1, 2, 3, 4] and found.columns == [*df.columns[:-1], "lang_pred", "score"]
+    assert [r._text for r in found.collect()] == [1] * 5
+    kept = sorted((r.doc_id, r.text) for r in lines.dedup(df).where("doc_id < 3").collect())
+    assert kept[0] == kept[1] == rows[0][:2] and kept[2][1].startswith("second word")
+    path, pattern = bpe.default_vocabulary()
+    assert sorted(r.doc_id for r in bpe.encode(df, path, pattern, decoded=True).collect()) == [1, 1, 2, 3, 4]
+    assert all(bytes(r.decoded).decode() == (t or "") for r, t in zip(sorted(bpe.encode(df, path, pattern, decoded=True).collect(), key=lambda r: r.doc_id), [x[1] for x in rows]))
+    scored = quality.score(df, quality.fit(df.selectExpr("*", "doc_id % 2 AS quality")))
+    assert sorted(r.doc_id for r in scored.collect()) == [1, 1, 2, 3, 4]
+    grouped = sorted((r.doc_id, r.component_id) for r in jaccard.join(df).collect())
+    assert grouped == [(1, 1), (1, 1), (2, 2), (3, 3), (4, 4)]
+
+
 @pytest.mark.parametrize("name", ["op1_suffix_dedup", "op2_decontamination", "op3_line_dedup", "op6_ngram_jaccard", "op8_quality", "op9_byte_bpe", "op10_language_id"])
 def test_queries_take_an_empty_table(spark, sf_dir, tmp_path, name):
     for table in ("documents", "benchmark", "labels"):
