@@ -19,5 +19,6 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op2_decontamination": decontaminate.OP2_SQL,
     "op5_maxscore": topk.OP5_SQL,
+    "op6_ngram_jaccard": jaccard.OP6_SQL,
     "op7_chat_format": chat.OP7_SQL,
 }
