@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import scratch
-from ..registry import Tables, query
+from ..registry import ORACLES, Tables, query
 from .ranges import previous, running
 
 
@@ -180,7 +180,7 @@ def flips(docs: DataFrame) -> DataFrame:
     return rows.select("r.doc_id", ((F.col("first") < F.col("r.doc_id")) & ~F.col("r.h").eqNullSafe(F.col("before"))).alias("flip"))
 
 
-@query("cdc02_flip_flop_whole")
+@query("cdc02_flip_flop_whole", ORACLES["cdc02_flip_flop"])
 def flip_flop_whole(t: Tables) -> DataFrame:
     return flips(t.documents)
 
@@ -225,7 +225,7 @@ def grounded(quotes: DataFrame, docs: DataFrame) -> DataFrame:
     return every.select("item_id").distinct().join(counts, "item_id", "left").select("item_id", F.coalesce("texts", F.lit(0)).alias("texts"))
 
 
-@query("txt11_grounded_quote_whole")
+@query("txt11_grounded_quote_whole", ORACLES["txt11_grounded_quote"])
 def grounded_quote_whole(t: Tables) -> DataFrame:
     return grounded(t.benchmark, t.documents)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..registry import Tables, query
+from ..registry import ORACLES, Tables, query
 
 
 def overlap_scores(expected: Column, found: Column) -> dict[str, Column]:
@@ -52,7 +52,7 @@ def agreement(answers: DataFrame) -> DataFrame:
     return summed.select("custkey", F.round(F.col("s") / F.col("w"), 6).alias("consistency"))
 
 
-@query("evl02_consistency_all")
+@query("evl02_consistency_all", ORACLES["evl02_consistency"])
 def consistency_all(t: Tables) -> DataFrame:
     return consistency(t)
 
