@@ -153,8 +153,8 @@ def _boundaries(vocabulary: Callable[[], Vocabulary]):
 
 def pieces(texts: DataFrame, vocabulary: Callable[[], Vocabulary]) -> DataFrame:
     """(_row, piece, body): texts (_row, _text) cut where pre-tokens surely begin."""
-    chunks = texts.repartition("_row").mapInArrow(_cut, "_row long, chunk long, body string, last boolean")
-    seen = common.materialize(chunks.repartition("_row", "chunk").mapInArrow(_boundaries(vocabulary), "_row long, chunk long, body string, last boolean, head array<int>, tail array<int>"), "chunks")
+    chunks = texts.repartition("_row").mapInArrow(common.tidied(_cut), "_row long, chunk long, body string, last boolean")
+    seen = common.materialize(chunks.repartition("_row", "chunk").mapInArrow(common.tidied(_boundaries(vocabulary)), "_row long, chunk long, body string, last boolean, head array<int>, tail array<int>"), "chunks")
     order = Window.partitionBy("_row").orderBy("chunk")
     meets = F.array_min(F.array_intersect(F.col("tail"), F.lead("head").over(order)))
     stitched = seen.select("_row", "chunk", "last", meets.alias("stitch")).withColumn("came", F.lag("stitch").over(order))
@@ -198,13 +198,13 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", key: st
     both = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     kind, vocabulary = both.schema[key].dataType.simpleString(), shipped(docs.sparkSession, path, pattern)
     fields = f"{key} {kind}, ids array<int>" + ", decoded binary" * decoded
-    short = both.where(F.length("_text") <= long_text).mapInArrow(_encoded(vocabulary, "_text", decoded), fields)
+    short = both.where(F.length("_text") <= long_text).mapInArrow(common.tidied(_encoded(vocabulary, "_text", decoded)), fields)
     long = both.where(F.length("_text") > long_text)
     if long.isEmpty():
         return short
     # Rows get a number of their own, written down once: ids may repeat.
     long = common.materialize(long.withColumn("_row", F.monotonically_increasing_id()), "long")
-    coded = pieces(long.select("_row", "_text"), vocabulary).repartition("_row", "piece").mapInArrow(_encoded(vocabulary, "body"), "_row long, piece long, ids array<int>")
+    coded = pieces(long.select("_row", "_text"), vocabulary).repartition("_row", "piece").mapInArrow(common.tidied(_encoded(vocabulary, "body")), "_row long, piece long, ids array<int>")
     whole = coded.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("piece", "ids"))).alias("p"))
     whole = whole.select("_row", F.flatten(F.col("p.ids")).alias("ids"))
     joined = long.select("_row", key).join(whole, "_row").select(key, "ids")
@@ -223,7 +223,7 @@ def decode(coded: DataFrame, path: str, pattern: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns, _bytes_of(words, part.column("ids"))], [*part.schema.names, "decoded"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in coded.schema)
-    return coded.mapInArrow(run, f"{kinds}, decoded binary")
+    return coded.mapInArrow(common.tidied(run), f"{kinds}, decoded binary")
 
 
 def default_vocabulary() -> tuple[str, str]:

@@ -142,7 +142,7 @@ def _signature_rows(n: int, num: int, den: int):
 
 def similar_sets(texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """(node, component) of the rows of ``texts`` (_id, text; sets all different) with at least one link."""
-    signed = texts.mapInArrow(_signature_rows(n, num, den), "signature long, _id long")
+    signed = texts.mapInArrow(common.tidied(_signature_rows(n, num, den)), "signature long, _id long")
     by = Window.partitionBy("signature")
     shared = signed.withColumn("x", F.min("_id").over(by)).withColumn("y", F.max("_id").over(by)).where("x <> y")
     shared = common.materialize(shared.select("signature", F.col("_id").alias("node")), "shared")
@@ -162,7 +162,7 @@ def join(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, text: str =
     Rows with a null key link with nothing that has a key; their component is that of equal sets, or null.
     """
     texts = docs.select(F.col(key).cast("long").alias("_id"), F.col(text).alias("text"))
-    sets = common.materialize(texts.mapInArrow(_set_rows(n), "_id long, d0 long, d1 long, n_shingles long"), "digests")
+    sets = common.materialize(texts.mapInArrow(common.tidied(_set_rows(n)), "_id long, d0 long, d1 long, n_shingles long"), "digests")
     filled = sets.where("n_shingles > 0")
     # One node for each distinct set, so that copies meet no signature.
     kinds = common.materialize(filled.where("_id is not null").groupBy("d0", "d1", "n_shingles").agg(F.min("_id").alias("rep")), "kinds")

@@ -171,7 +171,7 @@ def predict(docs: DataFrame, network: ByteNetwork | None, classes: list[str], te
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(names, pa.string()), pa.array(np.minimum(score, 1.0))], [*keep, "lang_pred", "score"])
 
     kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
-    return docs.select(*keep, F.col(text).cast("string").alias(given)).mapInArrow(run, f"{kinds}lang_pred string, score double")
+    return docs.select(*keep, F.col(text).cast("string").alias(given)).mapInArrow(common.tidied(run), f"{kinds}lang_pred string, score double")
 
 
 def identify(docs: DataFrame) -> DataFrame:

@@ -88,7 +88,7 @@ def repeated(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, print, drop array<int>): for each document the places of the lines that repeat an earlier line."""
     lines = _lines(docs.select(key, "text"), key)
     fields = f"_key {docs.schema[key].dataType.simpleString()}, print long, at int, h1 long, h2 long, " + ", ".join(f"{b} long" for b in _BAND_COLUMNS)
-    signed = lines.select(F.col(key).alias("_key"), "print", "at", "h1", "h2", "line").mapInArrow(_signed, fields)
+    signed = lines.select(F.col(key).alias("_key"), "print", "at", "h1", "h2", "line").mapInArrow(common.tidied(_signed), fields)
     occurrences = common.materialize(signed.withColumnRenamed("_key", key), "lines")
     kinds = occurrences.groupBy("h1", "h2").agg(F.count("*").alias("n"), *(F.min(b).alias(b) for b in _BAND_COLUMNS))
     kinds = common.materialize(kinds.withColumn("node", F.monotonically_increasing_id()), "kinds")

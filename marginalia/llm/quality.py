@@ -120,7 +120,7 @@ def score(docs: DataFrame, model: SubwordModel | None, text: str = "text", key:
             yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(1 / (1 + np.exp(-odds)))], [key, "score"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key), F.col(text).cast("string").alias("text")).mapInArrow(run, f"{key} {kind}, score double")
+    return docs.select(F.col(key), F.col(text).cast("string").alias("text")).mapInArrow(common.tidied(run), f"{key} {kind}, score double")
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

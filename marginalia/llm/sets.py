@@ -42,7 +42,7 @@ def packed_sets(texts: DataFrame, shingler: Shingler) -> DataFrame:
             out = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer((ends * 8).astype(np.int32).tobytes()), pa.py_buffer(prints.tobytes())])
             yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(sizes.astype(np.int32)), *(pa.array(np.ascontiguousarray(words[:, j])) for j in range(WORDS)), out], ["_id", "size", *SKETCH, "prints"])
 
-    return texts.select("_id", "text").mapInArrow(run, "_id long, size int, " + ", ".join(f"{p} long" for p in SKETCH) + ", prints binary")
+    return texts.select("_id", "text").mapInArrow(common.tidied(run), "_id long, size int, " + ", ".join(f"{p} long" for p in SKETCH) + ", prints binary")
 
 
 def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,10 +81,10 @@ def linked_components(buckets: DataFrame, sets: DataFrame, num: int, den: int) -
     def links_of(pairs: DataFrame) -> DataFrame:
         # Only the sets that pairs name are put side by side.
         named = b.join(common.maybe_broadcast(pairs.select("b").distinct()), "b", "left_semi")
-        both = common.maybe_broadcast(pairs).join(a, "a").join(named, "b").select("a", "b", "sa", "sb", "pa", "pb").mapInArrow(_common, "a long, b long, sa int, sb int, common int")
+        both = common.maybe_broadcast(pairs).join(a, "a").join(named, "b").select("a", "b", "sa", "sb", "pa", "pb").mapInArrow(common.tidied(_common), "a long, b long, sa int, sb int, common int")
         return both.where(F.col("common") * den >= num * (F.col("sa") + F.col("sb") - F.col("common")))
 
     def elements_of(nodes: DataFrame) -> DataFrame:
-        return sets.select("_id", "prints").join(common.maybe_broadcast(nodes.withColumnRenamed("node", "_id")), "_id").mapInArrow(_elements, "node long, element long")
+        return sets.select("_id", "prints").join(common.maybe_broadcast(nodes.withColumnRenamed("node", "_id")), "_id").mapInArrow(common.tidied(_elements), "node long, element long")
 
     return bucket_components(buckets, light, links_of, elements_of, num, den)

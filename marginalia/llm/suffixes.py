@@ -260,7 +260,7 @@ def repeated_windows(docs: DataFrame, width: int = 200, key: str = "doc_id", tex
     kind = docs.schema[key].dataType.simpleString()
     texts = docs.select(F.col(key), F.hash(text).alias("print"), F.col(text).alias("text"))
     long = texts.where(F.octet_length("text") >= width)
-    every = long.mapInArrow(_stretch_rows(key, width), f"{key} {kind}, print int, start long, count int, anchor long, whole long")
+    every = long.mapInArrow(common.tidied(_stretch_rows(key, width)), f"{key} {kind}, print int, start long, count int, anchor long, whole long")
     by = Window.partitionBy("anchor")
     met = every.withColumn("x", F.min("whole").over(by)).withColumn("y", F.max("whole").over(by)).withColumn("n", F.count("*").over(by)).where("n > 1")
     met = common.materialize(met.select(key, "print", "start", "count", "anchor", "whole", (F.col("x") == F.col("y")).alias("alike")), "stretches")
@@ -279,11 +279,11 @@ def repeated_windows(docs: DataFrame, width: int = 200, key: str = "doc_id", tex
     wanted = wanted.select(F.col(key).alias("_key"), F.col("print").alias("_print"), "wanted")
     cut = long.join(common.maybe_broadcast(wanted), long[key].eqNullSafe(wanted["_key"]) & (long["print"] == wanted["_print"]))
     fields = f"{key} {kind}, print int, start long, count int, anchor long, whole long, alone boolean, bytes binary"
-    unlike = lambda crowd: cut.withColumn("wanted", F.filter("wanted", lambda w: w["crowd"] if crowd else ~w["crowd"])).where(F.size("wanted") > 0).select(key, "print", "text", "wanted").mapInArrow(_texts(key, width), fields)
-    few = unlike(False).repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_sorted_blocks(key, width), f"{key} {kind}, print int, start long, count int")
+    unlike = lambda crowd: cut.withColumn("wanted", F.filter("wanted", lambda w: w["crowd"] if crowd else ~w["crowd"])).where(F.size("wanted") > 0).select(key, "print", "text", "wanted").mapInArrow(common.tidied(_texts(key, width)), fields)
+    few = unlike(False).repartition("anchor").sortWithinPartitions("anchor").mapInArrow(common.tidied(_sorted_blocks(key, width)), f"{key} {kind}, print int, start long, count int")
     found = alike.unionByName(settled).unionByName(few)
     if not crowds.where(F.col("kinds") > most).isEmpty():
-        dealt = unlike(True).mapInArrow(_dealt_windows(key, width), f"{key} {kind}, print int, start long, alone boolean, w1 long, w2 long")
+        dealt = unlike(True).mapInArrow(common.tidied(_dealt_windows(key, width)), f"{key} {kind}, print int, start long, alone boolean, w1 long, w2 long")
         twice = dealt.distinct().withColumn("n", F.count("*").over(Window.partitionBy("w1", "w2"))).where("n > 1 and alone")
         found = found.unionByName(twice.select(key, "print", "start", F.lit(1).alias("count")))
     return found
@@ -317,4 +317,4 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
-    return repeated_spans(docs, 200).mapInArrow(_removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return repeated_spans(docs, 200).mapInArrow(common.tidied(_removed), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

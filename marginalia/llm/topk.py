@@ -113,7 +113,7 @@ def _pack(rows: DataFrame, by: str) -> DataFrame:
 
     packed = rows.groupBy(by, F.size("v").alias("size")).agg(F.collect_list(F.struct("row", "id", "v")).alias("r"))
     packed = packed.select(by, "size", F.col("r.row").alias("rows"), F.col("r.id").alias("ids"), F.flatten(F.col("r.v")).alias("vs"))
-    return packed.mapInArrow(run, f"{by} long, size int, {by}_rows binary, {by}_ids binary, {by}_values binary")
+    return packed.mapInArrow(common.tidied(run), f"{by} long, size int, {by}_rows binary, {by}_ids binary, {by}_values binary")
 
 
 def search(vectors: DataFrame, is_query, k: int = 20, key: str = "vec_id", vector: str = "embedding", scale: float = 64.0) -> DataFrame:
@@ -146,7 +146,7 @@ def search(vectors: DataFrame, is_query, k: int = 20, key: str = "vec_id", vecto
                     ["_query", "query_id", key, "score"],
                 )
 
-    best = met.repartition("shard", "block").mapInArrow(run, f"_query long, query_id long, {key} long, score decimal(38,0)")
+    best = met.repartition("shard", "block").mapInArrow(common.tidied(run), f"_query long, query_id long, {key} long, score decimal(38,0)")
     by = Window.partitionBy("_query").orderBy(F.desc("score"), key)
     merged = best.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
     return merged.select("query_id", F.col("rank").cast("int").alias("rank"), key, "score")
