@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, bpe_tree, chat, decontaminate, jaccard, langid, lines, merkle, quality, sharding, suffixes, topk
+from . import bpe, bpe_tree, chat, decontaminate, jaccard, langid, lines, merkle, quality, sharding, spelling, suffixes, topk
 
 QUERIES = {
     "op1_suffix_dedup": suffixes.op1_suffix_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op10_language_id": langid.op10_language_id,
     "op6_ngram_jaccard": jaccard.op6_ngram_jaccard,
     "op9_byte_bpe": bpe.op9_byte_bpe,
+    "op11_spelling_variants": spelling.op11_spelling_variants,
     "op12_merkle_manifest": merkle.op12_merkle_manifest,
     "op13_segment_bpe": bpe_tree.op13_segment_bpe,
 }
@@ -23,5 +24,6 @@ ORACLES: dict[str, str] = {
     "op5_maxscore": topk.OP5_SQL,
     "op6_ngram_jaccard": jaccard.OP6_SQL,
     "op7_chat_format": chat.OP7_SQL,
+    "op11_spelling_variants": spelling.OP11_SQL,
     "op12_merkle_manifest": merkle.OP12_SQL,
 }
