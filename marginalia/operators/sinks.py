@@ -2,17 +2,21 @@
 
 A table is a folder of versions ``v-N``; the newest one that was written to its end counts. A writer makes the next
 version and then leaves out the one before the last, so readers of the newest see it whole, and a writer that dies
-leaves the table as it was.
+leaves the table as it was. An append adds files to the newest version and rewrites nothing. Frames that belong together
+(nodes and edges) are folders of one version, which counts once its last file, a marker, is there.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import scratch
 from ..registry import Tables, query
 from .graph import _EDGES, _NODES, edges, nodes
+from .merges import column_merge, once
 
 
 class ParquetTable:
@@ -51,47 +55,86 @@ class ParquetTable:
         return True
 
     def append(self, df: DataFrame) -> None:
-        old = self.read()
-        self.replace(df if old is None else old.unionByName(df))
+        """Adds the rows of ``df`` and writes nothing else. Its columns have to be those of the table."""
+        found = self._versions()
+        if not found:
+            return self.replace(df)
+        newest = f"{self.path}/v-{found[-1]}"
+        names = self.spark.read.parquet(newest).columns
+        if sorted(names) != sorted(df.columns):
+            raise ValueError(f"a table of {names} takes no rows of {df.columns}")
+        df.select(names).write.mode("append").parquet(newest)
 
     def upsert(self, df: DataFrame, keys: list[str]) -> None:
-        """Rows of new keys are added; on known keys a value wins where it isn't null."""
+        """Rows of new keys are added; on known keys a value wins where it isn't null. Columns of both sides stay; a repeated key is an error."""
         old = self.read()
-        if old is None:
-            return self.replace(df)
-        values = [c for c in df.columns if c not in keys]
-        both = old.select(*keys, *(F.col(v).alias(f"_o_{v}") for v in values)).join(df.select(*keys, *(F.col(v).alias(f"_n_{v}") for v in values)), keys, "full")
-        self.replace(both.select(*keys, *(F.coalesce(f"_n_{v}", f"_o_{v}").alias(v) for v in values)))
+        self.replace(once(df, keys) if old is None else column_merge(old, df, keys).drop("action"))
+
+    def update(self, where: Column, **values: Column) -> None:
+        """Sets columns of the rows that ``where`` holds for."""
+        hit, rows = F.coalesce(where, F.lit(False)), self.read()
+        self.replace(rows.select(*(F.when(hit, values[c]).otherwise(F.col(c)).cast(rows.schema[c].dataType).alias(c) if c in values else F.col(c) for c in rows.columns)))
 
     def delete(self, where: Column) -> None:
         """Rows that ``where`` holds for go; rows it is null for stay."""
         self.replace(self.read().where(~F.coalesce(where, F.lit(False))))
 
 
+class FrameSet:
+    """Frames that are replaced together: ``path/v-N/<name>``, a version being whole once ``v-N/_SUCCESS`` is there."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.table = ParquetTable(spark, path)
+        self.spark, self.path = spark, path
+
+    def read(self, name: str) -> DataFrame | None:
+        """A frame of the newest whole version, or None where none was written."""
+        found = self.table._versions()
+        return self.spark.read.parquet(f"{self.path}/v-{found[-1]}/{name}") if found else None
+
+    def replace(self, **frames: DataFrame) -> None:
+        """All frames at once: readers see the old ones until the last file of the new ones is there. They may read the old ones."""
+        found, fs, at = self.table._versions(), self.table._fs, self.table._at
+        folder = f"{self.path}/v-{found[-1] + 1 if found else 0}"
+        for name, df in frames.items():
+            df.write.mode("overwrite").parquet(f"{folder}/{name}")
+        fs.create(at(f"{folder}/_SUCCESS")).close()
+        for old in found[:-1]:
+            fs.delete(at(f"{self.path}/v-{old}"), True)
+
+
 def overwrite_partitions(df: DataFrame, path: str, by: str) -> None:
     """The partitions of ``df`` replace those of the table in ``path``; all others stay."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
 
 
-def write_graph(nodes_table: ParquetTable, edges_table: ParquetTable, new_nodes: DataFrame, new_edges: DataFrame) -> None:
+def _fitting(all_edges: DataFrame, all_nodes: DataFrame) -> DataFrame:
+    """Edges whose two ends are nodes, each once."""
+    known = all_nodes.select("ref")
+    return all_edges.join(known.withColumnRenamed("ref", "src"), "src", "left_semi").join(known.withColumnRenamed("ref", "dst"), "dst", "left_semi").select(all_edges.columns).distinct()
+
+
+def write_graph(graph: FrameSet, new_nodes: DataFrame, new_edges: DataFrame) -> None:
     """Nodes are merged by ref, edges by both ends and type; edges whose ends are no nodes aren't written."""
-    nodes_table.upsert(new_nodes.dropDuplicates(["ref"]), ["ref"])
-    known = nodes_table.read().select("ref")
-    fit = new_edges.join(known.withColumnRenamed("ref", "src"), "src", "left_semi").join(known.withColumnRenamed("ref", "dst"), "dst", "left_semi").select(new_edges.columns)
-    old = edges_table.read()
-    edges_table.replace((fit if old is None else old.unionByName(fit)).distinct())
+    old, fresh = graph.read("nodes"), once(new_nodes, ["ref"], [c for c in new_nodes.columns if c != "ref"])
+    merged = scratch.materialize(fresh if old is None else column_merge(old, fresh, ["ref"]).drop("action"), "nodes")
+    fit = _fitting(new_edges, merged)
+    graph.replace(nodes=merged, edges=fit if old is None else graph.read("edges").unionByName(fit).distinct())
+
 
+def rebuild_graph(graph: FrameSet, all_nodes: DataFrame, all_edges: DataFrame) -> None:
+    """A projection from scratch: what isn't in it any more is gone, nodes and edges in one step; edges need both ends."""
+    all_nodes = scratch.materialize(all_nodes, "nodes")
+    graph.replace(nodes=all_nodes, edges=_fitting(all_edges, all_nodes))
 
-def rebuild_graph(nodes_table: ParquetTable, edges_table: ParquetTable, all_nodes: DataFrame, all_edges: DataFrame) -> None:
-    """A projection from scratch: what isn't in it any more is gone with the old version."""
-    nodes_table.replace(all_nodes)
-    edges_table.replace(all_edges)
 
+def _path(t: Tables, name: str) -> str:
+    return f"{scratch.folder(t.spark)}/{name}-{uuid.uuid4().hex}"
 
-def _table(t: Tables, name: str) -> ParquetTable:
-    import uuid
 
-    return ParquetTable(t.spark, f"{scratch.folder(t.spark)}/{name}-{uuid.uuid4().hex}")
+def new_table(t: Tables, name: str) -> ParquetTable:
+    """An empty table in the shared folder."""
+    return ParquetTable(t.spark, _path(t, name))
 
 
 @query("src01_scan", "SELECT * FROM nation")
@@ -102,7 +145,7 @@ def scan(t: Tables) -> DataFrame:
 @query("snk02_written_upsert", "SELECT p_partkey AS k, CASE WHEN p_partkey % 3 < 2 THEN p_size + 100 ELSE p_size END AS size, p_brand AS brand FROM part WHERE p_partkey % 3 > 0 OR p_partkey % 2 = 0 UNION ALL SELECT p_partkey, p_size + 100, NULL FROM part WHERE p_partkey % 3 = 0 AND p_partkey % 2 = 1")
 def written_upsert(t: Tables) -> DataFrame:
     """Two thirds of a table are written, two thirds come as news: the table is read back."""
-    p, table = t.part.select(F.col("p_partkey").alias("k"), F.col("p_size").alias("size"), F.col("p_brand").alias("brand")), _table(t, "upsert")
+    p, table = t.part.select(F.col("p_partkey").alias("k"), F.col("p_size").alias("size"), F.col("p_brand").alias("brand")), new_table(t, "upsert")
     table.replace(p.where("k % 3 > 0"))
     table.upsert(p.where("k % 3 < 2").select("k", (F.col("size") + 100).alias("size"), F.when(F.col("k") % 2 == 0, F.col("brand")).alias("brand")), ["k"])
     return table.read()
@@ -110,7 +153,7 @@ def written_upsert(t: Tables) -> DataFrame:
 
 @query("snk03_written_partitions", "SELECT doc_id, lang, 'old' AS origin FROM documents WHERE lang <> 'fr' UNION ALL SELECT doc_id + 1000000, lang, 'new' FROM documents WHERE lang = 'fr' AND n_chars > 100")
 def written_partitions(t: Tables) -> DataFrame:
-    path = _table(t, "partitions").path
+    path = new_table(t, "partitions").path
     overwrite_partitions(t.documents.where("lang IS NOT NULL").select("doc_id", "lang", F.lit("old").alias("origin")), path, "lang")
     overwrite_partitions(t.documents.where("lang = 'fr' AND n_chars > 100").select((F.col("doc_id") + 1_000_000).alias("doc_id"), "lang", F.lit("new").alias("origin")), path, "lang")
     return t.spark.read.parquet(path).select("doc_id", "lang", "origin")
@@ -118,16 +161,24 @@ def written_partitions(t: Tables) -> DataFrame:
 
 @query("snk05_written_purge", "SELECT event_id FROM events WHERE NOT (event_type = 'error' AND value > 50)")
 def written_purge(t: Tables) -> DataFrame:
-    table = _table(t, "purge")
+    table = new_table(t, "purge")
     table.replace(t.events.select("event_id", "event_type", "value"))
     table.delete((F.col("event_type") == "error") & (F.col("value") > 50))
     return table.read().select("event_id")
 
 
+@query("snk04_written_update", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' AND o_totalprice > 200000 THEN 'held' ELSE o_orderpriority END AS o_orderpriority, CASE WHEN o_orderstatus = 'O' AND o_totalprice > 200000 THEN 0 ELSE o_totalprice END AS o_totalprice FROM orders")
+def written_update(t: Tables) -> DataFrame:
+    table = new_table(t, "update")
+    table.replace(t.orders.select("o_orderkey", "o_orderstatus", "o_orderpriority", "o_totalprice"))
+    table.update((F.col("o_orderstatus") == "O") & (F.col("o_totalprice") > 200_000), o_orderpriority=F.lit("held"), o_totalprice=F.lit(0.0))
+    return table.read().drop("o_orderstatus")
+
+
 @query("snk07_guarded_replace", "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus = 'F'")
 def guarded_replace(t: Tables) -> DataFrame:
     """An empty extraction keeps the old rows, a full one takes their place."""
-    table, rows = _table(t, "guarded"), t.orders.select("o_orderkey", "o_orderstatus")
+    table, rows = new_table(t, "guarded"), t.orders.select("o_orderkey", "o_orderstatus")
     table.replace(rows.where("o_orderstatus = 'O'"))
     table.replace_unless_empty(rows.where("o_orderstatus = 'F'"))
     table.replace_unless_empty(rows.where("o_orderstatus = 'no such status'"))
@@ -136,7 +187,7 @@ def guarded_replace(t: Tables) -> DataFrame:
 
 @query("snk09_ledger", "SELECT event_id, user_id FROM events WHERE event_type = 'login' UNION ALL SELECT event_id, user_id FROM events WHERE event_type <> 'login' AND value > 80")
 def ledger(t: Tables) -> DataFrame:
-    table = _table(t, "ledger")
+    table = new_table(t, "ledger")
     table.append(t.events.where("event_type = 'login'").select("event_id", "user_id"))
     table.append(t.events.where("event_type <> 'login' AND value > 80").select("event_id", "user_id"))
     return table.read()
@@ -145,18 +196,28 @@ def ledger(t: Tables) -> DataFrame:
 @query("snk10_graph_sink", f"WITH {_NODES}, {_EDGES} SELECT e.src, e.dst, e.type FROM edges e JOIN nodes a ON a.ref = src AND a.label <> 'region' JOIN nodes b ON b.ref = dst AND b.label <> 'region'")
 def graph_sink(t: Tables) -> DataFrame:
     """Edges are written twice and stand once; those to nodes that were not written are left out."""
-    n, e = _table(t, "nodes"), _table(t, "edges")
+    graph = FrameSet(t.spark, _path(t, "graph"))
     for _ in range(2):
-        write_graph(n, e, nodes(t).where("label <> 'region'"), edges(t))
-    return e.read()
+        write_graph(graph, nodes(t).where("label <> 'region'"), edges(t))
+    return graph.read("edges")
 
 
 @query("grf05_rebuild", f"WITH {_NODES} SELECT * FROM nodes WHERE label <> 'customer'")
 def rebuild(t: Tables) -> DataFrame:
-    n, e = _table(t, "nodes"), _table(t, "edges")
-    rebuild_graph(n, e, nodes(t), edges(t))
-    rebuild_graph(n, e, nodes(t).where("label <> 'customer'"), edges(t).where("type <> 'LIVES_IN'"))
-    return n.read()
+    return _rebuilt(t).read("nodes")
+
+
+def _rebuilt(t: Tables) -> FrameSet:
+    graph = FrameSet(t.spark, _path(t, "graph"))
+    rebuild_graph(graph, nodes(t), edges(t))
+    rebuild_graph(graph, nodes(t).where("label <> 'customer'"), edges(t))
+    return graph
+
+
+@query("grf05_rebuilt_edges", f"WITH {_NODES}, {_EDGES} SELECT e.src, e.dst, e.type FROM edges e JOIN nodes a ON a.ref = src AND a.label <> 'customer' JOIN nodes b ON b.ref = dst AND b.label <> 'customer'")
+def rebuilt_edges(t: Tables) -> DataFrame:
+    """The edges of the version that the nodes of ``grf05_rebuild`` belong to."""
+    return _rebuilt(t).read("edges")
 
 
 @query("join20_edge_merge", f"WITH {_NODES}, {_EDGES}, p AS (SELECT src, dst, type FROM edges UNION ALL SELECT 's' || (l_suppkey - 2), 'n' || (l_suppkey % 30), 'SHIPS_TO' FROM lineitem) SELECT DISTINCT p.src, p.dst, p.type FROM p JOIN nodes a ON a.ref = src JOIN nodes b ON b.ref = dst")
@@ -181,6 +242,6 @@ def json_pages(t: Tables) -> DataFrame:
     """A listing stored as JSON pages of a hundred rows, read back with a schema."""
     from ..sources.readers import read_json_pages
 
-    path = _table(t, "pages").path
+    path = new_table(t, "pages").path
     t.events.select("event_id", "user_id", "event_type").write.option("maxRecordsPerFile", 100).json(path)
     return read_json_pages(t.spark, path, "event_id long, user_id long, event_type string")
