@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor
 
+from .. import scratch
 from ..operators.ranges import previous
 from ..registry import Tables, query
 
@@ -42,19 +43,86 @@ def unseen(events: DataFrame, *keys: str) -> DataFrame:
     return events.dropDuplicatesWithinWatermark(list(keys)) if events.isStreaming else events.dropDuplicates(list(keys))
 
 
-def changed_values(events: DataFrame) -> DataFrame:
-    """(user_id, seen, changes): for each user of a stream how many events came and how often the type changed, kept as state."""
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen, changes, last = state.get if state.exists else (0, 0, None)
-        for frame in frames:
-            for kind in frame.sort_values(["ts", "event_id"]).event_type:
-                seen, changes, last = seen + 1, changes + (last is not None and kind != last), kind
-        state.update((seen, changes, last))
-        yield pd.DataFrame({"user_id": [key[0]], "seen": [seen], "changes": [changes]})
-
-    rows = events.select("user_id", "event_id", "ts", "event_type").groupBy("user_id")
-    return rows.applyInPandasWithState(step, "user_id long, seen long, changes long", "seen long, changes long, last string", "update", GroupStateTimeout.NoTimeout)
+#: The state store that keyed state with maps and timers needs.
+STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+
+
+class ChangeState(StatefulProcessor):
+    """What a source has shown: its last value, all values it ever had, and rows that wait until no earlier row can come.
+
+    Rows come in any order within the watermark's delay. They wait in a map by the millisecond of their time; one timer for each source
+    fires when the watermark has passed the first of them, and all rows before the watermark are then judged in the order of (time, id).
+    """
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "value string")
+        self.seen = handle.getMapState("seen", "value string", "n long")
+        self.waiting = handle.getMapState("waiting", "ms long", "rows array<struct<us: long, id: long, value: string>>")
+        self.timer = handle.getValueState("timer", "ms long")
+
+    def _wake(self, ms: int) -> None:
+        """The one timer stands at the first waiting row."""
+        if self.timer.exists():
+            if self.timer.get()[0] <= ms:
+                return
+            self.handle.deleteTimer(self.timer.get()[0])
+        self.handle.registerTimer(ms)
+        self.timer.update((ms,))
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        fresh: dict[int, list] = {}
+        for r in rows:
+            fresh.setdefault(r.us // 1000, []).append((r.us, r.id, r.value))
+        for ms, more in fresh.items():
+            old = self.waiting.getValue((ms,))[0] if self.waiting.containsKey((ms,)) else []
+            self.waiting.updateValue((ms,), ([*map(tuple, old), *more],))
+        if fresh:
+            self._wake(min(fresh) + 1)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        self.timer.clear()
+        passed, left = timerValues.getCurrentWatermarkInMs(), None
+        due = []
+        for (ms,) in self.waiting.keys():
+            if ms < passed:
+                due.append(ms)
+            else:
+                left = ms if left is None else min(left, ms)
+        for ms in sorted(due):
+            for us, number, value in sorted(map(tuple, self.waiting.getValue((ms,))[0]), key=lambda r: r[:2]):
+                yield Row(source=key[0], id=number, outcome=self._outcome(value))
+            self.waiting.removeKey((ms,))
+        if left is not None:
+            self._wake(left + 1)
+
+    def _outcome(self, value: str) -> str:
+        before = self.last.get()[0] if self.last.exists() else None
+        known = self.seen.containsKey((value,))
+        self.last.update((value,))
+        if not known:
+            self.seen.updateValue((value,), (1,))
+        return "baseline" if before is None else "unchanged" if before == value else "flip_flop" if known else "changed"
+
+
+def content_changes(rows: DataFrame) -> DataFrame:
+    """(source, id, outcome) of a stream (source, id, ts, value) with a watermark on ``ts``: the first value of a source is its baseline, then
+    each row is unchanged, changed, or a flip-flop back to a value that the source had before. Rows come out once the watermark has
+    passed them; null values count as the empty text. ``STORE`` has to be set on the session."""
+    keyed = rows.select("source", F.col("id").cast("long").alias("id"), "ts", F.unix_micros("ts").alias("us"), F.coalesce(F.col("value").cast("string"), F.lit("")).alias("value"))
+    kind = rows.schema["source"].dataType.simpleString()
+    return keyed.groupBy("source").transformWithState(ChangeState(), f"source {kind}, id long, outcome string", "append", "eventTime")
+
+
+def content_changes_of(rows: DataFrame) -> DataFrame:
+    """``content_changes`` of a frame: the same outcomes by windows over ranges of rows and the first row of each value."""
+    rows = rows.select("source", F.col("id").cast("long").alias("id"), "ts", F.coalesce(F.col("value").cast("string"), F.lit("")).alias("value"))
+    rows = previous(rows, ["source"], ["ts", "id"], "before", F.col("value"))
+    first = rows.groupBy(F.col("source").alias("_s"), F.col("value").alias("_v")).agg(F.min(F.struct("ts", "id")).alias("first"))
+    known = F.struct("ts", "id") > F.col("first")
+    outcome = F.when(F.col("before").isNull(), "baseline").when(F.col("before") == F.col("value"), "unchanged").when(known, "flip_flop").otherwise("changed")
+    return rows.join(first, F.col("source").eqNullSafe(F.col("_s")) & (F.col("value") == F.col("_v"))).select("source", "id", outcome.alias("outcome"))
 
 
 def in_night(at, zone: str, first: int, last: int):
@@ -90,7 +158,7 @@ def night(t: Tables) -> DataFrame:
 
 @query("str04_keyed_state", "SELECT user_id, count(*) AS seen, count(*) FILTER (before IS NOT NULL AND before <> event_type) AS changes, count(DISTINCT event_type) AS kinds FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events) GROUP BY user_id")
 def keyed_state(t: Tables) -> DataFrame:
-    """The static twin of ``changed_values``: what the state of each user holds when all events have come."""
+    """What the state of each user holds when all events have come."""
     rows = previous(t.events.select("user_id", "event_id", "ts", "event_type"), ["user_id"], ["ts", "event_id"], "before", F.col("event_type"))
     return rows.groupBy("user_id").agg(F.count("*").alias("seen"), F.count_if(F.col("before") != F.col("event_type")).alias("changes"), F.countDistinct("event_type").alias("kinds"))
 
@@ -107,3 +175,36 @@ def night_runs(runs: DataFrame, zone: str, first: int, last: int) -> DataFrame:
 @query("str06_nightly_runs", "WITH l AS (SELECT event_id, ts, timezone('Europe/Amsterdam', timezone('UTC', ts)) AS local FROM events) SELECT CAST(local AS DATE) AS day, arg_min(event_id, (ts, event_id)) AS event_id, timezone('UTC', timezone('Europe/Amsterdam', CAST(CAST(local AS DATE) AS TIMESTAMP) + INTERVAL 5 HOUR)) AS deadline FROM l WHERE hour(local) >= 2 AND hour(local) < 5 GROUP BY 1")
 def nightly_runs(t: Tables) -> DataFrame:
     return night_runs(t.events, "Europe/Amsterdam", 2, 5)
+
+
+_OUTCOMES = "WITH r AS (SELECT user_id AS source, event_id AS id, ts, event_type AS value, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS n FROM events) SELECT source, id, CASE WHEN before IS NULL THEN 'baseline' WHEN before = value THEN 'unchanged' WHEN n > 1 THEN 'flip_flop' ELSE 'changed' END AS outcome FROM r"
+
+
+@query("str04_outcomes", _OUTCOMES)
+def outcomes(t: Tables) -> DataFrame:
+    return content_changes_of(t.events.select(F.col("user_id").alias("source"), F.col("event_id").alias("id"), "ts", F.col("event_type").alias("value")))
+
+
+@query("str04_streamed_outcomes", _OUTCOMES)
+def streamed_outcomes(t: Tables) -> DataFrame:
+    """The same by keyed state: all events as a stream of files in which no order holds, closed by one row far after them."""
+    spark, at = t.spark, f"{scratch.folder(t.spark)}/stream-{uuid.uuid4().hex}"
+    rows = t.events.select(F.col("user_id").alias("source"), F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("value"))
+    rows.repartition(4, F.xxhash64("id")).write.parquet(f"{at}/in")
+    end = rows.agg(F.lit(None).cast(rows.schema["source"].dataType).alias("source"), F.lit(-1).cast(rows.schema["id"].dataType).alias("id"), (F.max("ts") + F.expr("INTERVAL 400 DAYS")).alias("ts"), F.lit("end").alias("value"))
+    end.write.mode("append").parquet(f"{at}/in")
+    held = {k: spark.conf.get(k, None) for k in STORE}
+    for k, v in STORE.items():
+        spark.conf.set(k, v)
+    try:
+        stream = event_stream(spark, f"{at}/in", rows.schema, "365 days", 2)
+        job = content_changes(stream).writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
+        job.awaitTermination()
+    finally:
+        for k, v in held.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    return spark.read.schema(stream_schema(rows)).parquet(f"{at}/out")
+
+
+def stream_schema(rows: DataFrame) -> str:
+    return f"source {rows.schema['source'].dataType.simpleString()}, id long, outcome string"

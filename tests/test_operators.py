@@ -1,5 +1,6 @@
+import random
 import re
-from datetime import datetime
+from datetime import datetime, timedelta
 from itertools import combinations
 
 from pyspark.sql import functions as F
@@ -236,13 +237,29 @@ def test_streams_agree_with_frames(spark, sf_dir, tmp_path):
     assert sorted(map(tuple, spark.table("counts").collect())) == sorted(map(tuple, static.collect()))
 
 
-def test_state_counts_every_event(spark, sf_dir, tmp_path):
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    events.repartition(2).write.parquet(str(tmp_path / "in"))
-    stream = streams.event_stream(spark, str(tmp_path / "in"), events.schema)
-    job = streams.changed_values(stream).writeStream.format("memory").queryName("state").outputMode("update").option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
-    job.awaitTermination(120)
-    assert spark.table("state").groupBy("user_id").agg(F.max("seen").alias("n")).agg(F.sum("n")).first()[0] == events.count()
+def test_state_follows_event_time_over_triggers_and_late_rows(spark, tmp_path):
+    r = random.Random(7)
+    at = lambda minute, micros=0: datetime(2024, 1, 1) + timedelta(minutes=minute, microseconds=micros)
+    hot = [(1, k, at(k // 50, k % 3), r.choice("ab") if k % 90 else f"v{k}") for k in range(6000)]  # two hours, many rows in one millisecond
+    rows = hot + [(None, 7000 + k, at(k), [None, "", "x"][k % 3]) for k in range(30)] + [(2, 8000, at(5), "only")]
+    late = [(3, 9000, at(1), "dropped")]
+    parts = [[x for x in rows if x[2] < at(70) and x[1] % 4], [x for x in rows if x[2] >= at(70) or not x[1] % 4], late, [(4, 9999, at(10**5), "end")]]
+    schema = "source long, id long, ts timestamp, value string"
+    with_store(spark)
+    for k, part in enumerate(parts):
+        r.shuffle(part)
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = streams.event_stream(spark, str(tmp_path / "in"), spark.createDataFrame([], schema).schema, "80 minutes")
+        job = streams.content_changes(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
+        job.awaitTermination(200)
+    got = spark.read.parquet(str(tmp_path / "out"))
+    want = streams.content_changes_of(spark.createDataFrame(rows, schema))
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect())) and {x.outcome for x in got.collect()} == {"baseline", "unchanged", "flip_flop", "changed"}
+
+
+def with_store(spark):
+    for k, v in streams.STORE.items():
+        spark.conf.set(k, v)
 
 
 def test_queries_without_sql_run(spark, sf_dir):
