@@ -74,10 +74,15 @@ def similarity(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(both / (F.size(a) + F.size(b) - both))
 
 
+def literal(term: Column) -> Column:
+    """A pattern that finds exactly ``term``: its marks are escaped."""
+    return F.regexp_replace(term, r"([^\p{L}\p{Nd}\s])", r"\\$1")
+
+
 def contains_word(text: Column, term: Column) -> Column:
     """Whether ``term`` stands in ``text`` with no letter or digit next to it, in any case; blank terms and texts never do."""
     needle = stripped(term)
-    pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{Nd}])\Q"), needle, F.lit(r"\E(?![\p{L}\p{Nd}])"))
+    pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{Nd}])"), literal(needle), F.lit(r"(?![\p{L}\p{Nd}])"))
     return F.coalesce((needle != "") & F.rlike(text, pattern), F.lit(False))
 
 
