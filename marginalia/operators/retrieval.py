@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from py4j.protocol import Py4JError
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, Window
@@ -79,8 +78,11 @@ _QUERIES = f"SELECT q.vec_id AS query_id, e.vec_id, row_number() OVER (PARTITION
 
 def nearest_to_each(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, vec_id, place): the k rows nearest to each of ``queries`` (query_id, q); every task keeps k rows a query."""
-    rows = vectors.where(F.col("embedding").isNotNull()).crossJoin(scratch.maybe_broadcast(queries))
-    rows = rows.select("query_id", "vec_id", (F.round(cosine_distance(F.col("embedding"), F.col("q")), 6) + 0.0).alias("d"))
+    # Each vector's length is worked out once, not for each pair.
+    sized = vectors.where(F.col("embedding").isNotNull()).select("vec_id", F.col("embedding").cast("array<double>").alias("v"), F.sqrt(dot(F.col("embedding"), F.col("embedding"))).alias("vn"))
+    asked = scratch.materialize(queries.select("query_id", F.col("q").cast("array<double>").alias("q"), F.sqrt(dot(F.col("q"), F.col("q"))).alias("qn")), "queries")
+    rows = sized.crossJoin(scratch.maybe_broadcast(asked)).withColumn("norms", F.col("vn") * F.col("qn"))
+    rows = rows.select("query_id", "vec_id", (F.round(F.when(F.col("norms") != 0, 1 - dot(F.col("v"), F.col("q")) / F.col("norms")), 6) + 0.0).alias("d"))
     return rows.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("d", "vec_id"))).where(F.col("place") <= k).select("query_id", "vec_id", "place")
 
 
@@ -207,28 +209,6 @@ def hybrid(t: Tables) -> DataFrame:
     return first_by(rows, ["query_id"], F.desc("score"), "first", "item", n=8).select("query_id", F.col("item").alias("doc_id"), "source", "score", "snippet")
 
 
-@query("rag06_mmr_budget")
-def mmr_budget(t: Tables) -> DataFrame:
-    """Maximal marginal relevance within each language over the 40 longest texts, then a cost budget. Greedy and sequential
-    by definition, so each (query, tier) group of at most 40 rows is ordered in one task."""
-    best = t.documents.select("doc_id", "lang", "n_chars", F.left("text", F.lit(400)).alias("text"))
-    best = best.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n_chars"), "doc_id"))).where("r <= 40")
-
-    def order(group: pd.DataFrame) -> pd.DataFrame:
-        left = [(r.doc_id, r.n_chars / max(1, group.n_chars.max()), {r.text[i : i + 3] for i in range(len(r.text) - 2)}) for r in group.sort_values("doc_id").itertuples()]
-        picked: list = []
-        while left:
-            near = lambda x: max((len(x[2] & p[2]) / max(1, len(x[2] | p[2])) for p in picked), default=0.0)
-            top = max(left, key=lambda x: (round(0.7 * x[1] - 0.3 * near(x), 9), -x[0]))
-            left.remove(top)
-            picked.append(top)
-        return pd.DataFrame({"lang": group.lang.iloc[0], "doc_id": [p[0] for p in picked], "place": range(1, len(picked) + 1)})
-
-    placed = best.groupBy("lang").applyInPandas(order, "lang string, doc_id long, place int").join(best.select("doc_id", "n_chars"), "doc_id")
-    used = F.sum(F.expr("(n_chars + 3) div 4")).over(Window.partitionBy("lang").orderBy("place"))
-    return placed.withColumn("used", used).where("used <= 12000 OR place = 1").select("lang", "doc_id", "place", "used")
-
-
 @query("rag07_trust_weight", """WITH c AS (SELECT md5(text) AS h, count(DISTINCT source) AS n FROM documents GROUP BY 1), m AS (SELECT max(doc_id) AS m FROM documents)
     SELECT l.doc_id, round(greatest(0.05, least(1.0, (0.5 + 0.5 * quality) * (CASE WHEN toxic = 1 THEN 0.4 ELSE 1.0 END) * (1 - pow(0.5, n)) * exp(-ln(2) * (m - l.doc_id) / greatest(1, m)))), 9) AS weight FROM labels l JOIN documents d ON d.doc_id = l.doc_id JOIN c ON h = md5(text), m""")
 def trust_weight(t: Tables) -> DataFrame:
