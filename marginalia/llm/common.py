@@ -17,6 +17,8 @@ from ..scratch import collect_garbage, discard, materialize, maybe_broadcast  #
 
 #: Bytes of text that a numpy block holds at most (one longer document makes its own block).
 BLOCK_BYTES = 750_000
+#: Bytes of an Arrow batch between an executor and its workers.
+BATCH_BYTES = 2_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,8 +55,22 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             yield batch.slice(a, b - a)
 
 
+def small_batches() -> None:
+    """Bounds the Arrow batches of the session by bytes, unless it does so itself: by rows alone, ten thousand texts are one batch,
+    which the executor and the worker each hold, several times over while it grows."""
+    spark, bound = SparkSession.getActiveSession(), "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark is not None and bound not in _own_settings(spark):
+        spark.conf.set(bound, str(BATCH_BYTES))
+
+
+def _own_settings(spark: SparkSession) -> dict[str, str]:
+    """The settings that the cluster or its user made before the first operator ran."""
+    return dict(spark.sparkContext.getConf().getAll())
+
+
 def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """``run``, after whose last batch a worker gives the memory that it needs no more back to the system: Spark keeps workers for later stages."""
+    small_batches()
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
