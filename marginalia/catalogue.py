@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import registry
-from .operators import aggregates, bundles, changes, entities, evaluation, filters, graph, identities, joins, linking, merges, passages, paths, retrieval, sections, sinks, windows  # noqa: F401  (they register queries)
+from .operators import aggregates, bundles, changes, entities, evaluation, filters, graph, identities, joins, linking, merges, passages, paths, projections, reports, retrieval, sections, sinks, windows  # noqa: F401  (they register queries)
 from .functions import scalars, texts, values  # noqa: F401
 from .sources import readers  # noqa: F401
 from .streaming import streams  # noqa: F401
