@@ -9,8 +9,9 @@ whose score and remaining bounds still reach the threshold; ties stay in. As the
 essential. Shards are merged at the end. Blocks of queries meet every shard.
 
 Components become floor(scale * x) as whole numbers. Scores are exact for all finite components: sums below 2 ** 52 are
-added in floating point, below 2 ** 62 in integers of 64 bits, beyond that in integers of any length. A score is given
-as a decimal of 38 digits (larger ones as the largest such); the query gives it as a long, null beyond that.
+added in floating point, below 2 ** 62 in integers of 64 bits, beyond that in integers of any length. Ranks follow the exact
+score, whatever its length; it is shown as a decimal of 38 digits (larger ones as the largest such); the query shows it as a long,
+null beyond that.
 
 Vectors that are null or hold null or non-finite components take no part, and neither do rows without a key. Vectors are
 compared with those of their length; empty ones have score 0 among themselves. Equal scores go by smaller key. Only its
@@ -103,6 +104,16 @@ def _integers(x: np.ndarray) -> np.ndarray:
     return out
 
 
+def sortable(score: int) -> str | None:
+    """A text that sorts as the score does, for scores that 38 digits don't tell apart; None for others."""
+    if abs(score) < _WIDEST:
+        return None
+    digits = str(abs(score))
+    if score > 0:
+        return f"1{len(digits):06d}{digits}"
+    return "0" + "".join(chr(105 - ord(c)) for c in f"{len(digits):06d}{digits}")  # each digit as what it lacks to nine
+
+
 def _pack(rows: DataFrame, by: str) -> DataFrame:
     """The vectors of each value of ``by`` in one row: rows, ids and values as bytes, and the length of a vector."""
 
@@ -140,14 +151,15 @@ def search(vectors: DataFrame, is_query, k: int = 20, key: str = "vec_id", vecto
                 queries = take("block_values", np.float64).reshape(len(wanted), size)
                 found = [shard.search(q, o, k) for q, o in zip(queries, own)]
                 counts = [len(a) for a, _ in found]
-                scores = [max(-_WIDEST, min(_WIDEST, x)) for _, b in found for x in b]
+                exact = [x for _, b in found for x in b]
+                scores = [max(-_WIDEST, min(_WIDEST, x)) for x in exact]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(own, counts)), pa.array(np.repeat(wanted, counts)), pa.array(np.concatenate([a for a, _ in found])), pa.array(scores, pa.decimal128(38, 0))],
-                    ["_query", "query_id", key, "score"],
+                    [pa.array(np.repeat(own, counts)), pa.array(np.repeat(wanted, counts)), pa.array(np.concatenate([a for a, _ in found])), pa.array(scores, pa.decimal128(38, 0)), pa.array([sortable(x) for x in exact], pa.string())],
+                    ["_query", "query_id", key, "score", "_wide"],
                 )
 
-    best = met.repartition("shard", "block").mapInArrow(common.tidied(run), f"_query long, query_id long, {key} long, score decimal(38,0)")
-    by = Window.partitionBy("_query").orderBy(F.desc("score"), key)
+    best = met.repartition("shard", "block").mapInArrow(common.tidied(run), f"_query long, query_id long, {key} long, score decimal(38,0), _wide string")
+    by = Window.partitionBy("_query").orderBy(F.desc("score"), F.desc("_wide"), key)
     merged = best.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
     return merged.select("query_id", F.col("rank").cast("int").alias("rank"), key, "score")
 

@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from compare import database, expected, rows_of
 from marginalia.llm import bpe, chat, common, components, decontaminate, jaccard, langid, lines, quality, queries, sharding, suffixes, topk
@@ -398,3 +399,11 @@ def test_queries_take_an_empty_table(spark, sf_dir, tmp_path, name):
     for table in ("documents", "benchmark", "labels"):
         common.table(spark, sf_dir, table).limit(0).write.parquet(str(tmp_path / f"{table}.parquet"))
     assert queries.QUERIES[name](spark, str(tmp_path)).count() == 0
+
+
+def test_op5_ranks_scores_beyond_38_digits(spark):
+    rows = [(0, [1e18, 1.0]), (1, [1e18, 0.0]), (2, [3e18, 0.0]), (3, [2e18, 0.0]), (4, [-3e18, 0.0]), (5, [-2e18, 5.0]), (6, [2e18, 0.0]), (7, [1e300, 0.0]), (8, [-1e300, 0.0])]
+    found = topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("id") == 0, k=8).orderBy("rank").collect()
+    assert [r.vec_id for r in found] == [7, 2, 3, 6, 1, 5, 4, 8]
+    wide = [10**k + d for k in (38, 39, 60) for d in (0, 1)] + [-(10**k) - d for k in (38, 39, 60) for d in (0, 1)] + [10**38 - 1, 1 - 10**38]
+    assert sorted(wide, key=topk.sortable) == sorted(wide) and topk.sortable(5) is None
