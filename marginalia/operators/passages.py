@@ -164,3 +164,39 @@ def gates(t: Tables) -> DataFrame:
     """Every longer capitalised word of a document as a claim on it."""
     claims = t.documents.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("([A-Z][a-z]{7,})")))).alias("label"))
     return evidence_gates(claims, t.documents)
+
+
+# ---- terms in context ----
+
+
+def contexts(docs: DataFrame, terms: DataFrame, width: int = 60, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, place, term, snippet): every place where one of ``terms`` (term, single words) stands in a text as a word, in any case, with ``width`` characters on
+    either side and dots where the text goes on; places are numbered from 0 in each text.
+
+    Words meet the terms by equality first; a text is then read once, for the terms that it has.
+    """
+    known = terms.select(F.lower(F.trim("term")).alias("w")).where("w <> ''").distinct()
+    words = docs.select(key, F.explode(F.split(F.lower(text), r"[^\p{L}\p{Nd}]+")).alias("w")).join(scratch.maybe_broadcast(scratch.materialize(known, "terms")), "w")
+    asked = words.groupBy(key).agg(F.array_join(F.array_sort(F.collect_set(literal(F.col("w")))), "|").alias("_any"))
+    # The side before is a look back of all there is up to the bound, so hits may lie near each other.
+    pattern = F.concat(F.lit(rf"(?isu)(?<=(\A.{{0,{width}}}|.{{{width + 1}}}))(?<![\p{{L}}\p{{Nd}}])("), "_any", F.lit(rf")(?![\p{{L}}\p{{Nd}}])(?=(.{{0,{width + 1}}}))"))
+    rows = docs.select(key, F.col(text).alias("_text")).join(asked, key).withColumn("_p", pattern)
+    parts = [F.regexp_extract_all("_text", F.col("_p"), F.lit(k)) for k in (1, 2, 3)]
+    hits = rows.select(key, F.posexplode(F.arrays_zip(*(p.alias(n) for p, n in zip(parts, ("a", "b", "c"))))).alias("place", "h"))
+    more = lambda c: F.length(c) > width
+    before = F.when(more("h.a"), F.concat(F.lit("…"), F.right("h.a", F.lit(width)))).otherwise(F.col("h.a"))
+    behind = F.when(more("h.c"), F.concat(F.left("h.c", F.lit(width)), F.lit("…"))).otherwise(F.col("h.c"))
+    return hits.select(key, "place", F.lower("h.b").alias("term"), F.concat(before, F.col("h.b"), behind).alias("snippet"))
+
+
+@query(
+    "txt07_all_contexts",
+    r"""WITH k AS (SELECT DISTINCT lower(unnest(regexp_extract_all(text, '[A-Za-z]{10,}'))) AS w FROM benchmark),
+    p AS (SELECT doc_id, text, i, x[i] AS piece FROM (SELECT doc_id, text, regexp_extract_all(text, '[\pL\p{Nd}]+|[^\pL\p{Nd}]+') AS x FROM documents), unnest(range(1, len(x) + 1)) AS u(i)),
+    o AS (SELECT doc_id, text, i, piece, CAST(sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) AS stop FROM p), h AS (SELECT *, stop - length(piece) AS start FROM o WHERE lower(piece) IN (SELECT w FROM k))
+    SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS place, lower(piece) AS term, CASE WHEN start > 60 THEN '…' ELSE '' END || substr(text, greatest(1, start - 59), least(start, 60)) || piece || substr(text, stop + 1, 60) || CASE WHEN length(text) > stop + 60 THEN '…' ELSE '' END AS snippet FROM h""",
+)
+def all_contexts(t: Tables) -> DataFrame:
+    """Long words of the benchmark wherever documents have them."""
+    terms = t.benchmark.select(F.explode(F.regexp_extract_all("text", F.lit("([A-Za-z]{10,})"))).alias("term"))
+    return contexts(t.documents, terms)
