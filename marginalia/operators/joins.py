@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from .. import scratch
 from ..functions.texts import contains_word
 from ..registry import Tables, query
 from .filters import tokens
@@ -14,9 +16,13 @@ from .ranges import previous
 def latest_before(events: DataFrame, prices: DataFrame, by: str, at: str, since: str, tie: str, values: list[str]) -> DataFrame:
     """As-of join: each event with ``values`` of the latest price of its ``by`` that began at or before it (then the highest ``tie``).
 
-    Both sides are put in one ordered stream for each key and the last price is carried forward, over ranges of time, so
-    a key with a third of all events spreads over many tasks.
+    A price list that fits a broadcast meets the events where they are (``_by_cells``). For a longer one, both sides are put in one ordered
+    stream for each key and the last price is carried forward, over ranges of time, so a key with a third of all events spreads
+    over many tasks.
     """
+    prices = scratch.materialize(prices.select(by, since, F.col(tie).cast("long").alias(tie), *(v for v in values if v not in (by, since, tie))), "prices")
+    if scratch.within(prices, scratch.BROADCAST_BYTES // 3):  # the cells hold a price three times at most, on average
+        return _by_cells(events, prices, by, at, since, tie, values)
     held = F.struct(*values)
     kept = [c for c in events.columns if c != by]
     left = events.select(by, F.col(at).alias("_at"), F.lit(1).alias("_side"), F.lit(None).cast("long").alias("_tie"), F.struct(*kept).alias("_event"), F.lit(None).cast(prices.select(held.alias("h")).schema["h"].dataType).alias("_price"))
@@ -25,6 +31,31 @@ def latest_before(events: DataFrame, prices: DataFrame, by: str, at: str, since:
     return carried.select(by, *(F.col(f"_event.{c}").alias(c) for c in kept), *(F.col(f"_last.{v}").alias(v) for v in values))
 
 
+def _seconds(at: Column, kind: T.DataType) -> Column:
+    """Whole seconds of a moment, in the order of moments; other numbers stand for themselves."""
+    if isinstance(kind, T.TimestampNTZType):
+        return F.unix_date(F.to_date(at)).cast("long") * 86_400 + F.hour(at) * 3_600 + F.minute(at) * 60 + F.second(at)
+    return F.unix_seconds(at) if isinstance(kind, T.TimestampType) else F.floor(at)
+
+
+def _by_cells(events: DataFrame, prices: DataFrame, by: str, at: str, since: str, tie: str, values: list[str]) -> DataFrame:
+    """The as-of join by a broadcast: each price holds until the next one of its key, and stands in every cell of time that it touches; an event
+    meets the prices of its key and cell. There are as many cells as a key has prices on average, so the cells hold three rows a price at most."""
+    kept = [c for c in events.columns if c != by]
+    second = _seconds(F.col(since), prices.schema[since].dataType)
+    low, high, n, keys = prices.agg(F.min(second), F.max(second), F.count("*"), F.count_distinct(by)).first()
+    cells = max(1, (n or 0) // max(1, keys or 0))
+    width = max(1, ((high or 0) - (low or 0)) // cells + 1)
+    cell = lambda x: F.greatest(F.lit(0), F.least(F.lit(cells), F.floor((x - F.lit(low or 0)) / width)))
+    until = F.lead(since).over(Window.partitionBy(by).orderBy(since, tie))
+    ends = prices.where(F.col(since).isNotNull()).select(F.col(by).alias("_by"), F.col(since).alias("_since"), until.alias("_until"), F.struct(*values).alias("_price"), second.alias("_s"))
+    last = F.when(F.col("_until").isNull(), F.lit(cells)).otherwise(cell(_seconds(F.col("_until"), prices.schema[since].dataType)))
+    ends = ends.where("_until IS NULL OR _since < _until").withColumn("_cell", F.explode(F.sequence(cell(F.col("_s")), last)))
+    rows = events.withColumn("_event_cell", cell(_seconds(F.col(at), events.schema[at].dataType)))
+    held = F.col(by).eqNullSafe(F.col("_by")) & (F.col("_event_cell") == F.col("_cell")) & (F.col("_since") <= F.col(at)) & (F.col("_until").isNull() | (F.col(at) < F.col("_until")))
+    return rows.join(F.broadcast(ends), held, "left").select(by, *kept, *(F.col(f"_price.{v}").alias(v) for v in values))
+
+
 @query("join01_inner", "SELECT l_orderkey, l_linenumber, p_brand FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity > 45")
 def inner(t: Tables) -> DataFrame:
     return t.lineitem.where("l_quantity > 45").join(t.part, F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", "l_linenumber", "p_brand")

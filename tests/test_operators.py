@@ -5,7 +5,7 @@ from itertools import combinations
 
 from pyspark.sql import functions as F
 
-from marginalia import catalogue
+from marginalia import catalogue, scratch
 from marginalia.functions import texts
 from marginalia.functions.scalars import squeezed
 from marginalia.operators.aggregates import all_co_occurrence, co_occurrence, noisy_or
@@ -265,3 +265,23 @@ def with_store(spark):
 def test_queries_without_sql_run(spark, sf_dir):
     for name in set(catalogue.queries()) - set(catalogue.oracles()):
         assert catalogue.queries()[name](spark, sf_dir).count() > 0
+
+
+def test_both_ways_of_the_as_of_join_agree(spark, monkeypatch):
+    r = random.Random(9)
+    at = lambda: datetime(2024, 1, 1) + timedelta(seconds=r.randrange(5000), microseconds=r.randrange(3))
+    rows = [(r.choice(["m", "n", None, "unpriced"]), k, at()) for k in range(400)] + [("m", 900, None)]
+    prices = [(r.choice(["m", "n", None]), at(), float(k), k) for k in range(60)] + [("m", datetime(2024, 1, 1, 0, 30), 1.0, 100 + k) for k in range(9)] + [("n", None, 5.0, 200)]
+    events, listed = spark.createDataFrame(rows, "model string, id long, ts timestamp_ntz"), spark.createDataFrame(prices, "model string, since timestamp_ntz, price double, n long")
+
+    def want(model, ts):
+        fit = [(s, n, p) for m, s, p, n in prices if m == model and s is not None and ts is not None and s <= ts]
+        return max(fit)[2] if fit else None
+
+    expected_prices = {k: want(m, ts) for m, k, ts in rows}
+    near = latest_before(events, listed.where("since IS NOT NULL"), "model", "ts", "since", "n", ["price"])
+    assert {x.id: x.price for x in near.collect()} == expected_prices
+    monkeypatch.setattr(scratch, "within", lambda *_: False)
+    far = latest_before(events.where("ts IS NOT NULL"), listed.where("since IS NOT NULL"), "model", "ts", "since", "n", ["price"])
+    assert {x.id: x.price for x in far.collect()} == {k: v for k, v in expected_prices.items() if k != 900}
+    assert latest_before(events, listed.where("false"), "model", "ts", "since", "n", ["price"]).where("price IS NOT NULL").isEmpty()
