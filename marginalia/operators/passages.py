@@ -200,3 +200,51 @@ def all_contexts(t: Tables) -> DataFrame:
     """Long words of the benchmark wherever documents have them."""
     terms = t.benchmark.select(F.explode(F.regexp_extract_all("text", F.lit("([A-Za-z]{10,})"))).alias("term"))
     return contexts(t.documents, terms)
+
+
+# ---- keywords ----
+
+#: What a bracketed keyword looks like once the number at its end is gone, and how long it is (fixed values).
+KEYWORD_SHAPE, KEYWORD_CHARS = r"^\p{L}[\p{L} '’-]*$", (3, 30)
+
+
+def keywords(docs: DataFrame, vocabulary: DataFrame, rejected: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, term, kind): the keywords of each text, each once in small letters. ``bracketed`` ones stand in square brackets, without the number at their
+    end, if they have the shape and length of a keyword; ``candidate`` ones are phrases of ``vocabulary`` (term) that stand outside of brackets, word by
+    word, and are not bracketed as well. Terms of ``rejected`` (term) are left out. Phrases of each number of words meet the vocabulary by equality.
+    """
+    clean = lambda c: F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}\p{Nd}]+", " "))
+    bracket = r"\[([^\[\]]+)\]"
+    found = docs.select(key, F.explode(F.regexp_extract_all(text, F.lit(bracket), F.lit(1))).alias("t"))
+    found = found.withColumn("t", F.trim(F.regexp_replace(F.trim("t"), r"\s*\d+$", ""))).where(F.col("t").rlike(KEYWORD_SHAPE) & F.length("t").between(*KEYWORD_CHARS))
+    bracketed = found.select(key, F.lower("t").alias("term")).distinct()
+    known = vocabulary.select(clean(F.col("term")).alias("term")).where("term <> ''").distinct()
+    known = scratch.materialize(known.join(rejected.select(clean(F.col("term")).alias("term")), "term", "left_anti"), "vocabulary")
+    lengths = sorted(r[0] for r in known.select(F.size(F.split("term", " "))).distinct().collect())  # one row for each number of words
+    words = docs.select(key, F.filter(F.split(F.lower(F.regexp_replace(text, bracket, " ")), r"[^\p{L}\p{Nd}]+"), lambda w: w != "").alias("w"))
+    starts = F.transform(F.sequence(F.lit(1), F.size("w")), lambda i: i)
+    phrases = F.flatten(F.array(*(F.array_distinct(F.transform(F.filter(starts, lambda i: i + (n - 1) <= F.size("w")), lambda i: F.array_join(F.slice("w", i, F.lit(n)), " "))) for n in lengths)))
+    told = words.where("size(w) > 0").select(key, F.explode(phrases).alias("term")) if lengths else words.select(key, F.lit("").alias("term")).limit(0)
+    candidates = told.join(scratch.maybe_broadcast(known), "term", "left_semi").select(key, "term").join(bracketed, [key, "term"], "left_anti").distinct()
+    kept = bracketed.join(rejected.select(F.lower(F.trim("term")).alias("term")), "term", "left_anti").select(key, "term", F.lit("bracketed").alias("kind"))
+    return kept.unionByName(candidates.select(key, "term", F.lit("candidate").alias("kind")))
+
+
+@query(
+    "txt05_vocabulary_keywords",
+    r"""WITH v AS (SELECT DISTINCT unnest(list_concat(regexp_extract_all(lower(text), '[a-z]{10,}'), regexp_extract_all(lower(text), '[a-z]{4,} [a-z]{4,}'))) AS term FROM benchmark), r AS (SELECT DISTINCT term FROM v WHERE length(term) = 12),
+    d AS (SELECT doc_id, CASE WHEN n_chars % 3 = 0 THEN regexp_replace(text, '([A-Z][a-z]{4,})', '[\1 2]') ELSE text END AS text FROM documents),
+    b AS (SELECT DISTINCT doc_id, lower(t) AS term FROM (SELECT doc_id, trim(regexp_replace(trim(unnest(regexp_extract_all(text, '\[([^\[\]]+)\]', 1))), '\s*\d+$', '')) AS t FROM d) WHERE regexp_matches(t, '^\pL[\pL ''’-]*$') AND length(t) BETWEEN 3 AND 30),
+    w AS (SELECT doc_id, list_filter(string_split_regex(lower(regexp_replace(text, '\[([^\[\]]+)\]', ' ', 'g')), '[^\pL\p{Nd}]+'), lambda x: x <> '') AS w FROM d),
+    p AS (SELECT DISTINCT doc_id, w[i] AS term FROM w, unnest(range(1, len(w) + 1)) AS u(i) UNION SELECT DISTINCT doc_id, w[i] || ' ' || w[i + 1] FROM w, unnest(range(1, len(w))) AS u(i))
+    SELECT doc_id, term, 'bracketed' AS kind FROM b WHERE term NOT IN (SELECT term FROM r)
+    UNION ALL SELECT doc_id, term, 'candidate' FROM p WHERE term IN (SELECT term FROM v) AND term NOT IN (SELECT term FROM r) AND NOT EXISTS (SELECT 1 FROM b WHERE b.doc_id = p.doc_id AND b.term = p.term)""",
+)
+def vocabulary_keywords(t: Tables) -> DataFrame:
+    """Long words and pairs of words of the benchmark as vocabulary; in a third of the documents the first capitalised word stands in brackets with a number."""
+    terms = t.benchmark.select(F.explode(F.concat(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{10,})")), F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{4,} [a-z]{4,})")))).alias("term")).distinct()
+    first = F.regexp_extract("text", "([A-Z][a-z]{4,})", 1)
+    at = F.locate("\0", F.regexp_replace("text", "^(?s)(.*?)[A-Z][a-z]{4,}", "$1\0"))
+    marked = F.concat(F.substring("text", F.lit(1), at - 1), F.lit("["), first, F.lit(" 2]"), F.substring("text", at + F.length(first), F.length("text")))
+    docs = t.documents.select("doc_id", F.when((F.col("n_chars") % 3 == 0) & (first != ""), marked).otherwise(F.col("text")).alias("text"))
+    return keywords(docs, terms, terms.where(F.length("term") == 12))

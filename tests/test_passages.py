@@ -59,3 +59,16 @@ def test_terms_with_pattern_marks_are_found_as_they_stand(spark):
     rows = [(r"x a\E(b y", r"a\E(b"), ("a.b", "a.b"), ("axb", "a.b"), ("a$1 [z]", "$1 [z]"), ("a{2}", "a{2}"), ("(q", "q")]
     got = [r[0] for r in spark.createDataFrame(rows, "text string, term string").select(contains_word(F.col("text"), F.col("term"))).collect()]
     assert got == [True, True, False, False, True, True]
+
+
+def test_keywords_are_bracketed_or_of_the_vocabulary(spark):
+    docs = spark.createDataFrame([(1, "[Deflect 2] then Deflect, [deflect] and [Level up 11], leveling; level up."), (2, "Level Up! quick strike [x] [12] [no_shape] [Banned 3]"), (3, None), (4, ""), (5, "quick, strike banned [quick strike]")], "doc_id long, text string")
+    terms = spark.createDataFrame([("Deflect",), ("level up",), ("Quick-Strike",), ("banned",), (" ",), (None,), ("level",)], "term string")
+    got = {tuple(r) for r in passages.keywords(docs, terms, spark.createDataFrame([("Banned",), ("level",)], "term string")).collect()}
+    assert got == {(1, "deflect", "bracketed"), (1, "level up", "bracketed"), (2, "level up", "candidate"), (2, "quick strike", "candidate"), (5, "quick strike", "bracketed")}
+
+
+def test_contexts_find_hits_that_lie_near_each_other(spark):
+    docs = spark.createDataFrame([(1, "x" * 70 + " Term term-TERM terms " + "y" * 70), (2, "term"), (3, None), (4, "no hit")], "doc_id long, text string")
+    got = sorted(map(tuple, passages.contexts(docs, spark.createDataFrame([("TERM",), ("",), (None,), ("absent",)], "term string"), 10).collect()))
+    assert got == [(1, 0, "term", "…xxxxxxxxx Term term-TERM…"), (1, 1, "term", "…xxxx Term term-TERM term…"), (1, 2, "term", "…Term term-TERM terms yyy…"), (2, 0, "term", "term")]
