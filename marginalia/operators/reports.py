@@ -154,3 +154,60 @@ def alias_order(t: Tables) -> DataFrame:
     form = F.regexp_replace(F.lower(F.trim("p_name")), "[^a-z]+", "")
     forms = t.part.groupBy("p_brand", form.alias("form")).agg(F.min(F.struct("p_partkey", "p_name")).alias("f"), F.count("*").alias("n"))
     return forms.select("p_brand", F.row_number().over(Window.partitionBy("p_brand").orderBy("f.p_partkey")).cast("long").alias("place"), F.col("f.p_name").alias("alias"), "n")
+
+
+# ---- drift of entities, versions of a structure ----
+
+
+def entity_drift(entities: DataFrame, order: list[str]) -> DataFrame:
+    """(kind, place, live, candidates, canonical, tombstones, singletons) of ``entities`` (kind, status, aliases array): live ones are candidates and canonical ones,
+    singletons the live ones that took in no alias. Kinds stand in ``order``, others after them by name."""
+    status, lone = F.col("status"), F.coalesce(F.size("aliases") <= 0, F.lit(True))
+    counts = entities.groupBy("kind").agg(F.count_if(status == "candidate").alias("candidates"), F.count_if(status == "canonical").alias("canonical"), F.count_if(status == "merged").alias("tombstones"), F.count_if((status != "merged") & lone).alias("singletons"))
+    known = F.array_position(F.array(*map(F.lit, order)), F.col("kind"))
+    place = F.row_number().over(Window.orderBy(F.when(known > 0, known).otherwise(len(order) + 1), "kind"))  # one row for each kind
+    return counts.select("kind", place.alias("place"), (F.col("candidates") + F.col("canonical")).alias("live"), "candidates", "canonical", "tombstones", "singletons")
+
+
+_DRIFT_KINDS = ["STANDARD", "SMALL", "LARGE"]
+
+
+@query(
+    "agg27_live_drift",
+    """WITH e AS (SELECT p_type AS kind, CASE WHEN p_partkey > min(p_partkey) OVER (PARTITION BY p_name, p_brand) THEN 'merged' WHEN p_retailprice >= 1000 THEN 'canonical' ELSE 'candidate' END AS status, list_filter(string_split(p_name, ' '), lambda w: length(w) > 5) AS aliases FROM part),
+    c AS (SELECT kind, count(*) FILTER (status = 'candidate') AS candidates, count(*) FILTER (status = 'canonical') AS canonical, count(*) FILTER (status = 'merged') AS tombstones, count(*) FILTER (status <> 'merged' AND len(aliases) = 0) AS singletons FROM e GROUP BY kind)
+    SELECT kind, row_number() OVER (ORDER BY CASE kind WHEN 'STANDARD' THEN 1 WHEN 'SMALL' THEN 2 WHEN 'LARGE' THEN 3 ELSE 4 END, kind) AS place, candidates + canonical AS live, candidates, canonical, tombstones, singletons FROM c""",
+)
+def live_drift(t: Tables) -> DataFrame:
+    """Items as entities: the first of a name and brand is alive, later ones were merged into it; long words of a name are its aliases."""
+    first = t.part.groupBy(F.col("p_name").alias("_n"), F.col("p_brand").alias("_b")).agg(F.min("p_partkey").alias("_first"))
+    rows = t.part.join(first, F.col("p_name").eqNullSafe(F.col("_n")) & F.col("p_brand").eqNullSafe(F.col("_b")))
+    status = F.when(F.col("p_partkey") > F.col("_first"), "merged").when(F.col("p_retailprice") >= 1000, "canonical").otherwise("candidate")
+    aliases = F.filter(F.split("p_name", " "), lambda w: F.length(w) > 5)
+    return entity_drift(rows.select(F.col("p_type").alias("kind"), status.alias("status"), aliases.alias("aliases")), _DRIFT_KINDS)
+
+
+def version_changes(old: DataFrame, new: DataFrame, strict: str) -> DataFrame:
+    """(name, change, added, removed): how the structures (name, axis, line) differ. The same lines are a ``patch``; lines that only came are ``minor``; a line
+    that went, or any difference on the axis ``strict``, is ``major``. Lines meet by equality and are counted map-side."""
+    side = lambda df, name: df.select("name", "axis", "line").distinct().withColumn(name, F.lit(1))
+    rows = side(old, "was").join(side(new, "now"), ["name", "axis", "line"], "full")
+    came, went = F.col("was").isNull(), F.col("now").isNull()
+    found = rows.groupBy("name").agg(F.count_if(came).alias("added"), F.count_if(went).alias("removed"), F.count_if((came | went) & (F.col("axis") == strict)).alias("strict"))
+    change = F.when((F.col("added") == 0) & (F.col("removed") == 0), "patch").when((F.col("removed") > 0) | (F.col("strict") > 0), "major").otherwise("minor")
+    return found.select("name", change.alias("change"), "added", "removed")
+
+
+@query(
+    "ont04_change_class",
+    """WITH o AS (SELECT p_brand AS name, unnest(['class', 'relation', 'disjoint']) AS axis, unnest([p_type, split_part(p_name, ' ', 1), CASE WHEN p_size = 50 THEN p_type END]) AS line, p_retailprice FROM part WHERE p_size <= 48 OR p_size = 50),
+    a AS (SELECT DISTINCT name, axis, line FROM o WHERE line IS NOT NULL AND p_retailprice < 1090), b AS (SELECT DISTINCT name, axis, line FROM o WHERE line IS NOT NULL AND (p_retailprice < 1100 OR axis = 'class')),
+    f AS (SELECT coalesce(a.name, b.name) AS name, coalesce(a.axis, b.axis) AS axis, a.name IS NULL AS came, b.name IS NULL AS went FROM a FULL JOIN b ON a.name = b.name AND a.axis = b.axis AND a.line = b.line)
+    SELECT name, CASE WHEN count(*) FILTER (came OR went) = 0 THEN 'patch' WHEN count(*) FILTER (went) > 0 OR count(*) FILTER ((came OR went) AND axis = 'disjoint') > 0 THEN 'major' ELSE 'minor' END AS change, count(*) FILTER (came) AS added, count(*) FILTER (went) AS removed FROM f GROUP BY name""",
+)
+def change_class(t: Tables) -> DataFrame:
+    """The structure of each brand before and after dearer items came: its types, the first words of its names, the types of its largest size."""
+    rows = t.part.where("p_size <= 48 OR p_size = 50")
+    line = lambda axis, c: F.struct(F.lit(axis).alias("axis"), c.alias("line"))
+    lines = rows.select(F.col("p_brand").alias("name"), "p_retailprice", F.inline(F.array(line("class", F.col("p_type")), line("relation", F.split_part("p_name", F.lit(" "), F.lit(1))), line("disjoint", F.when(F.col("p_size") == 50, F.col("p_type")))))).where("line IS NOT NULL")
+    return version_changes(lines.where("p_retailprice < 1090"), lines.where("p_retailprice < 1100 OR axis = 'class'"), "disjoint")

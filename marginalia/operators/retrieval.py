@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 
-from py4j.protocol import Py4JError
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -310,14 +310,21 @@ def mode(t: Tables) -> DataFrame:
     return rows.select("conv_id", "turn", retrieval_mode(F.col("kind"), F.col("question"), F.col("entities"), F.col("elapsed_ms"), F.col("warm")).alias("m")).select("conv_id", "turn", "m.*")
 
 
+#: Conditions under which a source can't be read; any other error is a fault of the channel itself.
+UNREADABLE = ("PATH_NOT_FOUND", "FAILED_READ_FILE", "TABLE_OR_VIEW_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA", "CANNOT_READ_FILE_FOOTER")
+
+
 def channel(name: str, build: Callable[[], DataFrame], like: DataFrame, failed: list[str]) -> DataFrame:
-    """The rows of a retrieval channel; if it fails, none in the schema of ``like``, and its name is added to ``failed``.
+    """The rows of a retrieval channel; if its source can't be read, none in the schema of ``like``, its name is added to ``failed`` and the reason logged.
 
-    The rows are written out here, so that a failure shows in this channel and not in the query that it is part of.
+    The rows are written out here, so that a failure shows in this channel and not in the query that it is part of. Other errors are raised.
     """
     try:
         return scratch.materialize(build().select(like.columns), name)
-    except (PySparkException, Py4JError):
+    except PySparkException as error:
+        if not (error.getCondition() or "").startswith(UNREADABLE):
+            raise
+        logging.getLogger(__name__).warning("channel %s can't be read: %s", name, error.getCondition())
         failed.append(name)
         return like.limit(0)
 
