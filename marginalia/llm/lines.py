@@ -9,7 +9,8 @@ components. Of each component (and of each repeated line) the first occurrence b
 Lines are split, hashed, grouped and joined by DataFrame operations. Shingles and signatures are made in Arrow batches:
 with DataFrame functions alone every character becomes a row, which is beyond the limits (figures in the README).
 
-Lines are separated by a newline and compared without white space at either end. Blank lines are left alone. Null texts
+Lines are separated by a newline and compared without white space (``BLANKS``) at either end, so files with either kind of line
+ends meet. Blank lines are left alone. Null texts
 stay null, empty texts stay empty, a line may be as long as a text. Rows that repeat a key with the same text are one
 document and keep the same lines. Columns named n_lines and n_kept are replaced, any others kept whatever their names.
 An empty table gives an empty one.
@@ -30,6 +31,8 @@ from .sets import linked_components, packed_sets
 #: Characters of a shingle; common shingles of linked lines, as a share (80 of 100); bands and their rows (0.8 ** 3 in each of 8 bands: 99.7 % of pairs at 0.8 become candidates).
 SHINGLE, BANDS, ROWS = 12, 8, 3
 SIMILARITY = (80, 100)
+#: White space that lines are compared without, at either end.
+BLANKS = " \t\r\v\f"
 #: Bytes of lines that are signed at once: a worker holds about a hundred bytes for each.
 LINE_BYTES = 400_000
 _BAND_COLUMNS = [f"b{j}" for j in range(BANDS)]
@@ -80,7 +83,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _lines(docs: DataFrame, key: str) -> DataFrame:
     """(key, print, at, line, h1, h2) of every line that isn't blank."""
     rows = docs.where(F.col("text").isNotNull()).select(F.col(key), F.xxhash64("text").alias("print"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    rows = rows.withColumn("line", F.trim(F.col("line"))).where("line <> ''")
+    rows = rows.withColumn("line", F.trim(F.col("line"), F.lit(BLANKS))).where("line <> ''")
     return rows.withColumn("h1", F.xxhash64("line")).withColumn("h2", F.xxhash64(F.lit(1), "line"))
 
 

@@ -139,15 +139,15 @@ def brute_lines(docs):
     places = {}
     for i, t in docs:
         for k, line in enumerate((t or "").split("\n")):
-            if line.strip(" "):
-                places.setdefault(line.strip(" "), []).append((i, k))
+            if line.strip(lines.BLANKS):
+                places.setdefault(line.strip(lines.BLANKS), []).append((i, k))
     names = list(places)
     groups = brute_components({k: line_shingles(x) for k, x in enumerate(names)}, 80, 100)
     first = {}
     for k, x in enumerate(names):
         first[groups[k]] = min(first.get(groups[k], (1 << 60, 0)), min(places[x]))
     keep = set(first.values())
-    return {i: None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if not x.strip(" ") or (i, k) in keep) for i, t in docs}
+    return {i: None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if not x.strip(lines.BLANKS) or (i, k) in keep) for i, t in docs}
 
 
 def test_op3_keeps_one_line_of_each_component(spark):
@@ -407,3 +407,9 @@ def test_op5_ranks_scores_beyond_38_digits(spark):
     assert [r.vec_id for r in found] == [7, 2, 3, 6, 1, 5, 4, 8]
     wide = [10**k + d for k in (38, 39, 60) for d in (0, 1)] + [-(10**k) - d for k in (38, 39, 60) for d in (0, 1)] + [10**38 - 1, 1 - 10**38]
     assert sorted(wide, key=topk.sortable) == sorted(wide) and topk.sortable(5) is None
+
+
+def test_op3_compares_lines_without_white_space_at_either_end(spark):
+    rows = [(1, "Read more\nfirst"), (2, "Read more\r\nsecond\r\n\r\n"), (3, "\tRead more\x0c\n \t\nthird"), (4, " \r\n\t")]
+    got = {x.doc_id: x.text for x in lines.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_lines(rows) == {1: "Read more\nfirst", 2: "second\r\n\r\n", 3: " \t\nthird", 4: " \r\n\t"}
