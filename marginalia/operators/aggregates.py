@@ -23,6 +23,11 @@ def noisy_or(df: DataFrame, by: str, cluster: Column, strength: Column, name: st
     return strongest.groupBy(by).agg((1 - F.product(1 - F.col("_s"))).alias(name))
 
 
+def whole_mean(value: Column) -> Column:
+    """The mean of ``value`` (twelve decimal places count) with its fraction cut off. The sum is exact: of doubles it would depend on the order of rows, and a mean of 50 might become 49."""
+    return F.call_function("div", F.sum(value.cast("decimal(38,12)")), F.count(value)).cast("int")
+
+
 @query("agg01_group_count", "SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1")
 def group_count(t: Tables) -> DataFrame:
     return t.orders.groupBy("o_orderstatus").agg(F.count("*").alias("n"))
@@ -36,7 +41,7 @@ def sum_and_conditional(t: Tables) -> DataFrame:
 @query("agg03_usage_by_user", "SELECT CASE WHEN user_id % 10 = 0 THEN NULL ELSE user_id END AS who, count(*) AS calls, count(*) FILTER (event_type = 'purchase') AS ok, CAST(trunc(avg(value)) AS INTEGER) AS avg_value FROM events GROUP BY 1")
 def usage_by_user(t: Tables) -> DataFrame:
     who = F.when(F.col("user_id") % 10 != 0, F.col("user_id"))
-    return t.events.groupBy(who.alias("who")).agg(F.count("*").alias("calls"), F.count_if(F.col("event_type") == "purchase").alias("ok"), F.avg("value").cast("int").alias("avg_value"))
+    return t.events.groupBy(who.alias("who")).agg(F.count("*").alias("calls"), F.count_if(F.col("event_type") == "purchase").alias("ok"), whole_mean(F.col("value")).alias("avg_value"))
 
 
 @query("agg04_latest", "SELECT o_custkey, max(o_orderdate) AS latest FROM orders GROUP BY 1")
@@ -350,7 +355,7 @@ def accept_rates(t: Tables) -> DataFrame:
 def phase_means(t: Tables) -> DataFrame:
     """The mean of each phase over the last fifty rows, its fraction cut off."""
     last = t.events.orderBy(F.desc("ts"), F.desc("event_id")).limit(50)
-    return last.groupBy("event_type").agg(F.count("*").alias("n"), F.avg("value").cast("int").alias("mean"))
+    return last.groupBy("event_type").agg(F.count("*").alias("n"), whole_mean(F.col("value")).alias("mean"))
 
 
 @query("agg17_coverage", f"""WITH {_PARTS_SQL}, v AS (SELECT set_code, total, count(*) AS n FROM ids WHERE NOT special AND total IS NOT NULL GROUP BY 1, 2), w AS (SELECT set_code, total AS base FROM v QUALIFY row_number() OVER (PARTITION BY set_code ORDER BY n DESC, total DESC) = 1),

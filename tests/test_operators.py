@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from marginalia import catalogue, scratch
 from marginalia.functions import texts
 from marginalia.functions.scalars import squeezed
-from marginalia.operators.aggregates import all_co_occurrence, co_occurrence, noisy_or
+from marginalia.operators.aggregates import all_co_occurrence, co_occurrence, noisy_or, whole_mean
 from marginalia.operators.changes import flips, grounded, upserted
 from marginalia.operators.entities import consolidated
 from marginalia.operators.filters import page
@@ -285,3 +285,10 @@ def test_both_ways_of_the_as_of_join_agree(spark, monkeypatch):
     far = latest_before(events.where("ts IS NOT NULL"), listed.where("since IS NOT NULL"), "model", "ts", "since", "n", ["price"])
     assert {x.id: x.price for x in far.collect()} == {k: v for k, v in expected_prices.items() if k != 900}
     assert latest_before(events, listed.where("false"), "model", "ts", "since", "n", ["price"]).where("price IS NOT NULL").isEmpty()
+
+
+def test_whole_means_do_not_depend_on_the_order_of_rows(spark):
+    exact = [4.96, 13.63, 29.56, 29.14, 2.71]  # the sum in this order falls below
+    rows = [(1, v) for v in exact] + [(2, v) for v in reversed(exact)] + [(3, -1.5), (3, -2.4), (4, None), (5, 0.7), (5, None)]
+    got = {r.k: r.m for r in spark.createDataFrame(rows, "k int, v double").coalesce(1).groupBy("k").agg(whole_mean(F.col("v")).alias("m")).collect()}
+    assert got == {1: 16, 2: 16, 3: -1, 4: None, 5: 0}
