@@ -292,3 +292,18 @@ def test_whole_means_do_not_depend_on_the_order_of_rows(spark):
     rows = [(1, v) for v in exact] + [(2, v) for v in reversed(exact)] + [(3, -1.5), (3, -2.4), (4, None), (5, 0.7), (5, None)]
     got = {r.k: r.m for r in spark.createDataFrame(rows, "k int, v double").coalesce(1).groupBy("k").agg(whole_mean(F.col("v")).alias("m")).collect()}
     assert got == {1: 16, 2: 16, 3: -1, 4: None, 5: 0}
+
+
+def test_means_at_the_bound_are_added_up_as_the_files_hold_them(spark, tmp_path):
+    lines = {1: (0.0, 0.1, 0.06, 0.08), 2: (0.0, 0.06, 0.08, 0.1)}
+    for part in (0, 1):
+        rows = [(k, d, 1.0, "A") for k, held in lines.items() for d in held[2 * part : 2 * part + 2]]
+        spark.createDataFrame(rows, "l_orderkey long, l_discount double, l_quantity double, l_returnflag string").coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet" / f"part={part}"))
+    orders = [(k, 3, datetime(2024, 1, 1), "1-URGENT", "F") for k in lines]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderdate timestamp_ntz, o_orderpriority string, o_orderstatus string").write.parquet(str(tmp_path / "orders.parquet"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1")
+    try:
+        got = {r.o_orderkey: "corroboration" in r.reasons for r in catalogue.queries()["cdc09_triggers"](spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == {1: True, 2: False}
