@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import scratch
-from ..functions.texts import BROAD_CUES
+from ..functions.texts import BROAD_CUES, any_case
 from ..registry import Tables, query
 from .windows import first_by
 
@@ -259,14 +259,14 @@ MISCONCEPTION = r"\b(klopt het dat|is het waar|mag je altijd|kun je altijd|moet
 
 def question_kind(question: Column, mentions: Column) -> Column:
     """The kind of a question by the first rule that fits; a question about a card needs the mention of one, a definition must have none."""
-    fits = {k: question.rlike(f"(?i){p}") for k, p in ROUTES.items()}
+    fits = {k: question.rlike(any_case(p)) for k, p in ROUTES.items()}
     return F.when(fits["tournament"], "tournament").when(fits["legality"], "legality").when(fits["list"], "list").when(fits["card"] & mentions, "card").when(fits["definition"] & ~mentions, "definition").otherwise("ruling")
 
 
 def retrieval_mode(kind: Column, question: Column, entities: Column, elapsed_ms: Column, warm: Column, budget_ms: int = 4_000) -> Column:
     """(mode, hops, drift, path, fallback): how to retrieve for a question of a kind that names so many entities; over the
     budget only what is local is left, and without a warm graph no paths."""
-    cue = lambda p: question.rlike(f"(?i){p}")
+    cue = lambda p: question.rlike(any_case(p))
     several = entities >= 2
     pick = lambda mode, hops, drift, path: F.struct(F.lit(mode).alias("mode"), F.lit(hops).alias("hops") if isinstance(hops, int) else hops.alias("hops"), drift.alias("drift"), path.alias("path"))
     yes, no = F.lit(True), F.lit(False)

@@ -16,7 +16,7 @@ from marginalia.operators.graph import shortest_paths
 from marginalia.operators.joins import latest_before
 from marginalia.operators.linking import mentions
 from marginalia.operators.ranges import previous, ranked, running
-from marginalia.operators.retrieval import fuse
+from marginalia.operators.retrieval import CAUSAL, fuse
 from marginalia.operators.sections import HEADER, parsed_sections
 from marginalia.operators.sinks import ParquetTable
 from marginalia.streaming import streams
@@ -307,3 +307,11 @@ def test_means_at_the_bound_are_added_up_as_the_files_hold_them(spark, tmp_path)
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert got == {1: True, 2: False}
+
+
+def test_cues_end_at_letters_that_are_not_of_ascii(spark):
+    rows = [("los losesñosie", True), ("ñloses", True), ("losest", False), ("x_loses", False), ("LOSE", True), ("loſe", True), ("Key", False), ("wat\u2028maakt", False), ("wat maakt", True)]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t, _ in rows], "t string").select(F.col("t").rlike(texts.any_case(CAUSAL))).collect()]
+    assert got == [w for _, w in rows]
+    spaces = [("a\x0bb", False), ("a\tb", True), ("a.\u2028b", True), ("a.\nb", False)]
+    assert [r[0] for r in spark.createDataFrame([(t,) for t, _ in spaces], "t string").select(F.col("t").rlike(texts.any_case(r"A\sB|a\..b"))).collect()] == [w for _, w in spaces]
