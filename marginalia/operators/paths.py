@@ -88,8 +88,44 @@ def peeled(e: DataFrame) -> DataFrame:
     return left
 
 
+def chain_ends(links: DataFrame, many: int) -> DataFrame:
+    """(ref, end): where the way that starts at each of ``links`` (ref, end: the next node) leaves them; null on a ring. Each round doubles the steps
+    taken, so ``many`` links need as many rounds as ``many`` has bits; what is inside then goes round."""
+    rounds = max(1, many).bit_length()
+    for _ in range(rounds):
+        on = links.select(F.col("ref").alias("_at"), F.col("end").alias("_to"))
+        before, links = links, scratch.materialize(links.join(on, F.col("end") == F.col("_at"), "left").select("ref", F.coalesce("_to", "end").alias("end")), "ends")
+        scratch.discard(before)
+    inside = links.select(F.col("ref").alias("_at")).distinct()
+    return links.join(inside, F.col("end") == F.col("_at"), "left").select("ref", F.when(F.col("_at").isNull(), F.col("end")).alias("end"))
+
+
+def contracted(e: DataFrame) -> DataFrame:
+    """(src, dst, u, v) of the edges: nodes with one edge into them and one out of them are passed through, so an edge stands for the edge (u, v) between the
+    ends of its chain, and lies on a cycle if that one does. Both are null on a ring of such nodes alone."""
+    e = scratch.materialize(e.select("src", "dst").distinct(), "plain")
+    into = e.groupBy(F.col("dst").alias("ref")).agg(F.count("*").alias("n_in"), F.min("src").alias("up"))
+    out = e.groupBy(F.col("src").alias("ref")).agg(F.count("*").alias("n_out"), F.min("dst").alias("down"))
+    passed = scratch.materialize(into.where("n_in = 1").join(out.where("n_out = 1"), "ref").select("ref", "up", "down"), "passed")
+    many = passed.count()
+    ends = {x: scratch.materialize(chain_ends(scratch.materialize(passed.select("ref", F.col(x).alias("end")), x), many), x) for x in ("up", "down")}
+    side = lambda x, n: ends[x].select(F.col("ref").alias(f"_{n}"), F.col("end").alias(f"{n}_end"), F.lit(True).alias(f"{n}_in"))
+    rows = e.join(side("up", "s"), F.col("src") == F.col("_s"), "left").join(side("down", "d"), F.col("dst") == F.col("_d"), "left")
+    end = lambda n, own: F.when(F.col(f"{n}_in"), F.col(f"{n}_end")).otherwise(F.col(own))
+    return rows.select("src", "dst", end("s", "src").alias("u"), end("d", "dst").alias("v"))
+
+
 def cyclic_edges(e: DataFrame) -> DataFrame:
-    """The edges (src, dst) that lie on a cycle, self-edges included.
+    """The edges (src, dst) that lie on a cycle, self-edges included. Chains become one edge each first, so that long ones cost no rounds."""
+    loops = e.where("src = dst").select("src", "dst").distinct()
+    chains = scratch.materialize(contracted(e.where("src <> dst")), "chains")
+    inner = core_cycles(chains.where("u IS NOT NULL").select(F.col("u").alias("src"), F.col("v").alias("dst")).distinct())
+    on = chains.join(inner.select(F.col("src").alias("u"), F.col("dst").alias("v")), ["u", "v"], "left_semi")
+    return loops.unionByName(on.select("src", "dst")).unionByName(chains.where("u IS NULL").select("src", "dst"))
+
+
+def core_cycles(e: DataFrame) -> DataFrame:
+    """The edges (src, dst) that lie on a cycle, self-edges included, by peeling and colouring.
 
     Peeling leaves the core. There every node takes on the least node that reaches it; from each node that has kept itself,
     its component is what leads back to it among the nodes of its colour. Components go, the rest is peeled and coloured again.

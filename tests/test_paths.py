@@ -63,3 +63,15 @@ def test_reified_rows_flatten_only_single_conditions(spark):
     assert {(r.ref, r.target, r.value) for r in rows if r.element == "cache"} == {(1, "b", "counters;window=w1;cost=-1;tier=1"), (4, "e", "boosts;tier=1;reified"), (5, "f", "boosts;status=tired;tier=1;reified")}
     assert {(r.ref, r.part, r.value) for r in rows if r.element == "node"} == {(1, "COUNTERS", "verified"), (2, "COUNTERS", "candidate"), (4, "BOOSTS", "promoted"), (5, "BOOSTS", "promoted")}
     assert sum(r.element == "role" for r in rows) == 8 and sum(r.element == "condition" for r in rows) == 5 and [r.target for r in rows if r.element == "governed_by"] == ["s1"]
+
+
+def test_long_chains_and_rings_cost_few_rounds(spark, monkeypatch):
+    chain = [(f"c{k}", f"c{k + 1}") for k in range(200)]
+    ring = [(f"r{k}", f"r{(k + 1) % 151}") for k in range(151)]
+    joined = [(f"j{k}", f"j{k + 1}") for k in range(60)] + [("j60", "j0"), ("j20", "x"), ("x", "j40"), ("x", "y"), ("y", "y"), ("c200", "r0"), ("j5", "c0")]
+    written = []
+    kept = paths.scratch.materialize
+    monkeypatch.setattr(paths.scratch, "materialize", lambda df, label: written.append(label) or kept(df, label))
+    got = {tuple(r) for r in paths.cyclic_edges(spark.createDataFrame(chain + ring + joined, "src string, dst string")).collect()}
+    assert got == set(ring) | {(s, d) for s, d in joined if s[0] in "jx" and d[0] in "jx"} | {("y", "y")}
+    assert len(written) < 70
