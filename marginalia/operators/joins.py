@@ -217,14 +217,36 @@ def work_queue(t: Tables) -> DataFrame:
     return t.part.select("p_partkey").join(done, "p_partkey", "left_anti").orderBy("p_partkey").limit(101)
 
 
+def first_told(words: DataFrame, n: int) -> DataFrame:
+    """(a, b, kind 1): the first ``n`` pairs a < b of ids in ``words`` (p_partkey, word) with two words in common, one of an even id, the other's divisible by three.
+
+    Pairs come by their smaller id, so smaller ids meet all larger ones in blocks, each four times the one before, until the
+    blocks have given ``n`` pairs: what comes after can't be among the first. Without that many pairs every id has its turn.
+    """
+    words = scratch.materialize(words.where("p_partkey IS NOT NULL AND (p_partkey % 2 = 0 OR p_partkey % 3 = 0)"), "words")
+    given, size, least = None, 16, None
+    while True:
+        rest = words if least is None else words.where(F.col("p_partkey") > least)
+        block = scratch.materialize(rest.select("p_partkey").distinct().orderBy("p_partkey").limit(size), "block")
+        least = block.agg(F.max("p_partkey")).first()[0]
+        if least is None:
+            return given if given is not None else words.select(F.col("p_partkey").alias("a"), F.col("p_partkey").alias("b"), F.lit(1).alias("kind")).limit(0)
+        mine = rest.join(scratch.maybe_broadcast(block), "p_partkey", "left_semi").withColumnRenamed("p_partkey", "a")
+        met = scratch.maybe_broadcast(scratch.materialize(mine, "mine")).join(rest.withColumnRenamed("p_partkey", "b"), "word").where("a < b AND (a % 2 = 0 AND b % 3 = 0 OR a % 3 = 0 AND b % 2 = 0)")
+        told = met.groupBy("a", "b").agg(F.count("*").alias("n")).where("n >= 2").select("a", "b", F.lit(1).alias("kind"))
+        told = scratch.materialize((told if given is None else given.unionByName(told)).orderBy("a", "b").limit(n), "told")
+        given, size = told, size * 4
+        if given.count() >= n:
+            return given
+
+
 @query("join17_effects", r"""WITH w AS (SELECT p_partkey, unnest(list_distinct(string_split(lower(p_name), ' '))) AS word FROM part), x AS (SELECT p_partkey AS a, word FROM w WHERE p_partkey % 2 = 0), y AS (SELECT p_partkey AS b, word FROM w WHERE p_partkey % 3 = 0), m AS (SELECT p_type || p_brand || p_size AS m, p_partkey FROM part), g AS (SELECT m FROM m GROUP BY m HAVING count(*) BETWEEN 2 AND 12),
     c AS (SELECT least(a, b) AS a, greatest(a, b) AS b, 1 AS kind FROM (SELECT a, b, count(*) AS n FROM x JOIN y USING (word) WHERE a <> b GROUP BY 1, 2 HAVING count(*) >= 2) UNION ALL SELECT p.p_partkey, q.p_partkey, 2 FROM m p JOIN m q USING (m) JOIN g USING (m) WHERE p.p_partkey < q.p_partkey)
     SELECT a, b, min(kind) AS kind FROM c GROUP BY 1, 2 ORDER BY kind, a, b LIMIT 200""")
 def effects(t: Tables) -> DataFrame:
     """Pairs where the effect of one names the trigger of the other (two words in common), then pairs of small groups with one mechanic; each pair once, the first 200."""
     w = t.part.select("p_partkey", F.explode(F.array_distinct(F.split(F.lower("p_name"), " "))).alias("word"))
-    x, y = w.where("p_partkey % 2 = 0").withColumnRenamed("p_partkey", "a"), w.where("p_partkey % 3 = 0").withColumnRenamed("p_partkey", "b")
-    told = x.join(y, "word").where("a <> b").groupBy("a", "b").agg(F.count("*").alias("n")).where("n >= 2").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.lit(1).alias("kind"))
+    told = first_told(w, 200)
     m = t.part.select(F.concat("p_type", "p_brand", F.col("p_size").cast("string")).alias("m"), "p_partkey")
     groups = m.groupBy("m").agg(F.count("*").alias("n")).where("n BETWEEN 2 AND 12").select("m")
     kept = m.join(groups, "m")
