@@ -124,9 +124,13 @@ def backfilled(context: DataFrame, chunks: DataFrame, tiers: DataFrame, most: in
     lacking = resolved.join(present, ["query_id", "code"], "left_anti").groupBy("query_id", "code").agg(F.min("first").alias("first"))
     chosen = lacking.withColumn("number", F.row_number().over(Window.partitionBy("query_id").orderBy("first"))).where(F.col("number") <= most)
     own = context.where("source IS NOT NULL").select("query_id", "source").distinct().withColumn("own", F.lit(0))
-    rows = chosen.join(chunks.select("source", "code", "chunk_index"), "code").join(tiers, "source", "left").join(own, ["query_id", "source"], "left")
-    best = F.struct(F.coalesce("own", F.lit(1)).alias("own"), F.coalesce("tier", F.lit(2**31 - 1)).alias("tier"), "chunk_index", "source")
-    return rows.groupBy("query_id", "number", "code").agg(F.min(best).alias("b")).select("query_id", "number", "code", "b.source", "b.chunk_index")
+    # A code that every document has meets one chunk of each source at most, and of all sources the best: never all its chunks.
+    chosen = scratch.materialize(chosen, "chosen")
+    first = chunks.where("code IS NOT NULL").groupBy("source", "code").agg(F.min("chunk_index").alias("chunk_index")).join(tiers, "source", "left")
+    first = scratch.materialize(first.select("code", "source", F.struct(F.coalesce("tier", F.lit(2**31 - 1)).alias("tier"), "chunk_index", "source").alias("b")), "first")
+    of_own = chosen.join(own, "query_id").join(first, ["source", "code"]).select("query_id", "number", "code", F.struct("own", "b").alias("w"))
+    of_all = chosen.join(first.groupBy("code").agg(F.min("b").alias("b")), "code").select("query_id", "number", "code", F.struct(F.lit(1).alias("own"), "b").alias("w"))
+    return of_own.unionByName(of_all).groupBy("query_id", "number", "code").agg(F.min("w").alias("w")).select("query_id", "number", "code", "w.b.source", "w.b.chunk_index")
 
 
 @query(

@@ -2,7 +2,9 @@
 
 import random
 
-from marginalia.operators import joins
+from pyspark.sql import functions as F
+
+from marginalia.operators import bundles, joins
 
 
 def test_first_pairs_come_from_blocks_of_smaller_ids(spark):
@@ -13,3 +15,12 @@ def test_first_pairs_come_from_blocks_of_smaller_ids(spark):
         fit = sorted((a, b) for a in words for b in words if a < b and len(words[a] & words[b]) >= 2 and (a % 2 == 0 and b % 3 == 0 or a % 3 == 0 and b % 2 == 0))
         got = joins.first_told(spark.createDataFrame(rows, "p_partkey long, word string"), n).collect()
         assert sorted((x.a, x.b) for x in got) == fit[:n]
+
+
+def test_sections_of_a_code_that_all_sources_have(spark):
+    # 3,000 queries and 30,000 chunks of one code: no join of 90 million rows.
+    context = spark.range(3000).select(F.col("id").alias("query_id"), F.lit(0).cast("long").alias("place"), F.lit("see §1.1").alias("text"), F.concat(F.lit("s"), F.col("id") % 7).alias("source"), F.lit("9").alias("code"))
+    chunks = spark.range(30_000).select(F.concat(F.lit("s"), F.col("id") % 5).alias("source"), F.lit("1.1").alias("code"), (F.col("id") + 1).cast("int").alias("chunk_index"))
+    made = bundles.backfilled(context, chunks, spark.createDataFrame([("s3", 1), ("s4", 2)], "source string, tier int"))
+    got = {(r.query_id % 7, r.source, r.chunk_index) for r in made.collect()}
+    assert got == {(0, "s0", 1), (1, "s1", 2), (2, "s2", 3), (3, "s3", 4), (4, "s4", 5), (5, "s3", 4), (6, "s3", 4)}
