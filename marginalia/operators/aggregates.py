@@ -378,11 +378,12 @@ def coverage(t: Tables) -> DataFrame:
     SELECT blind, hypotheses, round(blind / greatest(1, hypotheses), 6) AS reduction, hits, round(CASE WHEN hypotheses = 0 THEN 0 ELSE hits / hypotheses END, 9) AS precision, round(CASE WHEN blind = 0 THEN 0 ELSE gold / blind END, 9) AS base_rate, round(CASE WHEN gold > 0 AND hypotheses > 0 THEN (hits / hypotheses) / (gold / blind) END, 6) AS lift FROM c""")
 def hypothesis_lift(t: Tables) -> DataFrame:
     """How far hypotheses (items alike in name and type) cut down all pairs, and how much oftener than any pair they hold (items ordered together)."""
-    p = t.part.select("p_partkey", "p_name", "p_type")
-    h = p.withColumnRenamed("p_partkey", "a").join(p.withColumnRenamed("p_partkey", "b"), ["p_name", "p_type"]).where("a < b").select("a", "b")
-    b = t.lineitem.select("l_orderkey", "l_partkey").distinct()
-    gold = b.withColumnRenamed("l_partkey", "a").join(b.withColumnRenamed("l_partkey", "b"), "l_orderkey").where("a < b").select("a", "b").distinct()
-    marked = h.withColumn("hypothesis", F.lit(1)).join(gold.withColumn("gold", F.lit(1)), ["a", "b"], "full")
-    c = marked.agg(F.count("hypothesis").alias("hypotheses"), F.count_if(F.col("hypothesis").isNotNull() & F.col("gold").isNotNull()).alias("hits"), F.count("gold").alias("gold")).crossJoin(t.part.agg(F.expr("count(*) * (count(*) - 1) div 2").alias("blind")))
+    p = t.part.where("p_partkey IS NOT NULL AND p_name IS NOT NULL AND p_type IS NOT NULL").select(F.col("p_partkey").alias("l_partkey"), F.struct("p_name", "p_type").alias("kind")).distinct()
+    # Hypotheses are counted by the sizes of their groups, hits among the pairs of orders: no pair of a group is listed.
+    sizes = p.groupBy("kind").agg(F.expr("count(*) * (count(*) - 1) div 2").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("hypotheses"))
+    b = t.lineitem.select("l_orderkey", "l_partkey").distinct().join(p, "l_partkey", "left")
+    both = b.select("l_orderkey", F.col("l_partkey").alias("a"), F.col("kind").alias("x")).join(b.select("l_orderkey", F.col("l_partkey").alias("b"), F.col("kind").alias("y")), "l_orderkey").where("a < b")
+    gold = both.groupBy("a", "b").agg(F.max(F.coalesce(F.col("x") == F.col("y"), F.lit(False))).alias("hit"))
+    c = gold.agg(F.count_if("hit").alias("hits"), F.count("*").alias("gold")).crossJoin(sizes).crossJoin(t.part.agg(F.expr("count(*) * (count(*) - 1) div 2").alias("blind")))
     precision, rate = ratio(F.col("hits"), F.col("hypotheses")), ratio(F.col("gold"), F.col("blind"))
     return c.select("blind", "hypotheses", F.round(F.col("blind") / F.greatest(F.lit(1), F.col("hypotheses")), 6).alias("reduction"), "hits", F.round(precision, 9).alias("precision"), F.round(rate, 9).alias("base_rate"), F.round(F.when((rate > 0) & (F.col("hypotheses") > 0), precision / rate), 6).alias("lift"))

@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from marginalia import catalogue
 from marginalia.operators import bundles, joins
 
 
@@ -24,3 +25,12 @@ def test_sections_of_a_code_that_all_sources_have(spark):
     made = bundles.backfilled(context, chunks, spark.createDataFrame([("s3", 1), ("s4", 2)], "source string, tier int"))
     got = {(r.query_id % 7, r.source, r.chunk_index) for r in made.collect()}
     assert got == {(0, "s0", 1), (1, "s1", 2), (2, "s2", 3), (3, "s3", 4), (4, "s4", 5), (5, "s3", 4), (6, "s3", 4)}
+
+
+def test_lift_counts_hypotheses_without_listing_them(spark, tmp_path):
+    # 100,000 items of one name and type: five thousand million pairs.
+    spark.range(100_000).select(F.col("id").alias("p_partkey"), F.lit("x").alias("p_name"), F.lit("t").alias("p_type")).unionByName(spark.createDataFrame([(200_000, "y", "t")], "p_partkey long, p_name string, p_type string")).write.parquet(str(tmp_path / "part.parquet"))
+    spark.createDataFrame([(1, 3), (1, 5), (1, 5), (2, 5), (2, 3), (3, 3), (3, 200_000), (4, 1), (4, 999_999)], "l_orderkey long, l_partkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = catalogue.queries()["agg35_lift"](spark, str(tmp_path)).first()
+    assert (got.hypotheses, got.hits, got.blind) == (100_000 * 99_999 // 2, 1, 100_001 * 100_000 // 2)
+    assert abs(got.base_rate - 3 / got.blind) < 1e-8
