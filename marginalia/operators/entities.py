@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import scratch
 from ..components import connected_components
 from ..registry import Tables, query
 from .windows import first_by
@@ -40,10 +41,14 @@ def linking(t: Tables) -> DataFrame:
 
 @query("ent03_resolution", f"WITH p AS (SELECT p_partkey, left(lower(p_name), 4) AS block, p_brand, {_TRI.format('p_name')} AS g FROM part), j AS (SELECT a.p_partkey AS a, b.p_partkey AS b, round(len(list_intersect(a.g, b.g)) / (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g))), 6) AS s FROM p a JOIN p b ON a.block = b.block AND a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey) SELECT a, b, s, CASE WHEN s >= 0.85 THEN 'auto' ELSE 'review' END AS verdict FROM j WHERE s >= 0.45")
 def resolution(t: Tables) -> DataFrame:
-    p = t.part.select("p_partkey", F.left(F.lower("p_name"), F.lit(4)).alias("block"), "p_brand", trigrams(F.col("p_name")).alias("g"))
-    b = p.select(F.col("p_partkey").alias("b"), "block", "p_brand", F.col("g").alias("h"))
-    pairs = p.withColumnRenamed("p_partkey", "a").join(b, ["block", "p_brand"]).where("a < b").select("a", "b", F.round(jaccard(F.col("g"), F.col("h")), 6).alias("s"))
-    return pairs.where("s >= 0.45").withColumn("verdict", F.when(F.col("s") >= 0.85, "auto").otherwise("review"))
+    """Pairs of one block and brand whose names are alike. Names are compared once for all rows that have them; rows meet by the names that are."""
+    names = t.part.select(F.lower("p_name").alias("name")).distinct().select("name", F.left("name", F.lit(4)).alias("block"), trigrams(F.col("name")).alias("g"))
+    others = names.select(F.col("name").alias("other"), "block", F.col("g").alias("h"))
+    alike = names.join(others, "block").select("name", "other", F.round(jaccard(F.col("g"), F.col("h")), 6).alias("s")).where("s >= 0.45")
+    alike = scratch.maybe_broadcast(scratch.materialize(alike, "alike"))
+    p = t.part.select(F.col("p_partkey").alias("a"), F.lower("p_name").alias("name"), "p_brand")
+    pairs = p.join(alike, "name").join(p.select(F.col("a").alias("b"), F.col("name").alias("other"), "p_brand"), ["other", "p_brand"]).where("a < b")
+    return pairs.select("a", "b", "s", F.when(F.col("s") >= 0.85, "auto").otherwise("review").alias("verdict"))
 
 
 @query("ent04_precision_gate", "SELECT count(*) FILTER (quality = 1) AS predicted, count(*) FILTER (quality = 1 AND toxic = 0) AS right_ones, count(*) FILTER (quality = 1) >= 1 AND count(*) FILTER (quality = 1 AND toxic = 0) / count(*) FILTER (quality = 1) >= 0.95 AS open FROM labels")
