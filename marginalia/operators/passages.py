@@ -109,6 +109,8 @@ ANCHORS = {
 #: Words that take a requirement back, and keywords that are verbs too, so that only brackets show them.
 UNDERMINERS, VERB_LIKE = ["may", "optional", "optionally"], ["ready", "recycle"]
 _QUOTES = "\"'“”‘’"
+#: Spaces and quotes before a word that are looked back over at once; longer gaps take a slower pattern.
+GAP = 40
 
 
 def any_word(words: list[str]) -> str:
@@ -130,7 +132,11 @@ def word_forms(text: Column, label: Column) -> tuple[Column, Column]:
     name = literal(F.trim(label))
     bracketed = F.rlike(text, F.concat(F.lit(r"(?iu)\["), name, F.lit(r"(?![\p{L}\p{Nd}])")))
     before = rf"(?:[^\s{_QUOTES}.!?][\s{_QUOTES}]+|[^\s{_QUOTES}.!?\p{{L}}\p{{Nd}}])"
-    capital = F.rlike(text, F.concat(F.lit(before + r"(?=\p{Lu})(?iu:"), name, F.lit(r")(?![\p{L}\p{Nd}])")))
+    slow = F.rlike(text, F.concat(F.lit(before + r"(?=\p{Lu})(?iu:"), name, F.lit(r")(?![\p{L}\p{Nd}])")))
+    # The same from the capital on, looking back only where the label stands. A look back sees no longer gaps and no pairs of surrogates: texts with these go the other way.
+    near = rf"(?:(?<=[^\s{_QUOTES}.!?\p{{L}}\p{{Nd}}])|(?<=[^\s{_QUOTES}.!?][\s{_QUOTES}]{{1,{GAP}}}))"
+    fast = F.rlike(text, F.concat(F.lit(r"(?=\p{Lu})(?=(?iu:"), name, F.lit(r")(?![\p{L}\p{Nd}]))" + near)))
+    capital = F.when(F.rlike(text, F.lit(rf"[\s{_QUOTES}]{{{GAP + 1}}}|[\x{{10000}}-\x{{10FFFF}}]")), slow).otherwise(fast)
     given = F.trim(label) != ""
     bracketed = F.coalesce(given & bracketed, F.lit(False))
     return bracketed | F.coalesce(given & capital & ~F.lower(F.trim(label)).isin(VERB_LIKE), F.lit(False)), bracketed

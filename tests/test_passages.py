@@ -1,6 +1,7 @@
 """Chunks, definitions and evidence gates on small texts."""
 
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -72,3 +73,21 @@ def test_contexts_find_hits_that_lie_near_each_other(spark):
     docs = spark.createDataFrame([(1, "x" * 70 + " Term term-TERM terms " + "y" * 70), (2, "term"), (3, None), (4, "no hit")], "doc_id long, text string")
     got = sorted(map(tuple, passages.contexts(docs, spark.createDataFrame([("TERM",), ("",), (None,), ("absent",)], "term string"), 10).collect()))
     assert got == [(1, 0, "term", "…xxxxxxxxx Term term-TERM…"), (1, 1, "term", "…xxxx Term term-TERM term…"), (1, 2, "term", "…Term term-TERM terms yyy…"), (2, 0, "term", "term")]
+
+
+def test_capitals_inside_sentences_are_found_from_the_capital_on(spark):
+    r = random.Random(8)
+    gap = passages.GAP
+    pieces = ["Shield", "shield", "SHIELD", " ", "  ", "\n", "“", "'", ". ", "!", "x", "é", "7", ",", "(", "Shields", "\U0001d400", " " * gap, " " * (gap + 1), "a" + " " * (gap + 5)]
+    rows = [("".join(r.choice(pieces) for _ in range(r.randrange(1, 9))), r.choice(["Shield", "shield", "Shield x"])) for _ in range(3000)] + [(None, "Shield"), ("a Shield", None)]
+    quotes = passages._QUOTES
+    old = rf"(?:[^\s{quotes}.!?][\s{quotes}]+|[^\s{quotes}.!?\p{{L}}\p{{Nd}}])(?=\p{{Lu}})(?iu:"
+    df = spark.createDataFrame(rows, "text string, label string").withColumn("form", passages.word_forms(F.col("text"), F.col("label"))[0])
+    df = df.withColumn("want", F.coalesce(F.rlike("text", F.concat(F.lit(old), passages.literal(F.trim("label")), F.lit(r")(?![\p{L}\p{Nd}])"))), F.lit(False)))
+    got = [(x.text, x.label, x.form, x.want) for x in df.collect()]
+    assert [g for g in got if g[2] != g[3]] == [] and sum(g[3] for g in got) > 100
+    # A long text is read once from its capitals on: many labels on it are no burden.
+    text = F.lit("word of no interest, and more. " * 4000)
+    began = time.time()
+    assert spark.range(0, 400, 1, 4).select(passages.word_forms(F.concat(text, F.col("id").cast("string")), F.lit("Shielded"))[0].alias("f")).where("f").count() == 0
+    assert time.time() - began < 60
