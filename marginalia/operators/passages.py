@@ -184,11 +184,23 @@ def contexts(docs: DataFrame, terms: DataFrame, width: int = 60, key: str = "doc
     known = terms.select(F.lower(F.trim("term")).alias("w")).where("w <> ''").distinct()
     words = docs.select(key, F.explode(F.split(F.lower(text), r"[^\p{L}\p{Nd}]+")).alias("w")).join(scratch.maybe_broadcast(scratch.materialize(known, "terms")), "w")
     asked = words.groupBy(key).agg(F.array_join(F.array_sort(F.collect_set(literal(F.col("w")))), "|").alias("_any"))
-    # The side before is a look back of all there is up to the bound, so hits may lie near each other.
-    pattern = F.concat(F.lit(rf"(?isu)(?<=(\A.{{0,{width}}}|.{{{width + 1}}}))(?<![\p{{L}}\p{{Nd}}])("), "_any", F.lit(rf")(?![\p{{L}}\p{{Nd}}])(?=(.{{0,{width + 1}}}))"))
+    # The letter beyond 16 bits in the look back makes Java read whole pairs of surrogates there.
+    pattern = F.concat(F.lit("(?iu)(?<![\\p{L}\\p{Nd}\U00010000])(?:"), "_any", F.lit(r")(?![\p{L}\p{Nd}])"))
     rows = docs.select(key, F.col(text).alias("_text")).join(asked, key).withColumn("_p", pattern)
-    parts = [F.regexp_extract_all("_text", F.col("_p"), F.lit(k)) for k in (1, 2, 3)]
-    hits = rows.select(key, F.posexplode(F.arrays_zip(*(p.alias(n) for p, n in zip(parts, ("a", "b", "c"))))).alias("place", "h"))
+    # A text is its hits and the parts between them. Two hits have a character between them, so no side reaches over more than this number of hits.
+    near = width // 2 + 2
+    rows = rows.select(key, F.split("_text", F.col("_p")).alias("parts"), F.regexp_extract_all("_text", F.col("_p"), F.lit(0)).alias("hits"))
+    rows = rows.select(key, "hits", F.transform("parts", lambda x: F.right(x, F.lit(width + 1))).alias("ends"), F.transform("parts", lambda x: F.left(x, F.lit(width + 1))).alias("heads"))
+
+    def around(hit: Column, at: Column) -> Column:
+        first, n = F.greatest(at - near, F.lit(0)) + 1, F.least(at, F.lit(near))
+        earlier = F.zip_with(F.slice("ends", first, n), F.slice("hits", first, n), lambda e, h: F.concat(e, h))
+        later = F.zip_with(F.slice("hits", at + 2, F.lit(near)), F.slice("heads", at + 3, F.lit(near)), lambda h, s: F.concat(h, s))
+        before = F.right(F.concat(F.array_join(earlier, ""), F.get("ends", at)), F.lit(width + 1))
+        behind = F.left(F.concat(F.get("heads", at + 1), F.array_join(later, "")), F.lit(width + 1))
+        return F.struct(before.alias("a"), hit.alias("b"), behind.alias("c"))
+
+    hits = rows.select(key, F.posexplode(F.transform("hits", around)).alias("place", "h"))
     more = lambda c: F.length(c) > width
     before = F.when(more("h.a"), F.concat(F.lit("…"), F.right("h.a", F.lit(width)))).otherwise(F.col("h.a"))
     behind = F.when(more("h.c"), F.concat(F.left("h.c", F.lit(width)), F.lit("…"))).otherwise(F.col("h.c"))

@@ -1,6 +1,7 @@
 """Chunks, definitions and evidence gates on small texts."""
 
 import random
+import re
 import time
 
 from pyspark.sql import functions as F
@@ -91,3 +92,16 @@ def test_capitals_inside_sentences_are_found_from_the_capital_on(spark):
     began = time.time()
     assert spark.range(0, 400, 1, 4).select(passages.word_forms(F.concat(text, F.col("id").cast("string")), F.lit("Shielded"))[0].alias("f")).where("f").count() == 0
     assert time.time() - began < 60
+
+
+def test_contexts_of_many_hits_are_read_without_looking_back_at_each_character(spark):
+    r = random.Random(4)
+    texts = ["".join(r.choice(["Ab", "aB c", "\U0001d4aa", "x-", " ", " ", "\n", "é1", "(ab)", "q" * 30 + " "]) for _ in range(400)) for _ in range(6)] + ["ab", "ab ab", "", "nothing"]
+    df = passages.contexts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame([("ab",), ("é1",)], "term string"), 11)
+    want = []
+    for k, text in enumerate(texts):
+        for place, m in enumerate(x for x in re.finditer(r"[^\W_]+", text) if x[0].lower() in ("ab", "é1")):
+            a, b = m.span()
+            want.append((k, place, m[0].lower(), ("…" if a > 11 else "") + text[max(0, a - 11) : b + 11] + ("…" if len(text) > b + 11 else "")))
+    assert len(want) > 100 and sorted(map(tuple, df.collect())) == want
+    assert "(?<=(" not in df._jdf.queryExecution().optimizedPlan().toString()
