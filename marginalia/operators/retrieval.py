@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import logging
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -76,13 +78,63 @@ def nearest_sibling(t: Tables) -> DataFrame:
 _QUERIES = f"SELECT q.vec_id AS query_id, e.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_DIST}, e.vec_id) AS place FROM embeddings e, embeddings q"
 
 
+#: Rows and queries of a block, and how far a distance lies at most from one that is the same when rounded to six places.
+ROWS, ASKED, MARGIN = 2_048, 1_024, 2e-6
+#: Lengths of vectors whose products neither overflow nor vanish.
+PLAIN_NORMS = (1e-100, 1e100)
+
+
+def _near_in_blocks(k: int, kind: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For each block of rows and block of queries the rows that may be among a query's ``k`` nearest: (query_id, vec_id, d), d not rounded."""
+
+    def side(batch: pa.RecordBatch, name: str, at: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        rows = batch[name].slice(at, 1).flatten()
+        ids, norms = (rows.field(f).to_numpy(zero_copy_only=False) for f in ("id", "norm"))
+        return ids, rows.field("v").flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1), norms
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                ids, v, vn = side(batch, "rows", at)
+                asked, q, qn = side(batch, "asked", at)
+                d = 1 - (q / qn[:, None]) @ (v / vn[:, None]).T
+                bound = np.partition(d, k - 1, axis=1)[:, k - 1] if len(ids) > k else np.full(len(asked), np.inf)
+                i, j = np.nonzero(d <= bound[:, None] + MARGIN)
+                # The products are added up from the first to the last, as the SQL does.
+                exact = np.concatenate([1 - np.cumsum(v[j[n : n + 65_536]] * q[i[n : n + 65_536]], axis=1)[:, -1] / (vn[j[n : n + 65_536]] * qn[i[n : n + 65_536]]) for n in range(0, len(i), 65_536)] or [np.empty(0)])
+                order = np.lexsort((ids[j], exact, i))
+                i, j, exact = i[order], j[order], exact[order]
+                # Of copies, which have one distance, k suffice.
+                later = np.arange(len(i)) - k
+                copy = (later >= 0) & (i == i[later]) & (exact == exact[later])
+                i, j, exact = i[~copy], j[~copy], exact[~copy]
+                yield pa.record_batch([pa.array(asked[i], kind), pa.array(ids[j], kind), pa.array(exact)], ["query_id", "vec_id", "d"])
+
+    return run
+
+
 def nearest_to_each(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, vec_id, place): the k rows nearest to each of ``queries`` (query_id, q); every task keeps k rows a query."""
+    """(query_id, vec_id, place): the k rows nearest to each of ``queries`` (query_id, q); every task keeps k rows a query.
+
+    Blocks of rows meet blocks of queries in products of matrices, which tell the few rows whose distances are worked out in order. Vectors without a
+    length, of very small or large ones, or of another size than the others, are compared row by row.
+    """
     # Each vector's length is worked out once, not for each pair.
-    sized = vectors.where(F.col("embedding").isNotNull()).select("vec_id", F.col("embedding").cast("array<double>").alias("v"), F.sqrt(dot(F.col("embedding"), F.col("embedding"))).alias("vn"))
+    sized = scratch.materialize(vectors.where(F.col("embedding").isNotNull()).select("vec_id", F.col("embedding").cast("array<double>").alias("v"), F.sqrt(dot(F.col("embedding"), F.col("embedding"))).alias("vn")), "vectors")
     asked = scratch.materialize(queries.select("query_id", F.col("q").cast("array<double>").alias("q"), F.sqrt(dot(F.col("q"), F.col("q"))).alias("qn")), "queries")
-    rows = sized.crossJoin(scratch.maybe_broadcast(asked)).withColumn("norms", F.col("vn") * F.col("qn"))
-    rows = rows.select("query_id", "vec_id", (F.round(F.when(F.col("norms") != 0, 1 - dot(F.col("v"), F.col("q")) / F.col("norms")), 6) + 0.0).alias("d"))
+    size = asked.agg(F.max(F.size("q"))).first()[0] or 0
+    plain = lambda v, n: F.coalesce((F.size(v) == size) & F.col(n).between(*PLAIN_NORMS), F.lit(False))
+
+    def blocks(df: DataFrame, key: str, v: str, n: str, name: str, each: int, least: int) -> DataFrame:
+        number = max(least, -(-df.count() // each))
+        rows = df.where(plain(v, n)).withColumn("_b", F.pmod(F.xxhash64(key, F.lit(7)), F.lit(number))).repartition(number, "_b")
+        return rows.groupBy("_b").agg(F.collect_list(F.struct(F.col(key).cast("long").alias("id"), F.col(v).alias("v"), F.col(n).alias("norm"))).alias(name)).select(name)
+
+    met = blocks(sized, "vec_id", "v", "vn", "rows", ROWS, 12).crossJoin(scratch.maybe_broadcast(scratch.materialize(blocks(asked, "query_id", "q", "qn", "asked", ASKED, 1), "asked")))
+    near = met.mapInArrow(_near_in_blocks(k, "int64"), "query_id long, vec_id long, d double")
+    odd = sized.where(~plain("v", "vn")).crossJoin(asked).unionByName(sized.where(plain("v", "vn")).crossJoin(asked.where(~plain("q", "qn")))).withColumn("norms", F.col("vn") * F.col("qn"))
+    odd = odd.select("query_id", "vec_id", F.when(F.col("norms") != 0, 1 - dot(F.col("v"), F.col("q")) / F.col("norms")).alias("d"))
+    rows = near.unionByName(odd).select("query_id", "vec_id", (F.round("d", 6) + 0.0).alias("d"))
     return rows.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("d", "vec_id"))).where(F.col("place") <= k).select("query_id", "vec_id", "place")
 
 
