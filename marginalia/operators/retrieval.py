@@ -174,10 +174,19 @@ def by_distance(t: Tables) -> DataFrame:
     return nearest(t.embeddings, anchor(t), 25)
 
 
+def plain_words(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit(r"(\p{L}+)"))
+
+
 def stemmed(text: Column) -> Column:
     """The words of a text, lower case, without a plural or verb ending: a light stemmer of three rules."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(r"(\p{L}+)"))
-    return F.transform(words, lambda w: F.regexp_replace(w, "(ing|ed|s)$", ""))
+    return F.transform(plain_words(text), lambda w: F.regexp_replace(w, "(ing|ed|s)$", ""))
+
+
+def stem_forms(term: Column) -> Column:
+    """The words that ``stemmed`` makes ``term`` of: with each ending, and the term itself if it has none."""
+    ends = F.array(*(F.concat(term, F.lit(end)) for end in ("ing", "ed", "s")))
+    return F.when(term.rlike("(ing|ed|s)$"), ends).otherwise(F.array_append(ends, term))
 
 
 _STEM = "list_transform(regexp_extract_all(lower({}), '\\p{{L}}+'), lambda w: regexp_replace(w, '(ing|ed|s)$', ''))"
@@ -197,11 +206,13 @@ def query_terms(t: Tables) -> DataFrame:
 def text_scores(t: Tables) -> DataFrame:
     """(query_id, doc_id, score): the texts that have all terms of a query, with the share of their words that those are.
 
-    One scan makes the postings of the terms of all queries; they are joined by term, so queries share the scan.
+    One scan makes the postings of the terms of all queries; they are joined by term, so queries share the scan. Words meet the
+    forms of the terms by equality: only terms are taken apart, not the words of the texts.
     """
     asked = query_terms(t)
-    words = t.documents.select("doc_id", stemmed(F.col("text")).alias("ws")).select("doc_id", F.size("ws").alias("n"), F.explode("ws").alias("term"))
-    postings = words.join(asked.select("term").distinct(), "term", "left_semi").groupBy("doc_id", "term").agg(F.max("n").alias("n"), F.count("*").alias("tf"))
+    forms = scratch.materialize(asked.select("term").distinct().select("term", F.explode(stem_forms(F.col("term"))).alias("w")), "forms")
+    words = t.documents.select("doc_id", plain_words(F.col("text")).alias("ws")).select("doc_id", F.size("ws").alias("n"), F.explode("ws").alias("w"))
+    postings = words.join(scratch.maybe_broadcast(forms), "w").groupBy("doc_id", "term").agg(F.max("n").alias("n"), F.count("*").alias("tf"))
     met = postings.join(asked, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum("tf") / F.max("n"), 6).alias("score"), F.count("*").alias("hit"), F.max("k").alias("k"))
     return met.where("hit = k").select("query_id", "doc_id", "score")
 

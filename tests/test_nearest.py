@@ -29,3 +29,18 @@ def test_nearest_in_blocks_are_those_of_all_pairs(spark, monkeypatch):
         got = retrieval.nearest_to_each(df, asked, k)
         assert sorted(map(tuple, got.collect())) == sorted(map(tuple, by_pairs(df, asked, k).collect()))
     assert "MapInArrow" in got._jdf.queryExecution().optimizedPlan().toString()  # pairs are not compared row by row
+
+
+def test_words_meet_the_forms_of_terms(spark, tmp_path):
+    words = ["ring", "rings", "ringed", "ringing", "r", "red", "s", "ing", "sings", "bed", "beds", "bedding", "being", "beings", "Ä", "äs", "x"]
+    df = spark.createDataFrame([(w,) for w in words], "w string")
+    stems = {r.w: r.t[0] for r in df.select("w", retrieval.stemmed(F.col("w")).alias("t")).collect()}
+    forms = df.select(F.explode(retrieval.stemmed(F.col("w"))).alias("term")).distinct().select("term", F.explode(retrieval.stem_forms(F.col("term"))).alias("w"))
+    met = df.select(F.lower("w").alias("w")).join(forms, "w").collect()
+    assert sorted((r.w, r.term) for r in met) == sorted((w.lower(), t) for w, t in stems.items())
+    spark.createDataFrame([(1, "Ring bed"), (2, "xs xs")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([(5, "Rings, beds; ringing"), (6, "x"), (7, None), (8, "bed")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = retrieval.text_scores(retrieval.Tables(spark, str(tmp_path)))
+    assert {(r.query_id, r.doc_id): r.score for r in got.collect()} == {(2, 6): 1.0}
+    taken_apart = lambda df: df._jdf.queryExecution().optimizedPlan().toString().lower().count("lambdafunction(regexp_replace")
+    assert taken_apart(got) == taken_apart(retrieval.query_terms(retrieval.Tables(spark, str(tmp_path))))  # none for texts
