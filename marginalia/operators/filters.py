@@ -240,12 +240,24 @@ def sentence_difference(t: Tables) -> DataFrame:
     return both.select("doc_id", F.size("i").cast("long").alias("inserted"), F.size("d").cast("long").alias("deleted"), shown("i").alias("inserted_sha"), shown("d").alias("deleted_sha"))
 
 
-@query("set04_shared_tokens", r"""WITH p AS (SELECT p_partkey, p_brand, p_size, list_distinct(string_split_regex(lower(p_name), '\s+')) AS w FROM part)
-    SELECT a.p_partkey AS a, b.p_partkey AS b, list_sort(list_intersect(a.w, b.w)) AS shared FROM p a JOIN p b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey""")
+@query("set04_shared_tokens", r"""WITH p AS (SELECT p_partkey, p_brand, p_size, list_sort(list_distinct(string_split_regex(lower(p_name), '\s+'))) AS w FROM part),
+    c AS (SELECT p_brand, p_size, w, coalesce('w' || array_to_string(w, ' '), '') AS told, min(p_partkey) AS class FROM p WHERE p_partkey IS NOT NULL AND p_brand IS NOT NULL AND p_size IS NOT NULL GROUP BY p_brand, p_size, w)
+    SELECT 'pair' AS kind, a.class AS a, b.class AS b, CASE WHEN a.w IS NOT NULL AND b.w IS NOT NULL THEN list_sort(list_intersect(a.w, b.w)) END AS shared FROM c a JOIN c b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND (a.class < b.class OR a.class = b.class AND a.told < b.told)
+    UNION ALL SELECT 'member', CASE WHEN p_partkey IS NOT NULL THEN coalesce(c.class, p_partkey) END, p_partkey, p.w FROM p LEFT JOIN c ON p.p_brand = c.p_brand AND p.p_size = c.p_size AND p.w IS NOT DISTINCT FROM c.w""")
 def shared_tokens(t: Tables) -> DataFrame:
+    """What every two items of a brand and size share, by classes of items of the same brand, size and words, named by their least key.
+
+    A row ``pair`` has two classes and the words that each item of the one shares with each item of the other; a row ``member`` an item (b),
+    its class (a) and its words, which are what it shares with the other items of its class. Items without a key, brand or size share nothing.
+    """
     p = t.part.select("p_partkey", "p_brand", "p_size", tokens().alias("w"))
-    b = p.select(F.col("p_partkey").alias("b"), "p_brand", "p_size", F.col("w").alias("v"))
-    return p.withColumnRenamed("p_partkey", "a").join(b, ["p_brand", "p_size"]).where("a < b").select("a", "b", F.array_sort(F.array_intersect("w", "v")).alias("shared"))
+    c = p.where("p_partkey IS NOT NULL AND p_brand IS NOT NULL AND p_size IS NOT NULL").groupBy("p_brand", "p_size", "w").agg(F.min("p_partkey").alias("class"))
+    c = scratch.materialize(c.withColumn("told", F.coalesce(F.concat(F.lit("w"), F.array_join("w", " ")), F.lit(""))), "classes")
+    a, b = c.select("p_brand", "p_size", F.col("class").alias("a"), F.col("w").alias("v"), "told"), c.select("p_brand", "p_size", F.col("class").alias("b"), F.col("w").alias("u"), F.col("told").alias("told_b"))
+    pairs = a.join(b, ["p_brand", "p_size"]).where("a < b OR a = b AND told < told_b").select(F.lit("pair").alias("kind"), "a", "b", F.array_sort(F.array_intersect("v", "u")).alias("shared"))
+    same = (p["p_brand"] == c["p_brand"]) & (p["p_size"] == c["p_size"]) & p["w"].eqNullSafe(c["w"])
+    own = F.when(F.col("p_partkey").isNotNull(), F.coalesce("class", "p_partkey"))
+    return pairs.unionByName(p.join(c, same, "left").select(F.lit("member").alias("kind"), own.alias("a"), F.col("p_partkey").alias("b"), p["w"].alias("shared")))
 
 
 @query("set05_unknown_keys", "SELECT o_custkey FROM orders EXCEPT SELECT c_custkey FROM customer WHERE c_acctbal < 0")

@@ -73,3 +73,22 @@ def test_blocked_pairs_are_told_by_classes(spark, tmp_path):
     pairs = [(a, b) for a, x, s in blocks for b, y, z in blocks if None not in (a, b, x, y, s, z) and a < b and (x, s) == (y, z)]
     assert sum(n for *_, n in small) == 2 * len(pairs)
     assert all({c for k, c, _ in small if k == a} & {c for k, c, _ in small if k == b} for a, b in pairs)
+
+
+def test_shared_tokens_are_told_by_classes(spark, tmp_path):
+    # 100,000 items of one brand, size and name beside one of another name.
+    folder = _part(spark, tmp_path, _ITEMS + [(k, "blue ring", "C", 9) for k in range(1000, 101_000)] + [(500, "ring hot", "C", 9)])
+    got = catalogue.queries()["set04_shared_tokens"](spark, folder).collect()
+    member = {(r.b, tuple(r.shared) if r.shared else None): r.a for r in got if r.kind == "member"}
+    pairs = {(r.a, r.b, tuple(r.shared) if r.shared is not None else None) for r in got if r.kind == "pair"}
+    assert len(member) == len(_ITEMS) + 100_001 and (500, 1000, ("ring",)) in pairs and len([r for r in got if r.kind == "pair"]) < 20
+    # Every pair of the items, worked out one by one, is found by the classes.
+    words = lambda n: tuple(sorted(set(n.lower().split()))) if n else None
+    for a, x, brand, size in _ITEMS:
+        for b, y, other, z in _ITEMS:
+            if None in (a, b, brand, size, other, z) or not a < b or (brand, size) != (other, z):
+                continue
+            ca, cb = member[a, words(x)], member[b, words(y)]
+            common = tuple(sorted(set(words(x)) & set(words(y)))) if x and y else None
+            assert words(x) == words(y) == common if ca == cb and words(x) == words(y) else (min(ca, cb), max(ca, cb), common) in pairs
+    assert rows_of(catalogue.queries()["set04_shared_tokens"](spark, folder)) == expected(_database(folder), catalogue.oracles()["set04_shared_tokens"])
