@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import scratch
 from ..registry import Tables, query
 
 # ---- the change feed ----
@@ -53,27 +54,47 @@ def feed(t: Tables) -> DataFrame:
 # ---- dossiers ----
 
 
-def dossier(children: dict[str, DataFrame], newest: int) -> DataFrame:
-    """(source, kind, n, items, place, ref, at): for each source and kind of child (source, ref, at) how many rows and distinct refs it
-    has, with a row for each of the ``newest`` ones. One frame of all kinds, counted and cut map-side."""
-    rows = reduce(DataFrame.unionByName, [df.select("source", F.lit(kind).alias("kind"), "ref", "at") for kind, df in children.items()])
-    refs = rows.groupBy("source", "kind", "ref").agg(F.count("*").alias("c"), F.max("at").alias("at"))
-    counts = refs.groupBy("source", "kind").agg(F.sum("c").alias("n"), F.count("*").alias("items"))
-    best = refs.withColumn("place", F.row_number().over(Window.partitionBy("source", "kind").orderBy(F.desc_nulls_last("at"), "ref"))).where(F.col("place") <= newest)
-    return counts.join(best.select("source", "kind", "place", "ref", "at"), ["source", "kind"])
+#: Slices that the entries of one source are dealt to before the newest of all slices are put in one line.
+SLICES = 8
 
 
-def timeline(ledgers: dict[str, DataFrame], newest: int) -> DataFrame:
-    """(source, place, ledger, ref, at): the entries of several ledgers (source, ref, at) in one line for each source, the newest first."""
-    rows = reduce(DataFrame.unionByName, [df.select("source", F.lit(name).alias("ledger"), "ref", "at") for name, df in ledgers.items()])
-    return rows.withColumn("place", F.row_number().over(Window.partitionBy("source").orderBy(F.desc_nulls_last("at"), "ledger", "ref"))).where(F.col("place") <= newest)
+def _slice(ref: str) -> Column:
+    return F.pmod(F.xxhash64(F.col(ref).cast("string")), F.lit(SLICES)).alias("_slice")
+
+
+def dossier(every: DataFrame, newest: int, rows: int) -> DataFrame:
+    """(source, kind, n, items, place, ref, at): for each source and kind of child how many rows and distinct refs it has, with a row for each
+    of the ``newest`` ones. ``every`` (source, kind, ref, at) holds all kinds in about ``rows`` rows; slices of a source are counted and cut first."""
+    dealt = scratch.spread(every.select("*", _slice("ref")), rows, "source", "kind", "_slice")
+    refs = dealt.groupBy("source", "kind", "_slice", "ref").agg(F.count("*").alias("c"), F.max("at").alias("at"))
+    by = Window.partitionBy("source", "kind", "_slice")
+    order = [F.desc_nulls_last("at"), F.asc("ref")]
+    near = refs.select("*", F.sum("c").over(by).alias("cs"), F.count("*").over(by).alias("rs"), F.row_number().over(by.orderBy(*order)).alias("_p")).where(F.col("_p") <= newest)
+    near = scratch.materialize(near.drop("c"), "newest")
+    counts = near.where("_p = 1").groupBy("source", "kind").agg(F.sum("cs").alias("n"), F.sum("rs").alias("items"))
+    best = near.withColumn("place", F.row_number().over(Window.partitionBy("source", "kind").orderBy(*order))).where(F.col("place") <= newest)
+    same = counts["source"].eqNullSafe(best["source"]) & (counts["kind"] == best["kind"])
+    return counts.join(best, same).select(counts["source"], counts["kind"], "n", "items", "place", "ref", "at")
+
+
+def timeline(every: DataFrame, newest: int, rows: int) -> DataFrame:
+    """(source, place, ledger, ref, at): the entries of several ledgers in one line for each source, the newest first. ``every`` (source, ledger, ref,
+    at) holds about ``rows`` entries; slices of a source are cut first."""
+    order = [F.desc_nulls_last("at"), F.asc("ledger"), F.asc("ref")]
+    dealt = scratch.spread(every.select("source", "ledger", "ref", "at", _slice("ref")), rows, "source", "_slice")
+    near = dealt.withColumn("_p", F.row_number().over(Window.partitionBy("source", "_slice").orderBy(*order))).where(F.col("_p") <= newest).drop("_p", "_slice")
+    return near.withColumn("place", F.row_number().over(Window.partitionBy("source").orderBy(*order))).where(F.col("place") <= newest)
 
 
 _LINES = "l AS (SELECT l_suppkey AS source, l_partkey, l_orderkey, l_linenumber, l_shipdate, l_returnflag, o_orderdate, o_custkey FROM lineitem JOIN orders ON o_orderkey = l_orderkey)"
 
 
-def _supplied(t: Tables) -> DataFrame:
-    return t.lineitem.join(t.orders, F.col("o_orderkey") == F.col("l_orderkey")).withColumnRenamed("l_suppkey", "source")
+def _supplied(t: Tables) -> tuple[DataFrame, int]:
+    """The lines with their orders, and how many lines there are."""
+    rows = t.lineitem.count()
+    line = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_suppkey").alias("source"), "l_shipdate", "l_returnflag")
+    orders = t.orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey", "o_orderdate")
+    return scratch.spread(line, rows, "l_orderkey").join(scratch.spread(orders, rows, "l_orderkey"), "l_orderkey"), rows
 
 
 @query(
@@ -84,9 +105,10 @@ def _supplied(t: Tables) -> DataFrame:
 )
 def dossiers(t: Tables) -> DataFrame:
     """What each supplier has given: items, orders and customers, with the five newest of each."""
-    rows = _supplied(t)
-    child = lambda ref, at: rows.select("source", F.col(ref).alias("ref"), F.col(at).alias("at"))
-    return dossier({"item": child("l_partkey", "l_shipdate"), "order": child("l_orderkey", "o_orderdate"), "customer": child("o_custkey", "o_orderdate")}, 5).withColumnRenamed("at", "seen_at")
+    lines, rows = _supplied(t)
+    child = lambda kind, ref, at: F.struct(F.lit(kind).alias("kind"), F.col(ref).cast("long").alias("ref"), F.col(at).alias("at"))
+    every = lines.select("source", F.inline(F.array(child("item", "l_partkey", "l_shipdate"), child("order", "l_orderkey", "o_orderdate"), child("customer", "o_custkey", "o_orderdate"))))
+    return dossier(every, 5, 3 * rows).withColumnRenamed("at", "seen_at")
 
 
 @query(
@@ -96,11 +118,14 @@ def dossiers(t: Tables) -> DataFrame:
 )
 def timelines(t: Tables) -> DataFrame:
     """The twelve newest entries of three ledgers of each supplier."""
-    rows = _supplied(t)
-    line = F.col("l_orderkey") * 10 + F.col("l_linenumber")
-    entry = lambda df, ref, at: df.select("source", ref.alias("ref"), at.alias("at")).distinct()
-    returned = entry(rows.where("l_returnflag = 'R'"), line, F.col("l_shipdate") + F.expr("INTERVAL 7 DAYS"))
-    return timeline({"ordered": entry(rows, F.col("l_orderkey"), F.col("o_orderdate")), "shipped": entry(rows, line, F.col("l_shipdate")), "returned": returned}, 12).withColumnRenamed("at", "seen_at")
+    lines, rows = _supplied(t)
+    line = F.col("l_orderkey").cast("long") * 10 + F.col("l_linenumber")
+    entry = lambda ledger, ref, at: F.struct(F.lit(ledger).alias("ledger"), ref.cast("long").alias("ref"), at.alias("at"))
+    returned = F.when(F.col("l_returnflag") == "R", entry("returned", line, F.col("l_shipdate") + F.expr("INTERVAL 7 DAYS")))
+    entries = F.filter(F.array(entry("ordered", F.col("l_orderkey"), F.col("o_orderdate")), entry("shipped", line, F.col("l_shipdate")), returned), lambda e: e.isNotNull())
+    # Equal entries are of one order, so they are found where the lines met it.
+    every = lines.select("l_orderkey", "source", F.inline(entries)).distinct()
+    return timeline(every, 12, 3 * rows).withColumnRenamed("at", "seen_at")
 
 
 # ---- gaps ----
