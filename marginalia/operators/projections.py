@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import scratch
 from ..functions.texts import parent_codes
 from ..registry import Tables, query
 from .sections import _CHUNKS, coded_chunks
@@ -58,11 +59,31 @@ def projected_edges(t: Tables) -> DataFrame:
 
 @query("grf01_dangling", f"SELECT type, count(*) AS n FROM ({_FACET_EDGES}) e WHERE dst NOT IN (SELECT ref FROM ({_ALL_NODES})) OR src NOT IN (SELECT ref FROM ({_ALL_NODES})) GROUP BY type")
 def dangling(t: Tables) -> DataFrame:
-    """Facet edges to nodes that the tables lack, by type."""
-    refs, e = all_nodes(t).select("ref"), facet_edges(t).where("type <> 'HAS_WORD'")
-    end = lambda name: refs.select(F.col("ref").alias(f"_{name}"), F.lit(1).alias(f"has_{name}"))
-    told = e.join(end("src"), F.col("src") == F.col("_src"), "left").join(end("dst"), F.col("dst") == F.col("_dst"), "left")
-    return told.where("has_src IS NULL OR has_dst IS NULL").groupBy("type").agg(F.count("*").alias("n"))
+    """Facet edges to nodes that the tables lack, by type.
+
+    The keys of each end are held against those of its kind of node; only the edges of keys that are missing are brought together. A column
+    that makes the nodes itself can't miss any.
+    """
+    home = {letters: (table, key) for _, letters, table, key, _ in KINDS}
+
+    def missing(table: str, column: str, letters: str) -> DataFrame | None:
+        if (table, column) == home[letters]:
+            return None
+        keys = getattr(t, table).select(F.col(column).alias("_k")).where("_k IS NOT NULL").distinct()
+        known = getattr(t, home[letters][0]).select(F.col(home[letters][1]).alias("_k"))
+        return scratch.materialize(keys.join(known, "_k", "left_anti"), "missing")
+
+    found = []
+    for kind, table, a, x, b, y in FACETS:
+        rows = getattr(t, table).select(F.col(x).alias("_x"), F.col(y).alias("_y")).where("_x IS NOT NULL AND _y IS NOT NULL").withColumns({"_gx": F.lit(None).cast("boolean"), "_gy": F.lit(None).cast("boolean")})
+        gone = {end: m for end, m in (("x", missing(table, x, a)), ("y", missing(table, y, b))) if m is not None and not m.isEmpty()}
+        for end, m in gone.items():
+            rows = rows.drop(f"_g{end}").join(scratch.maybe_broadcast(m.select(F.col("_k").alias(f"_{end}"), F.lit(True).alias(f"_g{end}"))), f"_{end}", "left")
+        if gone:
+            found.append(rows.where("_gx OR _gy").select("_x", "_y").distinct().agg(F.count("*").alias("n")).select(F.lit(kind).alias("type"), "n").where("n > 0"))
+    if not found:
+        return t.spark.createDataFrame([], "type string, n long")
+    return reduce(DataFrame.unionByName, found)
 
 
 def part_of(sections: DataFrame) -> DataFrame:

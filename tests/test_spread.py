@@ -39,3 +39,14 @@ def test_dossiers_and_timelines_of_slices(spark):
     line = [(r.place, r.ref, r["at"]) for r in reports.timeline(rows.withColumnRenamed("kind", "ledger").where("source = 's'").distinct(), 4, 3000).orderBy("place").collect()]
     told = sorted({(-(k % 100), k % 1500) for k in range(2990) if k % 7})[:4]
     assert line == [(k + 1, ref, -at) for k, (at, ref) in enumerate(told)]
+
+
+def test_dangling_edges_are_told_by_their_missing_ends(spark, sf_dir, tmp_path):
+    for name in "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split():
+        rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        kept = {"customer": "c_custkey % 3 > 0", "part": "p_partkey % 5 > 0", "orders": "o_orderkey % 4 > 0", "nation": "n_nationkey <> 3"}.get(name, "true")
+        rows.where(kept).write.parquet(str(tmp_path / f"{name}.parquet"))
+    df = catalogue.queries()["grf01_dangling"](spark, str(tmp_path))
+    got = rows_of(df)
+    assert len(got[1]) > 4 and got == expected(database(str(tmp_path)), catalogue.oracles()["grf01_dangling"])
+    assert "has_src" not in df._jdf.queryExecution().analyzed().toString()
