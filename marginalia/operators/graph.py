@@ -112,8 +112,10 @@ def expansion(t: Tables) -> DataFrame:
 @query("grf11_adjacency", "SELECT DISTINCT least(a.l_partkey, b.l_partkey) AS a, greatest(a.l_partkey, b.l_partkey) AS b FROM lineitem a JOIN lineitem b USING (l_orderkey) WHERE a.l_partkey <> b.l_partkey")
 def adjacency(t: Tables) -> DataFrame:
     """Every two items that an order ties, once each."""
-    rows = t.lineitem.select("l_orderkey", "l_partkey").distinct()
-    return rows.withColumnRenamed("l_partkey", "a").join(rows.withColumnRenamed("l_partkey", "b"), "l_orderkey").where("a < b").select("a", "b").distinct()
+    n = t.lineitem.count()
+    rows = scratch.spread(t.lineitem.select("l_orderkey", "l_partkey"), n, "l_orderkey").distinct()
+    pairs = rows.withColumnRenamed("l_partkey", "a").join(rows.withColumnRenamed("l_partkey", "b"), "l_orderkey").where("a < b").select("a", "b")
+    return scratch.spread(pairs, 3 * n, "a", "b").distinct()
 
 
 @query("grf12_path_cost", f"WITH {_NODES}, {_EDGES} SELECT a.src AS start, b.dst AS stop, round(1 / 0.7 + 1 / 0.9, 6) AS cost FROM edges a JOIN edges b ON a.dst = b.src WHERE a.type = 'BASED_IN' ORDER BY cost, start, stop LIMIT 10")
