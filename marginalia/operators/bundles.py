@@ -224,8 +224,10 @@ def channels(t: Tables) -> DataFrame:
     """For each brand as a question: items named by it, items that share most of its words, examples of its first words, its dearest items."""
     names = t.part.where("p_size <= 25").select(F.col("p_brand").alias("query_id"), F.col("p_name").alias("name")).distinct()
     words = names.select("query_id", F.explode(F.split("name", " ")).alias("word")).distinct()
-    items = t.part.select("p_partkey", F.explode(F.split("p_name", " ")).alias("word"))
-    named = names.join(t.part, F.col("p_name") == F.col("name")).select("query_id", F.struct("p_size", "p_partkey").alias("pos"), F.col("p_partkey").alias("item"))
+    # Items of one name are alike to the first channels, so the first ones of each name stand for all; ``p_partkey`` is a key.
+    of_name = lambda n, *order: t.part.select("p_name", "p_size", "p_partkey").where("p_name IS NOT NULL").withColumn("_n", F.row_number().over(Window.partitionBy("p_name").orderBy(*order))).where(F.col("_n") <= n).drop("_n")
+    items = scratch.materialize(of_name(8, "p_partkey"), "items").select("p_partkey", F.explode(F.split("p_name", " ")).alias("word"))
+    named = names.join(of_name(3, "p_size", "p_partkey"), F.col("p_name") == F.col("name")).select("query_id", F.struct("p_size", "p_partkey").alias("pos"), F.col("p_partkey").alias("item"))
     lexical = words.join(items, "word").groupBy("query_id", F.col("p_partkey").alias("item")).agg((-F.count("*")).alias("pos"))
     examples = items.withColumn("pos", F.row_number().over(Window.partitionBy("word").orderBy("p_partkey"))).where("pos <= 4")
     two = words.withColumn("_w", F.row_number().over(Window.partitionBy("query_id").orderBy("word"))).where("_w <= 2")

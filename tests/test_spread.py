@@ -50,3 +50,16 @@ def test_dangling_edges_are_told_by_their_missing_ends(spark, sf_dir, tmp_path):
     got = rows_of(df)
     assert len(got[1]) > 4 and got == expected(database(str(tmp_path)), catalogue.oracles()["grf01_dangling"])
     assert "has_src" not in df._jdf.queryExecution().analyzed().toString()
+
+
+def test_channels_of_many_items_of_one_name(spark, tmp_path):
+    # 200,000 items of one name: a brand meets the first of them only.
+    rows = spark.range(200_000).select(F.col("id").alias("p_partkey"), F.lit("red ring").alias("p_name"), F.concat(F.lit("b"), F.col("id") % 3).alias("p_brand"), (F.col("id") % 50).cast("int").alias("p_size"), (F.col("id") % 977).cast("double").alias("p_retailprice"))
+    few = spark.createDataFrame([(300_000, "blue ring ring", "b1", 3, 1.0), (300_001, None, "b1", 3, 1.0), (300_002, "odd", "b9", 40, 5.0)], "p_partkey long, p_name string, p_brand string, p_size int, p_retailprice double")
+    rows.unionByName(few).write.parquet(str(tmp_path / "part.parquet"))
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+    df = catalogue.queries()["rag05_channels"](spark, str(tmp_path))
+    assert rows_of(df) == expected(con, catalogue.oracles()["rag05_channels"])
