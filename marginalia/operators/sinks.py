@@ -239,9 +239,10 @@ def edge_shapes(t: Tables) -> DataFrame:
 
 @query("src11_json_pages", "SELECT event_id, user_id, event_type FROM events")
 def json_pages(t: Tables) -> DataFrame:
-    """A listing stored as JSON pages of a hundred rows, read back with a schema."""
+    """A listing stored as JSON pages of a hundred rows, many to a file, read back with a schema."""
     from ..sources.readers import read_json_pages
 
     path = new_table(t, "pages").path
-    t.events.select("event_id", "user_id", "event_type").write.option("maxRecordsPerFile", 100).json(path)
-    return read_json_pages(t.spark, path, "event_id long, user_id long, event_type string")
+    rows = t.events.select(F.monotonically_increasing_id().alias("_at"), F.struct("event_id", "user_id", "event_type").alias("row"))
+    rows.groupBy(F.expr("_at div 100")).agg(F.collect_list("row").alias("rows")).select("rows").write.json(path)
+    return read_json_pages(t.spark, path, "event_id long, user_id long, event_type string", "rows")

@@ -9,9 +9,15 @@ from pyspark.sql.types import StructType
 from ..registry import Tables, query
 
 
-def read_json_pages(spark: SparkSession, folder: str, schema: StructType | str) -> DataFrame:
-    """All pages of a JSON listing that were stored in ``folder``; rows that don't fit the schema become nulls."""
-    return spark.read.schema(schema).option("mode", "PERMISSIVE").json(folder)
+def read_json_pages(spark: SparkSession, folder: str, schema: StructType | str, field: str | None = None) -> DataFrame:
+    """All pages of a JSON listing that were stored in ``folder``; rows that don't fit the schema become nulls.
+
+    A page is a file of rows, or with ``field`` a line whose ``field`` is the array of its rows, so that a file holds many pages.
+    """
+    if field is None:
+        return spark.read.schema(schema).option("mode", "PERMISSIVE").json(folder)
+    told = schema if isinstance(schema, str) else ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+    return spark.read.schema(f"`{field}` array<struct<{told}>>").option("mode", "PERMISSIVE").json(folder).select(F.inline(field))
 
 
 def setting(stored: Column, environment: str | None, default: str) -> Column:

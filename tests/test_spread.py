@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from marginalia import catalogue, scratch
 from marginalia.operators import reports
+from marginalia.sources.readers import read_json_pages
 
 from compare import database, expected, rows_of
 
@@ -63,3 +64,11 @@ def test_channels_of_many_items_of_one_name(spark, tmp_path):
     con.sql(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
     df = catalogue.queries()["rag05_channels"](spark, str(tmp_path))
     assert rows_of(df) == expected(con, catalogue.oracles()["rag05_channels"])
+
+
+def test_json_pages_share_files(spark, sf_dir, tmp_path):
+    spark.range(1000).selectExpr("struct(id AS a, cast(NULL AS string) AS b) AS r", "id div 100 AS p").groupBy("p").agg(F.collect_list("r").alias("rows")).select("rows").coalesce(1).write.json(str(tmp_path / "pages"))
+    got = read_json_pages(spark, str(tmp_path / "pages"), "a long, b string", "rows").collect()
+    assert sorted(r.a for r in got) == list(range(1000)) and {r.b for r in got} == {None}
+    df = catalogue.queries()["src11_json_pages"](spark, sf_dir)
+    assert len(df.inputFiles()) <= 8  # one a task, not one a page
