@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.texts import _PARTS_SQL, printed_id, printed_ids
+from .. import scratch
 from ..registry import Tables, query
 from .joins import _TARIFF, latest_before, tariff
 from .ranges import ranked
@@ -122,22 +123,23 @@ def pair_lift(t: Tables) -> DataFrame:
     return co_occurrence(t.lineitem.select(F.col("l_orderkey").alias("basket"), F.col("l_partkey").alias("item")), pairs)
 
 
-def all_co_occurrence(baskets: DataFrame) -> DataFrame:
-    """(a, b, co, support, lift) of every two items a < b that ``baskets`` (basket, item) have together; of all others co is 0."""
-    b = baskets.select("basket", "item").distinct()
+def all_co_occurrence(baskets: DataFrame, rows: int = 0) -> DataFrame:
+    """(a, b, co, support, lift) of every two items a < b that ``baskets`` (basket, item), of about ``rows`` rows, have together; of all others co is 0."""
+    b = scratch.spread(baskets.select("basket", "item"), rows, "basket").distinct()
     total = b.select("basket").distinct().agg(F.count("*").alias("total"))
     counts = b.groupBy("item").agg(F.count("*").alias("n"))
-    co = b.withColumnRenamed("item", "a").join(b.withColumnRenamed("item", "b"), "basket").where("a < b").groupBy("a", "b").agg(F.count("*").alias("co"))
-    full = co.crossJoin(F.broadcast(total))
+    pairs = b.withColumnRenamed("item", "a").join(b.withColumnRenamed("item", "b"), "basket").where("a < b").select("a", "b")
+    full = scratch.spread(pairs, 3 * rows, "a", "b").groupBy("a", "b").agg(F.count("*").alias("co")).crossJoin(F.broadcast(total))
     for side in ("a", "b"):
-        full = full.join(counts.select(F.col("item").alias(side), F.col("n").alias(f"n{side}")), side)
+        held = counts.select(F.col("item").alias(side), F.col("n").alias(f"n{side}"))
+        full = scratch.spread(full, 3 * rows, side).join(scratch.spread(held, 3 * rows, side), side)
     lift = ratio(F.col("co") * F.col("total").cast("double"), F.col("na") * F.col("nb"))
     return full.select("a", "b", "co", ratio(F.col("co"), F.col("total")).alias("support"), lift.alias("lift"))
 
 
 @query("agg11_co_occurrence_all")
 def all_pair_lift(t: Tables) -> DataFrame:
-    return all_co_occurrence(t.lineitem.select(F.col("l_orderkey").alias("basket"), F.col("l_partkey").alias("item")))
+    return all_co_occurrence(t.lineitem.select(F.col("l_orderkey").alias("basket"), F.col("l_partkey").alias("item")), t.lineitem.count())
 
 
 _COST = f"WITH {_TARIFF}, e AS (SELECT *, CAST(round(value, 0) AS BIGINT) AS units, (SELECT price FROM tariff p WHERE p.event_type = x.event_type AND effective_from <= x.ts ORDER BY effective_from DESC, id DESC LIMIT 1) AS price FROM events x)"

@@ -72,3 +72,10 @@ def test_json_pages_share_files(spark, sf_dir, tmp_path):
     assert sorted(r.a for r in got) == list(range(1000)) and {r.b for r in got} == {None}
     df = catalogue.queries()["src11_json_pages"](spark, sf_dir)
     assert len(df.inputFiles()) <= 8  # one a task, not one a page
+
+
+def test_all_co_occurrence_spread(spark, sf_dir, monkeypatch):
+    whole = rows_of(catalogue.queries()["agg11_co_occurrence_all"](spark, sf_dir))
+    monkeypatch.setattr(scratch, "SPREAD_ROWS", 500)
+    df = catalogue.queries()["agg11_co_occurrence_all"](spark, sf_dir)
+    assert "RepartitionByExpression" in df._jdf.queryExecution().optimizedPlan().toString() and rows_of(df) == whole
