@@ -195,10 +195,12 @@ _RULES = "rules(agent, patient, kind) AS (VALUES ('R', 'A', 'offsets'), ('N', 'R
 @query("join18_rules", f"WITH {_RULES} SELECT DISTINCT a.l_orderkey, a.l_linenumber AS x, b.l_linenumber AS y, kind FROM lineitem a JOIN rules ON a.l_returnflag = agent JOIN lineitem b ON b.l_returnflag = patient AND a.l_orderkey = b.l_orderkey AND a.l_linenumber <> b.l_linenumber")
 def rules(t: Tables) -> DataFrame:
     listed = t.spark.createDataFrame([("R", "A", "offsets"), ("N", "R", "meets"), ("A", "N", "feeds")], "agent string, patient string, kind string")
-    line = t.lineitem.select("l_orderkey", "l_linenumber", "l_returnflag")
+    line, n = t.lineitem.select("l_orderkey", "l_linenumber", "l_returnflag"), t.lineitem.count()
     agents = line.join(F.broadcast(listed), F.col("l_returnflag") == F.col("agent")).select("l_orderkey", F.col("l_linenumber").alias("x"), "patient", "kind")
     patients = line.select("l_orderkey", F.col("l_linenumber").alias("y"), F.col("l_returnflag").alias("patient"))
-    return agents.join(patients, ["l_orderkey", "patient"]).where("x <> y").select("l_orderkey", "x", "y", "kind").distinct()
+    met = scratch.spread(agents, n, "l_orderkey", "patient").join(scratch.spread(patients, n, "l_orderkey", "patient"), ["l_orderkey", "patient"]).where("x <> y")
+    # A kind has one patient, so equal rows are where they met.
+    return met.select("l_orderkey", "patient", "x", "y", "kind").distinct().drop("patient")
 
 
 @query("join21_lateral_top1", "SELECT c_custkey, (SELECT o_orderkey FROM orders WHERE o_custkey = c_custkey ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 1) AS last_order FROM customer")
