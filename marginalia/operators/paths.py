@@ -289,9 +289,13 @@ def reified_rows(relations: DataFrame, conditions: DataFrame) -> DataFrame:
 )
 def reified_orders(t: Tables) -> DataFrame:
     """Orders as relations of a customer and its first supplier, lines as their conditions."""
-    supplier = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.concat(F.lit("s"), F.min("l_suppkey")).alias("patient"))
+    n = t.lineitem.count()
+    lines = scratch.spread(t.lineitem.select("l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "l_tax", "l_discount", "l_returnflag", "l_linestatus"), n, "l_orderkey")
+    supplier = lines.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.concat(F.lit("s"), F.min("l_suppkey")).alias("patient"))
     status = F.when(F.col("o_orderstatus") == "F", "promoted").when(F.col("o_orderstatus") == "P", "rejected").otherwise("candidate")
-    relations = t.orders.join(supplier, "o_orderkey", "left").select(F.col("o_orderkey").alias("ref"), F.concat(F.lit(" "), "o_orderpriority").alias("kind"), status.alias("status"), F.concat(F.lit("c"), "o_custkey").alias("agent"), "patient", F.when(F.col("o_totalprice") > 250_000, "section").otherwise("").alias("governed_by"))
-    line = lambda where, axis, role, value: t.lineitem.where(where).select(F.col("l_orderkey").alias("ref"), F.lit(axis).alias("axis"), role.alias("role"), value.cast("string").alias("value"))
-    conditions = line("l_quantity > 30", "window", F.lit("agent"), F.col("l_returnflag")).unionByName(line("l_quantity > 45", "status", F.when(F.col("l_tax") > 0.07, "patient").otherwise("agent"), F.col("l_linestatus"))).unionByName(line("l_discount > 0.09", "cost", F.lit(None).cast("string"), F.col("l_linenumber")))
+    relations = scratch.spread(t.orders.select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus", "o_totalprice"), n, "o_orderkey").join(supplier, "o_orderkey", "left").select(F.col("o_orderkey").alias("ref"), F.concat(F.lit(" "), "o_orderpriority").alias("kind"), status.alias("status"), F.concat(F.lit("c"), "o_custkey").alias("agent"), "patient", F.when(F.col("o_totalprice") > 250_000, "section").otherwise("").alias("governed_by"))
+    # One pass over the lines gives their conditions, so that they stay dealt by order.
+    line = lambda where, axis, role, value: F.when(F.expr(where), F.struct(F.lit(axis).alias("axis"), role.cast("string").alias("role"), value.cast("string").alias("value")))
+    told = F.array(line("l_quantity > 30", "window", F.lit("agent"), F.col("l_returnflag")), line("l_quantity > 45", "status", F.when(F.col("l_tax") > 0.07, "patient").otherwise("agent"), F.col("l_linestatus")), line("l_discount > 0.09", "cost", F.lit(None), F.col("l_linenumber")))
+    conditions = lines.select(F.col("l_orderkey").alias("ref"), F.inline(F.filter(told, lambda c: c.isNotNull())))
     return reified_rows(relations, conditions)
