@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import scratch
 from ..functions.scalars import normal_form
 from ..functions.texts import similarity, trigrams
 from ..registry import Tables, query
@@ -13,6 +14,8 @@ from .windows import first_by
 
 #: Tokens of a span, least likeness of a fuzzy mention and how many candidates it keeps, weights of the signals of a link and its least score.
 SPAN, FUZZY, KEPT = 4, 0.55, 5
+#: Words that a task holds against all surfaces.
+WORDS = 1_000
 WEIGHTS, LEAST = {"lexical": 0.30, "cosine": 0.25, "coherence": 0.35, "prior": 0.10}, 0.20
 #: Fixed values of entity resolution: characters of a block, and when likeness and cosine count as strong.
 BLOCK, ALIKE, CLOSE = 4, 0.45, 0.85
@@ -53,11 +56,15 @@ def mentions(texts: DataFrame, keys: list[str], text: str, surfaces: DataFrame)
     taken = taken.select(*keys, "at", F.greatest("len", F.lit(1)).alias("len"), (F.col("len") > 0).alias("exact"), normal_form(F.array_join(F.slice("w", F.col("at") + 1, F.greatest("len", F.lit(1))), " ")).alias("form"))
     exact = taken.where("exact").join(surfaces, "form").select(*keys, "at", "len", "form", "ref", F.lit(1.0).alias("likeness"))
     loose = taken.where(~F.col("exact") & (F.length("form") >= 3))
-    words, known = (df.select("form").distinct().select("form", trigrams(F.col("form")).alias("g")) for df in (loose, surfaces))
-    each = words.select("form", F.size("g").alias("n"), F.explode("g").alias("t"))
-    other = known.select(F.col("form").alias("surface"), F.size("g").alias("m"), F.explode("g").alias("t"))
-    near = each.join(other, "t").groupBy("form", "surface").agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("m").alias("m"))
-    near = near.select("form", "surface", (F.col("c") / (F.col("n") + F.col("m") - F.col("c"))).alias("likeness")).where(F.col("likeness") >= FUZZY)
+    words, known = (scratch.materialize(df.select("form").distinct().select("form", trigrams(F.col("form")).alias("g")).withColumn("id", F.monotonically_increasing_id()), "forms") for df in (loose, surfaces))
+    # Each word is held against all surfaces where it is: a bounded number of words for each task.
+    tasks = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-words.count() // WORDS))
+    each = words.select("id", F.size("g").alias("n"), "g").repartition(tasks, "id").select("id", "n", F.explode("g").alias("t"))
+    other = known.select(F.col("id").alias("s"), F.size("g").alias("m"), F.explode("g").alias("t"))
+    alike = F.least("n", "m") >= (FUZZY - 1e-9) * F.greatest("n", "m")  # else they can't have enough trigrams in common
+    near = each.join(scratch.maybe_broadcast(other), "t").where(alike).groupBy("id", "s").agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("m").alias("m"))
+    near = near.select("id", "s", (F.col("c") / (F.col("n") + F.col("m") - F.col("c"))).alias("likeness")).where(F.col("likeness") >= FUZZY)
+    near = near.join(words.select("id", "form"), "id").join(known.select(F.col("id").alias("s"), F.col("form").alias("surface")), "s").select("form", "surface", "likeness")
     best = near.join(surfaces.withColumnRenamed("form", "surface"), "surface").groupBy("form", "ref").agg(F.max("likeness").alias("likeness"))
     best = first_by(best, ["form"], F.desc("likeness"), "ref", n=KEPT)
     return exact.unionByName(loose.join(best, "form").select(*keys, "at", "len", "form", "ref", "likeness"))

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marginalia import catalogue, scratch
-from marginalia.operators import reports
+from marginalia.operators import linking, reports
 from marginalia.sources.readers import read_json_pages
 
 from compare import database, expected, rows_of
@@ -79,3 +79,11 @@ def test_all_co_occurrence_spread(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(scratch, "SPREAD_ROWS", 500)
     df = catalogue.queries()["agg11_co_occurrence_all"](spark, sf_dir)
     assert "RepartitionByExpression" in df._jdf.queryExecution().optimizedPlan().toString() and rows_of(df) == whole
+
+
+def test_words_meet_surfaces_in_bounded_tasks(spark, monkeypatch):
+    texts = spark.createDataFrame([(1, "the blue rings and a blu ring near riverbank"), (2, "riverbanks of the blue")], "id long, text string")
+    surfaces = spark.createDataFrame([("blue ring", 1), ("riverbank", 2), ("blue", 3)], "form string, ref long")
+    whole = rows_of(linking.mentions(texts, ["id"], "text", surfaces))
+    monkeypatch.setattr(linking, "WORDS", 1)
+    assert rows_of(linking.mentions(texts, ["id"], "text", surfaces)) == whole and any("0.6" in r or "0.7" in r or "0.8" in r for r in whole[1])
