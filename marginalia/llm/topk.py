@@ -30,8 +30,10 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Vectors of a shard, queries of a block, vectors of the first runs of a shard, non-essential terms probed at once.
-SHARD, BLOCK, RUNS, PROBED = 4_096, 1_024, (256, 1_024), 8
+#: Vectors of a shard, queries of a block, vectors of the first runs of a shard, non-essential terms probed at once, queries that traverse a run together.
+SHARD, BLOCK, RUNS, PROBED, TOGETHER = 16_384, 1_024, (256, 1_024), 8, 64
+#: Of what the threshold asks above the base, the share that non-essential terms may make up: less leaves fewer rows to probe, and essential terms go by one product.
+SPARE = (1, 20)
 _WIDEST = 10**38 - 1
 
 
@@ -66,36 +68,74 @@ class Shard:
 
     def search(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, list[int] | np.ndarray]:
         """The k best (ids, scores), without the row ``own``; ties by smaller id."""
-        size = 4.0 * max(1, len(query)) * float(np.abs(query).max(initial=0)) * self.widest
-        kind = "float" if size < 2**52 else "long" if size < 2**62 else "any"
-        terms, least, most = self._as(kind)
-        q = query if kind == "float" else query.astype(np.int64) if kind == "long" else _integers(query)
-        low = q * np.where(query >= 0, least, most)
-        bounds = abs(q) * (most - least)
-        order = np.argsort(bounds, kind="stable")
-        reach, base = np.concatenate((np.zeros(1, bounds.dtype), np.cumsum(bounds[order]))), low.sum()
-        best_at, best, threshold = np.empty(0, np.int64), np.empty(0, q.dtype), None
+        return self.search_all(query[None, :], [own], k)[0]
+
+    def search_all(self, queries: np.ndarray, own: list[int] | np.ndarray, k: int) -> list[tuple[np.ndarray, list[int] | np.ndarray]]:
+        """``search`` of several queries: those of a kind go through each run together, each with its own essential terms."""
+        kinds: dict[str, list[_Search]] = {}
+        searches = [_Search(self, query, row, k) for query, row in zip(queries, own)]
+        for one in searches:
+            kinds.setdefault(one.kind, []).append(one)
         edges = [0, *(x for x in np.cumsum(RUNS).tolist() if x < len(self.ids)), len(self.ids)]
-        for a, b in zip(edges, edges[1:]):
-            # All terms whose bounds add up to less than what the threshold asks above the base are non-essential.
-            spared = 0 if threshold is None else int(np.searchsorted(reach[1:], threshold - base, side="left"))
-            essential = order[spared:]
-            score = q[essential] @ terms[essential, a:b] + (base - low[essential].sum()) if len(essential) else np.full(b - a, base, q.dtype)
-            alive = np.flatnonzero(self.rows[a:b] != own)
-            score, alive = score[alive], alive + a
-            while spared:
-                fit = score + reach[spared] >= threshold
-                score, alive = score[fit], alive[fit]
-                probed = order[max(0, spared - PROBED) : spared]
-                score = score + (q[probed] @ terms[np.ix_(probed, alive)] - low[probed].sum())
-                spared -= len(probed)
-            best_at, best = np.concatenate((best_at, alive)), np.concatenate((best, score))
-            if len(best) >= k:
-                threshold = np.sort(best)[len(best) - k]
-                fit = best >= threshold
-                best_at, best = best_at[fit], best[fit]
-        keep = sorted(range(len(best)), key=lambda i: (-best[i], self.ids[best_at[i]]))[:k]
-        return self.ids[best_at[keep]], [int(best[i]) for i in keep]
+        for kind, those in kinds.items():
+            for at in range(0, len(those), TOGETHER):
+                group = those[at : at + TOGETHER]
+                for a, b in zip(edges, edges[1:]):
+                    weights = np.stack([one.essential() for one in group])
+                    used = np.flatnonzero((weights != 0).any(axis=0))
+                    scores = weights[:, used] @ self._as(kind)[0][used, a:b] if len(used) else np.zeros((len(group), b - a), weights.dtype)
+                    for one, score in zip(group, scores):
+                        one.traverse(score, a, b)
+        return [one.found() for one in searches]
+
+
+class _Search:
+    """One query on its way through the runs of a shard: its best rows so far, and its threshold."""
+
+    def __init__(self, shard: Shard, query: np.ndarray, own: int, k: int):
+        size = 4.0 * max(1, len(query)) * float(np.abs(query).max(initial=0)) * shard.widest
+        self.kind = "float" if size < 2**52 else "long" if size < 2**62 else "any"
+        self.terms, least, most = shard._as(self.kind)
+        self.shard, self.own, self.k = shard, own, k
+        self.q = q = query if self.kind == "float" else query.astype(np.int64) if self.kind == "long" else _integers(query)
+        self.low = q * np.where(query >= 0, least, most)
+        bounds = abs(q) * (most - least)
+        self.order = np.argsort(bounds, kind="stable")
+        self.reach, self.base = np.concatenate((np.zeros(1, bounds.dtype), np.cumsum(bounds[self.order]))), self.low.sum()
+        self.best_at, self.best, self.threshold, self.spared = np.empty(0, np.int64), np.empty(0, q.dtype), None, 0
+
+    def essential(self) -> np.ndarray:
+        """The weights of the essential terms, 0 for the others: terms whose bounds add up to less than ``SPARE`` of what the threshold asks above the base."""
+        self.spared = 0 if self.threshold is None else int(np.searchsorted(self.reach[1:] * SPARE[1], (self.threshold - self.base) * SPARE[0], side="left"))
+        weights = self.q.copy()
+        weights[self.order[: self.spared]] = 0
+        return weights
+
+    def traverse(self, score: np.ndarray, a: int, b: int) -> None:
+        """Takes the run of rows a to b with what the essential terms give; non-essential terms are probed where they can still matter."""
+        q, low, order, spared = self.q, self.low, self.order, self.spared
+        score = score + (self.base - low[order[spared:]].sum())
+        alive = self.shard.rows[a:b] != self.own
+        if self.threshold is not None:
+            alive &= score + self.reach[spared] >= self.threshold
+        alive = np.flatnonzero(alive)
+        score, alive = score[alive], alive + a
+        while spared:
+            probed = order[max(0, spared - PROBED) : spared]
+            score = score + (q[probed] @ self.terms[np.ix_(probed, alive)] - low[probed].sum())
+            spared -= len(probed)
+            fit = score + self.reach[spared] >= self.threshold
+            score, alive = score[fit], alive[fit]
+        self.best_at, self.best = np.concatenate((self.best_at, alive)), np.concatenate((self.best, score))
+        if len(self.best) >= self.k:
+            self.threshold = np.sort(self.best)[len(self.best) - self.k]
+            fit = self.best >= self.threshold
+            self.best_at, self.best = self.best_at[fit], self.best[fit]
+
+    def found(self) -> tuple[np.ndarray, list[int] | np.ndarray]:
+        ids, best = self.shard.ids[self.best_at], self.best
+        keep = sorted(range(len(best)), key=lambda i: (-best[i], ids[i]))[: self.k]
+        return ids[keep], [int(best[i]) for i in keep]
 
 
 def _integers(x: np.ndarray) -> np.ndarray:
@@ -149,7 +189,7 @@ def search(vectors: DataFrame, is_query, k: int = 20, key: str = "vec_id", vecto
                 ids, wanted, own = take("shard_ids"), take("block_ids"), take("block_rows")
                 shard = Shard(take("shard_rows"), ids, take("shard_values", np.float64).reshape(len(ids), size))
                 queries = take("block_values", np.float64).reshape(len(wanted), size)
-                found = [shard.search(q, o, k) for q, o in zip(queries, own)]
+                found = shard.search_all(queries, own, k)
                 counts = [len(a) for a, _ in found]
                 exact = [x for _, b in found for x in b]
                 scores = [max(-_WIDEST, min(_WIDEST, x)) for x in exact]
