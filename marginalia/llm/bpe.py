@@ -53,15 +53,17 @@ class Vocabulary:
             return (self.ranks[piece],)
         if len(piece) > 64:
             return self._merge_long(piece)
-        parts, ranks = [piece[i : i + 1] for i in range(len(piece))], self.ranks
-        while len(parts) > 1:
-            pairs = [ranks.get(parts[i] + parts[i + 1], 1 << 60) for i in range(len(parts) - 1)]
-            best = min(pairs)
-            if best == 1 << 60:
-                break
+        parts, rank, none = [piece[i : i + 1] for i in range(len(piece))], self.ranks.get, 1 << 60
+        pairs = [rank(piece[i : i + 2], none) for i in range(len(piece) - 1)]
+        while pairs and (best := min(pairs)) != none:
             i = pairs.index(best)
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        return tuple(ranks[x] for x in parts)
+            parts[i] += parts.pop(i + 1)
+            del pairs[i]  # only the pairs beside the joined part are new
+            if i < len(pairs):
+                pairs[i] = rank(parts[i] + parts[i + 1], none)
+            if i:
+                pairs[i - 1] = rank(parts[i - 1] + parts[i], none)
+        return tuple(self.ranks[x] for x in parts)
 
     def _merge_long(self, piece: bytes) -> tuple[int, ...]:
         """The same by a heap over a linked list, for pre-tokens of any length."""
