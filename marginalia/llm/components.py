@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..components import connected_components
@@ -16,9 +16,13 @@ SKETCH = [f"p{j}" for j in range(WORDS)]
 
 
 def own_elements(elements: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, lone): how many elements of each of ``nodes`` (node, component, size) no node of another component has."""
-    several = elements.join(nodes, "node").groupBy("element").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
-    shared = elements.join(several.select("element"), "element", "left_semi").groupBy("node").agg(F.count("*").alias("shared"))
+    """(node, lone): how many ``elements`` (node, component, element) of each of ``nodes`` (node, component, size) no node of another component has.
+
+    Elements, by far the most rows, are shuffled once.
+    """
+    by = Window.partitionBy("element")
+    several = elements.withColumn("x", F.min("component").over(by)).withColumn("y", F.max("component").over(by)).where("x <> y")
+    shared = several.groupBy("node").agg(F.count("*").alias("shared"))
     return nodes.join(shared, "node", "left").select("node", (F.col("size") - F.coalesce("shared", F.lit(0))).alias("lone"))
 
 
@@ -39,7 +43,7 @@ def bucket_components(buckets: DataFrame, light: DataFrame, links_of: Callable[[
     ``buckets`` (signature, node) holds the nodes that share a signature with others; ``light`` (node, size, p0 ...) the
     size and sketch of each node's set, null where a node stands for several sets; ``links_of`` keeps those of some pairs
     (a, b) that link, which is when their sets have num / den of all their elements in common; ``elements_of`` gives
-    (node, element) of some nodes.
+    (node, component, element) of some ``nodes`` (node, component).
 
     Every node is compared with the first one of its bucket, which is then done. What is then in one component needs no further comparison,
     and what is in several is first looked at as a whole: elements that no other component has always differ, so a node
@@ -69,7 +73,7 @@ def bucket_components(buckets: DataFrame, light: DataFrame, links_of: Callable[[
         return components
     common.collect_garbage(buckets.sparkSession)
     nodes = common.materialize(open_.select("node", "component").distinct().join(light.select("node", "size"), "node"), "nodes")
-    left = nodes.join(own_elements(elements_of(nodes.select("node")), nodes), "node").where(f"lone IS NULL OR {num} * lone <= {den - num} * size").select("node", "lone")
+    left = nodes.join(own_elements(elements_of(nodes), nodes), "node").where(f"lone IS NULL OR {num} * lone <= {den - num} * size").select("node", "lone")
     told = common.materialize(light.join(left, "node"), "told")
     rows, parts, tested = open_.select("signature", "node").join(told.select("node"), "node", "left_semi"), 4, None
     while True:

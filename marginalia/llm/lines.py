@@ -73,9 +73,9 @@ def signatures(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The lines without their text, but with their bands."""
+    """The lines without their text, but with 32 bits of their bands: lines that then meet by chance are told apart by their shingles."""
     for batch in common.blocks(batches, "line", LINE_BYTES):
-        bands = signatures(*common.as_bytes(batch.column("line"))).view(np.int64)
+        bands = (signatures(*common.as_bytes(batch.column("line"))) >> np.uint64(32)).astype(np.uint32).view(np.int32)
         kept = [n for n in batch.schema.names if n != "line"]
         yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), *(pa.array(np.ascontiguousarray(bands[:, b])) for b in range(BANDS))], [*kept, *_BAND_COLUMNS])
 
@@ -90,19 +90,21 @@ def _lines(docs: DataFrame, key: str) -> DataFrame:
 def repeated(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, print, drop array<int>): for each document the places of the lines that repeat an earlier line."""
     lines = _lines(docs.select(key, "text"), key)
-    fields = f"_key {docs.schema[key].dataType.simpleString()}, print long, at int, h1 long, h2 long, " + ", ".join(f"{b} long" for b in _BAND_COLUMNS)
+    fields = f"_key {docs.schema[key].dataType.simpleString()}, print long, at int, h1 long, h2 long, " + ", ".join(f"{b} int" for b in _BAND_COLUMNS)
     signed = lines.select(F.col(key).alias("_key"), "print", "at", "h1", "h2", "line").mapInArrow(common.tidied(_signed), fields)
     occurrences = common.materialize(signed.withColumnRenamed("_key", key), "lines")
     kinds = occurrences.groupBy("h1", "h2").agg(F.count("*").alias("n"), *(F.min(b).alias(b) for b in _BAND_COLUMNS))
     kinds = common.materialize(kinds.withColumn("node", F.monotonically_increasing_id()), "kinds")
-    banded = kinds.select("node", F.explode(F.array(*_BAND_COLUMNS)).alias("signature"))
+    common.collect_garbage(docs.sparkSession)
+    apart = [F.lit(j << 32) + F.col(b).cast("long") for j, b in enumerate(_BAND_COLUMNS)]
+    banded = kinds.select("node", F.explode(F.array(*apart)).alias("signature"))
     shared = banded.groupBy("signature").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y").select("signature")
     buckets = common.materialize(banded.join(common.maybe_broadcast(common.materialize(shared, "signatures")), "signature").select("signature", "node"), "buckets")
     wanted = common.materialize(kinds.select("node", "h1", "h2").join(buckets.select("node").distinct(), "node"), "wanted")
     texts = lines.select("h1", "h2", "line").join(common.maybe_broadcast(wanted), ["h1", "h2"]).groupBy("node").agg(F.max("line").alias("text"))
-    sets = common.materialize(packed_sets(texts.withColumnRenamed("node", "_id"), shingles), "sets")
+    sets = common.materialize(packed_sets(texts.withColumnRenamed("node", "_id"), shingles, packed=False), "sets")
     common.collect_garbage(docs.sparkSession)
-    components = linked_components(buckets, sets, *SIMILARITY)
+    components = linked_components(buckets, sets, *SIMILARITY, shingles)
     # Lines that stand several times or have a component; a line without one is a component of its own.
     named = kinds.select("node", "h1", "h2", "n").join(components, "node", "left").where("n > 1 OR component IS NOT NULL")
     groups = common.materialize(named.select("h1", "h2", F.coalesce("component", "node").alias("component")), "groups")

@@ -1,6 +1,8 @@
 """The registered queries against their SQL, or against a brute-force version of what they promise."""
 
 import hashlib
+import pathlib
+import random
 import re
 import zlib
 from collections import Counter
@@ -413,3 +415,23 @@ def test_op3_compares_lines_without_white_space_at_either_end(spark):
     rows = [(1, "Read more\nfirst"), (2, "Read more\r\nsecond\r\n\r\n"), (3, "\tRead more\x0c\n \t\nthird"), (4, " \r\n\t")]
     got = {x.doc_id: x.text for x in lines.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == brute_lines(rows) == {1: "Read more\nfirst", 2: "second\r\n\r\n", 3: " \t\nthird", 4: " \r\n\t"}
+
+
+def test_op3_writes_little_beside_its_lines(spark, monkeypatch):
+    r, rows = random.Random(9), []
+    for k in range(500):  # near copies: all lines are candidates
+        line = "".join(r.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(300)).strip()
+        rows += [(2 * k, line), (2 * k + 1, line[:150] + "#" + line[150:])]
+    written, real = {}, common.materialize
+
+    def told(df, label):
+        out = real(df, label)
+        folder = pathlib.Path(out.scratch_path.removeprefix("file:"))
+        written[label] = written.get(label, 0) + sum(f.stat().st_size for f in folder.glob("*.parquet"))
+        return out
+
+    monkeypatch.setattr(common, "materialize", told)
+    got = {x.doc_id: x.text for x in lines.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: t if i % 2 == 0 else "" for i, t in rows}
+    # Packed as 64-bit numbers, the shingles of a line take eight times its bytes.
+    assert written["sets"] < 2 * sum(len(t) for _, t in rows)
