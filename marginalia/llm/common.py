@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..scratch import collect_garbage, discard, materialize, maybe_broadcast  # noqa: F401  (the operators take them from here)
+from ..scratch import collect_garbage, discard, materialize, maybe_broadcast, within  # noqa: F401  (the operators take them from here)
 
 #: Bytes of text that a numpy block holds at most (one longer document makes its own block).
 BLOCK_BYTES = 750_000

@@ -16,7 +16,7 @@ An anchor with more than ``CROWD`` unlike stretches is not brought to one task:
 
 Texts are UTF-8 bytes, null counts as empty, matches never cross texts. Rows that repeat a key and its text are two
 rows, and each repeats the other. A text may have any length; an empty table gives an empty one. Columns of ``docs`` are
-kept; one named spans, _p, _key or _print is not allowed.
+kept; one named spans, _p, _key, _print, _word, _bits or _may is not allowed.
 """
 
 from __future__ import annotations
@@ -253,8 +253,25 @@ def _dealt_windows(key: str, width: int):
     return run
 
 
-def repeated_windows(docs: DataFrame, width: int = 200, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, print, start, count): stretches of starts whose window of ``width`` bytes also starts elsewhere. print: 32-bit hash of the text."""
+def _flagged(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame | None:
+    """``rows`` with _may: whether their key may be among ``keys`` (_key); some that are not are flagged as well. None where the bits don't fit a broadcast.
+
+    Bits of hashed keys, eight a key, in words of 64: so texts that nothing is joined to are not shuffled.
+    """
+    size = max(64, 8 * keys.count())
+    word, bit = (lambda c, form=form: F.expr(form.format(f"pmod(xxhash64(`{c}`), {size}L)")) for form in ("{} div 64", "shiftleft(1L, cast({} % 64 as int))"))
+    words = common.materialize(keys.select(word("_key").alias("_word"), bit("_key").alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits")), "words")
+    if not common.within(words):
+        return None
+    flagged = rows.join(F.broadcast(words), word(key) == words["_word"], "left")
+    return flagged.select(*rows.columns, F.coalesce(F.col("_bits").bitwiseAND(bit(key)) != 0, F.lit(False)).alias("_may"))
+
+
+def repeated_windows(docs: DataFrame, width: int = 200, key: str = "doc_id", text: str = "text", held: list[DataFrame] | None = None) -> DataFrame:
+    """(key, print, start, count): stretches of starts whose window of ``width`` bytes also starts elsewhere. print: 32-bit hash of the text.
+
+    ``held`` gets the intermediate tables, which may be discarded once the result has been written.
+    """
     if width <= ANCHOR:
         raise ValueError(f"windows are longer than {ANCHOR} bytes")
     kind = docs.schema[key].dataType.simpleString()
@@ -264,6 +281,7 @@ def repeated_windows(docs: DataFrame, width: int = 200, key: str = "doc_id", tex
     by = Window.partitionBy("anchor")
     met = every.withColumn("x", F.min("whole").over(by)).withColumn("y", F.max("whole").over(by)).withColumn("n", F.count("*").over(by)).where("n > 1")
     met = common.materialize(met.select(key, "print", "start", "count", "anchor", "whole", (F.col("x") == F.col("y")).alias("alike")), "stretches")
+    common.collect_garbage(docs.sparkSession)
     alike = met.where("alike").select(key, "print", "start", "count")
     # Unlike stretches of one anchor: equal ones among them are settled, one text of each kind is compared.
     most, mixed = _crowd(width), met.where("not alike")
@@ -276,8 +294,15 @@ def repeated_windows(docs: DataFrame, width: int = 200, key: str = "doc_id", tex
     one = open_.groupBy("anchor", "whole").agg(F.min(F.struct(F.col(key).isNotNull(), key, "print", "start", "count")).alias("p"), (F.count("*") == 1).alias("alone"), F.max("crowd").alias("crowd"))
     one = one.select(F.col(f"p.{key}").alias(key), "p.print", F.struct("p.start", "p.count", "anchor", "whole", "alone", "crowd").alias("w"))
     wanted = common.materialize(one.groupBy(key, "print").agg(F.collect_list("w").alias("wanted")), "wanted")
+    if held is not None:
+        held += [met, kinds, crowds, wanted]
+    common.collect_garbage(docs.sparkSession)
     wanted = wanted.select(F.col(key).alias("_key"), F.col("print").alias("_print"), "wanted")
-    cut = long.join(common.maybe_broadcast(wanted), long[key].eqNullSafe(wanted["_key"]) & (long["print"] == wanted["_print"]))
+    if common.within(wanted):
+        wanted = F.broadcast(wanted)
+    elif (flagged := _flagged(long, wanted.select("_key"), key)) is not None:
+        long = flagged.where("_may").drop("_may")
+    cut = long.join(wanted, long[key].eqNullSafe(wanted["_key"]) & (long["print"] == wanted["_print"]))
     fields = f"{key} {kind}, print int, start long, count int, anchor long, whole long, alone boolean, bytes binary"
     unlike = lambda crowd: cut.withColumn("wanted", F.filter("wanted", lambda w: w["crowd"] if crowd else ~w["crowd"])).where(F.size("wanted") > 0).select(key, "print", "text", "wanted").mapInArrow(common.tidied(_texts(key, width)), fields)
     few = unlike(False).repartition("anchor").sortWithinPartitions("anchor").mapInArrow(common.tidied(_sorted_blocks(key, width)), f"{key} {kind}, print int, start long, count int")
@@ -291,14 +316,21 @@ def repeated_windows(docs: DataFrame, width: int = 200, key: str = "doc_id", tex
 
 def repeated_spans(docs: DataFrame, width: int = 200, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` (key, text) with ``spans``, the byte ranges [start, end) that repeated windows cover, sorted; they may touch or overlap; empty where none are."""
-    found = repeated_windows(docs.select(F.col(key), F.col(text).alias("text")), width, key)
+    held: list[DataFrame] = []
+    found = repeated_windows(docs.select(F.col(key), F.col(text).alias("text")), width, key, held=held)
     spans = found.select(key, "print", F.struct(F.col("start").alias("start"), (F.col("start") + F.col("count") + width - 1).alias("end")).alias("s"))
     each = common.materialize(spans.groupBy(key, "print").agg(F.array_sort(F.collect_set("s")).alias("spans")), "spans")
+    common.discard(*held)
+    common.collect_garbage(docs.sparkSession)
     each = each.select(F.col(key).alias("_key"), F.col("print").alias("_print"), F.col("spans"))
-    rows = docs.withColumn("_p", F.hash(text))
-    joined = rows.join(common.maybe_broadcast(each), rows[key].eqNullSafe(each["_key"]) & (rows["_p"] == each["_print"]), "left")
-    none = F.array().cast("array<struct<start:bigint,end:bigint>>")
-    return joined.select(*docs.columns, F.coalesce("spans", none).alias("spans"))
+    rows, none = docs.withColumn("_p", F.hash(text)), F.array().cast("array<struct<start:bigint,end:bigint>>")
+    joined = lambda rows, each: rows.join(each, rows[key].eqNullSafe(each["_key"]) & (rows["_p"] == each["_print"]), "left").select(*docs.columns, F.coalesce("spans", none).alias("spans"))
+    if common.within(each):
+        return joined(rows, F.broadcast(each))
+    flagged = _flagged(rows, each.select("_key"), key)
+    if flagged is None:
+        return joined(rows, each)
+    return joined(flagged.where("_may"), each).unionByName(flagged.where("NOT _may").select(*docs.columns, none.alias("spans")))
 
 
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -435,3 +435,14 @@ def test_op3_writes_little_beside_its_lines(spark, monkeypatch):
     assert got == {i: t if i % 2 == 0 else "" for i, t in rows}
     # Packed as 64-bit numbers, the shingles of a line take eight times its bytes.
     assert written["sets"] < 2 * sum(len(t) for _, t in rows)
+
+
+def test_op1_gives_the_same_without_broadcasts_and_shuffles_few_texts(spark, sf_dir, monkeypatch):
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text").unionByName(spark.createDataFrame([(None, "q" * 500), (None, None), (1, "z" * 450)], "doc_id long, text string"))
+    seen = lambda df: sorted((str(r.doc_id), r.text or "", str(r.spans)) for r in df.collect())
+    want, frames = seen(suffixes.repeated_spans(docs)), []
+    flagged = suffixes._flagged
+    monkeypatch.setattr(common, "within", lambda df, most=0: "_bits" in df.columns)
+    monkeypatch.setattr(suffixes, "_flagged", lambda rows, *more: frames.append(flagged(rows, *more)) or frames[-1])
+    assert seen(suffixes.repeated_spans(docs)) == want
+    assert len(frames) == 2 and all(0 < f.where("_may").count() < 0.75 * f.count() for f in frames)
