@@ -19,7 +19,6 @@ import hashlib
 import json
 from array import array
 from collections.abc import Callable, Iterable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -187,7 +186,7 @@ class Tokenizer:
         self.sorted = np.array(sorted(self.pairs), np.int64)
         self.ranks = np.array([self.pairs[k] for k in self.sorted.tolist()], np.int64)
         self.first_of, self.made_of = np.array(self.first, np.int32), np.array(self.made, np.int32)
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, bytes] = {}
 
     def rank_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The ranks of pairs of symbols, -1 for pairs without one."""
@@ -195,12 +194,12 @@ class Tokenizer:
         at = np.minimum(np.searchsorted(self.sorted, key), len(self.sorted) - 1)
         return np.where((self.sorted[at] == key) & (a >= 0) & (b >= 0), self.ranks[at], -1)
 
-    def merge(self, piece: str) -> tuple[int, ...]:
-        """The ids of one pre-token."""
-        return tuple(merged([self.first[b] for b in piece.encode()], self.pairs, self.made, self.width))
+    def merge(self, piece: str) -> bytes:
+        """The ids of one pre-token, as 32-bit numbers."""
+        return array("i", merged([self.first[b] for b in piece.encode()], self.pairs, self.made, self.width)).tobytes()
 
-    def merge_all(self, pieces: list[str]) -> Iterator[tuple[str, tuple[int, ...]]]:
-        """Pre-tokens with their ids: short ones many at a time, by size of their trees."""
+    def merge_all(self, pieces: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Pre-tokens with their ids as 32-bit numbers: short ones many at a time, by size of their trees."""
         classes: dict[int, list[str]] = {}
         for piece in pieces:
             n = len(piece.encode())
@@ -217,8 +216,8 @@ class Tokenizer:
                 symbols = np.full((len(raw), width), -1, np.int32)
                 symbols[np.arange(width) < lengths[:, None]] = self.first_of[np.frombuffer(b"".join(raw), np.uint8)]
                 found = merged_all(symbols, lengths, self.rank_of, self.made_of)
-                ids, ends = found[found >= 0].tolist(), np.cumsum((found >= 0).sum(1)).tolist()
-                yield from ((piece, tuple(ids[a:b])) for piece, a, b in zip(part, [0, *ends], ends))
+                ids, ends = found[found >= 0].astype(np.int32).tobytes(), (4 * np.cumsum((found >= 0).sum(1))).tolist()
+                yield from zip(part, (ids[a:b] for a, b in zip([0, *ends], ends)))
 
     def encode_all(self, texts: list[str]) -> tuple[array, array]:
         """The ids of all texts in one array, and where those of each text end."""
@@ -229,17 +228,18 @@ class Tokenizer:
             split = self.split(text) if self.split and any(t in text for t in self.added) else [text]
             parts.append([[part] if k % 2 else find(part) for k, part in enumerate(split)])
         fresh = set().union(*(pieces for part in parts for pieces in part[::2])) - self.known.keys()
-        if self.is_later("\n".join(fresh)):
+        later = self.is_later("\n".join(fresh)) is not None
+        if later:
             parts = [[pieces if k % 2 else self.find_strict("".join(pieces)) for k, pieces in enumerate(part)] for part in parts]
             fresh = set().union(*(pieces for part in parts for pieces in part[::2])) - self.known.keys()
         ids = dict(self.merge_all(list(fresh)))
-        passing = {piece: x for piece, x in ids.items() if len(piece) > REMEMBERED_CHARS or self.is_later(piece)}
+        passing = {piece: x for piece, x in ids.items() if len(piece) > REMEMBERED_CHARS or later and self.is_later(piece)}
         self.known.update((piece, x) for piece, x in ids.items() if piece not in passing)
         look = self.known.__getitem__ if not passing else lambda piece: passing[piece] if piece in passing else self.known[piece]
         flat, ends = array("i"), array("i", [0])
         for part in parts:
             for k, pieces in enumerate(part):
-                flat.extend((self.added[pieces[0]],) if k % 2 else chain.from_iterable(map(look, pieces)))
+                flat.frombytes(array("i", (self.added[pieces[0]],)).tobytes() if k % 2 else b"".join(map(look, pieces)))
             ends.append(len(flat))
         return flat, ends
 

@@ -84,3 +84,11 @@ def test_files_of_other_kinds_are_refused(change):
         raw = json.load(file) | change
     with pytest.raises(ValueError, match="not a plain byte-level"):
         bpe_tree.Tokenizer(json.dumps(raw).encode())
+
+
+def test_later_code_points_are_looked_for_once_in_a_block(own, monkeypatch):
+    looked, real = [], own.is_later
+    monkeypatch.setattr(own, "is_later", lambda text: looked.append(text) or real(text))
+    own.known.clear()
+    flat, ends = own.encode_all([f"word{k}x{k}" for k in range(500)])
+    assert len(looked) == 1 and len(ends) == 501 and flat[: ends[1]].tolist() == own.encode("word0x0")
