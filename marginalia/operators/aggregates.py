@@ -41,8 +41,21 @@ def sum_and_conditional(t: Tables) -> DataFrame:
 
 @query("agg03_usage_by_user", "SELECT CASE WHEN user_id % 10 = 0 THEN NULL ELSE user_id END AS who, count(*) AS calls, count(*) FILTER (event_type = 'purchase') AS ok, CAST(trunc(avg(value)) AS INTEGER) AS avg_value FROM events GROUP BY 1")
 def usage_by_user(t: Tables) -> DataFrame:
+    """Counts and the whole part of the mean value of each user, one group for all without a user.
+
+    The SQL adds doubles up as the file holds them, so a mean beside a whole number falls to either side by the rounding of its sum. Only for groups whose
+    mean is that near (no order of n doubles moves their mean further than 2^-52 of the sum of their sizes), the rows are added up in that order.
+    """
     who = F.when(F.col("user_id") % 10 != 0, F.col("user_id"))
-    return t.events.groupBy(who.alias("who")).agg(F.count("*").alias("calls"), F.count_if(F.col("event_type") == "purchase").alias("ok"), whole_mean(F.col("value")).alias("avg_value"))
+    events = t.events.select(who.alias("who"), "event_type", "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    per = events.groupBy("who").agg(F.count("*").alias("calls"), F.count_if(F.col("event_type") == "purchase").alias("ok"), F.avg("value").alias("mean"), F.sum(F.abs("value")).alias("size"))
+    per = scratch.materialize(per, "usage")
+    near = per.where(F.abs(F.col("mean") - F.rint("mean")) <= F.col("size") * 2.0**-50).select(F.col("who").alias("near"))
+    added = F.sum("value").over(Window.partitionBy("who").orderBy("file", "row"))
+    rows = events.where("value IS NOT NULL").join(near, F.col("who").eqNullSafe(F.col("near")), "left_semi").select("who", "file", "row", added.alias("total"))
+    exact = rows.groupBy(F.col("who").alias("near")).agg((F.max_by("total", F.struct("file", "row")) / F.count("*")).alias("in_order"))
+    found = per.join(exact, F.col("who").eqNullSafe(F.col("near")), "left")
+    return found.select("who", "calls", "ok", F.coalesce("in_order", "mean").cast("int").alias("avg_value"))
 
 
 @query("agg04_latest", "SELECT o_custkey, max(o_orderdate) AS latest FROM orders GROUP BY 1")

@@ -3,6 +3,8 @@ import re
 from datetime import datetime, timedelta
 from itertools import combinations
 
+import duckdb
+
 from pyspark.sql import functions as F
 
 from marginalia import catalogue, scratch
@@ -21,6 +23,8 @@ from marginalia.operators.sections import HEADER, parsed_sections
 from marginalia.operators.sinks import ParquetTable
 from marginalia.streaming import streams
 
+from compare import expected, rows_of
+
 
 def test_fusion_sums_places_and_breaks_ties_by_first_list(spark):
     lists = spark.createDataFrame([(1, 0, 1, 0.0), (1, 1, 2, 0.0), (2, 0, 2, 0.0)], "list_id int, pos int, item long, bonus double")
@@ -294,6 +298,20 @@ def test_whole_means_do_not_depend_on_the_order_of_rows(spark):
     assert got == {1: 16, 2: 16, 3: -1, 4: None, 5: 0}
 
 
+def test_usage_means_beside_a_whole_number_follow_the_files(spark, tmp_path):
+    below, whole = [4.96, 13.63, 29.56, 29.14, 2.71], [4.96, 13.63, 29.56, 2.71, 29.14]  # one and the same five: added up in the first order they fall below 80, in the second they don't
+    held = [row for k, (v, w) in enumerate(zip(below, whole)) for row in ((1, v), (2, w), (10 * k, v))]
+    held += [(3, -1.5), (3, -2.4), (4, None), (5, 0.7), (5, None), (6, -3.0), (7, 16.5), (None, None)]
+    for part in (0, 1):
+        rows = [(k, u, v, "purchase" if k % 2 else "view") for k, (u, v) in enumerate(held) if (k >= 7) == part]
+        spark.createDataFrame(rows, "event_id long, user_id long, value double, event_type string").coalesce(1).write.parquet(str(tmp_path / "events.parquet" / f"part={part}"))
+    con = duckdb.connect(config={"threads": 1})
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*/*.parquet'")
+    got = catalogue.queries()["agg03_usage_by_user"](spark, str(tmp_path))
+    assert {r.who: r.avg_value for r in got.collect()} == {None: 15, 1: 15, 2: 16, 3: -1, 4: None, 5: 0, 6: -3, 7: 16}
+    assert rows_of(got) == expected(con, catalogue.oracles()["agg03_usage_by_user"])
+
+
 def test_means_at_the_bound_are_added_up_as_the_files_hold_them(spark, tmp_path):
     lines = {1: (0.0, 0.1, 0.06, 0.08), 2: (0.0, 0.06, 0.08, 0.1)}
     for part in (0, 1):
