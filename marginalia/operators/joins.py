@@ -10,6 +10,7 @@ from .. import scratch
 from ..functions.texts import contains_word
 from ..registry import Tables, query
 from .filters import tokens
+from .pairs import block_pairs
 from .ranges import previous
 
 
@@ -157,9 +158,14 @@ def fallback_chain(t: Tables) -> DataFrame:
     return found.select("p_partkey", F.coalesce("a", "b", "c").alias("vec_id"))
 
 
-@query("join15_blocked_pairs", """WITH p AS (SELECT p_partkey, left(p_name, 4) AS block, p_size FROM part), o AS (SELECT p_partkey, block, p_size, count(*) AS own FROM p WHERE p_partkey IS NOT NULL GROUP BY ALL), g AS (SELECT block, p_size, min(p_partkey) AS class, sum(own) AS n FROM o GROUP BY ALL)
-    SELECT p_partkey, coalesce(class, p_partkey) AS class, CAST(coalesce(n - own, 0) AS BIGINT) AS links FROM p LEFT JOIN o USING (p_partkey, block, p_size) LEFT JOIN g ON o.block = g.block AND o.p_size = g.p_size""")
+@query("join15_blocked_pairs", "SELECT a.p_partkey AS a, b.p_partkey AS b FROM part a JOIN part b ON left(a.p_name, 4) = left(b.p_name, 4) AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey")
 def blocked_pairs(t: Tables) -> DataFrame:
+    return block_pairs(t.part.select("p_partkey", F.left("p_name", F.lit(4)).alias("block"), "p_size"), "p_partkey", ["block", "p_size"], [], {})
+
+
+@query("join15_block_classes", """WITH p AS (SELECT p_partkey, left(p_name, 4) AS block, p_size FROM part), o AS (SELECT p_partkey, block, p_size, count(*) AS own FROM p WHERE p_partkey IS NOT NULL GROUP BY ALL), g AS (SELECT block, p_size, min(p_partkey) AS class, sum(own) AS n FROM o GROUP BY ALL)
+    SELECT p_partkey, coalesce(class, p_partkey) AS class, CAST(coalesce(n - own, 0) AS BIGINT) AS links FROM p LEFT JOIN o USING (p_partkey, block, p_size) LEFT JOIN g ON o.block = g.block AND o.p_size = g.p_size""")
+def block_classes(t: Tables) -> DataFrame:
     """(p_partkey, class, links): every two rows of a block and size are a pair, so the block's least key and how many rows a row is paired with say all.
 
     A row is linked with those of its class that have another key. Rows without a key, name or size are linked with nothing.

@@ -7,7 +7,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from marginalia import catalogue
-from marginalia.operators import bundles, joins
+from marginalia.operators import bundles, joins, pairs
 
 from compare import expected, rows_of
 
@@ -62,11 +62,19 @@ def _part(spark, tmp_path, rows):
     return str(tmp_path)
 
 
+def test_every_pair_of_a_block_is_listed(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(pairs, "CELL_KEYS", 7)  # several cells a block
+    folder = _part(spark, tmp_path, _ITEMS + [(k, "blue ring", "C", 9) for k in range(1000, 1060)] + [(1005, "blue", "C", 9)])
+    got = catalogue.queries()["join15_blocked_pairs"](spark, folder)
+    assert rows_of(got) == expected(_database(folder), catalogue.oracles()["join15_blocked_pairs"])
+    assert got.columns == ["a", "b"] and got.where("a >= 1000").count() == 60 * 59 // 2 + 59
+
+
 def test_blocked_pairs_are_told_by_classes(spark, tmp_path):
     # 100,000 rows of one block: five thousand million pairs, not one of which is listed.
     folder = _part(spark, tmp_path, _ITEMS + [(k, "blue ring", "C", 9) for k in range(1000, 101_000)])
-    assert rows_of(catalogue.queries()["join15_blocked_pairs"](spark, folder)) == expected(_database(folder), catalogue.oracles()["join15_blocked_pairs"])
-    got = catalogue.queries()["join15_blocked_pairs"](spark, folder).collect()
+    assert rows_of(catalogue.queries()["join15_block_classes"](spark, folder)) == expected(_database(folder), catalogue.oracles()["join15_block_classes"])
+    got = catalogue.queries()["join15_block_classes"](spark, folder).collect()
     assert len(got) == len(_ITEMS) + 100_000 and {(r["class"], r.links) for r in got if (r.p_partkey or 0) >= 1000} == {(1000, 99_999)}
     small = [(r.p_partkey, r["class"], r.links) for r in got if (r.p_partkey or 0) < 1000]
     blocks = [(k, n and n[:4], z) for k, n, _, z in _ITEMS]
