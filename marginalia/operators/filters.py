@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import scratch
 from ..registry import Tables, query
+from .pairs import block_pairs
 from .ranges import ranked
 
 
@@ -240,11 +241,20 @@ def sentence_difference(t: Tables) -> DataFrame:
     return both.select("doc_id", F.size("i").cast("long").alias("inserted"), F.size("d").cast("long").alias("deleted"), shown("i").alias("inserted_sha"), shown("d").alias("deleted_sha"))
 
 
-@query("set04_shared_tokens", r"""WITH p AS (SELECT p_partkey, p_brand, p_size, list_sort(list_distinct(string_split_regex(lower(p_name), '\s+'))) AS w FROM part),
+@query("set04_shared_tokens", r"""WITH p AS (SELECT p_partkey, p_brand, p_size, list_distinct(string_split_regex(lower(p_name), '\s+')) AS w FROM part)
+    SELECT a.p_partkey AS a, b.p_partkey AS b, list_sort(list_intersect(a.w, b.w)) AS shared FROM p a JOIN p b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey""")
+def shared_tokens(t: Tables) -> DataFrame:
+    """The words that every two items of a brand and size share: none if the second has no name, null if the first has none."""
+    p = t.part.select("p_partkey", "p_brand", "p_size", tokens().alias("w"))
+    shared = lambda x, y: F.when(x["w"].isNotNull(), F.coalesce(F.array_sort(F.array_intersect(x["w"], y["w"])), F.array().cast("array<string>")))
+    return block_pairs(p, "p_partkey", ["p_brand", "p_size"], ["w"], {"shared": shared})
+
+
+@query("set04_class_tokens", r"""WITH p AS (SELECT p_partkey, p_brand, p_size, list_sort(list_distinct(string_split_regex(lower(p_name), '\s+'))) AS w FROM part),
     c AS (SELECT p_brand, p_size, w, coalesce('w' || array_to_string(w, ' '), '') AS told, min(p_partkey) AS class FROM p WHERE p_partkey IS NOT NULL AND p_brand IS NOT NULL AND p_size IS NOT NULL GROUP BY p_brand, p_size, w)
     SELECT 'pair' AS kind, a.class AS a, b.class AS b, CASE WHEN a.w IS NOT NULL AND b.w IS NOT NULL THEN list_sort(list_intersect(a.w, b.w)) END AS shared FROM c a JOIN c b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND (a.class < b.class OR a.class = b.class AND a.told < b.told)
     UNION ALL SELECT 'member', CASE WHEN p_partkey IS NOT NULL THEN coalesce(c.class, p_partkey) END, p_partkey, p.w FROM p LEFT JOIN c ON p.p_brand = c.p_brand AND p.p_size = c.p_size AND p.w IS NOT DISTINCT FROM c.w""")
-def shared_tokens(t: Tables) -> DataFrame:
+def class_tokens(t: Tables) -> DataFrame:
     """What every two items of a brand and size share, by classes of items of the same brand, size and words, named by their least key.
 
     A row ``pair`` has two classes and the words that each item of the one shares with each item of the other; a row ``member`` an item (b),

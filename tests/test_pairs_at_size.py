@@ -83,10 +83,20 @@ def test_blocked_pairs_are_told_by_classes(spark, tmp_path):
     assert all({c for k, c, _ in small if k == a} & {c for k, c, _ in small if k == b} for a, b in pairs)
 
 
+def test_shared_words_of_every_pair_are_listed(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(pairs, "CELL_KEYS", 7)  # several cells a class
+    rows = [(k, ("blue ring", "ring hot", None, "ring Ring", " hot")[k % 5], "C", 9) for k in range(1000, 1060)]
+    folder = _part(spark, tmp_path, _ITEMS + rows + [(1005, "blue", "C", 9)])
+    got = catalogue.queries()["set04_shared_tokens"](spark, folder)
+    assert rows_of(got) == expected(_database(folder), catalogue.oracles()["set04_shared_tokens"])
+    assert got.columns == ["a", "b", "shared"] and got.where("a >= 1000").count() == 60 * 59 // 2 + 59
+    assert [tuple(r.shared) for r in got.where("a = 1 AND b IN (2, 5)").orderBy("b").collect()] == [("large", "ring"), ()]
+
+
 def test_shared_tokens_are_told_by_classes(spark, tmp_path):
     # 100,000 items of one brand, size and name beside one of another name.
     folder = _part(spark, tmp_path, _ITEMS + [(k, "blue ring", "C", 9) for k in range(1000, 101_000)] + [(500, "ring hot", "C", 9)])
-    got = catalogue.queries()["set04_shared_tokens"](spark, folder).collect()
+    got = catalogue.queries()["set04_class_tokens"](spark, folder).collect()
     member = {(r.b, tuple(r.shared) if r.shared else None): r.a for r in got if r.kind == "member"}
     pairs = {(r.a, r.b, tuple(r.shared) if r.shared is not None else None) for r in got if r.kind == "pair"}
     assert len(member) == len(_ITEMS) + 100_001 and (500, 1000, ("ring",)) in pairs and len([r for r in got if r.kind == "pair"]) < 20
@@ -99,4 +109,4 @@ def test_shared_tokens_are_told_by_classes(spark, tmp_path):
             ca, cb = member[a, words(x)], member[b, words(y)]
             common = tuple(sorted(set(words(x)) & set(words(y)))) if x and y else None
             assert words(x) == words(y) == common if ca == cb and words(x) == words(y) else (min(ca, cb), max(ca, cb), common) in pairs
-    assert rows_of(catalogue.queries()["set04_shared_tokens"](spark, folder)) == expected(_database(folder), catalogue.oracles()["set04_shared_tokens"])
+    assert rows_of(catalogue.queries()["set04_class_tokens"](spark, folder)) == expected(_database(folder), catalogue.oracles()["set04_class_tokens"])
